@@ -61,8 +61,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumns({"_q_words": words_of(text), "_q_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))})
     n = F.size("_q_words")
     # A window's hash by doubling: of 2 words, then of 4, then of all 8. Ends without a full window are cut off.
-    rest = F.lit(2**31 - 1)
-    paired = lambda c, step: F.zip_with(c, F.slice(c, step + 1, rest), lambda a, b: F.xxhash64(a, b))
+    paired = lambda c, step: F.zip_with(c, F.slice(c, step + 1, F.size(c)), lambda a, b: F.xxhash64(a, b))
     rows = rows.withColumn("_q_hashes", paired("_q_words", 1)).withColumn("_q_hashes", paired("_q_hashes", 2)).withColumn("_q_hashes", paired("_q_hashes", 4))
     rows = rows.withColumn("_q_hashes", F.slice("_q_hashes", 1, F.greatest(n - (WINDOW - 1), F.lit(0))))
     counts = {
