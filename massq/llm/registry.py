@@ -1,13 +1,14 @@
 """The queries of this subpackage, one for each operator, and their SQL where there is any."""
 
-from massq.llm import exact, licenses, mixing, rules, urls
+from massq.llm import exact, licenses, mixing, near, rules, urls
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op3_licenses": licenses.query,
     "op4_rules": rules.query,
+    "op5_near": near.query,
     "op8_urls": urls.query,
     "op9_exact": exact.query,
 }
 
-SQL = {"op1_mixing": mixing.SQL, "op4_rules": rules.SQL, "op8_urls": urls.SQL, "op9_exact": exact.SQL}
+SQL = {"op1_mixing": mixing.SQL, "op4_rules": rules.SQL, "op5_near": near.SQL, "op8_urls": urls.SQL, "op9_exact": exact.SQL}
