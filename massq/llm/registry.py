@@ -1,12 +1,13 @@
 """The queries of this subpackage, one for each operator, and their SQL where there is any."""
 
-from massq.llm import exact, licenses, mixing, near, rules, urls
+from massq.llm import bpe, exact, licenses, mixing, near, rules, urls
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op3_licenses": licenses.query,
     "op4_rules": rules.query,
     "op5_near": near.query,
+    "op6_bpe": bpe.query,
     "op8_urls": urls.query,
     "op9_exact": exact.query,
 }
