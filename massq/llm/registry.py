@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator, and their SQL where there is any."""
 
-from massq.llm import bpe, exact, licenses, mixing, near, rules, urls
+from massq.llm import bpe, exact, licenses, mixing, near, quality, rules, urls
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_rules": rules.query,
     "op5_near": near.query,
     "op6_bpe": bpe.query,
+    "op7_quality": quality.query,
     "op8_urls": urls.query,
     "op9_exact": exact.query,
 }
