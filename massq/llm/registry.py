@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator, and their SQL where there is any."""
 
-from massq.llm import bpe, exact, licenses, mixing, near, quality, rules, urls
+from massq.llm import bpe, exact, langid, licenses, mixing, near, quality, rules, urls
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_quality": quality.query,
     "op8_urls": urls.query,
     "op9_exact": exact.query,
+    "op10_langid": langid.query,
 }
 
 SQL = {"op1_mixing": mixing.SQL, "op4_rules": rules.SQL, "op5_near": near.SQL, "op8_urls": urls.SQL, "op9_exact": exact.SQL}
