@@ -1,9 +1,10 @@
 """The queries of this subpackage, one for each operator, and their SQL where there is any."""
 
-from massq.llm import bpe, exact, langid, licenses, mixing, near, quality, rules, urls
+from massq.llm import bpe, exact, langid, licenses, lm, mixing, near, quality, rules, urls
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_lm": lm.query,
     "op3_licenses": licenses.query,
     "op4_rules": rules.query,
     "op5_near": near.query,
