@@ -1,8 +1,10 @@
 """All registered queries and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from massq.plans import matching
+
+QUERIES = {**matching.QUERIES}
+SQL = {**matching.SQL}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return matching.target_decoy_search(spark, sf_dir)
