@@ -111,20 +111,15 @@ def y_ions(sequence: Column, deltas: dict[str, float] | None = None, max_charge:
 
 def theoretical_ions(sequence: Column, deltas: dict[str, float] | None = None, max_charge: int = 2, losses: bool = False) -> Column:
     """Array of (label, type, number, charge, mz): all b, then all y by charge; labels like ``b3+1``."""
-    series = []
+    def ion(kind: str, extra: float, loss: str, shift: float, z: int):
+        return lambda m, i: F.struct(
+            F.concat(F.lit(kind), (i + 1).cast("string"), F.lit(f"{loss}+{z}")).alias("label"), F.lit(kind + loss).alias("type"), (i + 1).alias("number"), F.lit(z).alias("charge"), ((m + F.lit(extra + shift + z * PROTON)) / z).alias("mz")
+        )
+
     prefixes, suffixes = prefix_masses(sequence, deltas), prefix_masses(F.reverse(sequence), deltas)
     shifts = [("", 0.0)] + [("-H2O", -WATER), ("-NH3", -AMMONIA)] * losses
-    for kind, masses, extra in (("b", prefixes, 0.0), ("y", suffixes, WATER)):
-        for name, shift in shifts:
-            for z in range(1, max_charge + 1):
-                series.append(
-                    F.transform(
-                        masses,
-                        lambda m, i, kind=kind, extra=extra, name=name, shift=shift, z=z: F.struct(
-                            F.concat(F.lit(kind), (i + 1).cast("string"), F.lit(f"{name}+{z}")).alias("label"), F.lit(kind + name).alias("type"), (i + 1).alias("number"), F.lit(z).alias("charge"), ((m + F.lit(extra + shift + z * PROTON)) / z).alias("mz")
-                        ),
-                    )
-                )
+    charges = range(1, max_charge + 1)
+    series = [F.transform(masses, ion(kind, extra, loss, shift, z)) for kind, masses, extra in (("b", prefixes, 0.0), ("y", suffixes, WATER)) for loss, shift in shifts for z in charges]
     return F.concat(*series)
 
 

@@ -78,19 +78,17 @@ def with_decoys(proteins: DataFrame, strategy: str = "reverse") -> DataFrame:
 def sites(sequence: Column, mods: tuple[Modification, ...]) -> Column:
     """Where variable modifications may sit: array of (mod, pos), pos from 0, -1 and length for the ends."""
     n = F.length(sequence)
-    out = []
-    for k, m in enumerate(mods):
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def of(k: int, m: Modification) -> Column:
+        fits = lambda c: c.isin(*m.residues) if m.residues else F.lit(True)
         if m.position == "anywhere":
-            at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-            fits = lambda i, m=m: F.substring(sequence, i + 1, F.lit(1)).isin(*m.residues) if m.residues else F.lit(True)
-            out.append(F.transform(F.filter(at, fits), lambda i, k=k: F.struct(F.lit(k).alias("mod"), i.alias("pos"))))
-        else:
-            first = m.position.endswith("nterm")
-            end = F.substring(sequence, 1, 1) if first else F.substring(sequence, -1, 1)
-            fits_end = end.isin(*m.residues) if m.residues else F.lit(True)
-            site = F.struct(F.lit(k).alias("mod"), (F.lit(-1) if first else n).alias("pos"))
-            out.append(F.when(fits_end, F.array(site)).otherwise(F.array().cast("array<struct<mod:int,pos:int>>")))
-    return F.concat(*out)
+            return F.transform(F.filter(every, lambda i: fits(F.substring(sequence, i + 1, F.lit(1)))), lambda i: F.struct(F.lit(k).alias("mod"), i.alias("pos")))
+        first = m.position.endswith("nterm")
+        site = F.struct(F.lit(k).alias("mod"), (F.lit(-1) if first else n).alias("pos"))
+        return F.when(fits(F.substring(sequence, 1 if first else -1, 1)), F.array(site)).otherwise(F.array().cast("array<struct<mod:int,pos:int>>"))
+
+    return F.concat(*[of(k, m) for k, m in enumerate(mods)])
 
 
 def site_combinations(found: Column, most: int) -> Column:

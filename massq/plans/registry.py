@@ -1,9 +1,10 @@
 """All registered queries and their SQL."""
 
-from massq.plans import matching
+from massq.plans import matching, proteins
 
-QUERIES = {**matching.QUERIES}
-SQL = {**matching.SQL}
+_PARTS = (matching, proteins)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}
 
 
 def flagship(spark, sf_dir):
