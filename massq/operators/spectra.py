@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def summary(spectra: DataFrame) -> DataFrame:
     return spectra.groupBy("run").agg(
         F.count(F.lit(1)).alias("spectra"), F.count_if(F.col("ms_level") == 1).alias("ms1"), F.count_if(ms2).alias("ms2"),
         F.min(F.try_element_at("mz", F.lit(1))).alias("mz_min"), F.max(F.try_element_at("mz", F.lit(-1))).alias("mz_max"), F.min("rt_min").alias("rt_from"), F.max("rt_min").alias("rt_to"),
-        F.expr("coalesce(percentile_disc(0.5) within group (order by size(mz)), 0)").alias("median_peaks"), F.coalesce(F.median(F.when(ms2, iso["lower"] + iso["upper"])), F.lit(0.0)).alias("median_window"),
+        F.expr("cast(coalesce(percentile_disc(0.5) within group (order by size(mz)), 0) as int)").alias("median_peaks"), F.coalesce(F.median(F.when(ms2, iso["lower"] + iso["upper"])), F.lit(0.0)).alias("median_window"),
     )
 
 
@@ -149,8 +150,6 @@ def extract_precursors(spectra: DataFrame, tolerance: float = 0.01, least: int =
 
     The pairing is a join on (run, scan); each pair is worked on alone, in an Arrow batch.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<struct<mz:double,charge:int,intensity:double>>")
     def patterns(mz: pd.Series, intensity: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
         return pd.Series([_patterns(np.asarray(a, float), np.asarray(b, float), x, y, tolerance, least, ratio, rise) for a, b, x, y in zip(mz, intensity, low, high, strict=True)])

@@ -63,7 +63,7 @@ def fixed_mod_masses(spark, d):
 
 def fragment_ions(spark, d):
     rows = peptides(spark, d).select("peptide", F.explode(chem.theoretical_ions(F.col("peptide"), None, 2)).alias("i"))
-    return rows.select("peptide", "i.label", "i.number", "i.charge", F.round("i.mz", 5).alias("mz"))
+    return rows.select("peptide", "i.label", "i.number", "i.charge", F.round(F.col("i.mz") + 1e-8, 5).alias("mz"))
 
 
 def neutral_losses(spark, d):
@@ -222,7 +222,7 @@ r AS (SELECT accession, missed::INT AS missed, place::INT AS place, array_to_str
 round((mass + 2 * 1.007276) / 2 + {_mass("peptide", chem.SILAC)} / 2, 4) AS heavy_mz2 FROM m""",
     "fixed_mod_masses": f"WITH {_PEP} SELECT peptide, round({_mass('peptide', {'C': 57.021464, 'K': 229.162932})} + 229.162932, 6) AS added FROM pep",
     "fragment_ions": f"""WITH {_PEP}, i AS (SELECT peptide, unnest(range(1, len(peptide))) AS n FROM pep), m AS (SELECT peptide, n, {_mass("peptide[1:n]")} AS b, {_mass("peptide[len(peptide) - n + 1:]")} + 18.010565 AS y FROM i),
-z AS (SELECT *, unnest([1, 2]) AS z FROM m) SELECT peptide, 'b' || n || '+' || z AS label, n::INT AS number, z::INT AS charge, round((b + z * 1.007276) / z, 5) AS mz FROM z UNION ALL SELECT peptide, 'y' || n || '+' || z, n::INT, z::INT, round((y + z * 1.007276) / z, 5) FROM z""",
+z AS (SELECT *, unnest([1, 2]) AS z FROM m) SELECT peptide, 'b' || n || '+' || z AS label, n::INT AS number, z::INT AS charge, round((b + z * 1.007276) / z + 1e-8, 5) AS mz FROM z UNION ALL SELECT peptide, 'y' || n || '+' || z, n::INT, z::INT, round((y + z * 1.007276) / z + 1e-8, 5) FROM z""",
     "neutral_losses": f"""WITH {_PEP}, i AS (SELECT peptide, unnest(range(1, len(peptide))) AS n FROM pep), m AS (SELECT {_mass("peptide[1:n]")} AS b, {_mass("peptide[len(peptide) - n + 1:]")} + 18.010565 AS y FROM i),
 l(name, d) AS (VALUES ('', 0.0), ('-H2O', 18.010565), ('-NH3', 17.026549)), a AS (SELECT 'b' || name AS type, b - d + 1.007276 AS mz FROM m, l UNION ALL SELECT 'y' || name, y - d + 1.007276 FROM m, l) SELECT type, count(*) AS n, round(sum(mz), 2) AS sum_mz FROM a GROUP BY 1""",
     "ion_ladders": f"""WITH {_PEP}, i AS (SELECT peptide, unnest(range(1, len(peptide))) AS n FROM pep) SELECT peptide, count(*) * 2 AS n, round(sum({_mass("peptide[1:n]")} + 1.007276), 4) AS b, round(sum({_mass("peptide[len(peptide) - n + 1:]")} + 18.010565 + 1.007276), 4) AS y FROM i GROUP BY 1""",

@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from massq.plans import matching, proteins
+from massq.plans import matching, proteins, signals
 
-_PARTS = (matching, proteins)
+_PARTS = (matching, proteins, signals)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}
 
