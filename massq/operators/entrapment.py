@@ -55,7 +55,7 @@ def _fits(accession: Column, rule: Rule) -> Column:
 
 def group_of(protein_ids: Column, config: Config) -> Column:
     """target, trap or ambiguous for ``;``-separated accessions. Without a rule that fits, ``ignore`` means target."""
-    each = F.transform(F.split(protein_ids, ";"), F.trim)
+    each = F.transform(F.split(protein_ids, ";"), lambda x: F.trim(x))
     target, trap = F.exists(each, lambda a: _fits(a, config.target)), F.exists(each, lambda a: _fits(a, config.trap))
     both = {"prefer_target": "target", "prefer_trap": "trap", "mark_ambiguous": "ambiguous"}[config.conflict]
     rest = F.raise_error(F.concat(F.lit("no rule fits "), protein_ids)).cast("string") if config.unmatched == "error" else F.lit({"ignore": "target"}.get(config.unmatched, config.unmatched))
@@ -64,7 +64,7 @@ def group_of(protein_ids: Column, config: Config) -> Column:
 
 def tag_by_sets(psms: DataFrame, sets: DataFrame, id_col: str = "protein_ids") -> DataFrame:
     """Flags ``in_target``, ``in_trap`` from accession tables (accession, kind) too large for a rule's list."""
-    each = psms.select(id_col).distinct().select(id_col, F.explode(F.transform(F.split(id_col, ";"), F.trim)).alias("accession"))
+    each = psms.select(id_col).distinct().select(id_col, F.explode(F.transform(F.split(id_col, ";"), lambda x: F.trim(x))).alias("accession"))
     hits = each.join(sets, "accession").groupBy(id_col).agg(F.max(F.col("kind") == "target").alias("in_target"), F.max(F.col("kind") == "trap").alias("in_trap"))
     return psms.join(hits, id_col, "left").fillna(False, ["in_target", "in_trap"])
 

@@ -18,7 +18,7 @@ def read_fasta(spark: SparkSession, path: str, upper: bool = True, keep_empty: b
     """
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("v"), F.col("_metadata.file_path").alias("file"))
     lines = F.split("v", r"\r?\n")
-    rest = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), F.trim), lambda x: ~x.rlike("^[#;]") if comments else F.lit(True))
+    rest = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.trim(x)), lambda x: ~x.rlike("^[#;]") if comments else F.lit(True))
     header = F.trim(F.element_at(lines, 1))
     sequence = F.regexp_replace(F.array_join(rest, ""), r"\s+", "")
     out = rows.where(F.trim("v") != "").select(F.split_part(header, F.lit(" "), F.lit(1)).alias("accession"), header.alias("description"), (F.upper(sequence) if upper else sequence).alias("sequence"))

@@ -111,7 +111,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def pfind_modifications(text: Column) -> Column:
     """(pos, name, mass) of ``3,Oxidation[M];``-like lists; unknown names weigh 0."""
     table = F.create_map(*[x for t, m in TITLES.items() for x in (F.lit(t), F.lit(m))])
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim), lambda p: p.rlike(r"^\d+,"))
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: F.trim(x)), lambda p: p.rlike(r"^\d+,"))
     name = lambda p: F.regexp_extract(p, r"^\d+,([^\[]+)", 1)
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\d+),", 1).cast("int").alias("pos"), name(p).alias("name"), F.coalesce(F.try_element_at(table, name(p)), F.lit(0.0)).alias("mass")))
 
