@@ -29,8 +29,8 @@ from massq.llm.common import text_of
 MOST_RANKS = 1 << 18
 #: Bytes of a piece up to which pieces go in step.
 SHORT = 64
-#: Pieces that a Python worker remembers.
-REMEMBERED = 300_000
+#: Pieces that a Python worker remembers, and texts that it works on at a time.
+REMEMBERED, STEP = 200_000, 256
 _NONE = np.int64(1) << np.int64(40)
 
 
@@ -176,8 +176,8 @@ class Vocabulary:
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
         """Ids of each text as int32 bytes, and how many there are."""
         split, out = self.pattern.findall, []
-        for at in range(0, len(texts), 256):
-            pieces = [split(t) if t else [] for t in texts[at : at + 256]]
+        for at in range(0, len(texts), STEP):
+            pieces = [split(t) if t else [] for t in texts[at : at + STEP]]
             fresh = {p for ps in pieces for p in ps}
             missing = {p for p in fresh if p not in self.known}
             if missing:
@@ -209,19 +209,25 @@ class Tokenizer:
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
-            ids, counts = _vocabulary(*shared.value).encode(texts.to_pylist())
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            vocabulary, parts, counts = _vocabulary(*shared.value), [], [np.zeros(1, np.int64)]
+            for at in range(0, len(texts), STEP):
+                ids, n = vocabulary.encode(texts.slice(at, STEP).to_pylist())
+                parts.append(b"".join(ids))
+                counts.append(n)
+            ends = np.cumsum(np.concatenate(counts)).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
         @F.arrow_udf("binary")
         def decode(ids: pa.Array) -> pa.Array:
-            ends = ids.offsets.to_numpy()
-            vocabulary = _vocabulary(*shared.value)
-            flat = ids.values.to_numpy()[ends[0] : ends[-1]] if len(ids) else np.empty(0, np.int32)
-            lengths = vocabulary.lengths[flat]
-            sums = np.concatenate([[0], np.cumsum(lengths)])[ends - ends[0]]
-            letters = np.concatenate([vocabulary.decode(flat[at : at + (1 << 20)]) for at in range(0, max(1, len(flat)), 1 << 20)])
-            return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(sums.astype("<i4")), pa.py_buffer(letters.tobytes())])
+            vocabulary, ends, values = _vocabulary(*shared.value), ids.offsets.to_numpy(), ids.values
+            parts, sizes = [], [np.zeros(1, np.int64)]
+            for at in range(0, len(ids), STEP):
+                cuts = ends[at : at + STEP + 1]
+                flat = values.slice(cuts[0], cuts[-1] - cuts[0]).to_numpy()
+                parts.append(vocabulary.decode(flat).tobytes())
+                sizes.append(np.diff(np.concatenate([[0], np.cumsum(vocabulary.lengths[flat])])[cuts - cuts[0]]))
+            offsets = np.cumsum(np.concatenate(sizes)).astype("<i4")
+            return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(parts))])
 
         self._encode, self._decode = encode, decode
 
