@@ -34,7 +34,7 @@ from massq.llm.common import cut, remainder
 from massq.llm.near import _ASCII_LOWER, mixed
 
 #: Tokens of a block, about, and n-grams of an owner, about.
-BLOCK, OWNED = 1 << 21, 1 << 21
+BLOCK, OWNED = 1 << 20, 1 << 20
 #: Folds of crc32(id) mod FOLDS: HELD is scored only, DELETED teaches the weights, the others count for both.
 FOLDS, HELD, DELETED = 10, 0, 1
 #: Histogram axes: buckets of contexts, and steps of a quarter of a bit of probability; the last step is zero.
