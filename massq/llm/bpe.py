@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massq.llm.common import text_of
+from massq.llm.common import small_batches, text_of
 
 MOST_RANKS = 1 << 18
 #: Bytes of a piece up to which pieces go in step.
@@ -205,6 +205,7 @@ class Tokenizer:
     """``encode`` and ``decode`` of a vocabulary as column functions."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        small_batches(spark)
         shared = spark.sparkContext.broadcast((tuple(read_ranks(path)), pattern))
 
         @F.arrow_udf("array<int>")

@@ -41,6 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand texts to Python in batches of at most ``rows``.
+
+    Texts are long, so the default of 10,000 rows fills a worker's memory. It is a setting
+    of the session, read when a plan is made; a lower one stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(col), F.lit(""))
