@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massq.llm.common import remainder, text_of
+from massq.llm.common import remainder, small_batches, text_of
 
 #: Bytes of the longest context.
 ORDER = 3
@@ -179,6 +179,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: tuple[int, int] = (4, 2), sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (probability under equal priors)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.withColumn("held_out", remainder("doc_id", fold[0]) == fold[1])
     shared = docs.sparkSession.sparkContext.broadcast(learn(rows.where("not held_out"), sample))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massq.llm.common import cut, remainder
+from massq.llm.common import cut, remainder, small_batches
 from massq.llm.near import _ASCII_LOWER, mixed
 
 #: Tokens of a block, about, and n-grams of an owner, about.
@@ -228,6 +228,7 @@ def _score(weights: np.ndarray, tokens: int, kinds: int):
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), remainder(id_col, FOLDS).cast("int").alias("fold"))
     blocks = cut(slim.mapInArrow(_blocks, "block long, ids array<long>, folds array<int>, sizes array<int>, tokens binary, words binary"))
     size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
