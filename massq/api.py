@@ -238,7 +238,7 @@ class Session:
         if spectra_path is None:
             return rows
         keyed = rows.withColumn("id", F.xxhash64("run", "modified", "peptide", "charge", "rt_min", "precursor_mz"))
-        found = self.find_by_time(self.spectra(spectra_path), keyed.where("scan is null"), tolerance).select("id", F.col("scan").alias("found"))
+        found = self.find_by_time(self.spectra(spectra_path), keyed.where("scan is null").drop("scan"), tolerance).select("id", F.col("scan").alias("found"))
         out = keyed.join(found, "id", "left").withColumn("scan", F.coalesce("scan", "found")).where("scan is not null").drop("id", "found")
         if out.isEmpty():
             raise NotFound("no match has a scan in these spectra", "check the run names and the time unit")
