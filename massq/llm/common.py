@@ -2,45 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from massq.operators.shared import materialise as cut
+from massq.operators.shared import shared_path as scratch_path
+
+__all__ = ["SPACE", "SPACE_CHARS", "WORD", "cut", "n_words_of", "remainder", "scratch_path", "small_batches", "text_of", "words_of"]
+
 #: White space of the query contracts: space and the controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word: a longest run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_path(spark: SparkSession) -> str:
-    """A new folder in the directory that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local mode, tests) a temporary folder of this machine takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="massq-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/massq/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a shared Parquet table and read it back.
-
-    Later passes read the table instead of repeating the work, a lost executor
-    costs no recomputation of what lies before it, and the planner knows the
-    table's size, so it broadcasts only what is under its threshold. Like Spark's
-    own checkpoints, the files stay until the shared folder is cleared.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Have Spark hand texts to Python in batches of at most ``rows``.
 
@@ -57,11 +32,6 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def ascii_lower(c: Column) -> Column:
-    """A-Z in lower case, everything else as it is."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 #: The characters of SPACE themselves.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 

@@ -73,10 +73,9 @@ def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def block() -> pd.DataFrame:
         rows = pd.concat(held, ignore_index=True).sort_values("fp", kind="stable")
-        return pd.DataFrame({"block": [(part << 32) + count], "ids": [rows.doc_id.tolist()], "ns": [rows.n.to_numpy()], "fps": [rows.fp.to_numpy()], "shas": [b"".join(rows.sha)]})
+        return pd.DataFrame({"block": [(part << 24) + count], "ids": [rows.doc_id.to_numpy()], "missing": [rows.missing.to_numpy()], "ns": [rows.n.to_numpy()], "fps": [rows.fp.to_numpy()], "shas": [b"".join(rows.sha)]})
 
     for rows in parts:
-        rows["doc_id"] = rows.doc_id.astype("object").where(rows.doc_id.notna(), None)
         for at in range(0, len(rows), BLOCK):
             held.append(rows.iloc[at : at + BLOCK])
             size += len(held[-1])
@@ -106,7 +105,7 @@ def _send(bits: int, owner_bits: int):
     return send
 
 
-def _answer(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Bitmaps of an owner: one a block, a bit for each fingerprint that came from several blocks."""
     sent = [ungolomb(c) for c in rows.code]
     every, where, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
@@ -117,12 +116,12 @@ def _answer(key, rows: pd.DataFrame) -> pd.DataFrame:
 def _mark(bits: int):
     def mark(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            for block, ids, ns, fps, shas, bitmaps in zip(rows.block, rows.ids, rows.ns, rows.fps, rows.shas, rows.bitmaps, strict=True):
+            for block, ids, missing, ns, fps, shas, bitmaps in zip(rows.block, rows.ids, rows.missing, rows.ns, rows.fps, rows.shas, rows.bitmaps, strict=True):
                 fps = np.asarray(fps).astype(np.int64)
                 kinds, which, count = np.unique(cut_bits(fps, bits), return_inverse=True, return_counts=True)
                 flags = np.concatenate([np.unpackbits(np.frombuffer(b["bitmap"], np.uint8))[: b["n"]] for b in sorted(bitmaps, key=lambda b: b["owner"])]).astype(bool)
                 suspect = (flags | (count > 1))[which]
-                yield pd.DataFrame({"doc_id": pd.array(list(ids), dtype="Int64"), "n": ns, "fp": fps, "sha": [shas[i : i + 32] for i in range(0, len(shas), 32)], "suspect": suspect, "place": (block << 16) + np.arange(len(fps))})
+                yield pd.DataFrame({"doc_id": ids, "missing": missing, "n": ns, "fp": fps, "sha": [shas[i : i + 32] for i in range(0, len(shas), 32)], "suspect": suspect, "place": (block << 16) + np.arange(len(fps))})
 
     return mark
 
@@ -130,16 +129,17 @@ def _mark(bits: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (code points), fp, sha, place and ``suspect`` of each row; the texts are read once."""
     text = normal(text_col)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(text_of(text_col)).alias("n"), F.xxhash64(text).alias("fp"), F.unhex(F.sha2(text, 256)).alias("sha"))
-    blocks = cut(slim.mapInPandas(_blocks, "block long, ids array<long>, ns array<int>, fps array<long>, shas binary"))
+    number = F.col(id_col).cast("long")
+    slim = docs.select(F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNull().alias("missing"), F.char_length(text_of(text_col)).alias("n"), F.xxhash64(text).alias("fp"), F.unhex(F.sha2(text, 256)).alias("sha"))
+    blocks = cut(slim.mapInPandas(_blocks, "block long, ids array<long>, missing array<boolean>, ns array<int>, fps array<long>, shas binary"))
     total = blocks.agg(F.sum(F.size("fps"))).first()[0] or 0
     owner_bits = max(0, math.ceil(math.log2(max(1, total) / OWNED))) + 5
     bits = min(63, max(1, total).bit_length() + EXTRA)
     sent = blocks.select("block", "fps").mapInPandas(_send(bits, min(owner_bits, bits - 1)), "owner long, block long, code binary")
     answers = sent.groupBy("owner").applyInPandas(_answer, "owner long, block long, n int, bitmap binary")
     received = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "n", "bitmap")).alias("bitmaps"))
-    marked = blocks.join(received, "block").mapInPandas(_mark(bits), "doc_id long, n int, fp long, sha binary, suspect boolean, place long")
-    return cut(marked)
+    marked = blocks.join(received, "block").mapInPandas(_mark(bits), "doc_id long, missing boolean, n int, fp long, sha binary, suspect boolean, place long")
+    return cut(marked.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).drop("missing"))
 
 
 def verified(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

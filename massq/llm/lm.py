@@ -141,7 +141,7 @@ def _requests(owner_bits: int):
     return requests
 
 
-def _answer(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Sums over all blocks, to each in its own order; and in the first row the owner's tokens and kinds of words."""
     sent = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
     kinds, where = np.unique(np.concatenate(sent), return_inverse=True)
