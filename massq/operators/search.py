@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massq.functions.chem import PROTON, RESIDUES, SILAC, WATER, Modification, fixed_mod_mass, peptide_mass
+from massq.functions.chem import PROTON, RESIDUES, WATER, Modification, fixed_mod_mass, peptide_mass
 from massq.operators.digest import digest, site_combinations, sites, with_decoys
 from massq.operators.fdr import FdrError, with_q
 from massq.operators.joins import ppm_join
@@ -160,5 +160,3 @@ def summary(psms: DataFrame, q: float = 0.01, filtered: bool = True) -> DataFram
         F.countDistinct(F.when(good, F.col("accession"))).alias("proteins_at_q"), F.coalesce(F.median(over), F.lit(0.0)).alias("median_score"), F.coalesce(F.median(error), F.lit(0.0)).alias("median_delta_ppm"),
     )
 
-
-SILAC_LABELS = SILAC
