@@ -244,3 +244,47 @@ def provenance(annotated_trap: DataFrame, annotated_target: DataFrame, spectra:
     out = rows.groupBy("run", "scan").agg(F.count_if(t & ~u).alias("trap_only"), F.count_if(u & ~t).alias("target_only"), F.count_if(t & u).alias("shared"), F.count_if(~t & ~u).alias("unassigned"))
     explained = F.col("trap_only") + F.col("target_only") + F.col("shared")
     return out.withColumn("shared_ratio", F.when(explained > 0, F.col("shared") / explained).otherwise(0.0))
+
+
+def heavy_scans_dda(scans: DataFrame, wanted: DataFrame, ppm: float = 20.0) -> DataFrame:
+    """For each of ``wanted`` (id, run, rt, heavy_mz) the nearest MS2 in time whose precursor lies within ppm (less than)."""
+    from massq.operators.joins import ppm_join
+
+    p = by_level(scans, 2).select("run", "scan", "rt_min", F.explode("precursors.mz").alias("_mz"))
+    pairs = ppm_join(p, wanted.select("id", "run", "rt", "heavy_mz"), "_mz", "heavy_mz", ppm, ("run",))
+    pairs = pairs.where(F.abs(F.col("_mz") - F.col("heavy_mz")) / F.col("heavy_mz") * 1e6 < ppm)
+    return pairs.groupBy("id").agg(F.min(F.struct(F.abs(F.col("rt_min") - F.col("rt")).alias("d"), "scan"))["scan"].alias("scan"))
+
+
+def heavy_scans_dia(scans: DataFrame, wanted: DataFrame, width: float = 25.0) -> DataFrame:
+    """For each of ``wanted`` the nearest MS2 in time whose isolation window holds the heavy m/z; ``width`` about a window's."""
+    from massq.operators.joins import band_join
+
+    iso = F.try_element_at("precursors", F.lit(1))["isolation"]
+    w = by_level(scans, 2).select("run", "scan", "rt_min", (iso["target"] - iso["lower"]).alias("_lo"), (iso["target"] + iso["upper"]).alias("_hi")).where("_lo is not null")
+    pairs = band_join(wanted.select("id", "run", "rt", "heavy_mz"), w, "heavy_mz", "_lo", "_hi", width, ("run",))
+    return pairs.groupBy("id").agg(F.min(F.struct(F.abs(F.col("rt_min") - F.col("rt")).alias("d"), "scan"))["scan"].alias("scan"))
+
+
+def probe_ms1(scans: DataFrame, wanted: DataFrame, ppm: float, reach: float = 1.0) -> DataFrame:
+    """(id, scan, mz): the nearest MS1 within ``reach`` minutes of each of ``wanted`` (id, run, rt, mz) and its most intense peak within ppm, null for none."""
+    from massq.operators.joins import nearest_join
+
+    ms1 = by_level(scans, 1).select(F.col("run").alias("_run"), "scan", F.col("rt_min").alias("_rt"))
+    near = nearest_join(wanted, ms1, (("run", "_run"),), "rt", "_rt", reach, ["id"], ["_rt", "scan"]).select("id", "scan")
+    rows = wanted.select("id", "run", F.col("mz").alias("_target")).join(near, "id").join(by_level(scans, 1).select("run", "scan", F.arrays_zip("mz", "intensity").alias("_peaks")), ["run", "scan"])
+    return rows.select("id", "scan", pick_intensity(F.col("_peaks"), F.col("_target"), ppm, "max")["mz"].alias("mz"))
+
+
+def multi_provenance(annotated: DataFrame, spectra: DataFrame, trap: str = "trap") -> DataFrame:
+    """Peaks of each spectrum by who explains them, with any number of candidates.
+
+    ``annotated``: as ``annotate`` returns it, with a column ``candidate`` (``trap`` for the trap itself).
+    """
+    own = F.col("candidate") == trap
+    claims = annotated.where("matched").groupBy("run", "scan", F.col("observed_mz").alias("peak")).agg(F.max(own).alias("t"), F.max(~own).alias("o"), F.countDistinct(F.when(~own, F.col("candidate"))).alias("n"))
+    rows = spectra.select("run", "scan", F.explode("mz").alias("peak")).join(claims, ["run", "scan", "peak"], "left")
+    t, o = F.coalesce("t", F.lit(False)), F.coalesce("o", F.lit(False))
+    out = rows.groupBy("run", "scan").agg(F.count_if(t & ~o).alias("trap_only"), F.count_if(o & ~t).alias("target_only"), F.count_if(t & o).alias("shared"), F.count_if(~t & ~o).alias("unassigned"), F.coalesce(F.max("n"), F.lit(0)).alias("most_candidates"))
+    explained = F.col("trap_only") + F.col("target_only") + F.col("shared")
+    return out.withColumn("shared_ratio", F.when(explained > 0, F.col("shared") / explained).otherwise(0.0))

@@ -168,6 +168,39 @@ def fragment_provenance(spark, d):
     return _rounded(S.provenance(S.annotate(s, p, losses=False), S.annotate(s, decoy, losses=False), s).drop("run"))
 
 
+def _timed(spark, d) -> DataFrame:
+    """events as single scans: hours of the month are minutes, a window of k around the value."""
+    e = table(spark, d, "events").where("event_type <> 'view'")
+    k = F.get_json_object("props", _K).cast("double")
+    one = F.struct(F.col("value").alias("mz"), F.lit(2).alias("charge"), F.lit(None).cast("double").alias("intensity"), F.struct(F.col("value").alias("target"), k.alias("lower"), k.alias("upper")).alias("isolation"), F.lit(None).cast("int").alias("source_scan"))
+    return e.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").cast("int").alias("scan"), F.lit(2).alias("ms_level"), (F.dayofmonth("ts") * 24 + F.hour("ts")).cast("double").alias("rt_min"), F.array(one).alias("precursors"))
+
+
+def _wanted(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("run"), (F.col("o_orderkey") % 720).cast("double").alias("rt"), (F.col("o_orderkey") % 487 + 1).cast("double").alias("heavy_mz"))
+
+
+def heavy_dda(spark, d):
+    return S.heavy_scans_dda(_timed(spark, d), _wanted(spark, d), 20_000)
+
+
+def heavy_dia(spark, d):
+    return S.heavy_scans_dia(_timed(spark, d), _wanted(spark, d), 100.0)
+
+
+def ms1_probe(spark, d):
+    return S.probe_ms1(spectra(spark, d), _wanted(spark, d).withColumnRenamed("heavy_mz", "mz"), 50_000, 100.0)
+
+
+def multi_target(spark, d):
+    """Each peptide's spectrum against itself as the trap, its reverse and its I/L form as candidates."""
+    s, p = _theory(spark, d)
+    of = lambda name, c: S.annotate(s, p.withColumn("peptide", c), losses=False).withColumn("candidate", F.lit(name))
+    found = of("trap", F.col("peptide")).unionByName(of("reverse", D.reverse_decoy(F.col("peptide")))).unionByName(of("folded", X.fold_il(F.col("peptide"))))
+    return _rounded(S.multi_provenance(found, s).drop("run"))
+
+
 def isotope_precursors(spark, d):
     """Precursors that isotope patterns of the MS1 scans show: no SQL, a greedy choice within a spectrum."""
     found = S.extract_precursors(spectra(spark, d), tolerance=0.5, ratio=0.05, rise=3.0)
@@ -190,14 +223,20 @@ def stream_sessions(spark, d):
     return _rounded(streams.run_available(streams.sessions(_stream(spark, d), "12 hours")), 4)
 
 
-QUERIES = {f.__name__: f for f in (spectrum_summary, spectrum_charges, scan_metadata, ms_levels, acquisition_modes, dia_windows, spectrum_violations, centroids, co_sorted, trimmed_peaks, xic_max, xic_sum, xic_nearest, xic_top_traces, cycles_around, pseudo_spectra, top_unmatched, same_windows, annotation, annotation_scores, fragment_provenance, isotope_precursors, stream_tumbling, stream_sliding, stream_sessions)}
+QUERIES = {f.__name__: f for f in (spectrum_summary, spectrum_charges, scan_metadata, ms_levels, acquisition_modes, dia_windows, spectrum_violations, centroids, co_sorted, trimmed_peaks, xic_max, xic_sum, xic_nearest, xic_top_traces, cycles_around, pseudo_spectra, top_unmatched, same_windows, annotation, annotation_scores, fragment_provenance, heavy_dda, heavy_dia, ms1_probe, multi_target, isotope_precursors, stream_tumbling, stream_sliding, stream_sessions)}
 
 _E = "e AS (SELECT user_id::VARCHAR AS run, day(ts)::INT AS scan, event_id, value AS mz, (props->>'$.k')::DOUBLE AS i FROM events)"
 _S = f"{_E}, s AS (SELECT run, scan, CASE WHEN scan % 5 = 0 THEN 1 ELSE 2 END AS ms_level, scan * 24.0::DOUBLE AS rt_min, count(*) AS n, min(mz) AS lo, max(mz) AS hi, floor(min(mz) / 50)::DOUBLE AS target, scan / 2.0::DOUBLE AS half FROM e GROUP BY 1, 2)"
 _X = f"""{_E}, ion(t, label) AS (VALUES {", ".join(f"({m}::DOUBLE, '{n}')" for m, n in _IONS)}), sc AS (SELECT DISTINCT run, scan FROM e),
 h AS (SELECT sc.run, sc.scan, t, label, mz, i, event_id FROM sc CROSS JOIN ion LEFT JOIN e ON e.run = sc.run AND e.scan = sc.scan AND abs(mz - t) <= t * 50000 * 1e-6)"""
 _P = "v AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, embedding FROM embeddings), w AS (SELECT vec_id, i, embedding[i]::DOUBLE AS b, embedding[i - 1]::DOUBLE AS a, embedding[i + 1]::DOUBLE AS c, len(embedding) AS n, list_max(embedding)::DOUBLE AS top FROM v)"
+_T = "t AS (SELECT user_id, event_id::INT AS scan, day(ts) * 24 + hour(ts) AS rt, value, (props->>'$.k')::DOUBLE AS k FROM events WHERE event_type <> 'view'), o AS (SELECT o_orderkey AS id, o_custkey, o_orderkey % 720 AS ort, (o_orderkey % 487 + 1)::DOUBLE AS hm FROM orders)"
 SQL = {
+    "heavy_dda": f"WITH {_T} SELECT id, scan FROM (SELECT id, scan, row_number() OVER (PARTITION BY id ORDER BY abs(rt - ort), scan) AS r FROM o JOIN t ON o_custkey = user_id AND abs(value - hm) / hm * 1e6 < 20000) WHERE r = 1",
+    "heavy_dia": f"WITH {_T} SELECT id, scan FROM (SELECT id, scan, row_number() OVER (PARTITION BY id ORDER BY abs(rt - ort), scan) AS r FROM o JOIN t ON o_custkey = user_id AND hm BETWEEN value - k AND value + k) WHERE r = 1",
+    "ms1_probe": f"""WITH {_S}, o AS (SELECT o_orderkey AS id, o_custkey::VARCHAR AS run, o_orderkey % 720 AS ort, (o_orderkey % 487 + 1)::DOUBLE AS m FROM orders),
+n AS (SELECT id, run, m, scan FROM (SELECT id, o.run, m, scan, row_number() OVER (PARTITION BY id ORDER BY abs(rt_min - ort), rt_min, scan) AS r FROM o JOIN s ON s.run = o.run AND ms_level = 1 AND abs(rt_min - ort) <= 100) WHERE r = 1)
+SELECT id, n.scan, arg_min(mz, struct_pack(a := -i, b := mz)) AS mz FROM n LEFT JOIN e ON e.run = n.run AND e.scan = n.scan AND abs(mz - m) <= m * 50000 * 1e-6 GROUP BY 1, 2""",
     "spectrum_summary": f"""WITH {_S} SELECT run, count(*) AS spectra, count(*) FILTER (ms_level = 1) AS ms1, count(*) FILTER (ms_level = 2) AS ms2, min(lo) AS mz_min, max(hi) AS mz_max, min(rt_min) AS rt_from, max(rt_min) AS rt_to,
 quantile_disc(n, 0.5)::INT AS median_peaks, coalesce(median(CASE WHEN ms_level = 2 THEN 2 * half END), 0) AS median_window FROM s GROUP BY 1""",
     "spectrum_charges": f"WITH {_S} SELECT run, (scan % 4 + 1)::INT AS charge, count(*) AS n FROM s WHERE ms_level = 2 GROUP BY 1, 2",
