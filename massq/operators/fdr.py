@@ -12,11 +12,11 @@ class FdrError(ValueError):
     """Input from which no q-value follows: empty, without decoys, or with scores that aren't finite."""
 
 
-def checked(df: DataFrame, score: str, decoy: str) -> int:
-    """Number of distinct scores; raises for input without meaning."""
+def checked(counts: DataFrame, score: str) -> int:
+    """Number of distinct scores in a table (score, t, d); raises for input without meaning."""
     odd = F.count_if(F.col(score).isNull() | F.isnan(score) | (F.abs(F.col(score).cast("double")) == float("inf")))
-    n, bad, decoys, kinds = df.agg(F.count(F.lit(1)), odd, F.count_if(decoy), F.approx_count_distinct(score)).first()
-    for fails, why in ((n == 0, "no rows"), (bad > 0, "scores that aren't finite"), (decoys == 0, "no decoys")):
+    kinds, bad, decoys = counts.agg(F.count(F.lit(1)), odd, F.sum("d")).first()
+    for fails, why in ((kinds == 0, "no rows"), (bad > 0, "scores that aren't finite"), (not decoys, "no decoys")):
         if fails:
             raise FdrError(why)
     return kinds
@@ -28,8 +28,8 @@ def with_q(df: DataFrame, score: str = "score", decoy: str = "is_decoy", out: st
     Rows shrink to one a distinct score before anything is ordered, and the ordered
     sums run in buckets, so no task sees all rows; ties share a value by that. Scores join back.
     """
-    kinds = checked(df, score, decoy)
     counts = materialise(df.groupBy(score).agg(F.count_if(~F.col(decoy)).alias("t"), F.count_if(decoy).alias("d")))
+    kinds = checked(counts, score)
     sums = running_sums(counts, score, ["t", "d"], descending=True, rows=kinds)
     sums = sums.withColumn("fdr", F.when(F.col("t_run") > 0, F.least(F.lit(1.0), F.col("d_run") / F.col("t_run"))).otherwise(1.0))
     return df.join(running_min_up(sums, score, "fdr", out).select(score, out), score)

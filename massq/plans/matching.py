@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from massq.functions import exprs as X
 from massq.operators import fdr, joins, search, spectra
+from massq.operators.shared import materialise
 
 
 def table(spark, d: str, name: str) -> DataFrame:
@@ -82,7 +83,7 @@ def target_decoy_search(spark, d):
     """Candidates by price, best match, q-value, and per line status what stays at 1 percent."""
     rows = scored_candidates(spark, d, 200).select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "is_decoy", "p_partkey", "score")
     best = search.best_matches(rows, ("l_orderkey", "l_linenumber", "l_partkey"), ("p_partkey",)).withColumn("score", F.round("score", 12))
-    scored = fdr.with_q(best)
+    scored = fdr.with_q(materialise(best))
     good = (F.col("q_value") <= 0.01) & ~F.col("is_decoy")
     return scored.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("matches"), F.count_if(good).alias("at_1pct"), F.round(F.min("q_value"), 9).alias("least_q"), F.countDistinct("p_partkey").alias("candidates"))
 
