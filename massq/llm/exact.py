@@ -159,13 +159,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = fingerprints(docs, id_col, text_col)
     best = rows.where("suspect").groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")).alias("best"))
-    found = best.join(verified(docs, rows, id_col, text_col), "sha")
-    out = rows.join(found, "sha", "left")
-    alone = F.col("best").isNull()
-    return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("place") == F.col("best.place"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    found = cut(best.join(verified(docs, rows, id_col, text_col), "sha"))  # its own table, so a sha with a third of all rows is broadcast to or split
+    shared = rows.where("suspect").join(found, "sha").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("place") == F.col("best.place")).alias("kept"), "sha")
+    alone = rows.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    return alone.union(shared).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
