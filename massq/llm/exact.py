@@ -168,20 +168,23 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that go, with its own columns.
 
-    What goes is named by id and text, so an id with several texts loses only the one
-    that repeats. Rows that repeat both are one row in the result.
+    Ids of which all rows go are named by the id alone, a number, so the table of them is
+    small and texts seldom have to move. Null ids, and ids that also have a row that stays, are
+    told apart by their texts. Rows that repeat both are one row in the result.
     """
-    found = cut(duplicates(docs, id_col, text_col))
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_x_id"), F.unhex("text_sha256").alias("_x_sha")]
-    stay = found.where("kept").select(*key)
-    gone = found.where("not kept").select(*key).distinct()
-    twice = cut(gone.intersect(stay))
-    names = docs.columns
-    mine = docs.withColumns({"_x_id": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), "_x_sha": F.unhex(F.sha2(normal(text_col), 256))})
-    out = mine.join(cut(gone), ["_x_id", "_x_sha"], "left_anti")
-    if not twice.isEmpty():
-        out = out.unionByName(mine.join(twice, ["_x_id", "_x_sha"], "left_semi").dropDuplicates(["_x_id", "_x_sha"]))
-    return out.select(*names)
+    found = cut(duplicates(docs, id_col, text_col).select("doc_id", "kept", F.unhex("text_sha256").alias("_x_sha")))
+    ids = found.groupBy("doc_id").agg(F.bool_and(~F.col("kept")).alias("every"), F.bool_or(~F.col("kept")).alias("some"))
+    gone = cut(ids.where("every and doc_id is not null").select(F.col("doc_id").alias("_x_id")))
+    mixed = cut(ids.where("some and (doc_id is null or not every)").select("doc_id"))
+    out = docs.withColumn("_x_id", F.col(id_col).cast("long")).join(gone, "_x_id", "left_anti")
+    if not mixed.isEmpty():
+        key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_x_key")
+        rows = found.select(key(F.col("doc_id")), "kept", "_x_sha").join(mixed.select(key(F.col("doc_id"))), "_x_key", "left_semi")
+        drop, stay = rows.where("not kept").select("_x_key", "_x_sha").distinct(), rows.where("kept").select("_x_key", "_x_sha")
+        both, twice = ["_x_key", "_x_sha"], cut(drop.intersect(stay))
+        mine = out.withColumns({"_x_key": key(F.col("_x_id")), "_x_sha": F.unhex(F.sha2(normal(text_col), 256))})
+        out = mine.join(cut(drop), both, "left_anti").unionByName(mine.join(twice, both, "left_semi").dropDuplicates(both))
+    return out.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
