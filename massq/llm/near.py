@@ -10,13 +10,19 @@ than ``REGION`` do, the region is divided at one value more, again and again. In
 each vertex proposes its best partners by estimated similarity, not all pairs.
 Candidates are confirmed on full sets, and confirmed links joined to components.
 
+That first round leaves few components. The second one makes it whole: vertices that
+share ``SHALLOW`` values in an order meet once more, however many they are, and each pair
+of them that is likely enough and whose ends lie in different components is confirmed as
+well. Pairs inside a component need no look, so a group of near copies that the first
+round joined costs nothing here.
+
 Edge cases: no words or a null text: an empty set, linked with nothing. Fewer than five
 words: one shingle, the whole sequence. Rows that repeat an id and text are linked
 with each other and with what either is linked. Only the id and text are read.
 
 What can be missed: a pair at similarity 0.85 shares no prefix of 3 values in any of
-16 orders with probability 3e-7, of 8 values with 7e-3; in a crowded region its other links usually join
-the component all the same. The estimate's cut-off lies 3.8 deviations below 0.85.
+16 orders with probability 3e-7, in a crowded region too. The estimate's cut-off lies
+3.8 deviations below 0.85.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from massq.operators.graph import components
 
 SHINGLE = 5
 POOL, TREES, DEPTH, SHALLOW = 128, 16, 16, 3
-#: Vertices of a region that are compared with each other, and partners that each proposes there.
+#: Of the first round: vertices of a region that are compared with each other, and partners that each proposes there.
 REGION, PARTNERS = 256, 8
 #: Estimated similarity from which a pair is a candidate.
 LIKELY = 0.72
@@ -113,6 +119,23 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.full(n, t, np.int32)), _fixed([row.tobytes() for row in values]), vids, sizes, _fixed(sketches)], ["tree", "prefix", "vid", "n", "sketch"])
 
 
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each vertex: its component and size, its sketch, and a number for the first SHALLOW values in each order."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        pools = np.frombuffer(b"".join(batch.column("pool").to_pylist()), "<u4").reshape(n, POOL)
+        low = (pools & 15).astype(np.uint8)
+        values = ((pools[:, _ORDERS[:, :SHALLOW]] >> np.uint32(8)) & np.uint32(0xFFFF)).astype(np.uint64)
+        at = np.broadcast_to(np.arange(TREES, dtype=np.uint64), (n, TREES))
+        for k in range(SHALLOW):
+            at = (at << np.uint64(16)) | values[:, :, k]
+        spots = mixed(at).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * TREES + 1, TREES, dtype=np.int32)), pa.array(spots.ravel()))
+        yield pa.record_batch([batch.column("vid"), batch.column("comp"), batch.column("n"), _fixed([row.tobytes() for row in (low[:, ::2] << 4) | low[:, 1::2]]), lists], ["vid", "comp", "n", "sketch", "spots"])
+
+
 def regions(shared: np.ndarray) -> Iterator[tuple[int, int]]:
     """Stretches (from, to) of two rows or more, given how many values each row shares with the one before.
 
@@ -179,24 +202,119 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([_fixed([x for x, _ in left]), _fixed([y for _, y in left])], ["a", "b"])
 
 
+def crossing(comp: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, spots: np.ndarray, spot: int) -> Iterator[tuple[int, int]]:
+    """All pairs of a spot's rows that may be similar enough and lie in different components, at the first spot that both share."""
+    for i in range(len(comp) - 1):
+        js = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+        small, large = np.minimum(sizes[i], sizes[js]), np.maximum(sizes[i], sizes[js])
+        js = js[100 * small >= 85 * large]
+        if len(js):
+            js = js[(16 * _SAME[sketch[js] ^ sketch[i]].sum(axis=1, dtype=np.int32) / POOL - 1) / 15 >= LIKELY]
+        if len(js):
+            js = js[spots[i, (spots[js] == spots[i]).argmax(axis=1)] == spot]
+        for j in js.tolist():
+            yield i, j
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, of a partition that is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        if held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, cols, strict=True)):
+            yield pa.Table.from_batches(held)
+            held = []
+        ends = [0, *cuts.tolist(), batch.num_rows]
+        for k in range(len(ends) - 1):
+            held.append(batch.slice(ends[k], ends[k + 1] - ends[k]))
+            if k + 2 < len(ends):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each spot that have a partner in another component; given their sets, confirmed links between components instead."""
+    for rows in _groups(batches, ["spot"]):
+        n, vids, spot = rows.num_rows, rows.column("vid").to_pylist(), rows.column("spot")[0].as_py()
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
+        spots = rows.column("spots").combine_chunks().flatten().to_numpy().reshape(n, TREES)
+        comp = rows.column("comp").to_numpy()
+        pairs = crossing(comp, rows.column("n").to_numpy(), sketch, spots, spot)
+        if "members" not in rows.column_names:
+            found = sorted({k for pair in pairs for k in pair})
+            yield pa.record_batch([pa.array([spot] * len(found), pa.int64()), _fixed([vids[k] for k in found])], ["spot", "vid"])
+            continue
+        sets, above, links = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()], {}, []
+        for i, j in pairs:
+            x, y = int(comp[i]), int(comp[j])
+            while x in above:
+                x = above[x]
+            while y in above:
+                y = above[y]
+            if x != y and alike(sets[i], sets[j]):
+                above[x] = y
+                links.append((vids[i], vids[j]))
+        yield pa.record_batch([_fixed([x for x, _ in links]), _fixed([y for _, y in links])], ["a", "b"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(t.as_py()) for t in batch.column("text")]
         yield pa.record_batch([_fixed([vertex(f) for f in found]), _fixed([f.tobytes() for f in found])], ["vid", "members"])
 
 
+def alike(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(p) > len(q):
+        p, q = q, p
+    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * both >= 85 * (len(p) + len(q) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("one"), batch.column("other"), strict=True):
-            p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            if len(p) > len(q):
-                p, q = q, p
-            both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-            keep.append(100 * both >= 85 * (len(p) + len(q) - both))
+        keep = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("one"), batch.column("other"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _members(slim: DataFrame, vertices: DataFrame, vids: DataFrame) -> DataFrame:
+    """(vid, members): the full sets of ``vids``, read from the texts again."""
+    wanted = cut(vids.select("vid").distinct().join(vertices.select("vid", "rep"), "vid").select("vid", F.col("rep").alias("doc_id")))
+    texts = slim.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return cut(texts.mapInArrow(_sets, "vid binary, members binary").join(wanted.select("vid"), "vid", "left_semi").groupBy("vid").agg(F.first("members").alias("members")))
+
+
+def _confirmed(slim: DataFrame, vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose full sets are similar enough."""
+    members = _members(slim, vertices, pairs.select(F.explode(F.array("a", "b")).alias("vid")))
+    one = members.select(F.col("vid").alias("a"), F.col("members").alias("one"))
+    other = members.select(F.col("vid").alias("b"), F.col("members").alias("other"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(_confirm, "a binary, b binary")
+
+
+def _crossed(slim: DataFrame, vertices: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) between components of ``roots``: of all likely pairs that share SHALLOW values in an order, as many as join what is similar.
+
+    Vertices of a spot meet twice, first by their sketches alone, then those that have a
+    partner by their sets. Pairs stay inside a task, so no table grows with their number.
+    """
+    of = vertices.join(roots.withColumnRenamed("node", "vid"), "vid", "left").select("vid", F.xxhash64(F.coalesce("root", "vid")).alias("comp"), "n", "pool")
+    marks = cut(of.mapInArrow(_spots, "vid binary, comp long, n long, sketch binary, spots array<long>"))
+    each = marks.select("vid", "comp", F.explode("spots").alias("spot"))
+    several = cut(each.groupBy("spot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("spot"))
+    keys, columns = ["spot"], ["vid", "comp", "n", "sketch", "spots"]
+    dealt = lambda rows, *more: rows.select(*keys, *columns, *more).repartition(*keys).sortWithinPartitions(*keys)
+    met = each.select("vid", "spot").join(several, "spot").join(marks, "vid")
+    found = cut(dealt(met).mapInArrow(_cross, "spot long, vid binary"))
+    again = found.join(marks, "vid").join(_members(slim, vertices, found), "vid")
+    return dealt(again, "members").mapInArrow(_cross, "a binary, b binary")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
@@ -207,13 +325,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     forest = vertices.select("vid", "n", "pool").mapInArrow(_plant, "tree int, prefix binary, vid binary, n long, sketch binary")
     ordered = forest.repartitionByRange("tree", "prefix", "vid").sortWithinPartitions("tree", "prefix", "vid")
     pairs = cut(ordered.mapInArrow(_propose, "a binary, b binary").distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(vertices.select("vid", "rep"), "vid").select("vid", F.col("rep").alias("doc_id")))
-    texts = slim.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    members = cut(texts.mapInArrow(_sets, "vid binary, members binary").join(wanted.select("vid"), "vid", "left_semi").groupBy("vid").agg(F.first("members").alias("members")))
-    one = members.select(F.col("vid").alias("a"), F.col("members").alias("one"))
-    other = members.select(F.col("vid").alias("b"), F.col("members").alias("other"))
-    links = pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(_confirm, "a binary, b binary")
-    roots = components(links)
+    roots = cut(components(_confirmed(slim, vertices, pairs)))
+    crossed = cut(_crossed(slim, vertices, roots))
+    if not crossed.isEmpty():
+        roots = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(crossed))
     joined = vertices.select("vid", "rep").join(roots.withColumnRenamed("node", "vid"), "vid")
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
     of = vertices.select("vid", "rep").join(joined.select("vid", "root"), "vid", "left").join(least, "root", "left").select("vid", F.coalesce("component", "rep").alias("component"))

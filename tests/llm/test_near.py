@@ -53,3 +53,15 @@ def test_chain_and_hub(spark):
 
 def test_empty(none):
     assert near.classes(none).count() == 0
+
+
+def families(spark, size):
+    """Two families of ``size`` variants: 0.99 inside, 0.877 between."""
+    first = [f"w{i}" for i in range(400)]
+    second = [f"x{i}" if i % 80 == 40 else w for i, w in enumerate(first)]
+    return spark.createDataFrame([(k, " ".join([*(first, second)[k % 2], f"end{k}"])) for k in range(2 * size)], "doc_id long, text string")
+
+
+def test_families_that_are_linked_with_each_other(spark):
+    found = near.classes(families(spark, 20)).collect()
+    assert len(found) == 40 and {x.component_id for x in found} == {0}
