@@ -13,8 +13,9 @@ Candidates are confirmed on full sets, and confirmed links joined to components.
 That first round leaves few components. The second one makes it whole: vertices that
 share ``SHALLOW`` values in an order meet once more, however many they are, and each pair
 of them that is likely enough and whose ends lie in different components is confirmed as
-well. Pairs inside a component need no look, so a group of near copies that the first
-round joined costs nothing here.
+well. A spot with many vertices is dealt out in pairs of blocks, so no task holds it
+whole and none is divided. Pairs inside a component need no look, so a group of near
+copies that the first round joined costs nothing here.
 
 Edge cases: no words or a null text: an empty set, linked with nothing. Fewer than five
 words: one shingle, the whole sequence. Rows that repeat an id and text are linked
@@ -42,6 +43,8 @@ SHINGLE = 5
 POOL, TREES, DEPTH, SHALLOW = 128, 16, 16, 3
 #: Of the first round: vertices of a region that are compared with each other, and partners that each proposes there.
 REGION, PARTNERS = 256, 8
+#: Vertices in a block of the second round.
+BLOCK = 256
 #: Estimated similarity from which a pair is a candidate.
 LIKELY = 0.72
 
@@ -202,10 +205,10 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([_fixed([x for x, _ in left]), _fixed([y for _, y in left])], ["a", "b"])
 
 
-def crossing(comp: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, spots: np.ndarray, spot: int) -> Iterator[tuple[int, int]]:
-    """All pairs of a spot's rows that may be similar enough and lie in different components, at the first spot that both share."""
+def crossing(comp: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, spots: np.ndarray, spot: int, block: np.ndarray, apart: bool) -> Iterator[tuple[int, int]]:
+    """All pairs of a spot's rows that may be similar enough and lie in different components, at the first spot that both share; of two blocks, if ``apart``."""
     for i in range(len(comp) - 1):
-        js = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+        js = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((block[i + 1 :] != block[i]) | (not apart)))
         small, large = np.minimum(sizes[i], sizes[js]), np.maximum(sizes[i], sizes[js])
         js = js[100 * small >= 85 * large]
         if len(js):
@@ -238,16 +241,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each spot that have a partner in another component; given their sets, confirmed links between components instead."""
-    for rows in _groups(batches, ["spot"]):
-        n, vids, spot = rows.num_rows, rows.column("vid").to_pylist(), rows.column("spot")[0].as_py()
+    """The rows of each pair of blocks that have a partner in another component; given their sets, confirmed links between components instead."""
+    for rows in _groups(batches, ["spot", "lo", "hi"]):
+        n, vids, (spot, lo, hi) = rows.num_rows, rows.column("vid").to_pylist(), (rows.column(k)[0].as_py() for k in ("spot", "lo", "hi"))
+        block = rows.column("block").to_numpy()
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
         spots = rows.column("spots").combine_chunks().flatten().to_numpy().reshape(n, TREES)
         comp = rows.column("comp").to_numpy()
-        pairs = crossing(comp, rows.column("n").to_numpy(), sketch, spots, spot)
+        pairs = crossing(comp, rows.column("n").to_numpy(), sketch, spots, spot, block, lo != hi)
         if "members" not in rows.column_names:
             found = sorted({k for pair in pairs for k in pair})
-            yield pa.record_batch([pa.array([spot] * len(found), pa.int64()), _fixed([vids[k] for k in found])], ["spot", "vid"])
+            yield pa.record_batch([*(pa.array([k] * len(found), pa.int64()) for k in (spot, lo, hi)), pa.array(block[found], pa.int64()), _fixed([vids[k] for k in found])], ["spot", "lo", "hi", "block", "vid"])
             continue
         sets, above, links = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()], {}, []
         for i, j in pairs:
@@ -297,6 +301,13 @@ def _confirmed(slim: DataFrame, vertices: DataFrame, pairs: DataFrame) -> DataFr
     return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(_confirm, "a binary, b binary")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (spot, m, vid; m rows share the spot) once for each pair of blocks (lo, hi) that its own block belongs to."""
+    blocks = F.ceil(F.col("m") / BLOCK)
+    own = rows.withColumns({"block": F.pmod(F.xxhash64("vid"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    return own.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("m", "other")
+
+
 def _crossed(slim: DataFrame, vertices: DataFrame, roots: DataFrame) -> DataFrame:
     """Links (a, b) between components of ``roots``: of all likely pairs that share SHALLOW values in an order, as many as join what is similar.
 
@@ -306,11 +317,11 @@ def _crossed(slim: DataFrame, vertices: DataFrame, roots: DataFrame) -> DataFram
     of = vertices.join(roots.withColumnRenamed("node", "vid"), "vid", "left").select("vid", F.xxhash64(F.coalesce("root", "vid")).alias("comp"), "n", "pool")
     marks = cut(of.mapInArrow(_spots, "vid binary, comp long, n long, sketch binary, spots array<long>"))
     each = marks.select("vid", "comp", F.explode("spots").alias("spot"))
-    several = cut(each.groupBy("spot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("spot"))
-    keys, columns = ["spot"], ["vid", "comp", "n", "sketch", "spots"]
+    several = cut(each.groupBy("spot").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high").select("spot", "m"))
+    keys, columns = ["spot", "lo", "hi"], ["block", "vid", "comp", "n", "sketch", "spots"]
     dealt = lambda rows, *more: rows.select(*keys, *columns, *more).repartition(*keys).sortWithinPartitions(*keys)
-    met = each.select("vid", "spot").join(several, "spot").join(marks, "vid")
-    found = cut(dealt(met).mapInArrow(_cross, "spot long, vid binary"))
+    met = in_blocks(each.select("vid", "spot").join(several, "spot")).join(marks, "vid")
+    found = cut(dealt(met).mapInArrow(_cross, "spot long, lo long, hi long, block long, vid binary"))
     again = found.join(marks, "vid").join(_members(slim, vertices, found), "vid")
     return dealt(again, "members").mapInArrow(_cross, "a binary, b binary")
 

@@ -65,3 +65,18 @@ def families(spark, size):
 def test_families_that_are_linked_with_each_other(spark):
     found = near.classes(families(spark, 20)).collect()
     assert len(found) == 40 and {x.component_id for x in found} == {0}
+
+
+def test_crowded_spot_is_dealt_in_pairs_of_blocks(spark):
+    from itertools import combinations
+
+    rows = spark.range(2000).selectExpr("1L AS spot", "2000L AS m", "cast(cast(id AS string) AS binary) AS vid")
+    tasks = {}
+    for x in near.in_blocks(rows).collect():
+        tasks.setdefault((x.lo, x.hi), []).append((x.block, bytes(x.vid)))
+    met = [(min(x, y), max(x, y)) for (lo, hi), held in tasks.items() for (i, x), (j, y) in combinations(held, 2) if lo == hi or i != j]
+    assert max(map(len, tasks.values())) < 3 * near.BLOCK and len(met) == len(set(met)) == 2000 * 1999 // 2
+
+
+def test_crowd_of_two_families(spark):
+    assert {x.component_id for x in near.classes(families(spark, 300)).collect()} == {0}
