@@ -21,14 +21,19 @@ Edge cases: no words or a null text: an empty set, linked with nothing. Fewer th
 words: one shingle, the whole sequence. Rows that repeat an id and text are linked
 with each other and with what either is linked. Only the id and text are read.
 
+Similarity is a percentage: op5_near's classes have 85, ``drop_near_duplicates`` has 80
+unless the caller names another.
+
 What can be missed: a pair at similarity 0.85 shares no prefix of 3 values in any of
-16 orders with probability 3e-7, in a crowded region too. The estimate's cut-off lies
-3.8 deviations below 0.85.
+16 orders with probability 3e-7, at 0.8 with 1e-5, in a crowded region too. The
+estimate's cut-off lies 4 deviations below the similarity asked for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +50,8 @@ POOL, TREES, DEPTH, SHALLOW = 128, 16, 16, 3
 REGION, PARTNERS = 256, 8
 #: Vertices in a block of the second round.
 BLOCK = 256
-#: Estimated similarity from which a pair is a candidate.
-LIKELY = 0.72
+#: Percentage of shared shingles from which documents are near duplicates: in classes, and where near duplicates are dropped.
+PERCENT, DROP_PERCENT = 85, 80
 
 _ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20)
@@ -59,6 +64,12 @@ _ORDERS = np.array([[(t * _WIDTH + i) % POOL if i < _WIDTH else ((t + 5) * _WIDT
 _SAME = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
 
 
+def likely(percent: int) -> float:
+    """Estimated similarity from which a pair is a candidate."""
+    same = (1 + 15 * percent / 100) / 16  # chance that 4 bits of two minima are equal
+    return percent / 100 - 4 * 16 / 15 * math.sqrt(same * (1 - same) / POOL)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -165,7 +176,7 @@ def regions(shared: np.ndarray) -> Iterator[tuple[int, int]]:
                 todo.append((int(ends[k]), int(ends[k + 1]), depth + 1))
 
 
-def proposed(sketch: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def proposed(sketch: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a region: each row's best partners among those that may be similar enough."""
     n = len(sketch)
     same = np.empty((n, n), np.int32)
@@ -173,7 +184,7 @@ def proposed(sketch: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
         same[i] = _SAME[sketch ^ sketch[i]].sum(axis=1, dtype=np.int32)
     estimate = (16 * same / POOL - 1) / 15
     small, large = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
-    estimate[(100 * small < 85 * large) | (estimate < LIKELY)] = -1
+    estimate[(100 * small < percent * large) | (estimate < likely(percent))] = -1
     np.fill_diagonal(estimate, -1)
     if n > PARTNERS + 1:
         best = np.argpartition(-estimate, PARTNERS, axis=1)[:, :PARTNERS]
@@ -184,7 +195,7 @@ def proposed(sketch: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return a[good], b[good]
 
 
-def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _propose(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -196,7 +207,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared = np.concatenate([[0], np.where(trees[1:] != trees[:-1], 0, np.where(differs.any(axis=1), differs.argmax(axis=1), DEPTH))])
     left, right = set(), None
     for lo, hi in regions(shared):
-        a, b = proposed(sketch[lo:hi], sizes[lo:hi])
+        a, b = proposed(sketch[lo:hi], sizes[lo:hi], percent)
         left.update(((vids[lo + i], vids[lo + j]) if vids[lo + i] < vids[lo + j] else (vids[lo + j], vids[lo + i])) for i, j in zip(a.tolist(), b.tolist(), strict=True))
         if len(left) >= 50_000:
             right, left = left, set()
@@ -205,14 +216,15 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([_fixed([x for x, _ in left]), _fixed([y for _, y in left])], ["a", "b"])
 
 
-def crossing(comp: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, spots: np.ndarray, spot: int, block: np.ndarray, apart: bool) -> Iterator[tuple[int, int]]:
+def crossing(comp: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, spots: np.ndarray, spot: int, block: np.ndarray, apart: bool, percent: int) -> Iterator[tuple[int, int]]:
     """All pairs of a spot's rows that may be similar enough and lie in different components, at the first spot that both share; of two blocks, if ``apart``."""
+    least = likely(percent)
     for i in range(len(comp) - 1):
         js = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((block[i + 1 :] != block[i]) | (not apart)))
         small, large = np.minimum(sizes[i], sizes[js]), np.maximum(sizes[i], sizes[js])
-        js = js[100 * small >= 85 * large]
+        js = js[100 * small >= percent * large]
         if len(js):
-            js = js[(16 * _SAME[sketch[js] ^ sketch[i]].sum(axis=1, dtype=np.int32) / POOL - 1) / 15 >= LIKELY]
+            js = js[(16 * _SAME[sketch[js] ^ sketch[i]].sum(axis=1, dtype=np.int32) / POOL - 1) / 15 >= least]
         if len(js):
             js = js[spots[i, (spots[js] == spots[i]).argmax(axis=1)] == spot]
         for j in js.tolist():
@@ -240,7 +252,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cross(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each pair of blocks that have a partner in another component; given their sets, confirmed links between components instead."""
     for rows in _groups(batches, ["spot", "lo", "hi"]):
         n, vids, (spot, lo, hi) = rows.num_rows, rows.column("vid").to_pylist(), (rows.column(k)[0].as_py() for k in ("spot", "lo", "hi"))
@@ -248,7 +260,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
         spots = rows.column("spots").combine_chunks().flatten().to_numpy().reshape(n, TREES)
         comp = rows.column("comp").to_numpy()
-        pairs = crossing(comp, rows.column("n").to_numpy(), sketch, spots, spot, block, lo != hi)
+        pairs = crossing(comp, rows.column("n").to_numpy(), sketch, spots, spot, block, lo != hi, percent)
         if "members" not in rows.column_names:
             found = sorted({k for pair in pairs for k in pair})
             yield pa.record_batch([*(pa.array([k] * len(found), pa.int64()) for k in (spot, lo, hi)), pa.array(block[found], pa.int64()), _fixed([vids[k] for k in found])], ["spot", "lo", "hi", "block", "vid"])
@@ -260,7 +272,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = above[x]
             while y in above:
                 y = above[y]
-            if x != y and alike(sets[i], sets[j]):
+            if x != y and alike(sets[i], sets[j], percent):
                 above[x] = y
                 links.append((vids[i], vids[j]))
         yield pa.record_batch([_fixed([x for x, _ in links]), _fixed([y for _, y in links])], ["a", "b"])
@@ -272,17 +284,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([_fixed([vertex(f) for f in found]), _fixed([f.tobytes() for f in found])], ["vid", "members"])
 
 
-def alike(p: np.ndarray, q: np.ndarray) -> bool:
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets are similar enough."""
     if len(p) > len(q):
         p, q = q, p
     both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-    return 100 * both >= 85 * (len(p) + len(q) - both)
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("one"), batch.column("other"), strict=True)]
+        keep = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column("one"), batch.column("other"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -293,12 +305,12 @@ def _members(slim: DataFrame, vertices: DataFrame, vids: DataFrame) -> DataFrame
     return cut(texts.mapInArrow(_sets, "vid binary, members binary").join(wanted.select("vid"), "vid", "left_semi").groupBy("vid").agg(F.first("members").alias("members")))
 
 
-def _confirmed(slim: DataFrame, vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(slim: DataFrame, vertices: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` whose full sets are similar enough."""
     members = _members(slim, vertices, pairs.select(F.explode(F.array("a", "b")).alias("vid")))
     one = members.select(F.col("vid").alias("a"), F.col("members").alias("one"))
     other = members.select(F.col("vid").alias("b"), F.col("members").alias("other"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(_confirm, "a binary, b binary")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(partial(_confirm, percent), "a binary, b binary")
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -308,7 +320,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return own.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("m", "other")
 
 
-def _crossed(slim: DataFrame, vertices: DataFrame, roots: DataFrame) -> DataFrame:
+def _crossed(slim: DataFrame, vertices: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components of ``roots``: of all likely pairs that share SHALLOW values in an order, as many as join what is similar.
 
     Vertices of a spot meet twice, first by their sketches alone, then those that have a
@@ -321,12 +333,12 @@ def _crossed(slim: DataFrame, vertices: DataFrame, roots: DataFrame) -> DataFram
     keys, columns = ["spot", "lo", "hi"], ["block", "vid", "comp", "n", "sketch", "spots"]
     dealt = lambda rows, *more: rows.select(*keys, *columns, *more).repartition(*keys).sortWithinPartitions(*keys)
     met = in_blocks(each.select("vid", "spot").join(several, "spot")).join(marks, "vid")
-    found = cut(dealt(met).mapInArrow(_cross, "spot long, lo long, hi long, block long, vid binary"))
+    found = cut(dealt(met).mapInArrow(partial(_cross, percent), "spot long, lo long, hi long, block long, vid binary"))
     again = found.join(marks, "vid").join(_members(slim, vertices, found), "vid")
-    return dealt(again, "members").mapInArrow(_cross, "a binary, b binary")
+    return dealt(again, "members").mapInArrow(partial(_cross, percent), "a binary, b binary")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -335,9 +347,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     vertices = cut(vertices)
     forest = vertices.select("vid", "n", "pool").mapInArrow(_plant, "tree int, prefix binary, vid binary, n long, sketch binary")
     ordered = forest.repartitionByRange("tree", "prefix", "vid").sortWithinPartitions("tree", "prefix", "vid")
-    pairs = cut(ordered.mapInArrow(_propose, "a binary, b binary").distinct())
-    roots = cut(components(_confirmed(slim, vertices, pairs)))
-    crossed = cut(_crossed(slim, vertices, roots))
+    pairs = cut(ordered.mapInArrow(partial(_propose, percent), "a binary, b binary").distinct())
+    roots = cut(components(_confirmed(slim, vertices, pairs, percent)))
+    crossed = cut(_crossed(slim, vertices, roots, percent))
     if not crossed.isEmpty():
         roots = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(crossed))
     joined = vertices.select("vid", "rep").join(roots.withColumnRenamed("node", "vid"), "vid")
@@ -347,9 +359,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = DROP_PERCENT) -> DataFrame:
     """``docs`` with one document of each class, its own columns only."""
-    gone = cut(classes(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_n_id")).distinct())
+    gone = cut(classes(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("_n_id")).distinct())
     return docs.withColumn("_n_id", F.col(id_col).cast("long")).join(gone, "_n_id", "left_anti").select(*docs.columns)
 
 

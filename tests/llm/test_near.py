@@ -80,3 +80,10 @@ def test_crowded_spot_is_dealt_in_pairs_of_blocks(spark):
 
 def test_crowd_of_two_families(spark):
     assert {x.component_id for x in near.classes(families(spark, 300)).collect()} == {0}
+
+
+def test_copies_at_four_fifths_are_dropped(spark):
+    first = [f"w{i}" for i in range(400)]
+    second = [f"x{i}" if i % 47 == 40 else w for i, w in enumerate(first)]  # 8 changed words: 356 of 436 shingles
+    docs = spark.createDataFrame([(0, " ".join(first)), (1, " ".join(second))], "doc_id long, text string")
+    assert near.drop_near_duplicates(docs).count() == 1 and near.classes(docs).where("kept").count() == 2
