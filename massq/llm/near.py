@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from massq.llm.common import cut, small_batches
 from massq.operators.graph import components
@@ -302,6 +303,8 @@ def _members(slim: DataFrame, vertices: DataFrame, vids: DataFrame) -> DataFrame
     """(vid, members): the full sets of ``vids``, read from the texts again."""
     wanted = cut(vids.select("vid").distinct().join(vertices.select("vid", "rep"), "vid").select("vid", F.col("rep").alias("doc_id")))
     texts = slim.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    if not wanted.where("doc_id is null").isEmpty():  # vertices all of whose rows have no id
+        texts = texts.union(slim.where("doc_id is null"))
     return cut(texts.mapInArrow(_sets, "vid binary, members binary").join(wanted.select("vid"), "vid", "left_semi").groupBy("vid").agg(F.first("members").alias("members")))
 
 
@@ -338,8 +341,8 @@ def _crossed(slim: DataFrame, vertices: DataFrame, roots: DataFrame, percent: in
     return dealt(again, "members").mapInArrow(partial(_cross, percent), "a binary, b binary")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, vid), vertices (vid, rep), and (node, root) of those vertices that are linked."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(slim.mapInArrow(_read, "doc_id long, n long, vid binary, pool binary"))
@@ -352,17 +355,54 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     crossed = cut(_crossed(slim, vertices, roots, percent))
     if not crossed.isEmpty():
         roots = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(crossed))
-    joined = vertices.select("vid", "rep").join(roots.withColumnRenamed("node", "vid"), "vid")
+    return rows.select("doc_id", "n", "vid"), vertices.select("vid", "rep"), roots
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    rows, vertices, roots = _linked(docs, id_col, text_col, percent)
+    joined = vertices.join(roots.withColumnRenamed("node", "vid"), "vid")
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    of = vertices.select("vid", "rep").join(joined.select("vid", "root"), "vid", "left").join(least, "root", "left").select("vid", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "vid").join(of, "vid", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    of = vertices.join(joined.select("vid", "root"), "vid", "left").join(least, "root", "left").select("vid", F.coalesce("component", "rep").alias("component"))
+    out = rows.join(of, "vid", "left").withColumn("component", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def _with_vid(at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(text.as_py()) for text in batch.column(at)]
+        vids = _fixed([vertex(f) if len(f) else None for f in found])
+        yield pa.record_batch([*batch.columns[:at], *batch.columns[at + 1 :], vids], [*batch.schema.names[:at], *batch.schema.names[at + 1 :], "_n_vid"])
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = DROP_PERCENT) -> DataFrame:
-    """``docs`` with one document of each class, its own columns only."""
-    gone = cut(classes(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("_n_id")).distinct())
-    return docs.withColumn("_n_id", F.col(id_col).cast("long")).join(gone, "_n_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each class, its own columns only.
+
+    The row with the least id stays (a null one last), then that of the least vertex. Ids of
+    which all rows go are named by the id alone. Null ids, and ids that also have a row that
+    stays, are told apart by their texts. Rows without words are in no class and stay.
+    """
+    rows, vertices, roots = _linked(docs, id_col, text_col, percent)
+    of = cut(vertices.join(roots.withColumnRenamed("node", "vid"), "vid", "left").select("vid", "rep", F.coalesce("root", "vid").alias("root")))
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "vid")).alias("first"))
+    kept = first.select("first.vid", F.col("first.rep").alias("rep"), F.lit(True).alias("first"))
+    found = cut(rows.join(kept, "vid", "left").select("doc_id", "vid", (F.col("vid").isNull() | (F.col("first").isNotNull() & F.col("doc_id").eqNullSafe(F.col("rep")))).alias("stays")))
+    each = found.groupBy("doc_id", "vid").agg(F.first("stays").alias("stays"), F.count("vid").alias("m"))
+    ids = each.groupBy("doc_id").agg(F.bool_or("stays").alias("some"), F.bool_and("stays").alias("every"), F.bool_or(F.col("stays") & (F.col("m") > 1)).alias("twice"))
+    gone = cut(ids.where("not some and doc_id is not null").select(F.col("doc_id").alias("_n_id")))
+    mixed = cut(ids.where("twice or not every and (some or doc_id is null)").select("doc_id"))
+    out = docs.withColumn("_n_id", F.col(id_col).cast("long")).join(gone, "_n_id", "left_anti")
+    if not mixed.isEmpty():
+        key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_n_key")
+        these = cut(mixed.select(key(F.col("doc_id"))))
+        stay = cut(found.where("stays and vid is not null").select(key(F.col("doc_id")), F.col("vid").alias("_n_vid")).join(these, "_n_key", "left_semi").distinct())
+        keyed = out.withColumn("_n_key", key(F.col("_n_id")))
+        mine = keyed.join(these, "_n_key", "left_semi").withColumn("_n_text", F.col(text_col).cast("string"))
+        at, fields = len(mine.columns) - 1, [f for f in mine.schema.fields if f.name != "_n_text"]
+        mine = cut(mine.mapInArrow(partial(_with_vid, at), StructType([*fields, StructField("_n_vid", BinaryType())])))
+        one = mine.join(stay, ["_n_key", "_n_vid"], "left_semi").dropDuplicates(["_n_key", "_n_vid"])
+        out = keyed.join(these, "_n_key", "left_anti").unionByName(mine.where("_n_vid is null").unionByName(one).drop("_n_vid"))
+    return out.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

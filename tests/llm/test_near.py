@@ -87,3 +87,11 @@ def test_copies_at_four_fifths_are_dropped(spark):
     second = [f"x{i}" if i % 47 == 40 else w for i, w in enumerate(first)]  # 8 changed words: 356 of 436 shingles
     docs = spark.createDataFrame([(0, " ".join(first)), (1, " ".join(second))], "doc_id long, text string")
     assert near.drop_near_duplicates(docs).count() == 1 and near.classes(docs).where("kept").count() == 2
+
+
+def test_ids_that_repeat_or_are_missing(spark):
+    text = lambda name, end="": " ".join([*(f"{name}{i}" for i in range(100)), end])
+    rows = [(3, text("a")), (5, text("b")), (5, text("a", "x")), (6, text("c")), (6, text("c")), (None, text("d")), (None, text("d", "x")), (None, text("d", "y")), (None, text("e")), (None, text("b", "x")), (7, ""), (7, text("a", "y")), (None, None), (8, text("a", "z"))]
+    got = near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = sorted((str(x.doc_id), (x.text or " ")[:1]) for x in got)
+    assert of == sorted([("3", "a"), ("5", "b"), ("6", "c"), ("None", "d"), ("None", "e"), ("7", " "), ("None", " ")])
