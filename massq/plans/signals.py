@@ -143,7 +143,7 @@ def same_windows(spark, d):
 
 def _theory(spark, d) -> tuple[DataFrame, DataFrame]:
     """Spectra made of every second theoretical ion of each benchmark peptide, moved by 2 ppm; and the peptides."""
-    peptides = D.digest(sequences(spark, d), missed=0).select("peptide").distinct().select(F.lit("t").alias("run"), F.abs(F.hash("peptide")).alias("scan"), "peptide").dropDuplicates(["scan"])
+    peptides = D.digest(sequences(spark, d), missed=0).select("peptide").distinct().select(F.col("peptide").alias("run"), F.abs(F.hash("peptide")).alias("scan"), "peptide")  # hashes collide, so each peptide is a run
     peptides = materialise(peptides)
     ions = F.filter(chem.theoretical_ions(F.col("peptide"), None, 1), lambda x: x["number"] % 2 == 0)
     peaks = F.array_sort(F.transform(ions, lambda x: F.struct((x["mz"] * (1 + 2e-6)).alias("mz"), x["number"].cast("double").alias("intensity"))))
