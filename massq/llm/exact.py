@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 
 from massq.llm.common import SPACE, cut, text_of
 
-#: Rows in a block, at most.
-BLOCK = 1 << 16
+#: Rows in a block, at most, and the bits that number them.
+BLOCK_BITS = 17
+BLOCK = 1 << BLOCK_BITS
 #: Bits of a fingerprint beyond those that number the rows: one false suspect in 2**EXTRA rows.
 EXTRA = 20
-#: Fingerprints that an owner may expect.
-OWNED = 1 << 20
+#: Fingerprints that an owner may expect, and bits for owners on a small table. At 10**11 rows there are 2**16 owners, so a message still holds two fingerprints of a block.
+OWNED, LEAST_OWNERS = 1 << 21, 5
 
 
 def normal(text_col: str) -> Column:
@@ -76,10 +77,11 @@ def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"block": [(part << 24) + count], "ids": [rows.doc_id.to_numpy()], "missing": [rows.missing.to_numpy()], "ns": [rows.n.to_numpy()], "fps": [rows.fp.to_numpy()], "shas": [b"".join(rows.sha)]})
 
     for rows in parts:
-        for at in range(0, len(rows), BLOCK):
-            held.append(rows.iloc[at : at + BLOCK])
+        while len(rows):
+            held.append(rows.iloc[: BLOCK - size])  # places are numbered within a block, so it never holds more
+            rows = rows.iloc[BLOCK - size :]
             size += len(held[-1])
-            if size >= BLOCK:
+            if size == BLOCK:
                 yield block()
                 count, held, size = count + 1, [], 0
     if size:
@@ -121,7 +123,7 @@ def _mark(bits: int):
                 kinds, which, count = np.unique(cut_bits(fps, bits), return_inverse=True, return_counts=True)
                 flags = np.concatenate([np.unpackbits(np.frombuffer(b["bitmap"], np.uint8))[: b["n"]] for b in sorted(bitmaps, key=lambda b: b["owner"])]).astype(bool)
                 suspect = (flags | (count > 1))[which]
-                yield pd.DataFrame({"doc_id": ids, "missing": missing, "n": ns, "fp": fps, "sha": [shas[i : i + 32] for i in range(0, len(shas), 32)], "suspect": suspect, "place": (block << 16) + np.arange(len(fps))})
+                yield pd.DataFrame({"doc_id": ids, "missing": missing, "n": ns, "fp": fps, "sha": [shas[i : i + 32] for i in range(0, len(shas), 32)], "suspect": suspect, "place": (block << BLOCK_BITS) + np.arange(len(fps))})
 
     return mark
 
@@ -133,7 +135,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNull().alias("missing"), F.char_length(text_of(text_col)).alias("n"), F.xxhash64(text).alias("fp"), F.unhex(F.sha2(text, 256)).alias("sha"))
     blocks = cut(slim.mapInPandas(_blocks, "block long, ids array<long>, missing array<boolean>, ns array<int>, fps array<long>, shas binary"))
     total = blocks.agg(F.sum(F.size("fps"))).first()[0] or 0
-    owner_bits = max(0, math.ceil(math.log2(max(1, total) / OWNED))) + 5
+    owner_bits = max(LEAST_OWNERS, math.ceil(math.log2(max(1, total) / OWNED)))
     bits = min(63, max(1, total).bit_length() + EXTRA)
     sent = blocks.select("block", "fps").mapInPandas(_send(bits, min(owner_bits, bits - 1)), "owner long, block long, code binary")
     answers = sent.groupBy("owner").applyInPandas(_answer, "owner long, block long, n int, bitmap binary")

@@ -50,3 +50,32 @@ def test_dropping(docs, rows):
 
 def test_empty(none):
     assert exact.duplicates(none).count() == 0 and exact.drop_duplicates(none).count() == 0
+
+
+def test_one_row_of_a_group_that_fills_blocks(spark):
+    """More rows than a block in one partition, all equal, the best one at the first place of the second block."""
+    best = exact.BLOCK
+    docs = spark.range(0, exact.BLOCK + 30_000, 1, 1).selectExpr(f"if(id = {best}, -1L, id + 10) AS doc_id", "'a b' AS text")
+    got = exact.duplicates(docs)
+    kept = got.where("kept").collect()
+    assert [(x.doc_id, x.keep_id, x.group_size) for x in kept] == [(-1, -1, exact.BLOCK + 30_000)] and got.count() == exact.BLOCK + 30_000
+
+
+def test_blocks_are_never_longer():
+    import pandas as pd
+
+    class Context:
+        @staticmethod
+        def partitionId():
+            return 3
+
+    import pyspark
+
+    before = pyspark.TaskContext.get
+    pyspark.TaskContext.get = staticmethod(lambda: Context)
+    try:
+        part = pd.DataFrame({"doc_id": range(50_000), "missing": False, "n": 1, "fp": range(50_000), "sha": b"x" * 32})
+        sizes = [len(b.ids[0]) for b in exact._blocks(iter([part] * 7))]
+    finally:
+        pyspark.TaskContext.get = before
+    assert sizes == [exact.BLOCK, exact.BLOCK, 350_000 - 2 * exact.BLOCK]
