@@ -15,7 +15,8 @@ share ``SHALLOW`` values in an order meet once more, however many they are, and
 of them that is likely enough and whose ends lie in different components is confirmed as
 well. A spot with many vertices is dealt out in pairs of blocks, so no task holds it
 whole and none is divided. Pairs inside a component need no look, so a group of near
-copies that the first round joined costs nothing here.
+copies that the first round joined costs nothing here: the blocks of a spot's largest
+component meet those of the others only, never each other.
 
 Edge cases: no words or a null text: an empty set, linked with nothing. Fewer than five
 words: one shingle, the whole sequence. Rows that repeat an id and text are linked
@@ -49,8 +50,12 @@ SHINGLE = 5
 POOL, TREES, DEPTH, SHALLOW = 128, 16, 16, 3
 #: Of the first round: vertices of a region that are compared with each other, and partners that each proposes there.
 REGION, PARTNERS = 256, 8
+#: Rows of the first round that a task holds at once. What parts at their ends is left to the second round.
+STRETCH = 1 << 15
 #: Vertices in a block of the second round.
 BLOCK = 256
+#: A vertex with more than one row in so many of all is hot; there are fewer of those than this.
+HOT = 1000
 #: Percentage of shared shingles from which documents are near duplicates: in classes, and where near duplicates are dropped.
 PERCENT, DROP_PERCENT = 85, 80
 
@@ -196,25 +201,31 @@ def proposed(sketch: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.nd
     return a[good], b[good]
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= STRETCH:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _propose(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    rows = pa.Table.from_batches(held)
-    n = rows.num_rows
-    flat = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t).reshape(n, -1)
-    trees, prefix, sketch, vids, sizes = rows.column("tree").to_numpy(), flat("prefix", ">u2"), flat("sketch", np.uint8), rows.column("vid").to_pylist(), rows.column("n").to_numpy()
-    differs = prefix[1:] != prefix[:-1]
-    shared = np.concatenate([[0], np.where(trees[1:] != trees[:-1], 0, np.where(differs.any(axis=1), differs.argmax(axis=1), DEPTH))])
-    left, right = set(), None
-    for lo, hi in regions(shared):
-        a, b = proposed(sketch[lo:hi], sizes[lo:hi], percent)
-        left.update(((vids[lo + i], vids[lo + j]) if vids[lo + i] < vids[lo + j] else (vids[lo + j], vids[lo + i])) for i, j in zip(a.tolist(), b.tolist(), strict=True))
-        if len(left) >= 50_000:
-            right, left = left, set()
-            yield pa.record_batch([_fixed([x for x, _ in right]), _fixed([y for _, y in right])], ["a", "b"])
-    if left:
-        yield pa.record_batch([_fixed([x for x, _ in left]), _fixed([y for _, y in left])], ["a", "b"])
+    for rows in _stretches(batches):
+        n = rows.num_rows
+        flat = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t).reshape(n, -1)  # noqa: B023, E731
+        trees, prefix, sketch, vids, sizes = rows.column("tree").to_numpy(), flat("prefix", ">u2"), flat("sketch", np.uint8), rows.column("vid").to_pylist(), rows.column("n").to_numpy()
+        differs = prefix[1:] != prefix[:-1]
+        shared = np.concatenate([[0], np.where(trees[1:] != trees[:-1], 0, np.where(differs.any(axis=1), differs.argmax(axis=1), DEPTH))])
+        found: set[tuple[bytes, bytes]] = set()
+        for lo, hi in regions(shared):
+            a, b = proposed(sketch[lo:hi], sizes[lo:hi], percent)
+            found.update(((vids[lo + i], vids[lo + j]) if vids[lo + i] < vids[lo + j] else (vids[lo + j], vids[lo + i])) for i, j in zip(a.tolist(), b.tolist(), strict=True))
+        yield pa.record_batch([_fixed([x for x, _ in found]), _fixed([y for _, y in found])], ["a", "b"])
 
 
 def crossing(comp: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, spots: np.ndarray, spot: int, block: np.ndarray, apart: bool, percent: int) -> Iterator[tuple[int, int]]:
@@ -317,10 +328,29 @@ def _confirmed(slim: DataFrame, vertices: DataFrame, pairs: DataFrame, percent:
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` (spot, m, vid; m rows share the spot) once for each pair of blocks (lo, hi) that its own block belongs to."""
-    blocks = F.ceil(F.col("m") / BLOCK)
-    own = rows.withColumns({"block": F.pmod(F.xxhash64("vid"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
-    return own.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("m", "other")
+    """``rows`` (spot, m, vid, comp) once for each pair of blocks (lo, hi) that its own block belongs to.
+
+    m rows share the spot. ``big`` of them, of the component ``most``, need not meet each
+    other: their blocks are the first ones and pair with the rest's alone. Where ``most`` is
+    null, all blocks pair with all.
+    """
+    blocks = lambda c: F.ceil(c / BLOCK)
+    own, first = F.coalesce(F.col("comp") == F.col("most"), F.lit(False)), blocks(F.coalesce("big", F.lit(0)))
+    rest = blocks(F.col("m") - F.coalesce("big", F.lit(0)))
+    block = F.when(own, F.pmod(F.xxhash64("vid"), first)).otherwise(first + F.pmod(F.xxhash64("vid"), rest))
+    met = rows.withColumns({"block": block, "other": F.explode(F.sequence(F.when(own, first).otherwise(F.lit(0)), first + rest - 1))})
+    return met.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("m", "most", "big", "other")
+
+
+def _crowds(each: DataFrame, several: DataFrame) -> DataFrame:
+    """``several`` (spot, m) with the largest component of each spot that takes more than one block."""
+    crowded = several.where(F.col("m") > BLOCK)
+    none = several.withColumns({"most": F.lit(None).cast("long"), "big": F.lit(None).cast("long")})
+    if crowded.isEmpty():
+        return none
+    sizes = each.join(crowded.select("spot"), "spot").groupBy("spot", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("spot").agg(F.max(F.struct("n", "comp")).alias("c"))
+    return cut(several.join(most, "spot", "left").select("spot", "m", F.col("c.comp").alias("most"), F.col("c.n").alias("big")))
 
 
 def _crossed(slim: DataFrame, vertices: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -335,7 +365,7 @@ def _crossed(slim: DataFrame, vertices: DataFrame, roots: DataFrame, percent: in
     several = cut(each.groupBy("spot").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high").select("spot", "m"))
     keys, columns = ["spot", "lo", "hi"], ["block", "vid", "comp", "n", "sketch", "spots"]
     dealt = lambda rows, *more: rows.select(*keys, *columns, *more).repartition(*keys).sortWithinPartitions(*keys)
-    met = in_blocks(each.select("vid", "spot").join(several, "spot")).join(marks, "vid")
+    met = in_blocks(each.join(_crowds(each, several), "spot")).drop("comp").join(marks, "vid")
     found = cut(dealt(met).mapInArrow(partial(_cross, percent), "spot long, lo long, hi long, block long, vid binary"))
     again = found.join(marks, "vid").join(_members(slim, vertices, found), "vid")
     return dealt(again, "members").mapInArrow(partial(_cross, percent), "a binary, b binary")
@@ -346,7 +376,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(slim.mapInArrow(_read, "doc_id long, n long, vid binary, pool binary"))
-    vertices = rows.where("vid is not null").groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("pool").alias("pool"))
+    vertices = rows.where("vid is not null").groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("pool").alias("pool"), F.count(F.lit(1)).alias("copies"))
     vertices = cut(vertices)
     forest = vertices.select("vid", "n", "pool").mapInArrow(_plant, "tree int, prefix binary, vid binary, n long, sketch binary")
     ordered = forest.repartitionByRange("tree", "prefix", "vid").sortWithinPartitions("tree", "prefix", "vid")
@@ -355,7 +385,20 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[
     crossed = cut(_crossed(slim, vertices, roots, percent))
     if not crossed.isEmpty():
         roots = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(crossed))
-    return rows.select("doc_id", "n", "vid"), vertices.select("vid", "rep"), roots
+    return rows.select("doc_id", "n", "vid"), vertices.select("vid", "rep", "copies"), roots
+
+
+def _of_rows(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, n, vid) left-joined with ``of`` (vid, copies, ...), which is written already.
+
+    Hot vertices are fewer than HOT, so what ``of`` says of them is broadcast, and rows without
+    words have no partner: neither meets in one task.
+    """
+    hot = of.where(F.col("copies") * HOT > rows.count())
+    more = [(f.name, f.dataType) for f in of.schema.fields if f.name not in ("vid", "copies")]
+    some, cold = rows.where("vid is not null"), of.drop("copies")
+    least = some.join(F.broadcast(hot.select("vid")), "vid", "left_anti").join(cold, "vid", "left")
+    return least.unionByName(some.join(F.broadcast(hot.drop("copies")), "vid")).unionByName(rows.where("vid is null").withColumns({n: F.lit(None).cast(t) for n, t in more}))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -363,8 +406,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     rows, vertices, roots = _linked(docs, id_col, text_col, percent)
     joined = vertices.join(roots.withColumnRenamed("node", "vid"), "vid")
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    of = vertices.join(joined.select("vid", "root"), "vid", "left").join(least, "root", "left").select("vid", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(of, "vid", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    of = cut(vertices.join(joined.select("vid", "root"), "vid", "left").join(least, "root", "left").select("vid", "copies", F.coalesce("component", "rep").alias("component")))
+    out = _of_rows(rows, of).withColumn("component", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
@@ -383,10 +426,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays, are told apart by their texts. Rows without words are in no class and stay.
     """
     rows, vertices, roots = _linked(docs, id_col, text_col, percent)
-    of = cut(vertices.join(roots.withColumnRenamed("node", "vid"), "vid", "left").select("vid", "rep", F.coalesce("root", "vid").alias("root")))
-    first = of.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "vid")).alias("first"))
-    kept = first.select("first.vid", F.col("first.rep").alias("rep"), F.lit(True).alias("first"))
-    found = cut(rows.join(kept, "vid", "left").select("doc_id", "vid", (F.col("vid").isNull() | (F.col("first").isNotNull() & F.col("doc_id").eqNullSafe(F.col("rep")))).alias("stays")))
+    of = cut(vertices.join(roots.withColumnRenamed("node", "vid"), "vid", "left").select("vid", "rep", "copies", F.coalesce("root", "vid").alias("root")))
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "vid", "copies")).alias("first"))
+    kept = cut(first.select("first.vid", "first.copies", F.col("first.rep").alias("rep"), F.lit(True).alias("first")))
+    found = cut(_of_rows(rows, kept).select("doc_id", "vid", (F.col("vid").isNull() | (F.col("first").isNotNull() & F.col("doc_id").eqNullSafe(F.col("rep")))).alias("stays")))
     each = found.groupBy("doc_id", "vid").agg(F.first("stays").alias("stays"), F.count("vid").alias("m"))
     ids = each.groupBy("doc_id").agg(F.bool_or("stays").alias("some"), F.bool_and("stays").alias("every"), F.bool_or(F.col("stays") & (F.col("m") > 1)).alias("twice"))
     gone = cut(ids.where("not some and doc_id is not null").select(F.col("doc_id").alias("_n_id")))

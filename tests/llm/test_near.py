@@ -70,12 +70,13 @@ def test_families_that_are_linked_with_each_other(spark):
 def test_crowded_spot_is_dealt_in_pairs_of_blocks(spark):
     from itertools import combinations
 
-    rows = spark.range(2000).selectExpr("1L AS spot", "2000L AS m", "cast(cast(id AS string) AS binary) AS vid")
-    tasks = {}
-    for x in near.in_blocks(rows).collect():
-        tasks.setdefault((x.lo, x.hi), []).append((x.block, bytes(x.vid)))
-    met = [(min(x, y), max(x, y)) for (lo, hi), held in tasks.items() for (i, x), (j, y) in combinations(held, 2) if lo == hi or i != j]
-    assert max(map(len, tasks.values())) < 3 * near.BLOCK and len(met) == len(set(met)) == 2000 * 1999 // 2
+    for big in (0, 1700):
+        rows = spark.range(2000).selectExpr("1L AS spot", "2000L AS m", "cast(cast(id AS string) AS binary) AS vid", f"if(id < {big}, -1L, id) AS comp", f"if({big} > 0, -1L, null) AS most", f"if({big} > 0, {big}L, null) AS big")
+        tasks = {}
+        for x in near.in_blocks(rows).collect():
+            tasks.setdefault((x.lo, x.hi), []).append((x.block, bytes(x.vid)))
+        met = [(min(x, y), max(x, y)) for (lo, hi), held in tasks.items() for (i, x), (j, y) in combinations(held, 2) if lo == hi or i != j]
+        assert max(map(len, tasks.values())) < 3 * near.BLOCK and len(met) == len(set(met)) == 2000 * 1999 // 2 - big * (big - 1) // 2
 
 
 def test_crowd_of_two_families(spark):
@@ -95,3 +96,56 @@ def test_ids_that_repeat_or_are_missing(spark):
     got = near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     of = sorted((str(x.doc_id), (x.text or " ")[:1]) for x in got)
     assert of == sorted([("3", "a"), ("5", "b"), ("6", "c"), ("None", "d"), ("None", "e"), ("7", " "), ("None", " ")])
+
+
+def all_pairs(texts, percent):
+    """Smallest place in each text's component, from all pairs."""
+    sets = [set(near.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_crowded_regions_against_all_pairs(spark):
+    """Three dense groups of some 120 in the same spots, of which two are linked by few pairs and one by none; on 2 and on 7 partitions."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    bases = [base, [f"x{i}" if i < 9 else w for i, w in enumerate(base)], [f"y{i}" if i < 40 else w for i, w in enumerate(base)]]
+    texts = []
+    for k in range(360):
+        words = list(bases[k % 3])
+        for _ in range(1 + k % 2):
+            words[rng.randrange(60, 200)] = f"z{k}"
+        texts.append(" ".join(words))
+    want = all_pairs(texts, 85)
+    assert 1 < len(set(want)) < 20
+    rows, before = [(i, t) for i, t in enumerate(texts)], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {x.doc_id: x.component_id for x in near.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+            assert [got[i] for i in range(len(texts))] == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_vertex_with_most_rows(spark):
+    """Hot copies, rows without words, and a text of its own: the same whichever side is broadcast."""
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(i, text if i < 3000 else None if i < 3100 else f"{text} a{i}" if i < 3103 else "other words") for i in range(3104)], "doc_id long, text string")
+    got = {x.doc_id: (x.component_id, x.kept) for x in near.classes(docs).collect()}
+    assert got == {i: (0, i == 0) if i < 3000 or 3100 <= i < 3103 else (i, True) for i in range(3104)}
+    assert sorted(x.doc_id for x in near.drop_near_duplicates(docs).collect()) == [0, *range(3000, 3100), 3103]
