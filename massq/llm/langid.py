@@ -33,6 +33,8 @@ from massq.llm.common import remainder, small_batches, text_of
 ORDER = 3
 #: Documents that teach a language, about.
 SAMPLE = 2000
+#: Languages that one model may tell apart.
+MOST_LANGS = 1000
 #: Bytes scored at a time.
 SLICE = 1 << 20
 
@@ -164,7 +166,9 @@ class _Table:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """From rows (doc_id, text, lang), which may teach all."""
     known = docs.where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not sizes:
         return Model([], [])
     place = F.crc32(F.concat(F.lit("sample "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))

@@ -4,7 +4,8 @@ Every document has a pseudo-random place on a line, its id's MD5. A source whose
 target is ``copies`` whole passes plus a rest takes the documents before a
 threshold once more. The thresholds come from nested histograms: sizes summed by
 source and leading digits; only the bucket that the budget ends in is split by the
-next digits. No sort of documents takes place, and the state is a row per source.
+next digits. No sort of documents takes place, and the state is a row per source, which
+one task orders: some millions of sources, not as many as documents.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in
 order; rows that repeat an id stand at the same place and are taken together; an
@@ -14,8 +15,6 @@ only the id, text and source columns are read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,9 +106,8 @@ def take_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     The plan joins on the source; texts move only if there are too many sources to broadcast.
     """
     plan = fit_mix(cut(sized(docs, id_col, text_col, source_col)), weights, most)
-    rows = with_plan(docs.withColumns({"_mix_key": source_key(source_col), "_mix_place": place(id_col)}), plan)
-    rows = rows.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
-    return reduce(lambda d, c: d.drop(c), [c for c in rows.columns if c.startswith("_mix_")], rows)
+    rows = with_plan(docs.select(F.struct("*").alias("row"), source_key(source_col).alias("_mix_key"), place(id_col).alias("_mix_place")), plan)
+    return rows.where("_mix_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

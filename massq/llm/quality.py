@@ -1,7 +1,8 @@
 """Quality classifier: a regularised quadratic discriminant.
 
 Document statistics, squashed to bounded values, are taken by built-in functions in
-one pass over the texts. Labelled rows outside the held-out fold are summed up by class
+one pass over the texts. Labelled rows outside the held-out fold, some ``SAMPLE`` of them
+picked by a hash of the id where there are more, are summed up by class
 into count, sums and sums of products, a few hundred numbers whatever the
 input's size; only those reach the driver. Each class covariance is shrunk towards
 the identity in units of the pooled deviations. With its Cholesky factor, computed once,
@@ -10,8 +11,9 @@ as plain arithmetic: no function of ours runs on executors.
 
 Edge cases: null and empty texts have statistics of 0 and a score like any other;
 rows without a label, or with a null one, teach nothing; repeated label rows count
-each; with fewer than two labelled rows of a class the score is that of the prior.
-Columns starting with ``_f_`` must not be in the input.
+each; with fewer than two labelled rows of a class the score is that of the prior;
+an empty table gives an empty result. Columns starting with ``_f_`` must not be in the
+input of ``statistics``; elsewhere names may clash with ours.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from massq.llm.common import cut, remainder, text_of, words_of
 from massq.llm.rules import STOP_WORDS
 
+#: Labelled ids that the model is fitted on, about: a bound on rows that teach, and on what is broadcast. Every document gets a score.
+SAMPLE = 100_000
 #: Share of the identity in a class covariance.
 SHRINKAGE = 0.1
 #: Scores from here on count as good.
@@ -100,11 +104,12 @@ class Discriminant:
 
 
 def fit(labelled: DataFrame, shrinkage: float = SHRINKAGE) -> Discriminant:
-    """From rows (``_f_``, ``label`` 0 or 1). Only sums by class come to the driver."""
+    """From rows (``_f_``, ``label`` 0 or 1, ``weight``). Only sums by class come to the driver."""
     d = 11
     x = [F.get("_f_", i) for i in range(d)]
-    sums = [F.sum(a) for a in x] + [F.sum(x[i] * x[j]) for i in range(d) for j in range(i + 1)]
-    found = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[s.alias(f"s{k}") for k, s in enumerate(sums)]).collect()
+    w = F.col("weight")
+    sums = [F.sum(a * w) for a in x] + [F.sum(x[i] * x[j] * w) for i in range(d) for j in range(i + 1)]
+    found = labelled.groupBy("label").agg(F.sum(w).alias("n"), *[s.alias(f"s{k}") for k, s in enumerate(sums)]).collect()
     n, s, ss = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
     low = np.tril_indices(d)
     for row in found:
@@ -128,25 +133,36 @@ def fit(labelled: DataFrame, shrinkage: float = SHRINKAGE) -> Discriminant:
     return Discriminant(priors, means, np.array(factors), np.array(logdets))
 
 
+def known_labels(labels: DataFrame, id_col: str, label_col: str, fold: tuple[int, int], sample: int = SAMPLE) -> DataFrame:
+    """(_f_id, label, weight): labels outside the held-out fold, of about ``sample`` ids; a label's weight is how often it stands there."""
+    rows = labels.select(F.col(id_col).alias("_f_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("_f_id").isNotNull())
+    rows = cut(rows.where(remainder("_f_id", fold[0]) != fold[1]).groupBy("_f_id", "label").agg(F.count(F.lit(1)).alias("weight")))
+    share = sample / max(1, rows.select("_f_id").distinct().count())
+    return rows if share >= 1 else rows.where(F.pmod(F.xxhash64(F.lit("sample"), "_f_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: tuple[int, int] = (4, 2)) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     ``fold`` (modulus, remainder) of crc32(id) is held out of learning.
     """
     rows = cut(statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "_f_", (remainder("doc_id", fold[0]) == fold[1]).alias("held_out")))
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    model = fit(rows.where("not held_out").join(known, "doc_id"))
+    known = known_labels(labels, id_col, label_col, fold)
+    model = fit(rows.join(F.broadcast(known), F.col("doc_id") == F.col("_f_id")))  # about SAMPLE ids
     score = model.score(F.col("_f_"))
     return rows.withColumn("score", score).select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that the classifier rejects, their own columns only. Texts don't move."""
-    rows = statistics(docs.withColumn("_f_held", remainder(id_col, 4) == 2), text_col)
-    known = labels.select(F.col(id_col).alias("_f_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)")
-    slim = cut(rows.where("not _f_held").select(F.col(id_col).alias("_f_id"), "_f_"))
-    model = fit(slim.join(known, "_f_id"))
-    return rows.withColumn("_f_score", model.score(F.col("_f_"))).where(F.col("_f_score") >= CUT).select(*docs.columns)
+    """``docs`` without those that the classifier rejects, their own columns only. Texts don't move.
+
+    Only labelled texts, about SAMPLE, are looked at for the fit: their ids are broadcast.
+    """
+    known = known_labels(labels, id_col, "quality", (4, 2))
+    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_f_id"))
+    model = fit(cut(statistics(labelled).select("_f_", "label", "weight")))
+    rows = statistics(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")))
+    return rows.where(model.score(F.col("_f_")) >= CUT).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

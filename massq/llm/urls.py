@@ -4,12 +4,14 @@ A rule is a regular expression over ``host + path`` with the literal tokens that
 match must hold. How often those tokens occur in the URLs decides by which one the
 rule is indexed. A URL's tokens fetch its candidate rules in a hash join, and only
 those run their expressions. Distinct URLs are judged once; the verdicts then join
-back to the rows.
+back to the rows, those of hot URLs (more than one row in ``HOT``, so fewer than that) by
+broadcast, so no URL's rows meet in one task.
 
 The rules are a list given by the caller (at most ``MOST_RULES``, so the index can be
 broadcast); rules without a literal token are refused. Edge cases: a null URL or one
 without ``://`` has empty host and path, and no rule fits it; repeated rows get
-the same verdict each; other columns stay.
+the same verdict each; other columns stay, whatever their names, but for one named
+``_url``, which the result's takes the place of; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massq.llm.common import cut
+
 MOST_RULES = 100_000
+HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -83,17 +88,20 @@ def rule_index(spark: SparkSession, rules: tuple[Rule, ...], urls: DataFrame) ->
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "allow", url_col: str = "url") -> DataFrame:
     """``pages`` with a struct ``_url``: host, path, rule (null: none), tier, verdict."""
-    spark = pages.sparkSession
-    url = F.col("_u")
-    urls = pages.select(F.col(url_col).alias("_u")).where(url.isNotNull()).distinct().select(url, F.concat(host_of(url), path_of(url)).alias("target"))
-    urls = urls.withColumn("tokens", tokens_of(F.col("target")))
-    index = rule_index(spark, rules, urls)
-    candidates = urls.select("_u", "target", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    url = F.col("u")
+    rows = pages.select(F.struct(*[c for c in pages.columns if c != "_url"]).alias("row"), F.col(url_col).alias("u"))
+    seen = cut(rows.where(url.isNotNull()).groupBy("u").agg(F.count(F.lit(1)).alias("n")))
+    urls = seen.select("u", F.concat(host_of(url), path_of(url)).alias("target")).withColumn("tokens", tokens_of(F.col("target")))
+    index = rule_index(pages.sparkSession, rules, urls)
+    candidates = urls.select("u", "target", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
     fits = candidates.where(F.expr("target rlike regex"))
-    best = fits.groupBy("_u").agg(F.min(F.struct("tier", (-F.length("name")).alias("short"), "name", "verdict")).alias("_best"))
-    url = F.col(url_col)
-    rows = pages.join(best, url == F.col("_u"), "left")
-    return rows.withColumn("_url", F.struct(host_of(url).alias("host"), path_of(url).alias("path"), F.col("_best.name").alias("rule"), F.col("_best.tier").alias("tier"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))).drop("_u", "_best")
+    best = cut(fits.groupBy("u").agg(F.min(F.struct("tier", (-F.length("name")).alias("short"), "name", "verdict")).alias("best")))
+    hot = F.broadcast(seen.where(F.col("n") * HOT > (seen.agg(F.sum("n")).first()[0] or 0)).select("u"))
+    named, none = rows.where(url.isNotNull()), F.lit(None).cast(best.schema["best"].dataType)
+    judged = named.join(hot, "u", "left_anti").join(best, "u", "left")
+    judged = judged.unionByName(named.join(hot, "u", "left_semi").join(F.broadcast(best.join(hot, "u", "left_semi")), "u", "left"))
+    judged = judged.unionByName(rows.where(url.isNull()).withColumn("best", none))
+    return judged.select("row.*", F.struct(host_of(url).alias("host"), path_of(url).alias("path"), F.col("best.name").alias("rule"), F.col("best.tier").alias("tier"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")).alias("_url"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -47,5 +47,12 @@ def test_taking_keeps_columns_and_repeats(docs):
     assert taken.count() == sum(x.taken // x.size for x in mixing.mix(docs).where("size > 0").collect()) + taken.where("trim(coalesce(text, '')) = '' or text rlike '^[ \\n\\t]*$'").count()
 
 
+def test_names_that_clash(docs):
+    clash = docs.selectExpr("doc_id", "text", "source", "1 AS _mix_key", "'k' AS _mix_copy", "2 AS row", "'c' AS col")
+    taken = mixing.take_mix(clash)
+    assert taken.columns == clash.columns
+    assert sorted(map(tuple, taken.collect()), key=repr) == sorted(((*r, 1, "k", 2, "c") for r in mixing.take_mix(docs).select("doc_id", "text", "source").collect()), key=repr)
+
+
 def test_empty(none):
     assert mixing.mix(none).count() == 0 and mixing.take_mix(none).count() == 0

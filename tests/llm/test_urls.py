@@ -28,6 +28,18 @@ def test_verdicts(spark):
     assert got == {i: plain(u) for i, u in enumerate(URLS)}
 
 
+def test_names_that_clash_repeats_and_long_urls(spark):
+    """Columns named like ours, one URL on most rows, URLs of a million characters, repeated rows."""
+    long = "https://x.com/de/" + "a/" * 500_000
+    values = ["https://b.org/"] * 3000 + [long, long, "https://x.org/" + "b" * 1_000_000, None, None, "https://com/fr/ü"]
+    names = "_u string, u string, row string, _best string, best string, n long, _url string, token string"
+    pages = spark.createDataFrame([(u, "u", "row", "b", "c", 7, "gone", "t") for u in values], names)
+    got = urls.judge_urls(pages, url_col="_u")
+    assert got.columns == ["_u", "u", "row", "_best", "best", "n", "token", "_url"]
+    found = sorted(((x._u or "")[:40], x._url.rule if x._url.tier == 0 else None, x._url.verdict, x.n, x.u, x.row, x.best) for x in got.collect())
+    assert found == sorted(((v or "")[:40], *plain(v)[2:], 7, "u", "row", "c") for v in values)
+
+
 def test_rarest_token(spark):
     frame = spark.createDataFrame([(["org", "example", "es"],), (["org", "example"],), (["org"],)], "tokens array<string>")
     index = {x.name: x.token for x in urls.rule_index(spark, (urls.prefix_rule("example.org/es/", "block"),), frame).collect()}
