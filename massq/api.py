@@ -123,8 +123,7 @@ class Session:
         state, group = self.runs[run], f"massq-{run}"
         try:
             self.spark.sparkContext.setJobGroup(group, "search", interruptOnCancel=True)
-            ppm = params.precursor_tolerance if params.precursor_unit == "ppm" else params.precursor_tolerance * 1000
-            found = search.search(rows, P.read_fasta(self.spark, fasta), ppm, params.fragment_tolerance, params.fragment_unit, params.fixed, params.variable, params.max_mods, params.decoy, drop_decoys=False, enzyme=params.enzyme, missed=params.missed, shortest=params.shortest, longest=params.longest, **ENGINES[engine])
+            found = search.search(rows, P.read_fasta(self.spark, fasta), params.precursor_tolerance, params.fragment_tolerance, params.fragment_unit, params.fixed, params.variable, params.max_mods, params.decoy, drop_decoys=False, precursor_unit=params.precursor_unit, enzyme=params.enzyme, missed=params.missed, shortest=params.shortest, longest=params.longest, **ENGINES[engine])
             found.write.parquet(f"{self.home}/runs/{run}")
             state["status"] = "cancelled" if state["status"] == "cancelled" else "completed"
         except Exception as x:  # noqa: BLE001  the state tells what became of the run

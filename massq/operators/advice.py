@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massq.functions.chem import CARBAMIDOMETHYL, OXIDATION, Modification
@@ -56,6 +56,11 @@ def merge_mods(a: tuple[Modification, ...], b: tuple[Modification, ...]) -> tupl
     return a + tuple(m for m in b if m not in a)
 
 
+def merged(a: Column, b: Column) -> Column:
+    """Two arrays of modification structs as one: those of ``b`` that differ from all of ``a`` in any field are appended."""
+    return F.array_union(a, b)
+
+
 @dataclass
 class Decision:
     params: Params
@@ -89,7 +94,7 @@ def recommend(summary: dict, hints: dict | None = None) -> Decision:
     return Decision(params, confidence, f"preset {name} for {instrument} data", evidence, conflicts)
 
 
-#: name, condition over the summary row, priority, suggestion.
+#: Names, thresholds, priorities. name, condition over the summary row, priority, suggestion.
 ANOMALIES = (
     ("NoPsms", "psms = 0", 1, "check the database and the tolerances"),
     ("NoDecoyHits", "decoys = 0", 1, "search with decoys"),

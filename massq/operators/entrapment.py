@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from massq.functions import chem
 from massq.functions import exprs as X
 from massq.functions.chem import RESIDUES
 from massq.operators.digest import digest
@@ -121,21 +122,23 @@ def classify_peptides(peptides: DataFrame, index: DataFrame, config: Config) ->
     near = near.where(X.fold_il(F.col("peptide")) != X.fold_il(F.col("peptide_similar")))
     diffs = X.differences(F.col("peptide"), F.col("peptide_similar"))
     same_length = F.length("peptide") == F.length("peptide_similar")
-    near = near.withColumn("diffs", diffs).withColumn("aligned", alignment("peptide", "peptide_similar"))
+    near = near.withColumn("diffs", diffs)
     edits = F.when(same_length, F.size("diffs")).otherwise(F.col("distance"))
-    mass = F.when(same_length, X.substitution_mass(F.col("diffs"))).otherwise(F.col("aligned.delta_mass"))
-    near = near.withColumns({"edits": edits, "dm": mass}).where(F.col("edits") <= config.max_edits)
+    mass = chem.residue_sum(F.col("peptide_similar")) - chem.residue_sum(F.col("peptide"))  # whatever the alignment
+    near = near.withColumns({"edits": edits, "dm": F.round(mass, 9)}).where(F.col("edits") <= config.max_edits)
     shorter = F.when(F.length("peptide") < F.length("peptide_similar"), F.col("peptide")).otherwise(F.col("peptide_similar"))
     longer = F.when(F.length("peptide") < F.length("peptide_similar"), F.col("peptide_similar")).otherwise(F.col("peptide"))
     kind = X.substitution_category(F.col("diffs"), X.isobaric_dipeptide(shorter, longer), F.col("dm"), config.delta_mass)
-    ranked = F.struct("edits", F.abs("dm").alias("adm"), (~same_length).alias("cross"), F.col("peptide_similar").alias("target"), "dm", kind.alias("kind"), F.col("aligned.detail").alias("detail"))
+    ranked = F.struct("edits", F.abs("dm").alias("adm"), (~same_length).alias("cross"), F.col("peptide_similar").alias("target"), "dm", kind.alias("kind"))
     best = near.groupBy("peptide").agg(F.min(ranked).alias("b"))
+    crossed = best.where("b.cross").select("peptide", alignment("peptide", "b.target")["detail"].alias("detail"))  # only the best ones, and of other length
+    best = best.join(crossed, "peptide", "left")
     rows = distinct.join(exact, "peptide", "left").withColumn("folded", X.fold_il(F.col("peptide"))).join(folded, "folded", "left").join(best, "peptide", "left")
     l0, l1, hit = F.col("exact_protein").isNotNull(), F.col("same").isNotNull(), F.col("b").isNotNull()
     level = F.when(l0, "L0").when(l1, "L1").when(hit & (F.col("b.adm") < config.delta_mass), "L2").when(hit, "L3").otherwise("L4")
     target = F.when(l0, F.col("peptide")).when(l1, F.col("same.peptide")).otherwise(F.col("b.target"))
     own = ~l0 & ~l1 & hit
-    return rows.select("peptide", level.alias("level"), target.alias("best_target"), F.when(own, F.col("b.edits")).when(l0 | l1, 0).alias("edit_distance"), F.when(own, F.col("b.dm")).when(l0 | l1, 0.0).alias("delta_mass"), F.when(own, F.col("b.kind")).alias("substitution"), F.when(own, F.col("b.detail")).alias("detail"))
+    return rows.select("peptide", level.alias("level"), target.alias("best_target"), F.when(own, F.col("b.edits")).when(l0 | l1, 0).alias("edit_distance"), F.when(own, F.col("b.dm")).when(l0 | l1, 0.0).alias("delta_mass"), F.when(own, F.col("b.kind")).alias("substitution"), F.when(own, F.col("detail")).alias("detail"))
 
 
 def classify(psms: DataFrame, index: DataFrame, config: Config) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from massq.functions.exprs import covered, fold_il, is_decoy, passes_q
-from massq.operators.graph import components
 from massq.operators.shared import materialise
 
+#: Pairs of group and peptide that one task may cover.
+LOCAL = 1_000_000
+
 
 def edges(psms: DataFrame, q_threshold: float | None = 0.01) -> DataFrame:
     """(peptide with I as L, protein, score): the best score of each pair; rows without a q-value stay."""
@@ -49,32 +54,43 @@ def without_subsets(groups: DataFrame) -> DataFrame:
 
 
 def _cover(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy set cover of one connected component."""
-    left = {p for ps in rows.peptides for p in ps}
-    open_groups = [(set(ps), s, f) for ps, s, f in zip(rows.peptides, rows.score, rows["first"], strict=True)]
-    chosen = []
+    """Greedy set cover of what is left: a heap of gains that are looked at again when they come up."""
+    of = rows.groupby("first").agg({"peptide": list, "score": "first"})
+    heap, left, chosen = [(-len(ps), -s, f) for f, ps, s in zip(of.index, of.peptide, of.score, strict=True)], set(rows.peptide), []
+    heapq.heapify(heap)
     while left:
-        best = min(open_groups, key=lambda g: (-len(g[0] & left), -g[1], g[2]))
-        chosen.append(best[2])
-        left -= best[0]
-        open_groups.remove(best)
+        gain, score, first = heapq.heappop(heap)
+        now = sum(p in left for p in of.peptide[first])
+        if now == -gain:
+            chosen.append(first)
+            left.difference_update(of.peptide[first])
+        elif now:
+            heapq.heappush(heap, (-now, score, first))
     return pd.DataFrame({"first": chosen})
 
 
-def parsimonious(groups: DataFrame) -> DataFrame:
+def parsimonious(groups: DataFrame, local: int = LOCAL) -> DataFrame:
     """Groups that a greedy cover picks: most uncovered peptides, then score, then name.
 
-    Components of groups that share peptides don't affect each other, so each is
-    covered by a task of its own; components of one group need no cover.
+    A group that comes before all groups it shares an uncovered peptide with is picked at
+    any time, since gains only fall. So each round picks all such groups at once, by minima
+    over peptides and over groups, and takes their peptides away. Once no more than
+    ``local`` pairs of group and peptide are left, one task picks the rest.
     """
     groups = materialise(groups)
-    each = groups.select("first", F.explode("peptides").alias("peptide"))
-    anchor = each.groupBy("peptide").agg(F.min("first").alias("anchor"))
-    links = each.join(anchor, "peptide").select(F.col("first").alias("a"), F.col("anchor").alias("b")).distinct()
-    labelled = groups.join(components(links).withColumnRenamed("node", "first"), "first", "left")
-    shared = labelled.where("root is not null").select("root", "first", "peptides", "score").groupBy("root").applyInPandas(_cover, "first string")
-    picked = shared.union(labelled.where("root is null").select("first"))
-    return groups.join(picked, "first", "left_semi")
+    left, picked = materialise(groups.select("first", "score", F.explode("peptides").alias("peptide"))), []
+    while (n := left.count()) > local:
+        gains = left.groupBy("first").agg((-F.count(F.lit(1))).alias("gain"))
+        ranked = left.join(gains, "first").select("first", "peptide", F.struct("gain", (-F.col("score")).alias("score"), "first").alias("rank"))
+        before = ranked.groupBy("peptide").agg(F.min("rank").alias("least"))
+        firsts = materialise(ranked.join(before, "peptide").groupBy("first").agg(F.bool_and(F.col("rank") == F.col("least")).alias("now")).where("now").select("first"))
+        picked.append(firsts)
+        covered = left.join(firsts, "first", "left_semi").select("peptide").distinct()
+        left = materialise(left.join(covered, "peptide", "left_anti").select("first", "score", "peptide"))
+    if n:
+        picked.append(left.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_cover, "first string"))
+    every = reduce(lambda a, b: a.unionByName(b), picked, groups.select("first").limit(0))
+    return groups.join(every, "first", "left_semi")
 
 
 def razor(groups: DataFrame) -> DataFrame:
@@ -99,6 +115,11 @@ def build_groups(groups: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, none) for c in ("unique_peptides", "razor_peptides")})
 
 
+def in_order(groups: DataFrame) -> DataFrame:
+    """``groups`` sorted as reports show them: by score, highest first, then leader."""
+    return groups.orderBy(F.desc("score"), "leader")
+
+
 def coverage(groups: DataFrame, proteins: DataFrame) -> DataFrame:
     """(leader, coverage): share of the leader's residues under its peptides, I as L; null without a sequence."""
     p = proteins.select(F.col("accession").alias("leader"), fold_il(F.col("sequence")).alias("_seq"))

@@ -59,22 +59,59 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: tuple[tuple[str, str],
     return l.join(r, on).where((start <= F.least(F.col(a[1]), F.col(b[1]))) & (F.floor(start / width) == F.col("_b"))).drop("_b", "_rb")
 
 
-def kmers(text: Column, k: int) -> Column:
+def _segments(text: Column, most: int) -> Column:
+    """(len, i, piece) of ``most + 1`` pieces of a text of at least as many letters, the longer pieces last."""
+    n, parts = F.length(text), most + 1
+    base, even = F.floor(n / parts).cast("int"), parts - n % parts
+    pieces = []
+    for i in range(parts):
+        start = i * base + F.greatest(F.lit(i) - even, F.lit(0)) + 1
+        pieces.append(F.struct(n.alias("len"), F.lit(i).alias("i"), F.substring(text, start, base + (F.lit(i) >= even).cast("int")).alias("piece")))
+    return F.when(n >= parts, F.array(*pieces)).otherwise(F.array().cast("array<struct<len:int,i:int,piece:string>>"))
+
+
+def _probes(text: Column, most: int, slack: int) -> Column:
+    """(len, i, piece): where the pieces of a text within ``most`` edits may stand in this one.
+
+    Of ``most + 1`` pieces one is without an edit such that exactly as many edits as pieces come
+    before it; so it starts at most i places off, seen from the left, and ``most - i`` seen from the right.
+    """
+    n, parts, found = F.length(text), most + 1, []
+    for shift in range(-min(most, slack), min(most, slack) + 1):
+        other = n + shift
+        base, even = F.floor(other / parts).cast("int"), parts - other % parts
+        for i in range(parts):
+            size, start = base + (F.lit(i) >= even).cast("int"), i * base + F.greatest(F.lit(i) - even, F.lit(0)) + 1
+            for move in range(max(-i, -shift - (most - i)), min(i, -shift + (most - i)) + 1):
+                fits = (other >= parts) & (start + move >= 1) & (start + move + size - 1 <= n)
+                found.append(F.when(fits, F.struct(other.alias("len"), F.lit(i).alias("i"), F.substring(text, start + move, size).alias("piece"))))
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+def _remains(text: Column, most: int, longest: int) -> Column:
+    """(len -1, i -1, piece) of what a text of at most ``longest`` letters may be once up to ``most`` are deleted."""
     n = F.length(text)
-    starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(k))))
+    masks = F.sequence(F.lit(0), F.pow(F.lit(2), F.least(n, F.lit(longest))).cast("int") - 1)
+    kept = F.filter(masks, lambda m: n - F.bit_count(m) <= most)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    left = lambda m: F.array_join(F.transform(F.filter(places, lambda k: F.get(F.split(F.reverse(F.lpad(F.bin(m), longest, "0")), ""), k) == "1"), lambda k: F.substring(text, k + 1, F.lit(1))), "")
+    found = F.array_distinct(F.transform(kept, lambda m: F.struct(F.lit(-1).alias("len"), F.lit(-1).alias("i"), left(m).alias("piece"))))
+    return F.when(n <= longest, found).otherwise(F.array().cast("array<struct<len:int,i:int,piece:string>>"))
 
 
 def similar_join(left: DataFrame, right: DataFrame, a: str, b: str, most: int, length_slack: int = 2, keys: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """Pairs of distinct texts (and ``keys``) within an edit distance, identical ones left out.
+    """All pairs of distinct texts (and ``keys``) within an edit distance, identical ones left out.
 
-    By the pigeonhole principle texts of six letters and more within ``most`` edits share
-    a k-mer of ``6 / (most + 1)`` letters; shorter ones are found if they do. Texts are made
-    distinct first, so how often each occurs costs nothing here.
+    The right text is cut into ``most + 1`` pieces, of which an edit distance of ``most`` leaves
+    one whole; the left one is looked at where that piece may then stand. Right texts of at most
+    ``most`` letters have no such pieces: they meet short left ones on what deletions leave of both.
+    Texts are made distinct first, so how often each occurs costs nothing here.
     """
-    k = max(1, 6 // (most + 1))
-    l = left.select(*[x for x, _ in keys], a).distinct().withColumn("_k", F.explode(kmers(F.col(a), k)))  # noqa: E741
-    r = right.select(*[F.col(y).alias(f"_r_{y}") for _, y in keys], F.col(b).alias("_t")).distinct().withColumn("_rk", F.explode(kmers(F.col("_t"), k)))
-    on = [F.col(x) == F.col(f"_r_{y}") for x, y in keys] + [F.col("_k") == F.col("_rk"), F.abs(F.length(a) - F.length("_t")) <= length_slack]
-    pairs = l.join(r, on).where(F.col(a) != F.col("_t")).select(*[x for x, _ in keys], a, "_t").distinct()
-    return pairs.withColumn("distance", F.levenshtein(F.col(a), F.col("_t"), most)).where("distance >= 0").withColumnRenamed("_t", f"{b}_similar")
+    x, y = F.col(a), F.col("_t")
+    l = left.select(*[k for k, _ in keys], a).where(x.isNotNull()).distinct()  # noqa: E741
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for _, k in keys], F.col(b).alias("_t")).where(y.isNotNull()).distinct()
+    l = l.withColumn("_k", F.explode(F.concat(_probes(x, most, length_slack), _remains(x, most, 2 * most))))  # noqa: E741
+    r = r.withColumn("_rk", F.explode(F.concat(_segments(y, most), _remains(y, most, most))))
+    on = [F.col(k) == F.col(f"_r_{m}") for k, m in keys] + [F.col("_k") == F.col("_rk"), F.abs(F.length(x) - F.length(y)) <= length_slack, x != y]
+    near = l.join(r, on).select(*[k for k, _ in keys], a, "_t", F.levenshtein(x, y, most).alias("distance")).where("distance >= 0").distinct()
+    return near.withColumnRenamed("_t", f"{b}_similar")

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massq.functions.chem import PROTON, RESIDUES, WATER, Modification, fixed_mod_mass, peptide_mass
 from massq.operators.digest import digest, site_combinations, sites, with_decoys
 from massq.operators.fdr import FdrError, with_q
-from massq.operators.joins import ppm_join
+from massq.operators.joins import band_join, ppm_join
 from massq.operators.shared import materialise
 
 #: Charges tried, in this order, where a spectrum names none.
@@ -46,71 +46,93 @@ def precursors(spectra: DataFrame) -> DataFrame:
     return rows.withColumn("neutral_mass", (F.col("precursor_mz") - PROTON) * F.col("charge"))
 
 
-def matches_within(spectra: DataFrame, peptides: DataFrame, ppm: float) -> DataFrame:
-    """Precursors joined with candidates of their mass. m/z and mass differ by a factor, but ppm of m/z
-    is taken of the theoretical m/z, so the join is made a little wide and then exact."""
-    wide = ppm * 1.05 + 0.01
-    pairs = ppm_join(precursors(spectra), peptides, "neutral_mass", "mass", wide * 1.5)
-    theoretical = (F.col("mass") + F.col("charge") * PROTON) / F.col("charge")
-    pairs = pairs.withColumn("calculated_mz", theoretical)
-    return pairs.withColumn("delta_ppm", (F.col("precursor_mz") - F.col("calculated_mz")) / F.col("calculated_mz") * 1e6).where(F.abs("delta_ppm") <= ppm)
+def matches_within(spectra: DataFrame, peptides: DataFrame, tolerance: float, unit: str = "ppm") -> DataFrame:
+    """Precursors joined with candidates whose m/z at the charge tried lies within ppm or Da.
+
+    The join is on mass, made a little wide, and then exact: ppm of m/z is taken of the
+    theoretical m/z, and a Da of m/z is as many Da of mass as there are charges.
+    """
+    if unit == "ppm":
+        pairs = ppm_join(precursors(spectra), peptides, "neutral_mass", "mass", (tolerance * 1.05 + 0.01) * 1.5)
+    else:
+        reach = F.col("charge") * (tolerance * 1.001 + 1e-6)
+        bands = precursors(spectra).withColumns({"_lo": F.col("neutral_mass") - reach, "_hi": F.col("neutral_mass") + reach})
+        pairs = band_join(peptides, bands, "mass", "_lo", "_hi", 4 * tolerance).drop("_lo", "_hi")
+    pairs = pairs.withColumn("calculated_mz", (F.col("mass") + F.col("charge") * PROTON) / F.col("charge"))
+    pairs = pairs.withColumn("delta_ppm", (F.col("precursor_mz") - F.col("calculated_mz")) / F.col("calculated_mz") * 1e6)
+    return pairs.where(F.abs("delta_ppm") <= tolerance if unit == "ppm" else F.abs(F.col("precursor_mz") - F.col("calculated_mz")) <= tolerance)
 
 
-def _ladders(peptide: str, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    masses = np.array([RESIDUES[c] for c in peptide]) + deltas
-    return np.cumsum(masses)[:-1], np.cumsum(masses[::-1])[:-1] + WATER
+def _stacked(parts, kind=float) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of arrays, one after the other, and how many each row has."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return (np.concatenate([np.asarray(p, kind) for p in parts]) if len(parts) else np.empty(0, kind)), sizes
 
 
 def fragment_scores(fixed: tuple[Modification, ...], variable: tuple[Modification, ...], tolerance: float, unit: str, hyperscore: bool):
     """A mapInPandas function over (peptide, charge, combination, mz, intensity) rows: matched, total, score.
 
-    An ion counts if any peak lies within tolerance, found by binary search. The hyperscore
+    An ion counts if any peak lies within tolerance. A batch's ions and peaks are laid end to
+    end, each row's in a range of its own, so one binary search serves them all. The hyperscore
     is the logarithm of the factorials of matched b and y ions and of their summed intensities.
     """
-    from math import lgamma, log
-
-    def ions(row) -> tuple[np.ndarray, np.ndarray]:
-        n = len(row.peptide)
-        deltas = np.zeros(n)
-        for m in fixed:
-            if m.position == "anywhere":
-                deltas += [m.delta if not m.residues or c in m.residues else 0.0 for c in row.peptide]
-            elif m.position == "peptide_nterm":
-                deltas[0] += m.delta
-            elif m.position == "peptide_cterm":
-                deltas[-1] += m.delta
-        for site in row.combination:
-            deltas[min(max(site["pos"], 0), n - 1)] += variable[site["mod"]].delta
-        top = 2 if row.charge >= 3 else 1
-        b, y = _ladders(row.peptide, deltas)
-        by_charge = lambda x: np.concatenate([(x + z * PROTON) / z for z in range(1, top + 1)])
-        return by_charge(b), by_charge(y)
-
-    def hits(theoretical: np.ndarray, mz: np.ndarray, intensity: np.ndarray) -> tuple[int, float]:
-        if not len(mz):
-            return 0, 0.0
-        at = np.searchsorted(mz, theoretical)
-        best, heard = np.full(len(theoretical), np.inf), np.zeros(len(theoretical))
-        for k in (np.clip(at - 1, 0, len(mz) - 1), np.clip(at, 0, len(mz) - 1)):
-            gap = np.abs(mz[k] - theoretical) / (theoretical * 1e-6 if unit == "ppm" else 1)
-            heard = np.where(gap < best, intensity[k], heard)
-            best = np.minimum(best, gap)
-        good = best <= tolerance
-        return int(good.sum()), float(heard[good].sum())
+    from math import lgamma
+
+    table = np.full(256, np.nan)
+    for c, m in RESIDUES.items():
+        table[ord(c)] = m
+    added = np.zeros(256)
+    for m in fixed:
+        if m.position == "anywhere":
+            for c in m.residues or RESIDUES:
+                added[ord(c)] += m.delta
+    first, last = (sum(m.delta for m in fixed if m.position == f"peptide_{side}") for side in ("nterm", "cterm"))
+    log_factorial = np.vectorize(lambda k: lgamma(k + 1), otypes=[float])
+    apart = 1e6  # more than any m/z
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            out = []
-            for row in rows.itertuples(index=False):
-                mz, intensity = np.asarray(row.mz, float), np.asarray(row.intensity, float)
-                b, y = ions(row)
-                (nb, ib), (ny, iy) = hits(b, mz, intensity), hits(y, mz, intensity)
-                plain = (nb + ny) / max(1, len(b) + len(y))
-                hyper = lgamma(nb + 1) + lgamma(ny + 1) + log(max(ib * iy, 1.0))
-                out.append((nb + ny, len(b) + len(y), hyper if hyperscore else plain))
-            keys = rows.drop(columns=["mz", "intensity"])
-            keys[["matched", "total", "score"]] = pd.DataFrame(out, columns=["matched", "total", "score"], index=keys.index)
-            yield keys
+            if rows.empty:
+                continue
+            sizes = rows.peptide.str.len().to_numpy()
+            letters = np.frombuffer("".join(rows.peptide).encode("ascii"), np.uint8)
+            masses, starts = table[letters] + added[letters], np.cumsum(sizes) - sizes
+            masses[starts] += first
+            masses[starts + sizes - 1] += last
+            for k, sites in enumerate(rows.combination):
+                for site in sites:
+                    masses[starts[k] + min(max(site["pos"], 0), sizes[k] - 1)] += variable[site["mod"]].delta
+            of = np.repeat(np.arange(len(rows)), sizes)
+            sums = np.cumsum(masses)
+            prefix = sums - (sums[starts] - masses[starts])[of]
+            inner = np.ones(len(of), bool)
+            inner[starts + sizes - 1] = False
+            whole = prefix[starts + sizes - 1]
+            b, y, of = prefix[inner], (whole[of] - prefix + WATER)[inner], of[inner]
+            twice = (rows.charge.to_numpy() >= 3)[of]
+            ion = np.concatenate([b + PROTON, ((b + 2 * PROTON) / 2)[twice], y + PROTON, ((y + 2 * PROTON) / 2)[twice]])
+            of = np.concatenate([of, of[twice]] * 2)
+            is_b = np.arange(len(ion)) < len(ion) // 2
+            mz, n_peaks = _stacked(rows.mz)
+            intensity, _ = _stacked(rows.intensity)
+            peak_of = np.repeat(np.arange(len(rows)), n_peaks)
+            at = np.searchsorted(peak_of * apart + mz, of * apart + ion)
+            best, heard = np.full(len(ion), np.inf), np.zeros(len(ion))
+            for k in (at - 1, at):
+                ok = (k >= 0) & (k < len(mz))
+                k = np.clip(k, 0, max(0, len(mz) - 1))
+                if len(mz):
+                    gap = np.where(ok & (peak_of[k] == of), np.abs(mz[k] - ion) / (ion * 1e-6 if unit == "ppm" else 1), np.inf)
+                    heard = np.where(gap < best, intensity[k], heard)
+                    best = np.minimum(best, gap)
+            good = best <= tolerance
+            count = lambda mask, w=None: np.bincount(of[mask], None if w is None else w[mask], len(rows))  # noqa: B023, E731
+            nb, ny, total = count(good & is_b), count(good & ~is_b), count(np.ones(len(of), bool))
+            if hyperscore:
+                value = log_factorial(nb) + log_factorial(ny) + np.log(np.maximum(count(good & is_b, heard) * count(good & ~is_b, heard), 1.0))
+            else:
+                value = (nb + ny) / np.maximum(1, total)
+            yield rows.drop(columns=["mz", "intensity"]).assign(matched=nb + ny, total=total, score=value)
 
     return score
 
@@ -122,9 +144,9 @@ def best_matches(scored: DataFrame, keys: tuple[str, ...] = ("run", "scan", "pre
     return best.select(*keys, *[F.col(f"m.{c}").alias(c) for c in (*order, *rest)])
 
 
-def search(spectra: DataFrame, proteins: DataFrame, ppm: float = 10.0, fragment_tolerance: float = 20.0, unit: str = "ppm", fixed: tuple[Modification, ...] = (), variable: tuple[Modification, ...] = (), max_mods: int = 2, decoy: str = "reverse", hyperscore: bool = False, drop_decoys: bool = True, **digestion) -> DataFrame:
+def search(spectra: DataFrame, proteins: DataFrame, tolerance: float = 10.0, fragment_tolerance: float = 20.0, unit: str = "ppm", fixed: tuple[Modification, ...] = (), variable: tuple[Modification, ...] = (), max_mods: int = 2, decoy: str = "reverse", hyperscore: bool = False, drop_decoys: bool = True, precursor_unit: str = "ppm", **digestion) -> DataFrame:
     """Matches with q-values. Where no q-value follows (no decoys) it is null; decoys leave last."""
-    found = matches_within(spectra, materialise(candidates(proteins, fixed, variable, max_mods, decoy=decoy, **digestion)), ppm)
+    found = matches_within(spectra, materialise(candidates(proteins, fixed, variable, max_mods, decoy=decoy, **digestion)), tolerance, precursor_unit)
     peaks = spectra.select("run", "scan", "mz", "intensity")
     rows = found.join(peaks, ["run", "scan"])
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("mz", "intensity").dtypes) + ", matched int, total int, score double"
@@ -137,6 +159,56 @@ def search(spectra: DataFrame, proteins: DataFrame, ppm: float = 10.0, fragment_
     return out.where("not is_decoy") if drop_decoys else out
 
 
+def capped(rows: DataFrame, keys: tuple[str, ...], most: int, order: tuple[str | Column, ...], rank: str = "rank") -> DataFrame:
+    """At most ``most`` candidates of each key in an order, numbered from 1; Spark drops the rest before the shuffle too."""
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= most)
+
+
+def histogram(rows: DataFrame, value: Column, width: float, start: float = 0.0) -> DataFrame:
+    """(bin, n): how many values lie in each bin of a width, counted from ``start``; nulls in none."""
+    return rows.groupBy(F.floor((value - start) / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n")).where("bin is not null")
+
+
+def rescored_rollup(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Peptides and proteins of an engine's rescored matches (peptide, accessions, score, q_value, is_decoy): targets only.
+
+    A peptide's q-value is that of its best score; a protein's unique peptides map to it alone.
+    """
+    targets = features.where("not is_decoy")
+    best = F.max(F.struct(F.col("score"), (-F.col("q_value")).alias("q")))
+    peptides = targets.groupBy("peptide").agg(best.alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("accessions")))).alias("accessions"), F.count(F.lit(1)).alias("psm_count"))
+    peptides = peptides.select("peptide", F.col("b.score").alias("best_score"), (-F.col("b.q")).alias("q_value"), "accessions", "psm_count")
+    each = peptides.select(F.explode("accessions").alias("accession"), (F.size("accessions") == 1).alias("alone"))
+    return peptides, each.groupBy("accession").agg(F.count(F.lit(1)).alias("peptide_count"), F.count_if("alone").alias("unique_peptide_count"))
+
+
+def features_to_matches(features: DataFrame, metrics: tuple[str, ...] = ()) -> DataFrame:
+    """Matches of an engine's features (spec_id, peptide, accessions, charge, expmass, calcmass, hyperscore, spectrum_q, label).
+
+    m/z is rebuilt from masses; rows without a charge go; a spectrum id that is no number is scan 1;
+    label -1 is a decoy; ``metrics`` are kept in a map.
+    """
+    mz = lambda c: (F.col(c) + F.col("charge") * PROTON) / F.col("charge")
+    rows = features.where("charge <> 0").withColumns({"precursor_mz": mz("expmass"), "calculated_mz": mz("calcmass")})
+    extra = F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(m).cast("double") for m in metrics])) if metrics else F.create_map().cast("map<string,double>")
+    error = F.when(F.col("calculated_mz") > 0, (F.col("precursor_mz") - F.col("calculated_mz")) / F.col("calculated_mz") * 1e6).otherwise(0.0)
+    return rows.select(F.coalesce(F.col("spec_id").try_cast("int"), F.lit(1)).alias("scan"), "peptide", "accessions", "charge", "precursor_mz", "calculated_mz", error.alias("delta_ppm"), F.col("hyperscore").alias("score"), F.col("spectrum_q").alias("q_value"), (F.col("label") == -1).alias("is_decoy"), extra.alias("extra"))
+
+
+def import_summary(matches: DataFrame, total: int | None = None, q: float = 0.01) -> DataFrame:
+    """One row about imported matches: how many there are and have a scan, the runs, what passes the q-value, and the share of spectra identified.
+
+    Only rows with a scan count from ``matched`` on. Without a number of spectra their number stands for it.
+    """
+    has, good = F.col("scan").isNotNull(), F.col("scan").isNotNull() & (F.col("q_value") <= q)
+    rows = matches.agg(
+        F.count(F.lit(1)).alias("imported"), F.count_if(has).alias("matched"), F.countDistinct("run").alias("runs"), F.count_if(good).alias("psms_at_q"),
+        F.countDistinct(F.when(good, F.col("peptide"))).alias("peptides_at_q"), F.countDistinct(F.when(has, F.struct("run", "scan"))).alias("scans"),
+    )
+    of = F.col("matched") if total is None else F.lit(total)
+    return rows.withColumn("identification_rate", F.when(of > 0, F.col("psms_at_q") / of).otherwise(0.0))
+
+
 def peptide_rollup(psms: DataFrame, peptide: str = "peptide", accession: str = "accession") -> DataFrame:
     """Best score, smallest q, distinct accessions and count of each peptide."""
     return psms.groupBy(peptide).agg(F.max("score").alias("best_score"), F.min("q_value").alias("q_value"), F.sort_array(F.collect_set(accession)).alias("accessions"), F.count(F.lit(1)).alias("psm_count"))

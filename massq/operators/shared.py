@@ -16,7 +16,9 @@ def shared_path(spark: SparkSession) -> str:
     """A new folder in the directory that the cluster names in ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="massq-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="massq-")  # one machine: driver and executors are one process
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/massq/{uuid.uuid4().hex}"
 

@@ -15,7 +15,7 @@ from massq.operators import digest as D
 from massq.operators import entrapment as E
 from massq.operators.joins import similar_join
 from massq.plans.matching import table
-from massq.plans.proteins import sequences
+from massq.plans.proteins import _STD, _TRYPSIN, _mass, sequences
 from massq.sources import results as R
 
 CONFIG = E.Config(E.Rule(contains=("Brand#1",), ids=("PROMO",)), E.Rule(regex="[37]$"), "mark_ambiguous", "trap")
@@ -45,10 +45,10 @@ def tagging_sets(spark, d):
 
 
 def _words(spark, d, name: str, key: str) -> DataFrame:
-    """Distinct words of four to nine letters as short peptides."""
+    """Words as short peptides."""
     text = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""))
     w = table(spark, d, name).select(F.explode(F.split(text, " ")).alias("peptide"), F.col(key).cast("string").alias("protein"))
-    return w.where(F.length("peptide").between(4, 9))
+    return w.where("peptide <> ''")
 
 
 def exact_and_folded(spark, d):
@@ -70,8 +70,8 @@ def similar_words(spark, d):
 
 
 def classify_levels(spark, d):
-    """The whole classification of conversation peptides against benchmark peptides; alignments have no SQL."""
-    index = E.target_index(sequences(spark, d), E.Config(E.Rule(regex="^t"), E.Rule(regex="^c")))
+    """The whole classification of conversation peptides against benchmark peptides."""
+    index = E.target_index(sequences(spark, d, "benchmark", "item_id"), E.Config(E.Rule(regex="^t"), E.Rule(regex="^c")))
     c = table(spark, d, "conversations").select("conv_id", "turn", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("sequence"))
     psms = D.digest(c, missed=0, shortest=6, keep=("conv_id", "turn")).select("peptide", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("protein_ids"))
     found = E.classify(psms, index, E.Config(E.Rule(regex="^t"), E.Rule(regex="^c")))
@@ -176,9 +176,8 @@ QUERIES = {f.__name__: f for f in (tagging, tagging_policies, tagging_sets, exac
 
 _TAG = "CASE WHEN (b LIKE '%Brand#1%' OR t = 'PROMO' OR t LIKE '%Brand#1%') AND (regexp_matches(b, '[37]$') OR regexp_matches(t, '[37]$')) THEN 'ambiguous' WHEN b LIKE '%Brand#1%' OR t = 'PROMO' OR t LIKE '%Brand#1%' THEN 'target' ELSE 'trap' END"
 _CLS = "c AS (SELECT p_name AS peptide, 'sp|P' || p_partkey || '|' || upper(split_part(p_name, ' ', 2)) || '_HUMAN;second' AS ids, upper(split_part(p_name, ' ', 2)) AS family, CASE WHEN p_brand LIKE '%Brand#1%' AND regexp_matches(p_brand, '[37]$') THEN 'ambiguous' WHEN p_brand LIKE '%Brand#1%' THEN 'target' ELSE 'trap' END AS \"group\", 'L' || (p_size % 5) AS level, CASE WHEN p_size % 3 > 0 THEN p_retailprice - 1000 END AS dm FROM part)"
-_WORDS = """bw AS (SELECT DISTINCT p AS peptide FROM (SELECT unnest(string_split(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')), ' ')) AS p FROM benchmark) WHERE len(p) BETWEEN 4 AND 9),
-cw AS (SELECT DISTINCT p AS peptide FROM (SELECT unnest(string_split(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')), ' ')) AS p FROM conversations) WHERE len(p) BETWEEN 4 AND 9)"""
-_KMERS = "list_distinct(list_transform(range(1, len(peptide)), lambda i: peptide[i:i + 1]))"
+_WORDS = """bw AS (SELECT DISTINCT p AS peptide FROM (SELECT unnest(string_split(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')), ' ')) AS p FROM benchmark) WHERE p <> ''),
+cw AS (SELECT DISTINCT p AS peptide FROM (SELECT unnest(string_split(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')), ' ')) AS p FROM conversations) WHERE p <> '')"""
 _WINDOW = "(CASE WHEN o_totalprice BETWEEN 0 AND 150000 THEN 75000 WHEN o_totalprice <= 300000 THEN 225000 WHEN o_totalprice <= 450000 THEN 375000 WHEN o_totalprice <= 600000 THEN 525000 END)"
 SQL = {
     "tagging": f"WITH p AS (SELECT p_brand AS b, p_type AS t FROM part) SELECT {_TAG} AS \"group\", count(*) AS n FROM p GROUP BY 1",
@@ -187,8 +186,7 @@ UNION ALL SELECT 'prefer_trap', CASE WHEN r THEN 'trap' ELSE 'target' END, count
     "tagging_sets": "WITH a AS (SELECT DISTINCT p_name FROM part WHERE p_size > 48), b AS (SELECT DISTINCT p_name FROM part WHERE p_size < 3) SELECT p_name IN (SELECT p_name FROM a) AS in_target, p_name IN (SELECT p_name FROM b) AS in_trap, count(*) AS n FROM part GROUP BY 1, 2",
     "exact_and_folded": f"""WITH {_WORDS}, f AS (SELECT translate(peptide, 'I', 'L') AS f, min(peptide) AS peptide FROM bw GROUP BY 1)
 SELECT cw.peptide, CASE WHEN bw.peptide IS NOT NULL THEN 'L0' WHEN f.peptide IS NOT NULL THEN 'L1' ELSE 'L4' END AS level, coalesce(bw.peptide, f.peptide) AS best_target FROM cw LEFT JOIN bw ON bw.peptide = cw.peptide LEFT JOIN f ON f.f = translate(cw.peptide, 'I', 'L')""",
-    "similar_words": f"""WITH {_WORDS}, a AS (SELECT peptide, unnest({_KMERS}) AS k FROM cw), b AS (SELECT peptide, unnest({_KMERS}) AS k FROM bw),
-m AS (SELECT DISTINCT a.peptide, b.peptide AS t FROM a JOIN b ON a.k = b.k AND abs(len(a.peptide) - len(b.peptide)) <= 2 AND a.peptide <> b.peptide), l AS (SELECT *, levenshtein(peptide, t)::INT AS distance FROM m)
+    "similar_words": f"""WITH {_WORDS}, l AS (SELECT a.peptide, b.peptide AS t, levenshtein(a.peptide, b.peptide)::INT AS distance FROM cw a JOIN bw b ON abs(len(a.peptide) - len(b.peptide)) <= 2 AND a.peptide <> b.peptide)
 SELECT peptide, min(distance) AS distance, arg_min(t, struct_pack(d := distance, t := t)) AS best FROM l WHERE distance <= 2 GROUP BY 1""",
     "entrapment_statistics": f"WITH {_CLS} SELECT \"group\", level, count(*) AS n, count(dm) AS n_mass, round(min(dm), 6) AS mass_min, round(max(dm), 6) AS mass_max, round(avg(dm), 6) AS mass_mean FROM c GROUP BY 1, 2",
     "top_families": f"WITH {_CLS} SELECT family, count(*) AS n, min(peptide) AS example FROM c WHERE \"group\" = 'trap' AND level = 'L0' GROUP BY 1 ORDER BY n DESC, family LIMIT 10",
@@ -210,3 +208,16 @@ SELECT event_type, 'NoDecoyHits' AS anomaly, 1::INT AS priority FROM s WHERE dec
 UNION ALL SELECT event_type, 'NoPsms', 1 FROM s WHERE psms = 0 UNION ALL SELECT event_type, 'FewPsms', 3 FROM s WHERE psms > 0 AND psms < 50 UNION ALL SELECT event_type, 'ToleranceTooTight', 4 FROM s WHERE tol < 5 AND id_rate < 0.10 UNION ALL SELECT event_type, 'ToleranceTooWide', 4 FROM s WHERE tol > 50""",
     "modification_union": "SELECT CASE WHEN p_type = 'PROMO' AND p_size = 7 THEN 2 ELSE 3 END::BIGINT AS mods, count(*) AS n FROM part GROUP BY 1",
 }
+
+_FITS = f"len(p) BETWEEN 6 AND 50 AND regexp_full_match(p, '{_STD}')"
+_CLASSES = f"""seq AS (SELECT upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s, 'b' AS src FROM benchmark UNION ALL SELECT upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'c' FROM conversations),
+f AS (SELECT src, {_TRYPSIN} AS f FROM seq), fm AS (SELECT f, unnest(range(0, least(3, len(f)))) AS m FROM f WHERE src = 'b'), fi AS (SELECT f, m, unnest(range(1, len(f) - m + 1)) AS i FROM fm),
+tg AS (SELECT DISTINCT p AS t, translate(p, 'I', 'L') AS fold, {_mass("p")} AS mass FROM (SELECT array_to_string(f[i:i + m], '') AS p FROM fi) WHERE {_FITS}),
+ps AS (SELECT p FROM (SELECT unnest(f) AS p FROM f WHERE src = 'c') WHERE {_FITS}), pp AS (SELECT DISTINCT p, translate(p, 'I', 'L') AS fold, {_mass("p")} AS mass FROM ps),
+nr AS (SELECT p, t, CASE WHEN len(p) = len(t) THEN len(list_filter(range(1, len(p) + 1), lambda i: p[i] <> t[i])) ELSE levenshtein(p, t) END AS e, len(p) <> len(t) AS cr, round(tg.mass - pp.mass, 9) AS dm, CASE WHEN len(p) < len(t) THEN p ELSE t END AS sh, CASE WHEN len(p) < len(t) THEN t ELSE p END AS lo
+FROM pp JOIN tg ON abs(len(p) - len(t)) <= 2 AND p <> t AND pp.fold <> tg.fold AND levenshtein(p, t) <= 2),
+kd AS (SELECT *, CASE WHEN NOT cr AND e = 1 AND list_contains(list_transform(range(1, len(p) + 1), lambda i: p[i] || t[i]), 'QK') OR NOT cr AND e = 1 AND list_contains(list_transform(range(1, len(p) + 1), lambda i: p[i] || t[i]), 'KQ') THEN 'qk'
+WHEN len(lo) = len(sh) + 1 AND len(list_filter(range(1, len(sh) + 1), lambda i: sh[1:i - 1] = lo[1:i - 1] AND sh[i + 1:] = lo[i + 2:] AND (sh[i] = 'N' AND lo[i:i + 1] = 'GG' OR sh[i] = 'Q' AND lo[i:i + 1] IN ('AG', 'GA')))) > 0 THEN 'isobaric_dipeptide' WHEN abs(dm) < 1 THEN 'near_isobaric' ELSE 'distinguishable' END AS kind FROM nr WHERE e <= 2),
+bt AS (SELECT p, min(struct_pack(e := e, a := abs(dm), cr := cr, t := t, dm := dm, kind := kind)) AS b FROM kd GROUP BY 1),
+lv AS (SELECT pp.p, CASE WHEN pp.p IN (SELECT t FROM tg) THEN 'L0' WHEN fold IN (SELECT fold FROM tg) THEN 'L1' WHEN b.a < 1 THEN 'L2' WHEN b IS NOT NULL THEN 'L3' ELSE 'L4' END AS level, b FROM pp LEFT JOIN bt ON bt.p = pp.p)"""
+SQL["classify_levels"] = f"""WITH {_CLASSES} SELECT 'trap' AS "group", level, CASE WHEN level IN ('L2', 'L3') THEN b.kind END AS substitution, count(*) AS n, count(DISTINCT ps.p) AS peptides, round(avg(CASE WHEN level IN ('L2', 'L3') THEN b.dm WHEN level IN ('L0', 'L1') THEN 0 END), 4) AS mean_delta FROM ps JOIN lv ON lv.p = ps.p GROUP BY 1, 2, 3"""

@@ -7,12 +7,13 @@ returns the decoys, part the peptide, supplier the protein), ``part`` rows candi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massq.functions import exprs as X
 from massq.operators import fdr, joins, search, spectra
-from massq.operators.shared import materialise
+from massq.operators.shared import materialise, shared_path
+from massq.sources.sinks import load_history, write_json
 
 
 def table(spark, d: str, name: str) -> DataFrame:
@@ -173,7 +174,7 @@ def medians(spark, d):
 
 def import_by_run(spark, d):
     """Totals of each run: all rows, rows with a q-value, best score, distinct peptides."""
-    p = table(spark, d, "lineitem").join(F.broadcast(table(spark, d, "nation")), F.col("l_suppkey") % 25 == F.col("n_nationkey"))  # 25 nations
+    p = table(spark, d, "lineitem").join(table(spark, d, "nation"), F.col("l_suppkey") % 25 == F.col("n_nationkey"))
     return p.groupBy("n_name").agg(F.count(F.lit(1)).alias("psms"), F.count_if(F.col("l_tax") > 0).alias("with_q"), F.max("l_extendedprice").alias("best_score"), F.countDistinct("l_partkey").alias("peptides"))
 
 
@@ -183,13 +184,16 @@ def q_null_passes(spark, d):
 
 def candidate_cap(spark, d):
     """At most 20 candidates a supplier, by price, then key."""
-    rank = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey"))
-    return table(spark, d, "lineitem").withColumn("rank", rank).where("rank <= 20").select("l_suppkey", "rank", "l_extendedprice")
+    found = search.capped(table(spark, d, "lineitem"), ("l_suppkey",), 20, (F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey"))
+    return found.select("l_suppkey", "rank", "l_extendedprice")
 
 
 def history(spark, d):
-    o = table(spark, d, "orders")
-    return o.where(F.col("o_orderpriority").startswith("1")).orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", "o_orderpriority")
+    """orders as a history of runs, written and read again: the last 20 whose status starts with 1."""
+    o, path = table(spark, d, "orders"), shared_path(spark)
+    runs = o.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("run_id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("timestamp"), F.col("o_orderpriority").alias("status"), F.lit("simple").alias("engine"), F.lit(0).cast("long").alias("psms"))
+    write_json(runs, path)
+    return load_history(spark, path, "1", 20).select(F.col("run_id").cast("long").alias("o_orderkey"), F.col("status").alias("o_orderpriority"))
 
 
 def export_lines(spark, d):
@@ -201,8 +205,7 @@ def export_lines(spark, d):
 
 def score_histogram(spark, d):
     """Mass differences in bins of 10, as the report draws them."""
-    x = F.floor((F.col("l_extendedprice") / F.col("l_quantity") - 900) / 10)
-    return lines(spark, d).groupBy(x.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return search.histogram(lines(spark, d), F.col("l_extendedprice") / F.col("l_quantity"), 10, 900)
 
 
 QUERIES = {f.__name__: f for f in (q_value, peptide_q_value, picked_protein_q, band_join_ppm, band_join_da, best_match, target_decoy_search, rt_asof, rt_asof_accept, unmatched, ms1_correlation, overlapping_intervals, similar_names, hamming_names, peptide_rollup, protein_rollup, summary_filtered, summary_all, charge_histogram, medians, import_by_run, q_null_passes, candidate_cap, history, export_lines, score_histogram)}
@@ -235,8 +238,8 @@ SELECT w.run, w.scan, CASE WHEN k.scan IS NOT NULL THEN w.source ELSE coalesce(b
 CASE WHEN k.scan IS NOT NULL THEN 'source_scan' WHEN before IS NOT NULL THEN 'scan_order' WHEN first IS NOT NULL THEN 'nearest_rt' END AS method
 FROM w LEFT JOIN e k ON k.ms1 AND k.run = w.run AND k.scan = w.source LEFT JOIN f ON f.run = w.run WHERE NOT w.ms1""",
     "overlapping_intervals": "SELECT a.o_orderkey, b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(a.o_orderdate::DATE - b.o_orderdate::DATE) <= 30",
-    "similar_names": """WITH n AS (SELECT DISTINCT p_brand, p_name FROM part), k AS (SELECT p_brand, p_name, unnest(list_distinct(list_transform(range(1, len(p_name)), lambda i: p_name[i:i + 1]))) AS k FROM n)
-SELECT DISTINCT a.p_brand, a.p_name, b.p_name AS p_name_similar, levenshtein(a.p_name, b.p_name)::INT AS distance FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.k = b.k AND a.p_name < b.p_name WHERE abs(len(a.p_name) - len(b.p_name)) <= 2 AND levenshtein(a.p_name, b.p_name) <= 2""",
+    "similar_names": """WITH n AS (SELECT DISTINCT p_brand, p_name FROM part)
+SELECT a.p_brand, a.p_name, b.p_name AS p_name_similar, levenshtein(a.p_name, b.p_name)::INT AS distance FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE abs(len(a.p_name) - len(b.p_name)) <= 2 AND levenshtein(a.p_name, b.p_name) <= 2""",
     "peptide_rollup": f"WITH {_PSMS} SELECT peptide, max(score) AS best_score, min(q_value) AS q_value, array_to_string(list_sort(list(DISTINCT accession)), ';') AS accessions, count(*) AS psm_count FROM p GROUP BY 1",
     "protein_rollup": f"WITH {_PSMS}, o AS (SELECT peptide, count(DISTINCT accession) AS n FROM p GROUP BY 1) SELECT accession, count(DISTINCT p.peptide) AS peptide_count, count(DISTINCT CASE WHEN n = 1 THEN p.peptide END) AS unique_peptide_count FROM p JOIN o USING (peptide) GROUP BY 1",
     "summary_filtered": f"WITH {_PSMS} {_SUMMARY.format(keep='good')}",

@@ -1,7 +1,7 @@
 """Queries on digestion, chemistry and protein inference.
 
-Texts stand in for protein sequences: their letters, upper case. For inference, suppliers
-stand for peptides and parts for proteins, over the small orders that leave a sparse graph.
+Texts stand in for protein sequences: their letters, upper case. For inference, parts
+stand for peptides and orders for the proteins that hold them, over all of lineitem.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from massq.operators.shared import materialise
 from massq.plans.matching import table
 
 
-def sequences(spark, d: str, name: str = "benchmark", key: str = "item_id") -> DataFrame:
+def sequences(spark, d: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
     letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
     return table(spark, d, name).select(F.col(key).cast("string").alias("accession"), letters.alias("sequence"))
 
 
 def digest_trypsin(spark, d):
-    return D.digest(sequences(spark, d, "documents", "doc_id"), missed=0).groupBy("peptide").agg(F.count(F.lit(1)).alias("n"))
+    return D.digest(sequences(spark, d), missed=0).groupBy("peptide").agg(F.count(F.lit(1)).alias("n"))
 
 
 def digest_missed(spark, d):
@@ -41,7 +41,7 @@ def digest_enzymes(spark, d):
 
 
 def digest_nonspecific(spark, d):
-    return D.digest(sequences(spark, d), "nonspecific", shortest=7, longest=8).groupBy(F.length("peptide").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("peptide").alias("distinct_n"))
+    return D.digest(sequences(spark, d, "benchmark", "item_id"), "nonspecific", shortest=7, longest=8).groupBy(F.length("peptide").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("peptide").alias("distinct_n"))
 
 
 def peptides(spark, d) -> DataFrame:
@@ -53,7 +53,7 @@ def peptide_masses(spark, d):
     mass = chem.peptide_mass(p)
     rows = peptides(spark, d).select(p, mass.alias("mass"))
     two, one = F.lit(2), F.lit(1)
-    return rows.select("peptide", F.round("mass", 6).alias("mass"), F.round(chem.mz(F.col("mass"), two), 4).alias("mz2"), F.round(chem.mh_to_mz(chem.mz(F.col("mass"), one), F.lit(3)), 4).alias("mz3"), F.round(chem.heavy_mz(chem.mz(F.col("mass"), two), p, two), 4).alias("heavy_mz2"))
+    return rows.select("peptide", F.round("mass", 6).alias("mass"), F.round(chem.mz(F.col("mass"), two) + 1e-8, 4).alias("mz2"), F.round(chem.mh_to_mz(chem.mz(F.col("mass"), one), F.lit(3)) + 1e-8, 4).alias("mz3"), F.round(chem.heavy_mz(chem.mz(F.col("mass"), two), p, two) + 1e-8, 4).alias("heavy_mz2"))
 
 
 def fixed_mod_masses(spark, d):
@@ -73,7 +73,7 @@ def neutral_losses(spark, d):
 
 def ion_ladders(spark, d):
     p = F.col("peptide")
-    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda t, x: t + x), 4)
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda t, x: t + x) + 1e-8, 4)
     return peptides(spark, d).select(p, F.size(chem.b_ions(p, None, 2)).cast("long").alias("n"), total(chem.b_ions(p)).alias("b"), total(chem.y_ions(p)).alias("y"))
 
 
@@ -89,7 +89,7 @@ def decoy_masses(spark, d):
 
 
 def shuffled_decoys(spark, d):
-    s = sequences(spark, d)
+    s = sequences(spark, d, "benchmark", "item_id")
     rows = D.decoys(s, "shuffle")
     sort = lambda c: F.array_join(F.array_sort(X.letters(F.col(c))), "")
     return rows.select("accession", sort("sequence").alias("letters"), F.substring("sequence", -1, 1).alias("last"))
@@ -112,20 +112,22 @@ def mod_combinations(spark, d):
 
 def distinct_targets(spark, d):
     """Each peptide with the first protein that has it, and how many I/L forms it stands for."""
-    rows = D.digest(sequences(spark, d, "documents", "doc_id").withColumn("accession", F.lpad("accession", 12, "0")), missed=0)
+    rows = D.digest(sequences(spark, d).withColumn("accession", F.lpad("accession", 12, "0")), missed=0)
     first = rows.groupBy("peptide").agg(F.min("accession").alias("protein"))
     return first.groupBy(X.fold_il(F.col("peptide")).alias("folded")).agg(F.count(F.lit(1)).alias("forms"), F.min(F.struct("protein", "peptide"))["peptide"].alias("first_form"))
 
 
+def _psms(spark, d) -> DataFrame:
+    protein, peptide = (F.lpad(F.col(c).cast("string"), 9, "0") for c in ("l_orderkey", "l_partkey"))
+    return table(spark, d, "lineitem").select(peptide.alias("peptide"), F.col("l_extendedprice").alias("score"), F.when(F.col("l_tax") > 0, F.col("l_discount")).alias("q_value"), F.array(protein).alias("accessions"))
+
+
 def edges(spark, d) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_quantity <= 1 and l_linenumber <= 2")
-    return li.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("peptide"), F.lpad(F.col("l_partkey").cast("string"), 6, "0").alias("protein")).agg(F.max("l_extendedprice").alias("score"))
+    return I.edges(_psms(spark, d), None)
 
 
 def bipartite_map(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity <= 1 and l_linenumber <= 2")
-    psms = li.select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("peptide"), F.col("l_extendedprice").alias("score"), F.when(F.col("l_tax") > 0, F.col("l_discount")).alias("q_value"), F.array(F.lpad(F.col("l_partkey").cast("string"), 6, "0")).alias("accessions"))
-    return I.edges(psms, 0.05)
+    return I.edges(_psms(spark, d), 0.05)
 
 
 def _text(df: DataFrame, *arrays: str) -> DataFrame:
@@ -160,7 +162,7 @@ def sharing_counts(spark, d):
 def parsimony(spark, d):
     """The greedy cover: no SQL; tests compare it with a plain version."""
     found = I.build_groups(I.parsimonious(I.without_subsets(materialise(I.indistinguishable(edges(spark, d))))))
-    return _text(found, "members", "peptides", "unique_peptides", "razor_peptides")
+    return _text(I.in_order(found), "members", "peptides", "unique_peptides", "razor_peptides")
 
 
 def infer_proteins(spark, d):
@@ -174,7 +176,7 @@ def infer_proteins(spark, d):
 
 def sequence_coverage(spark, d):
     """Share of each sequence under its own tryptic peptides, I as L, overlaps once."""
-    s = sequences(spark, d)
+    s = sequences(spark, d, "benchmark", "item_id")
     own = D.digest(s, missed=0).groupBy("accession").agg(F.collect_set(X.fold_il(F.col("peptide"))).alias("p"))
     rows = s.join(own, "accession").withColumn("seq", X.fold_il(F.col("sequence")))
     return rows.select("accession", X.covered(F.col("seq"), F.col("p")).cast("long").alias("covered"), F.length("seq").cast("long").alias("len"))
@@ -195,8 +197,8 @@ def _mass(c: str, extra: dict[str, float] | None = None) -> str:
     return "(" + " + ".join(f"(len({c}) - len(replace({c}, '{k}', ''))) * {v}::DOUBLE" for k, v in (extra or chem.RESIDUES).items()) + ")"
 
 
-_SEQ = "seq AS (SELECT item_id::VARCHAR AS accession, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM benchmark)"
-_DOC = "seq AS (SELECT doc_id::VARCHAR AS accession, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM documents)"
+_BENCH = "seq AS (SELECT item_id::VARCHAR AS accession, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM benchmark)"
+_SEQ = "seq AS (SELECT doc_id::VARCHAR AS accession, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM documents)"
 
 
 def _split(rule: str, change: str) -> str:
@@ -208,39 +210,39 @@ _TRYPSIN = _split("([KR])([^P;])", "\\1;\\2")
 _PEP = f"{_SEQ}, f AS (SELECT accession, {_TRYPSIN} AS f FROM seq), pep AS (SELECT DISTINCT p AS peptide FROM (SELECT unnest(f) AS p FROM f) WHERE len(p) BETWEEN 7 AND 50 AND regexp_full_match(p, '{_STD}'))"
 _RULES = {"trypsin": ("([KR])([^P;])", "\\1;\\2"), "trypsin_p": ("([KR])([^;])", "\\1;\\2"), "lysc": ("(K)([^;])", "\\1;\\2"), "gluc": ("([DE])([^;])", "\\1;\\2"), "aspn": ("([^;])(D)", "\\1;\\2"), "chymotrypsin": ("([FWYL])([^;])", "\\1;\\2")}
 _PARTS = " UNION ALL ".join(f"SELECT '{e}' AS enzyme, accession, unnest({_split(*r)}) AS p FROM seq" for e, r in _RULES.items()) + " UNION ALL SELECT 'custom', accession, s FROM seq"
-_EDGES = "e AS (SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS peptide, lpad(l_partkey::VARCHAR, 6, '0') AS protein, max(l_extendedprice) AS score FROM lineitem WHERE l_quantity <= 1 AND l_linenumber <= 2 GROUP BY 1, 2)"
+_EDGES = "e AS (SELECT lpad(l_partkey::VARCHAR, 9, '0') AS peptide, lpad(l_orderkey::VARCHAR, 9, '0') AS protein, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2)"
 _GROUPS = f"{_EDGES}, ps AS (SELECT protein, list_sort(list(peptide)) AS peptides, max(score) AS score FROM e GROUP BY 1), g AS (SELECT peptides, list_sort(list(protein)) AS members, max(score) AS score, min(protein) AS first, len(peptides) AS size FROM ps GROUP BY peptides)"
-_LINKS = f"{_GROUPS}, lk AS (SELECT a.first AS sub, arg_min(b.first, struct_pack(x := -b.size, y := b.first)) AS super FROM g a JOIN g b ON a.size < b.size AND list_has_all(b.peptides, a.peptides) GROUP BY 1)"
+_LINKS = f"{_GROUPS}, ge AS (SELECT first, size, unnest(peptides) AS p FROM g), met AS (SELECT a.first AS sub, a.size AS n, b.first AS super, b.size AS m, count(*) AS shared FROM ge a JOIN ge b ON a.p = b.p AND a.size < b.size GROUP BY ALL), lk AS (SELECT sub, arg_min(super, struct_pack(x := -m, y := super)) AS super FROM met WHERE shared = n GROUP BY 1)"
 _KEPT = f"{_LINKS}, gain AS (SELECT super, flatten(list(members)) AS gained FROM g JOIN lk ON first = sub GROUP BY 1), kept AS (SELECT list_sort(list_distinct(list_concat(members, coalesce(gained, [])))) AS members, peptides, score FROM g LEFT JOIN gain ON first = super WHERE first NOT IN (SELECT sub FROM lk)), n AS (SELECT *, members[1] AS leader FROM kept), x AS (SELECT leader, score, unnest(peptides) AS peptide FROM n), sh AS (SELECT peptide, count(*) AS groups FROM x GROUP BY 1)"
 SQL = {
-    "digest_trypsin": f"WITH {_DOC}, p AS (SELECT unnest({_TRYPSIN}) AS peptide FROM seq) SELECT peptide, count(*) AS n FROM p WHERE len(peptide) BETWEEN 7 AND 50 AND regexp_full_match(peptide, '{_STD}') GROUP BY 1",
+    "digest_trypsin": f"WITH {_SEQ}, p AS (SELECT unnest({_TRYPSIN}) AS peptide FROM seq) SELECT peptide, count(*) AS n FROM p WHERE len(peptide) BETWEEN 7 AND 50 AND regexp_full_match(peptide, '{_STD}') GROUP BY 1",
     "digest_missed": f"""WITH {_SEQ}, f AS (SELECT accession, {_TRYPSIN} AS f FROM seq), m AS (SELECT accession, f, unnest(range(0, least(3, len(f)))) AS missed FROM f), i AS (SELECT *, unnest(range(1, len(f) - missed + 1)) AS place FROM m),
 r AS (SELECT accession, missed::INT AS missed, place::INT AS place, array_to_string(f[place:place + missed], '') AS peptide, place = 1 AS is_protein_nterm, place + missed = len(f) AS is_protein_cterm FROM i) SELECT * FROM r WHERE len(peptide) BETWEEN 7 AND 50 AND regexp_full_match(peptide, '{_STD}')""",
     "digest_enzymes": f"WITH {_SEQ}, p AS ({_PARTS}) SELECT enzyme, accession, count(*) AS n, max(len(p)) AS longest FROM p WHERE p <> '' AND regexp_full_match(p, '{_STD}') GROUP BY 1, 2",
-    "digest_nonspecific": f"""WITH {_SEQ}, i AS (SELECT s, k, unnest(range(1, len(s) - k + 2)) AS a FROM seq, (VALUES (7), (8)) AS l(k)), p AS (SELECT k, s[a:a + k - 1] AS p FROM i) SELECT k::BIGINT AS len, count(*) AS n, count(DISTINCT p) AS distinct_n FROM p WHERE regexp_full_match(p, '{_STD}') GROUP BY 1""",
-    "peptide_masses": f"""WITH {_PEP}, m AS (SELECT peptide, {_mass("peptide")} + 18.010565 AS mass FROM pep) SELECT peptide, round(mass, 6) AS mass, round((mass + 2 * 1.007276) / 2, 4) AS mz2, round((mass + 1.007276 + 2 * 1.007276) / 3, 4) AS mz3,
-round((mass + 2 * 1.007276) / 2 + {_mass("peptide", chem.SILAC)} / 2, 4) AS heavy_mz2 FROM m""",
+    "digest_nonspecific": f"""WITH {_BENCH}, i AS (SELECT s, k, unnest(range(1, len(s) - k + 2)) AS a FROM seq, (VALUES (7), (8)) AS l(k)), p AS (SELECT k, s[a:a + k - 1] AS p FROM i) SELECT k::BIGINT AS len, count(*) AS n, count(DISTINCT p) AS distinct_n FROM p WHERE regexp_full_match(p, '{_STD}') GROUP BY 1""",
+    "peptide_masses": f"""WITH {_PEP}, m AS (SELECT peptide, {_mass("peptide")} + 18.010565 AS mass FROM pep) SELECT peptide, round(mass, 6) AS mass, round((mass + 2 * 1.007276) / 2 + 1e-8, 4) AS mz2, round((mass + 1.007276 + 2 * 1.007276) / 3 + 1e-8, 4) AS mz3,
+round((mass + 2 * 1.007276) / 2 + {_mass("peptide", chem.SILAC)} / 2 + 1e-8, 4) AS heavy_mz2 FROM m""",
     "fixed_mod_masses": f"WITH {_PEP} SELECT peptide, round({_mass('peptide', {'C': 57.021464, 'K': 229.162932})} + 229.162932, 6) AS added FROM pep",
     "fragment_ions": f"""WITH {_PEP}, i AS (SELECT peptide, unnest(range(1, len(peptide))) AS n FROM pep), m AS (SELECT peptide, n, {_mass("peptide[1:n]")} AS b, {_mass("peptide[len(peptide) - n + 1:]")} + 18.010565 AS y FROM i),
 z AS (SELECT *, unnest([1, 2]) AS z FROM m) SELECT peptide, 'b' || n || '+' || z AS label, n::INT AS number, z::INT AS charge, round((b + z * 1.007276) / z + 1e-8, 5) AS mz FROM z UNION ALL SELECT peptide, 'y' || n || '+' || z, n::INT, z::INT, round((y + z * 1.007276) / z + 1e-8, 5) FROM z""",
     "neutral_losses": f"""WITH {_PEP}, i AS (SELECT peptide, unnest(range(1, len(peptide))) AS n FROM pep), m AS (SELECT {_mass("peptide[1:n]")} AS b, {_mass("peptide[len(peptide) - n + 1:]")} + 18.010565 AS y FROM i),
 l(name, d) AS (VALUES ('', 0.0), ('-H2O', 18.010565), ('-NH3', 17.026549)), a AS (SELECT 'b' || name AS type, b - d + 1.007276 AS mz FROM m, l UNION ALL SELECT 'y' || name, y - d + 1.007276 FROM m, l) SELECT type, count(*) AS n, round(sum(mz), 2) AS sum_mz FROM a GROUP BY 1""",
-    "ion_ladders": f"""WITH {_PEP}, i AS (SELECT peptide, unnest(range(1, len(peptide))) AS n FROM pep) SELECT peptide, count(*) * 2 AS n, round(sum({_mass("peptide[1:n]")} + 1.007276), 4) AS b, round(sum({_mass("peptide[len(peptide) - n + 1:]")} + 18.010565 + 1.007276), 4) AS y FROM i GROUP BY 1""",
+    "ion_ladders": f"""WITH {_PEP}, i AS (SELECT peptide, unnest(range(1, len(peptide))) AS n FROM pep) SELECT peptide, count(*) * 2 AS n, round(sum({_mass("peptide[1:n]")} + 1.007276) + 1e-8, 4) AS b, round(sum({_mass("peptide[len(peptide) - n + 1:]")} + 18.010565 + 1.007276) + 1e-8, 4) AS y FROM i GROUP BY 1""",
     "decoy_database": f"WITH {_SEQ} SELECT accession, s AS sequence, false AS is_decoy FROM seq UNION ALL SELECT 'REV_' || accession, reverse(s[1:len(s) - 1]) || s[len(s):], true FROM seq",
     "decoy_masses": f"WITH {_PEP} SELECT peptide, reverse(peptide[1:len(peptide) - 1]) || right(peptide, 1) AS decoy, round({_mass('peptide')} + 18.010565, 6) AS mass FROM pep",
-    "shuffled_decoys": f"WITH {_SEQ} SELECT 'SHUF_' || accession AS accession, array_to_string(list_sort(string_split(s, '')), '') AS letters, right(s, 1) AS last FROM seq",
+    "shuffled_decoys": f"WITH {_BENCH} SELECT 'SHUF_' || accession AS accession, array_to_string(list_sort(string_split(s, '')), '') AS letters, right(s, 1) AS last FROM seq",
     "mod_sites": f"WITH {_PEP}, i AS (SELECT peptide, unnest(range(1, len(peptide) + 1)) AS n FROM pep) SELECT peptide, 0 AS mod, (n - 1)::INT AS pos FROM i WHERE peptide[n] = 'M' UNION ALL SELECT peptide, 1, -1 FROM pep",
     "mod_combinations": f"WITH {_PEP}, c AS (SELECT peptide, len(peptide) - len(regexp_replace(peptide, '[STY]', '', 'g')) AS n FROM pep) SELECT peptide, 1 + n + n * (n - 1) // 2 AS n, round((n + n * (n - 1)) * 79.966331, 4) AS mass FROM c",
-    "distinct_targets": f"""WITH {_DOC}, p AS (SELECT lpad(accession, 12, '0') AS a, unnest({_TRYPSIN}) AS peptide FROM seq), q AS (SELECT peptide, min(a) AS protein FROM p WHERE len(peptide) BETWEEN 7 AND 50 AND regexp_full_match(peptide, '{_STD}') GROUP BY 1)
+    "distinct_targets": f"""WITH {_SEQ}, p AS (SELECT lpad(accession, 12, '0') AS a, unnest({_TRYPSIN}) AS peptide FROM seq), q AS (SELECT peptide, min(a) AS protein FROM p WHERE len(peptide) BETWEEN 7 AND 50 AND regexp_full_match(peptide, '{_STD}') GROUP BY 1)
 SELECT translate(peptide, 'I', 'L') AS folded, count(*) AS forms, min(struct_pack(protein := protein, peptide := peptide)).peptide AS first_form FROM q GROUP BY 1""",
-    "bipartite_map": "SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS peptide, lpad(l_partkey::VARCHAR, 6, '0') AS protein, max(l_extendedprice) AS score FROM lineitem WHERE l_quantity <= 1 AND l_linenumber <= 2 AND (l_tax <= 0 OR l_discount <= 0.05) GROUP BY 1, 2",
+    "bipartite_map": "SELECT lpad(l_partkey::VARCHAR, 9, '0') AS peptide, lpad(l_orderkey::VARCHAR, 9, '0') AS protein, max(l_extendedprice) AS score FROM lineitem WHERE l_tax <= 0 OR l_discount <= 0.05 GROUP BY 1, 2",
     "indistinguishable": f"WITH {_GROUPS} SELECT array_to_string(members, ';') AS members, array_to_string(peptides, ';') AS peptides, score FROM g",
     "subset_links": f"WITH {_LINKS} SELECT sub, super FROM lk",
     "without_subsets": f"WITH {_KEPT} SELECT array_to_string(members, ';') AS members, array_to_string(peptides, ';') AS peptides, score FROM kept",
     "sharing_counts": f"WITH {_KEPT} SELECT peptide, groups FROM sh",
     "razor": f"""WITH {_KEPT}, u AS (SELECT leader, count(*) FILTER (groups = 1) AS nu FROM x JOIN sh USING (peptide) GROUP BY 1)
 SELECT peptide, leader FROM (SELECT x.peptide, x.leader, row_number() OVER (PARTITION BY x.peptide ORDER BY nu DESC, score DESC, x.leader) AS r FROM x JOIN sh USING (peptide) JOIN u ON u.leader = x.leader WHERE groups > 1) WHERE r = 1""",
-    "sequence_coverage": f"""WITH {_SEQ}, q AS (SELECT accession, translate(s, 'I', 'L') AS s, list_distinct(list_transform(list_filter({_TRYPSIN}, lambda x: len(x) BETWEEN 7 AND 50 AND regexp_full_match(x, '{_STD}')), lambda x: translate(x, 'I', 'L'))) AS ps FROM seq),
+    "sequence_coverage": f"""WITH {_BENCH}, q AS (SELECT accession, translate(s, 'I', 'L') AS s, list_distinct(list_transform(list_filter({_TRYPSIN}, lambda x: len(x) BETWEEN 7 AND 50 AND regexp_full_match(x, '{_STD}')), lambda x: translate(x, 'I', 'L'))) AS ps FROM seq),
 o AS (SELECT accession, s, unnest(ps) AS p FROM q), i AS (SELECT accession, p, unnest(list_filter(range(1, len(s) - len(p) + 2), lambda a: s[a:a + len(p) - 1] = p)) AS a FROM o), c AS (SELECT DISTINCT accession, unnest(range(a, a + len(p))) AS pos FROM i)
 SELECT q.accession, count(pos) AS covered, len(q.s) AS len FROM q JOIN c USING (accession) GROUP BY q.accession, q.s""",
     "decoy_predicate": "WITH c AS (SELECT CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'REV_' WHEN 2 THEN 'SHUF_' WHEN 3 THEN 'DECOY_' WHEN 4 THEN 'REVERSED_' WHEN 5 THEN 'rev_' ELSE 'X_REV_' END || c_name AS n, upper(c_mktsegment[1:4]) AS s FROM customer) SELECT regexp_matches(n, '^(REV_|SHUF_|DECOY_|REVERSED_)') AS is_decoy, regexp_full_match(s, '[GAVLIPFWMSTCYHDENQKR]*') AS standard, count(*) AS n FROM c GROUP BY 1, 2",

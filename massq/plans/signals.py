@@ -15,7 +15,7 @@ from massq.operators import digest as D
 from massq.operators import spectra as S
 from massq.operators.shared import materialise
 from massq.plans.matching import scans, table
-from massq.plans.proteins import sequences
+from massq.plans.proteins import _PEP, _mass, sequences
 from massq.streaming import events as streams
 
 _K = "$.k"
@@ -142,8 +142,8 @@ def same_windows(spark, d):
 
 
 def _theory(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Spectra made of every second theoretical ion of each benchmark peptide, moved by 2 ppm; and the peptides."""
-    peptides = D.digest(sequences(spark, d), missed=0).select("peptide").distinct().select(F.col("peptide").alias("run"), F.abs(F.hash("peptide")).alias("scan"), "peptide")  # hashes collide, so each peptide is a run
+    """Spectra made of every second theoretical ion of each peptide of documents, moved by 2 ppm; and the peptides, each a run of its own."""
+    peptides = D.digest(sequences(spark, d), missed=0).select("peptide").distinct().select(F.col("peptide").alias("run"), F.lit(1).alias("scan"), "peptide")
     peptides = materialise(peptides)
     ions = F.filter(chem.theoretical_ions(F.col("peptide"), None, 1), lambda x: x["number"] % 2 == 0)
     peaks = F.array_sort(F.transform(ions, lambda x: F.struct((x["mz"] * (1 + 2e-6)).alias("mz"), x["number"].cast("double").alias("intensity"))))
@@ -158,14 +158,14 @@ def annotation(spark, d):
 
 def annotation_scores(spark, d):
     s, p = _theory(spark, d)
-    return _rounded(S.annotation_scores(S.annotate(s, p), s).drop("run"))
+    return _rounded(S.annotation_scores(S.annotate(s, p), s).drop("scan").withColumnRenamed("run", "peptide"))
 
 
 def fragment_provenance(spark, d):
     """Peaks of each peptide's spectrum explained by the peptide, by its reverse, or by both."""
     s, p = _theory(spark, d)
     decoy = p.withColumn("peptide", D.reverse_decoy(F.col("peptide")))
-    return _rounded(S.provenance(S.annotate(s, p, losses=False), S.annotate(s, decoy, losses=False), s).drop("run"))
+    return _rounded(S.provenance(S.annotate(s, p, losses=False), S.annotate(s, decoy, losses=False), s).drop("scan").withColumnRenamed("run", "peptide"))
 
 
 def _timed(spark, d) -> DataFrame:
@@ -198,7 +198,7 @@ def multi_target(spark, d):
     s, p = _theory(spark, d)
     of = lambda name, c: S.annotate(s, p.withColumn("peptide", c), losses=False).withColumn("candidate", F.lit(name))
     found = of("trap", F.col("peptide")).unionByName(of("reverse", D.reverse_decoy(F.col("peptide")))).unionByName(of("folded", X.fold_il(F.col("peptide"))))
-    return _rounded(S.multi_provenance(found, s).drop("run"))
+    return _rounded(S.multi_provenance(found, s).drop("scan").withColumnRenamed("run", "peptide"))
 
 
 def isotope_precursors(spark, d):
@@ -263,3 +263,27 @@ r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY total DESC, label)
     "stream_sessions": """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '12 hours' THEN 0 ELSE 1 END AS cut FROM events), g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM o)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '12 hours' AS "end", count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, g""",
 }
+
+
+def _ions(name: str, variant: str, losses: bool = False, charges: int = 2, tolerance: float = 20.0) -> str:
+    """CTEs ``name`` (ions of a variant of each peptide) and ``name_h`` (the nearest peak of each that has one)."""
+    shifts = "('', 0.0::DOUBLE)" + (", ('w', 18.010565::DOUBLE), ('a', 17.026549::DOUBLE)" if losses else "")
+    return f"""{name}_i AS (SELECT peptide, v, unnest(range(1, len(v))) AS n FROM (SELECT peptide, {variant} AS v FROM pep)), {name}_m AS (SELECT peptide, n, {_mass("v[1:n]")} AS b, {_mass("v[len(v) - n + 1:]")} + 18.010565::DOUBLE AS y FROM {name}_i),
+{name} AS (SELECT peptide, kind, n, l, z, ((CASE kind WHEN 'b' THEN b ELSE y END) - loss + z * 1.007276::DOUBLE) / z AS mz FROM {name}_m, (VALUES ('b'), ('y')) AS k(kind), (VALUES {shifts}) AS s(l, loss), (SELECT unnest(range(1, {charges + 1})) AS z)),
+{name}_h AS (SELECT peptide, kind, n, l, z, mz, arg_min(struct_pack(m := pmz, i := height), struct_pack(d := abs(pmz - mz), m := pmz)) AS p FROM {name} JOIN peak USING (peptide) WHERE abs(pmz - mz) <= mz * {tolerance} * 1e-6 GROUP BY ALL)"""
+
+
+_SPECTRA = f"{_PEP}, made_i AS (SELECT peptide, unnest(range(2, len(peptide), 2)) AS n FROM pep), peak AS (SELECT peptide, ({_mass('peptide[1:n]')} + 1.007276::DOUBLE) * (1 + 2e-6::DOUBLE) AS pmz, n::DOUBLE AS height FROM made_i UNION ALL SELECT peptide, ({_mass('peptide[len(peptide) - n + 1:]')} + 18.010565::DOUBLE + 1.007276::DOUBLE) * (1 + 2e-6::DOUBLE), n::DOUBLE FROM made_i)"
+_REVERSED = "reverse(peptide[1:len(peptide) - 1]) || right(peptide, 1)"
+_COUNTS = "count(*) FILTER (t AND NOT o) AS trap_only, count(*) FILTER (o AND NOT t) AS target_only, count(*) FILTER (t AND o) AS shared, count(*) FILTER (NOT t AND NOT o) AS unassigned"
+_SHARE = "CASE WHEN trap_only + target_only + shared > 0 THEN round(shared / (trap_only + target_only + shared), 6) ELSE 0 END AS shared_ratio"
+SQL |= {
+    "annotation": f"""WITH {_SPECTRA}, {_ions("own", "peptide", charges=1, tolerance=5.0)} SELECT peptide, count(*) AS ions, count(p) AS matched, coalesce(round(min((p.m - own.mz) / own.mz * 1e6), 3), 0) AS least_ppm FROM own LEFT JOIN own_h USING (peptide, kind, n, l, z) GROUP BY 1""",
+    "annotation_scores": f"""WITH {_SPECTRA}, {_ions("own", "peptide", True)}, a AS (SELECT peptide, count(*) AS total FROM own GROUP BY 1), h AS (SELECT peptide, count(*) AS matched FROM own_h GROUP BY 1), heard AS (SELECT peptide, sum(i) AS i FROM (SELECT DISTINCT peptide, p.m AS m, p.i AS i FROM own_h) GROUP BY 1), every AS (SELECT peptide, sum(height) AS i FROM peak GROUP BY 1)
+SELECT peptide, coalesce(matched, 0) AS matched, total, round(coalesce(matched, 0) / total, 6) AS score, coalesce(heard.i, 0) AS matched_intensity, every.i AS total_intensity FROM a LEFT JOIN h USING (peptide) LEFT JOIN heard USING (peptide) JOIN every USING (peptide)""",
+    "fragment_provenance": f"""WITH {_SPECTRA}, {_ions("own", "peptide")}, {_ions("rev", _REVERSED)}, c AS (SELECT peptide, pmz, pmz IN (SELECT h.p.m FROM own_h h WHERE h.peptide = peak.peptide) AS t, pmz IN (SELECT h.p.m FROM rev_h h WHERE h.peptide = peak.peptide) AS o FROM peak),
+n AS (SELECT peptide, {_COUNTS} FROM c GROUP BY 1) SELECT *, {_SHARE} FROM n""",
+    "multi_target": f"""WITH {_SPECTRA}, {_ions("own", "peptide")}, {_ions("rev", _REVERSED)}, {_ions("fold", "translate(peptide, 'I', 'L')")}, claim AS (SELECT DISTINCT peptide, p.m AS pmz, 0 AS who FROM own_h UNION SELECT peptide, p.m, 1 FROM rev_h UNION SELECT peptide, p.m, 2 FROM fold_h),
+c AS (SELECT peptide, pmz, coalesce(bool_or(who = 0), false) AS t, coalesce(bool_or(who > 0), false) AS o, count(*) FILTER (who > 0) AS k FROM peak LEFT JOIN claim USING (peptide, pmz) GROUP BY 1, 2),
+n AS (SELECT peptide, {_COUNTS}, max(k) AS most_candidates FROM c GROUP BY 1) SELECT *, {_SHARE} FROM n""",
+}

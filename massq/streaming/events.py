@@ -8,6 +8,8 @@ on where the last one stopped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +35,28 @@ def source(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 16).parquet(path)
 
 
+def sink(out: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch to the folder that has its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/table/batch={number}")
+
+    return write
+
+
 def run_available(stream: DataFrame, out: str | None = None, mode: str = "complete") -> DataFrame:
     """Process all that has arrived and return the sink's table.
 
-    ``complete`` keeps all bins; ``append`` writes a bin once the watermark has passed it.
+    ``complete`` keeps all bins: each batch is a table of its own, and the last one counts.
+    ``append`` writes a bin once the watermark has passed it, into its batch's partition. So a batch
+    that is played again after a failure takes its own place and changes nothing.
     """
     spark = stream.sparkSession
     out = out or shared_path(spark)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/table")
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(sink(out)).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/table")
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{out}/table")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == (rows.agg(F.max("batch")).first()[0] or 0))
+    return rows.drop("batch")

@@ -216,3 +216,53 @@ def test_advice(spark):
     assert len(advice.merge_mods(d.params.variable, (chem.OXIDATION, advice.PHOSPHO))) == 2
     row = spark.createDataFrame([(0, 0, 0.0, 10.0, 1.0, 2.0)], "psms long, decoys long, id_rate double, tolerance_ppm double, matching_sec double, total_sec double")
     assert [r.anomaly for r in advice.diagnose(row).collect()] == ["NoDecoyHits", "NoPsms", "VeryLowIdRate"]
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_similar_join_equals_the_full_product(spark, most):
+    """Texts of 0 to 12 letters, short ones too, with a null among them."""
+    rng = random.Random(most)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(0, 12) if k % 3 else rng.randint(0, 4))) for k in range(170)})
+    left, right = words[::2] + ["ab"], words[1::2] + ["ab", "abc"]
+    of = lambda name, values: spark.createDataFrame([(v,) for v in [*values, None]], f"{name} string")
+    for slack in (1, most):
+        got = {(r.a, r.b_similar, r.distance) for r in joins.similar_join(of("a", left), of("b", right), "a", "b", most, slack).collect()}
+        assert got == {(x, y, d) for x in left for y in right if x != y and abs(len(x) - len(y)) <= slack and (d := _distance(x, y)) <= most}
+
+
+def test_parsimony_in_rounds_equals_one_task(spark):
+    """A hot peptide that all groups hold, so all of them are one component."""
+    rng = random.Random(9)
+    groups = [(sorted({0, *(rng.randrange(1, 60) for _ in range(rng.randint(1, 6)))}), float(rng.randint(1, 3)), f"g{k:03d}") for k in range(80)]
+    df = spark.createDataFrame([([f"{p:03d}" for p in ps], s, f) for ps, s, f in groups], "peptides array<string>, score double, first string")
+    want = greedy([([f"{p:03d}" for p in ps], s, f) for ps, s, f in groups])
+    assert {r["first"] for r in inference.parsimonious(df).collect()} == want
+    assert {r["first"] for r in inference.parsimonious(df, local=0).collect()} == want
+
+
+def test_search_in_dalton(spark):
+    """An open search takes every candidate within 500 of the precursor's m/z, whatever its mass."""
+    peptides = spark.createDataFrame([("A", 500.0), ("B", 1990.0), ("C", 2998.0), ("D", 3004.0)], "peptide string, mass double")
+    one = "struct<mz:double,charge:int,intensity:double,isolation:struct<target:double,lower:double,upper:double>,source_scan:int>"
+    spectra = spark.createDataFrame([("r", 1, 2, [(1001.007276, 2, None, None, None)]), ("r", 2, 2, [(1001.007276, 1, None, None, None)])], f"run string, scan int, ms_level int, precursors array<{one}>")
+    found = {(r.scan, r.peptide) for r in search.matches_within(spectra, peptides, 500.0, "Da").collect()}
+    assert found == {(1, "B"), (1, "C"), (2, "A")}
+    assert {(r.scan, r.peptide) for r in search.matches_within(spectra, peptides, 5.01, "Da").collect()} == {(1, "B")}
+
+
+def test_a_batch_played_again_changes_nothing(spark, tmp_path):
+    from massq.streaming import events
+
+    write, rows = events.sink(str(tmp_path)), spark.range(5)
+    for number in (0, 1, 0, 1, 1):
+        write(rows, number)
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 10
