@@ -158,18 +158,24 @@ class Session:
         return search.summary(self.matches(run))
 
     def diagnose_search(self, run: str) -> DataFrame:
-        """Decoys are counted before they leave."""
+        """Decoys are counted before they leave; the time of a search is that of its matching, which writes the result."""
         state, rows = self._state(run), self.matches(run, decoys=True)
         s = rows.agg(F.count_if((F.col("q_value") <= 0.01) & ~F.col("is_decoy")).alias("psms"), F.count_if("is_decoy").alias("decoys"), F.avg(F.coalesce((F.col("q_value") <= 0.01).cast("double"), F.lit(0.0))).alias("id_rate"))
         tolerance = state["params"].precursor_tolerance
-        return advice.diagnose(s.select("*", F.lit(tolerance).alias("tolerance_ppm"), F.lit(0.0).alias("matching_sec"), F.lit(float(state.get("seconds", 0))).alias("total_sec")))
+        return advice.diagnose(s.select("*", F.lit(tolerance).alias("tolerance_ppm"), F.lit(float(state.get("seconds", 0))).alias("matching_sec"), F.lit(float(state.get("seconds", 0))).alias("total_sec")))
 
-    def export_results(self, run: str, out: str) -> None:
+    def export_results(self, run: str, out: str, fasta: str | None = None) -> None:
+        """Tables and JSON; descriptions and coverage of proteins from the database, if it is given."""
         rows = self.matches(run)
         named = rows.withColumns({"accessions": F.array("accession"), "modifications": F.transform("combination", lambda s: s["mod"].cast("string"))})
         sinks.write_tsv(sinks.psm_lines(named), f"{out}/psm")
         sinks.write_tsv(sinks.peptide_lines(search.peptide_rollup(rows)), f"{out}/peptide")
         proteins = search.protein_rollup(rows).withColumns({"description": F.lit(""), "coverage": F.lit(0.0)})
+        if fasta is not None:
+            known = P.read_fasta(self.spark, fasta).select("accession", F.col("description").alias("_d"), F.col("sequence").alias("_s"))
+            own = rows.groupBy("accession").agg(F.collect_set("peptide").alias("_p"))  # a protein's own peptides
+            share = F.when(F.length("_s") > 0, X.covered(X.fold_il(F.col("_s")), F.transform("_p", X.fold_il)) / F.length("_s")).otherwise(0.0)
+            proteins = proteins.join(known, "accession", "left").join(own, "accession").withColumns({"description": F.coalesce("_d", F.lit("")), "coverage": F.coalesce(share, F.lit(0.0))})
         sinks.write_tsv(sinks.protein_lines(proteins), f"{out}/protein")
         sinks.write_json(rows, f"{out}/json")
 
@@ -212,9 +218,9 @@ class Session:
 
     # Data-independent acquisition
 
-    def extract_dia_precursors(self, path: str, output: str = "pseudo", **settings) -> str:
+    def extract_dia_precursors(self, path: str, output: str = "pseudo", extractor: str = "isotope", **settings) -> str:
         """Extract and keep; the extraction's id."""
-        rows = spectra.extract_precursors(self.spectra(path), **settings)
+        rows = spectra.EXTRACTORS[extractor](self.spectra(path), **settings)
         rows = spectra.pseudo_spectra(rows) if output == "pseudo" else rows
         name, out = uuid.uuid4().hex, f"{self.home}/extractions"
         rows.write.parquet(f"{out}/{name}")

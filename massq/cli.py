@@ -21,12 +21,19 @@ def main(args: list[str] | None = None) -> int:
         analyze.add_argument(name, required=True)
     inspect = commands.add_parser("inspect", help="show what a result file holds")
     inspect.add_argument("results")
-    commands.add_parser("report", help="not there yet")
+    report = commands.add_parser("report", help="statistics and a page of a classified table")
+    report.add_argument("classified")
+    report.add_argument("--out")
     options = parser.parse_args(args)
-    if options.command == "report":
-        print("report isn't implemented; analyze writes its tables", file=sys.stderr)
-        return 2
     spark = SparkSession.builder.appName("massq").getOrCreate()
+    if options.command == "report":
+        rows = results.read_classified(spark, options.classified)
+        stats = entrapment.statistics(rows)
+        stats.show(truncate=False)
+        entrapment.top_families(rows).show(truncate=False)
+        if options.out:
+            Path(options.out).write_text(sinks.page("Entrapment", stats))
+        return 0
     if options.command == "inspect":
         rows = results.load_psms(spark, options.results)
         rows.printSchema()

@@ -98,6 +98,11 @@ def substitution_mass(diffs: Column) -> Column:
     return F.aggregate(diffs, F.lit(0.0), lambda t, d: t + mass(d["y"]) - mass(d["x"]))
 
 
+def mod_mass_at(mods: Column, diffs: Column) -> Column:
+    """Mass of modifications (pos, mass) that sit where two sequences differ: what a mass change doesn't count."""
+    return F.aggregate(F.filter(mods, lambda m: F.exists(diffs, lambda d: d["pos"] == m["pos"])), F.lit(0.0), lambda t, m: t + m["mass"])
+
+
 def difference_text(diffs: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(diffs, lambda d: F.concat(d["pos"].cast("string"), F.lit(":"), d["x"], F.lit("->"), d["y"])), ","), F.lit("]"))
 

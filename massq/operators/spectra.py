@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massq.functions.chem import ISOTOPE_STEP
+from massq.functions.chem import ISOTOPE_STEP, SILAC
 
 PRECURSOR = "struct<mz:double,charge:int,intensity:double,isolation:struct<target:double,lower:double,upper:double>,source_scan:int>"
 SCHEMA = f"run string, scan int, ms_level int, rt_min double, precursors array<{PRECURSOR}>, mz array<double>, intensity array<double>, representation string"
@@ -162,6 +162,23 @@ def extract_precursors(spectra: DataFrame, tolerance: float = 0.01, least: int =
     return rows.withColumn("precursors", F.when(F.size("_p") > 0, shown).otherwise(F.col("precursors"))).select(*spectra.columns)
 
 
+def isotope_extractor(spectra: DataFrame, **settings) -> DataFrame:
+    return extract_precursors(spectra, **settings)
+
+
+#: Precursor extractors by name: functions from spectra and settings to MS2 spectra with precursors. More may be added.
+EXTRACTORS = {"isotope": isotope_extractor}
+
+
+def extraction_statistics(extracted: DataFrame) -> DataFrame:
+    """One row per run: MS2 spectra, precursors, precursors a spectrum, and how often each charge occurs (0: unknown)."""
+    n = F.size("precursors")
+    rows = by_level(extracted, 2).groupBy("run").agg(F.count(F.lit(1)).alias("ms2"), F.sum(n).cast("long").alias("precursors"))
+    charges = by_level(extracted, 2).select("run", F.explode("precursors").alias("p")).groupBy("run", F.coalesce("p.charge", F.lit(0)).alias("charge")).agg(F.count(F.lit(1)).alias("n"))
+    by_run = charges.groupBy("run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("charge", "n")))).alias("charges"))
+    return rows.join(by_run, "run", "left").withColumn("per_ms2", F.col("precursors") / F.col("ms2"))
+
+
 def pseudo_spectra(spectra: DataFrame) -> DataFrame:
     """One row per precursor; rows with one or none stay as they are."""
     kept = [c for c in spectra.columns if c != "precursors"]
@@ -227,6 +244,11 @@ def annotate(spectra: DataFrame, peptides: DataFrame, tolerance: float = 20.0, m
     return found.select("run", "scan", "ion.*", hit.alias("matched"), F.col("_x.mz").alias("observed_mz"), F.col("_x.intensity").alias("observed_intensity"), F.when(hit, (F.col("_x.mz") - F.col("ion.mz")) / F.col("ion.mz") * 1e6).alias("delta_ppm"))
 
 
+def annotate_heavy(spectra: DataFrame, peptides: DataFrame, tolerance: float = 20.0, max_charge: int = 2, losses: bool = False, label: dict[str, float] | None = None) -> DataFrame:
+    """The partner spectrum's ions: as ``annotate``, with the label's mass on its residues."""
+    return annotate(spectra, peptides, tolerance, max_charge, losses, SILAC if label is None else label)
+
+
 def annotation_scores(annotated: DataFrame, spectra: DataFrame) -> DataFrame:
     """Per spectrum: matched and all ions, their ratio, matched and total intensity. A peak of several ions counts once."""
     ions = annotated.groupBy("run", "scan").agg(F.count_if("matched").alias("matched"), F.count(F.lit(1)).alias("total"))
@@ -246,6 +268,25 @@ def provenance(annotated_trap: DataFrame, annotated_target: DataFrame, spectra:
     return out.withColumn("shared_ratio", F.when(explained > 0, F.col("shared") / explained).otherwise(0.0))
 
 
+def trace_provenance(classified: DataFrame, spectra: DataFrame, levels: tuple[str, ...] = ("L2", "L3", "L4"), tolerance: float = 20.0, least_peaks: int = 10, reach: float = 0.5) -> DataFrame:
+    """Provenance of all classified traps with a target at the levels asked for: (id, run, scan, trap_only, ..., shared_ratio).
+
+    ``classified``: (id, run, scan, rt_min, peptide, best_target, group, level). A row without a scan takes
+    the nearest MS2 in time; rows whose run or scan isn't there, and spectra with few peaks, are left out.
+    """
+    from massq.operators.joins import nearest_join
+
+    rows = classified.where((F.col("group") == "trap") & F.col("level").isin(*levels) & F.col("best_target").isNotNull())
+    m = by_level(spectra, 2).select(F.col("run").alias("_run"), F.col("scan").alias("_scan"), F.col("rt_min").alias("_rt"))
+    near = nearest_join(rows.where("scan is null"), m, (("run", "_run"),), "rt_min", "_rt", reach, ["id"], ["_rt", "_scan"]).select("id", "_scan")
+    placed = rows.join(near, "id", "left").withColumn("scan", F.coalesce("scan", "_scan")).where("scan is not null").select("id", "run", "scan", "peptide", "best_target")
+    peaks = by_level(spectra, 2).where(F.size("mz") >= least_peaks).select("run", "scan", "mz", "intensity")
+    each = placed.join(peaks, ["run", "scan"]).select(F.col("id").cast("string").alias("run"), F.lit(0).alias("scan"), "mz", "intensity", "peptide", "best_target")  # a row is a spectrum of its own
+    of = lambda c: annotate(each, each.select("run", "scan", F.col(c).alias("peptide")), tolerance, 2, losses=False)
+    found = provenance(of("peptide"), of("best_target"), each.select("run", "scan", "mz", "intensity")).withColumnRenamed("run", "_id").drop("scan")
+    return placed.select("id", "run", "scan").join(found, F.col("id").cast("string") == F.col("_id")).drop("_id")
+
+
 def heavy_scans_dda(scans: DataFrame, wanted: DataFrame, ppm: float = 20.0) -> DataFrame:
     """For each of ``wanted`` (id, run, rt, heavy_mz) the nearest MS2 in time whose precursor lies within ppm (less than)."""
     from massq.operators.joins import ppm_join

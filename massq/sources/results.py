@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massq.functions.chem import mh_to_mz
+from massq.operators.validate import bare_name
 
 # Unimod id, title, mass, residues (none: any), as imports resolve them.
 UNIMOD = (
@@ -54,6 +55,12 @@ def detect_format(path: str, header: str | None = None) -> str:
     raise ResultImportError(f"unknown result format: {path}")
 
 
+def format_of(path: Column) -> Column:
+    """``detect_format`` for a column of paths, without a look inside; null for unknown ones."""
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.when(suffix.isin("json", "parquet", "spectra"), suffix).when(suffix.isin("tsv", "txt"), "generic_tsv")
+
+
 def strip_modified(modified: Column) -> Column:
     """A modified sequence without parentheses (one level), brackets and underscores."""
     return F.regexp_replace(modified, r"\([^()]*(?:\([^()]*\)[^()]*)*\)|\[[^\]]*\]|_", "")
@@ -160,14 +167,28 @@ def load_psms(spark: SparkSession, path: str, columns: dict[str, str] | None = N
     return read_generic(spark, path, columns)
 
 
+#: Importers by format: functions of (spark, path, q, run). More may be added.
+IMPORTERS = {"parquet": read_diann, "json": lambda spark, path, q, run: read_json(spark, path), "pfind_tsv": lambda spark, path, q, run: read_pfind(spark, path)}
+
+
 def import_results(spark: SparkSession, path: str, q: float = 0.01, run: str | None = None) -> DataFrame:
     kind = detect_format(path, (spark.read.text(path).limit(1).collect() or [None])[0] and spark.read.text(path).first().value if re.search(r"\.(tsv|txt)$", path.lower()) else None)
     if kind == "spectra":
         raise NotImplementedError(".spectra files aren't supported")
-    reader = {"parquet": lambda: read_diann(spark, path, q, run), "json": lambda: read_json(spark, path), "pfind_tsv": lambda: read_pfind(spark, path)}.get(kind)
-    if reader is None:
+    if kind not in IMPORTERS:
         raise ResultImportError(f"no importer for {kind}")
-    return reader()
+    rows = IMPORTERS[kind](spark, path, q, run)
+    return rows.where(F.when(bare_name(F.col("run")), True).otherwise(F.raise_error(F.concat(F.lit("not a bare run name: "), F.coalesce("run", F.lit("")))).cast("boolean")))
+
+
+CLASSIFIED_KINDS = {"charge": "int", "precursor_mz": "double", "retention_time": "double", "scan_number": "int", "q_value": "double", "mismatches": "int", "delta_mass_da": "double", "edit_distance": "int", "trap_matched": "int", "target_matched": "int", "shared_ions": "int", "shared_ratio": "double", "is_chimeric": "boolean"}
+
+
+def read_classified(spark: SparkSession, path: str) -> DataFrame:
+    """The classified table as it was written, by its header; blanks and what can't be read are null."""
+    df = _tsv(spark, path)
+    _need(df, "peptide", "protein_ids", "group", "level")
+    return df.select(*[F.nullif(F.col(c), F.lit("")).try_cast(CLASSIFIED_KINDS.get(c, "string")).alias(c) for c in df.columns]).withColumn("delta_mass", _or_null(df, "delta_mass_da", "double"))
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -69,6 +69,26 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def run_metadata(classified: DataFrame, inputs: DataFrame, settings: dict) -> DataFrame:
+    """One row about a run: its settings, its inputs' digests, and matches by group and level."""
+    levels = classified.groupBy("group", "level").agg(F.count(F.lit(1)).alias("n"))
+    counts = levels.agg(F.array_sort(F.collect_list(F.struct("group", "level", "n"))).alias("levels"))  # a few groups and levels
+    files = inputs.agg(F.array_sort(F.collect_list(F.struct("path", "length", "sha256"))).alias("inputs"))
+    return counts.crossJoin(files).withColumn("settings", F.lit(json.dumps(settings, sort_keys=True, default=str)))  # two rows
+
+
+def chimeric(counts: DataFrame, light: str = "shared", total: str = "total", most: float = 0.30) -> DataFrame:
+    """Rows of the multi-target summary, marked where more than a share of all light and heavy peaks are shared."""
+    share = F.when(F.col(total) > 0, F.col(light) / F.col(total)).otherwise(0.0)
+    return counts.withColumn("is_chimeric", share > most)
+
+
+def multi_target_page(title: str, counts: DataFrame, most: int = 10_000) -> str:
+    """The summary of multi-target provenance, most shared first."""
+    total = F.col("trap_only") + F.col("target_only") + F.col("shared") + F.col("unassigned")
+    return page(title, chimeric(counts.withColumn("total", total)).orderBy(F.desc("shared_ratio"), *[c for c in ("run", "scan") if c in counts.columns]), most)
+
+
 def save_history(entry: dict, folder: str) -> str:
     """One JSON file a run on the driver; beyond 500 the oldest go."""
     Path(folder).mkdir(parents=True, exist_ok=True)

@@ -37,6 +37,12 @@ def detect_format(path: str) -> str:
     return FORMATS[suffix[0]]
 
 
+def format_of(path: Column) -> Column:
+    """``detect_format`` for a column of paths; null for unknown ones."""
+    suffix = F.regexp_extract(F.lower(path), r"(\.[^./]+)/*$", 1)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair]), suffix)
+
+
 def _run(path_column: Column) -> Column:
     return F.regexp_extract(path_column, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
@@ -44,7 +50,8 @@ def _run(path_column: Column) -> Column:
 def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     """``BEGIN IONS`` blocks; PEPMASS is required; a block that was never closed ends at the next one.
 
-    Scans without SCANS count from 1 in file order, which needs a look at each file's blocks in order.
+    Scans without SCANS count from 1 in file order: blocks are counted by split of a file first, so
+    peaks don't move and no file is ordered in one task.
     """
     text = spark.read.option("lineSep", "END IONS").text(path)
     pieces = text.select(_run(F.col("_metadata.file_path")).alias("run"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.split("value", "BEGIN IONS").alias("p"))
@@ -55,8 +62,13 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     peaks = F.transform(F.regexp_extract_all("block", F.lit(r"(?m)^\s*([0-9][0-9.eE+-]*)[ \t]+([0-9][0-9.eE+-]*)"), 0), lambda line: F.split(F.trim(line), r"\s+"))
     peaks = F.filter(F.transform(peaks, lambda p: F.struct(p[0].try_cast("double").alias("mz"), p[1].try_cast("double").alias("intensity"))), lambda p: p["mz"].isNotNull() & p["intensity"].isNotNull())
     rows = blocks.select("run", "at", "id", "k", field("SCANS").try_cast("int").alias("named"), mass[0].try_cast("double").alias("pm"), F.try_element_at(mass, F.lit(2)).try_cast("double").alias("pi"), F.when(charge != 0, charge).alias("z"), (field("RTINSECONDS").try_cast("double") / 60).alias("rt"), F.array_sort(peaks).alias("peaks"))
-    ordinal = F.row_number().over(Window.partitionBy("run").orderBy("id", "k"))
-    rows = rows.where("pm is not null").withColumn("scan", F.coalesce("named", ordinal))
+    rows = rows.where("pm is not null")
+    # A split's blocks have rising ids, so their number within it needs no peaks; splits start at ``at``.
+    light = rows.where("named is null").select("run", "at", "id", "k")
+    offsets = light.groupBy("run", "at").agg(F.count(F.lit(1)).alias("n")).withColumn("off", F.coalesce(F.sum("n").over(Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = F.row_number().over(Window.partitionBy("run", "at").orderBy("id", "k"))
+    numbered = light.withColumn("r", number).join(offsets, ["run", "at"]).select("id", "k", (F.col("r") + F.col("off")).cast("int").alias("ordinal"))
+    rows = rows.where("named is not null").withColumn("scan", F.col("named")).unionByName(rows.where("named is null").join(numbered, ["id", "k"]).withColumn("scan", F.col("ordinal")).drop("ordinal"))
     precursor = F.struct(F.col("pm").alias("mz"), F.col("z").alias("charge"), F.col("pi").alias("intensity"), F.lit(None).alias("isolation"), F.lit(None).alias("source_scan")).cast(PRECURSOR)
     return rows.select("run", "scan", F.lit(2).alias("ms_level"), F.coalesce("rt", F.lit(0.0)).alias("rt_min"), F.array(precursor).alias("precursors"), F.col("peaks.mz").alias("mz"), F.col("peaks.intensity").alias("intensity"), F.lit("centroid").alias("representation"))
 
@@ -185,7 +197,11 @@ def parse_pfb(content: bytes) -> Iterator[dict]:
 
 
 def read_pfb(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select(_run(F.col("path")).alias("run"), "content")
+    return parse_pfb_table(spark.read.format("binaryFile").load(path).select(_run(F.col("path")).alias("run"), "content"))
+
+
+def parse_pfb_table(files: DataFrame) -> DataFrame:
+    """Spectra of (run, content) rows."""
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
@@ -195,6 +211,7 @@ def read_pfb(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, SCHEMA)
 
 
+#: By format; more may be added, with their suffixes in FORMATS.
 READERS = {"mgf": read_mgf, "mzml": read_mzml, "pfb": read_pfb}
 
 
@@ -211,6 +228,6 @@ def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def ingest(spectra: DataFrame, path: str) -> DataFrame:
-    """Parquet by run, sorted by time within files: the form in which look-ups prune."""
-    spectra.repartition("run").sortWithinPartitions("run", "rt_min", "scan").write.mode("errorifexists").parquet(path)
+    """Parquet by ranges of run and time, sorted within files: the form in which look-ups prune. A long run spreads over files."""
+    spectra.repartitionByRange("run", "rt_min", "scan").sortWithinPartitions("run", "rt_min", "scan").write.mode("errorifexists").parquet(path)
     return spectra.sparkSession.read.schema(spectra.schema).parquet(path)
