@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from massq.plans import entrap, matching, proteins, signals
+from massq.plans import entrap, files, matching, proteins, signals
 
-_PARTS = (matching, proteins, signals, entrap)
+_PARTS = (matching, proteins, signals, entrap, files)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}
 
