@@ -186,7 +186,7 @@ def _diann(spark, d) -> str:
 
 
 def _imported(rows: DataFrame) -> DataFrame:
-    return _rounded(rows.groupBy("run", "charge").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("peptide").alias("peptides"), F.max("score").alias("best"), F.sum("rt_min").alias("rt"), F.sum(F.size("accessions")).cast("long").alias("accessions")), 4)
+    return _rounded(rows.groupBy("run", "charge").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("peptide").alias("peptides"), F.max("score").alias("best"), F.sum("rt_min").alias("rt"), F.sum(F.size("accessions")).cast("long").alias("accessions")), 6)
 
 
 def import_diann(spark, d):
@@ -439,7 +439,7 @@ QUERIES = {f.__name__: f for f in (file_formats, mgf_scan, mzml_scan, pfb_scan,
 
 _LETTERS = "translate({}::VARCHAR, '0123456789', 'ACDEFGHILK')"
 _DIANN = f"r AS (SELECT 'run' || l_returnflag AS run, l_linenumber % 4 AS charge, 'ACK' || {_LETTERS.format('l_partkey')} AS peptide, {_LETTERS.format('l_partkey')} AS stripped, 1 - l_discount AS score, l_discount AS q, l_quantity AS rt, l_suppkey, l_extendedprice AS mz FROM lineitem)"
-_IMPORTED = "SELECT run, charge::INT AS charge, count(*) AS n, count(DISTINCT peptide) AS peptides, round(max(score), 4) AS best, round(sum(rt)::DOUBLE, 4) AS rt, 2 * count(*) AS accessions FROM r WHERE charge > 0 AND {} GROUP BY 1, 2"
+_IMPORTED = "SELECT run, charge::INT AS charge, count(*) AS n, count(DISTINCT peptide) AS peptides, round(max(score), 6) AS best, round(sum(rt)::DOUBLE, 6) AS rt, 2 * count(*) AS accessions FROM r WHERE charge > 0 AND {} GROUP BY 1, 2"
 _NAMES = "regexp_matches(upper(e), '{}')"
 _PFIND = f"r AS (SELECT 'run' || o_orderpriority[1:1] AS run, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 3 + 1 END AS charge, {_LETTERS.format('o_orderkey')} AS peptide, o_orderkey % 100 AS rt, o_totalprice AS mh, o_totalprice / 1000 AS score, 'p' || (o_custkey % 50) || ';q' AS proteins FROM orders)"
 _CAND = f"""{_BENCH}, db AS (SELECT accession, s, false AS dec FROM seq UNION ALL SELECT 'REV_' || accession, reverse(s[1:len(s) - 1]) || s[len(s):], true FROM seq),
