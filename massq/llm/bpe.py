@@ -208,8 +208,7 @@ class Tokenizer:
         small_batches(spark)
         shared = spark.sparkContext.broadcast((tuple(read_ranks(path)), pattern))
 
-        @F.arrow_udf("array<int>")
-        def encode(texts: pa.Array) -> pa.Array:
+        def ids_of(texts: pa.Array) -> pa.Array:
             vocabulary, parts, counts = _vocabulary(*shared.value), [], [np.zeros(1, np.int64)]
             for at in range(0, len(texts), STEP):
                 ids, n = vocabulary.encode(texts.slice(at, STEP).to_pylist())
@@ -218,8 +217,7 @@ class Tokenizer:
             ends = np.cumsum(np.concatenate(counts)).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
-        @F.arrow_udf("binary")
-        def decode(ids: pa.Array) -> pa.Array:
+        def bytes_of(ids: pa.Array) -> pa.Array:
             vocabulary, ends, values = _vocabulary(*shared.value), ids.offsets.to_numpy(), ids.values
             parts, sizes = [], [np.zeros(1, np.int64)]
             for at in range(0, len(ids), STEP):
@@ -230,7 +228,20 @@ class Tokenizer:
             offsets = np.cumsum(np.concatenate(sizes)).astype("<i4")
             return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(parts))])
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("array<int>")
+        def encode(texts: pa.Array) -> pa.Array:
+            return ids_of(texts)
+
+        @F.arrow_udf("binary")
+        def decode(ids: pa.Array) -> pa.Array:
+            return bytes_of(ids)
+
+        @F.arrow_udf("ids array<int>, decoded binary")
+        def round_trip(texts: pa.Array) -> pa.Array:
+            ids = ids_of(texts)
+            return pa.StructArray.from_arrays([ids, bytes_of(ids)], ["ids", "decoded"])
+
+        self._encode, self._decode, self._round_trip = encode, decode, round_trip
 
     def encode(self, text: Column) -> Column:
         return self._encode(F.coalesce(text, F.lit("")))
@@ -239,6 +250,11 @@ class Tokenizer:
         return self._decode(F.coalesce(ids, F.array().cast("array<int>")))
 
 
+    def round_trip(self, text: Column) -> Column:
+        """Struct of the ids of a text and the bytes that the ids stand for, in one pass through Python: one worker a task holds the vocabulary."""
+        return self._round_trip(F.coalesce(text, F.lit("")))
+
+
 def tokenizer(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> Tokenizer:
     """One of the public vocabularies that are installed beside Spark."""
     import public_tokenizers
@@ -248,7 +264,7 @@ def tokenizer(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") ->
 
 def encoded(docs: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_ids`` and ``_decoded``, the bytes that the ids stand for."""
-    return docs.withColumn("_ids", tok.encode(text_of(text_col))).withColumn("_decoded", tok.decode(F.col("_ids")))
+    return docs.withColumn("_both", tok.round_trip(text_of(text_col))).withColumns({"_ids": F.col("_both.ids"), "_decoded": F.col("_both.decoded")}).drop("_both")
 
 
 def digests(rows: DataFrame) -> DataFrame:
