@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from massq.operators.shared import materialise as cut
 from massq.operators.shared import shared_path as scratch_path
 
-__all__ = ["SPACE", "SPACE_CHARS", "WORD", "cut", "n_words_of", "remainder", "scratch_path", "small_batches", "text_of", "words_of"]
+__all__ = ["SPACE", "SPACE_CHARS", "WORD", "cut", "n_words_of", "remainder", "scratch_path", "small_batches", "small_row_groups", "text_of", "words_of"]
 
 #: White space of the query contracts: space and the controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -22,11 +22,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     Texts are long, so the default of 10,000 rows fills a worker's memory. It is a setting
     of the session, read when a plan is made; a lower one stays.
     """
+    small_row_groups(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, rows)
 
 
+def small_row_groups(spark: SparkSession, size: int = 32 << 20) -> None:
+    """Have Spark write Parquet in row groups of 32 MB: a writer holds one in memory, and the default of 128 MB takes a task's share of an executor. One that is set stays."""
+    if spark.conf.get("parquet.block.size", None) is None:
+        spark.conf.set("parquet.block.size", str(size))
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(col), F.lit(""))
