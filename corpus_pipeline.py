@@ -17,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from massq.llm import bpe, exact, mixing, near, quality
-from massq.llm.common import scratch_path
+from massq.llm.common import scratch_path, small_row_groups
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_row_groups(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
