@@ -2,7 +2,7 @@
 
 The tables stand in for search results: ``lineitem`` rows are matches (price the score, R
 returns the decoys, part the peptide, supplier the protein), ``part`` rows candidates,
-``events`` scans. Every query reads its whole tables.
+``events`` scans. Queries read whole tables.
 """
 
 from __future__ import annotations
