@@ -251,7 +251,7 @@ def test_parsimony_in_rounds_equals_one_task(spark):
 
 def test_search_in_dalton(spark):
     """An open search takes every candidate within 500 of the precursor's m/z, whatever its mass."""
-    peptides = spark.createDataFrame([("A", 500.0), ("B", 1990.0), ("C", 2998.0), ("D", 3004.0)], "peptide string, mass double")
+    peptides = spark.createDataFrame([("A", 500.5), ("B", 1990.0), ("C", 2998.0), ("D", 3004.0)], "peptide string, mass double")
     one = "struct<mz:double,charge:int,intensity:double,isolation:struct<target:double,lower:double,upper:double>,source_scan:int>"
     spectra = spark.createDataFrame([("r", 1, 2, [(1001.007276, 2, None, None, None)]), ("r", 2, 2, [(1001.007276, 1, None, None, None)])], f"run string, scan int, ms_level int, precursors array<{one}>")
     found = {(r.scan, r.peptide) for r in search.matches_within(spectra, peptides, 500.0, "Da").collect()}
