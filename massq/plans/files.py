@@ -26,7 +26,7 @@ from massq.plans.entrap import _CLASSES, _CLS, classified
 from massq.plans.matching import _PSMS, psms, q_sql, table
 from massq.plans.proteins import _BENCH, _SEQ, _STD, _TRYPSIN, _mass, sequences
 from massq.plans.proteins import SQL as _PROTEIN_SQL
-from massq.plans.signals import _COUNTS, _REVERSED, _S, _SHARE, _T, _ions, _rounded, _timed, _wanted, spectra
+from massq.plans.signals import _COUNTS, _REVERSED, _S, _SHARE, _T, _ion_tables, _rounded, _timed, _wanted, spectra
 from massq.sources import proteins as P
 from massq.sources import results as R
 from massq.sources import sinks
@@ -504,5 +504,5 @@ SQL = {
     "group_coverage": f"WITH c AS ({_COVERED}) SELECT accession AS leader, round(covered / len, 6) AS coverage FROM c",
 }
 SQL["traced_provenance"] = f"""WITH {_CAND.format("false")}, pep AS (SELECT run AS peptide FROM sp WHERE len(run) % 3 > 0 AND 2 * ((len(run) - 1) // 2) >= 8), made_i AS (SELECT peptide, unnest(range(2, len(peptide), 2)) AS n FROM pep),
-peak AS (SELECT peptide, {_mass("peptide[1:n]")} + 1.007276::DOUBLE AS pmz, n::DOUBLE AS height FROM made_i UNION ALL SELECT peptide, {_mass("peptide[len(peptide) - n + 1:]")} + 18.010565::DOUBLE + 1.007276::DOUBLE, n::DOUBLE FROM made_i), {_ions("own", "peptide")}, {_ions("rev", _REVERSED)},
+peak AS (SELECT peptide, {_mass("peptide[1:n]")} + 1.007276::DOUBLE AS pmz, n::DOUBLE AS height FROM made_i UNION ALL SELECT peptide, {_mass("peptide[len(peptide) - n + 1:]")} + 18.010565::DOUBLE + 1.007276::DOUBLE, n::DOUBLE FROM made_i), {_ion_tables("own", "peptide")}, {_ion_tables("rev", _REVERSED)},
 c AS (SELECT peptide, pmz, pmz IN (SELECT h.p.m FROM own_h h WHERE h.peptide = peak.peptide) AS t, pmz IN (SELECT h.p.m FROM rev_h h WHERE h.peptide = peak.peptide) AS o FROM peak), n AS (SELECT peptide AS id, {_COUNTS} FROM c GROUP BY 1) SELECT *, {_SHARE} FROM n"""

@@ -265,7 +265,7 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '12 hours' AS "end", count(
 }
 
 
-def _ions(name: str, variant: str, losses: bool = False, charges: int = 2, tolerance: float = 20.0) -> str:
+def _ion_tables(name: str, variant: str, losses: bool = False, charges: int = 2, tolerance: float = 20.0) -> str:
     """CTEs ``name`` (ions of a variant of each peptide) and ``name_h`` (the nearest peak of each that has one)."""
     shifts = "('', 0.0::DOUBLE)" + (", ('w', 18.010565::DOUBLE), ('a', 17.026549::DOUBLE)" if losses else "")
     return f"""{name}_i AS (SELECT peptide, v, unnest(range(1, len(v))) AS n FROM (SELECT peptide, {variant} AS v FROM pep)), {name}_m AS (SELECT peptide, n, {_mass("v[1:n]")} AS b, {_mass("v[len(v) - n + 1:]")} + 18.010565::DOUBLE AS y FROM {name}_i),
@@ -278,12 +278,12 @@ _REVERSED = "reverse(peptide[1:len(peptide) - 1]) || right(peptide, 1)"
 _COUNTS = "count(*) FILTER (t AND NOT o) AS trap_only, count(*) FILTER (o AND NOT t) AS target_only, count(*) FILTER (t AND o) AS shared, count(*) FILTER (NOT t AND NOT o) AS unassigned"
 _SHARE = "CASE WHEN trap_only + target_only + shared > 0 THEN round(shared / (trap_only + target_only + shared), 6) ELSE 0 END AS shared_ratio"
 SQL |= {
-    "annotation": f"""WITH {_SPECTRA}, {_ions("own", "peptide", charges=1, tolerance=5.0)} SELECT peptide, count(*) AS ions, count(p) AS matched, coalesce(round(min((p.m - own.mz) / own.mz * 1e6), 3), 0) AS least_ppm FROM own LEFT JOIN own_h USING (peptide, kind, n, l, z) GROUP BY 1""",
-    "annotation_scores": f"""WITH {_SPECTRA}, {_ions("own", "peptide", True)}, a AS (SELECT peptide, count(*) AS total FROM own GROUP BY 1), h AS (SELECT peptide, count(*) AS matched FROM own_h GROUP BY 1), heard AS (SELECT peptide, sum(i) AS i FROM (SELECT DISTINCT peptide, p.m AS m, p.i AS i FROM own_h) GROUP BY 1), every AS (SELECT peptide, sum(height) AS i FROM peak GROUP BY 1)
+    "annotation": f"""WITH {_SPECTRA}, {_ion_tables("own", "peptide", charges=1, tolerance=5.0)} SELECT peptide, count(*) AS ions, count(p) AS matched, coalesce(round(min((p.m - own.mz) / own.mz * 1e6), 3), 0) AS least_ppm FROM own LEFT JOIN own_h USING (peptide, kind, n, l, z) GROUP BY 1""",
+    "annotation_scores": f"""WITH {_SPECTRA}, {_ion_tables("own", "peptide", True)}, a AS (SELECT peptide, count(*) AS total FROM own GROUP BY 1), h AS (SELECT peptide, count(*) AS matched FROM own_h GROUP BY 1), heard AS (SELECT peptide, sum(i) AS i FROM (SELECT DISTINCT peptide, p.m AS m, p.i AS i FROM own_h) GROUP BY 1), every AS (SELECT peptide, sum(height) AS i FROM peak GROUP BY 1)
 SELECT peptide, coalesce(matched, 0) AS matched, total, round(coalesce(matched, 0) / total, 6) AS score, coalesce(heard.i, 0) AS matched_intensity, every.i AS total_intensity FROM a LEFT JOIN h USING (peptide) LEFT JOIN heard USING (peptide) JOIN every USING (peptide)""",
-    "fragment_provenance": f"""WITH {_SPECTRA}, {_ions("own", "peptide")}, {_ions("rev", _REVERSED)}, c AS (SELECT peptide, pmz, pmz IN (SELECT h.p.m FROM own_h h WHERE h.peptide = peak.peptide) AS t, pmz IN (SELECT h.p.m FROM rev_h h WHERE h.peptide = peak.peptide) AS o FROM peak),
+    "fragment_provenance": f"""WITH {_SPECTRA}, {_ion_tables("own", "peptide")}, {_ion_tables("rev", _REVERSED)}, c AS (SELECT peptide, pmz, pmz IN (SELECT h.p.m FROM own_h h WHERE h.peptide = peak.peptide) AS t, pmz IN (SELECT h.p.m FROM rev_h h WHERE h.peptide = peak.peptide) AS o FROM peak),
 n AS (SELECT peptide, {_COUNTS} FROM c GROUP BY 1) SELECT *, {_SHARE} FROM n""",
-    "multi_target": f"""WITH {_SPECTRA}, {_ions("own", "peptide")}, {_ions("rev", _REVERSED)}, {_ions("fold", "translate(peptide, 'I', 'L')")}, claim AS (SELECT DISTINCT peptide, p.m AS pmz, 0 AS who FROM own_h UNION SELECT peptide, p.m, 1 FROM rev_h UNION SELECT peptide, p.m, 2 FROM fold_h),
+    "multi_target": f"""WITH {_SPECTRA}, {_ion_tables("own", "peptide")}, {_ion_tables("rev", _REVERSED)}, {_ion_tables("fold", "translate(peptide, 'I', 'L')")}, claim AS (SELECT DISTINCT peptide, p.m AS pmz, 0 AS who FROM own_h UNION SELECT peptide, p.m, 1 FROM rev_h UNION SELECT peptide, p.m, 2 FROM fold_h),
 c AS (SELECT peptide, pmz, coalesce(bool_or(who = 0), false) AS t, coalesce(bool_or(who > 0), false) AS o, count(*) FILTER (who > 0) AS k FROM peak LEFT JOIN claim USING (peptide, pmz) GROUP BY 1, 2),
 n AS (SELECT peptide, {_COUNTS}, max(k) AS most_candidates FROM c GROUP BY 1) SELECT *, {_SHARE} FROM n""",
 }
