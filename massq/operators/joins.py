@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from massq.functions.exprs import hamming
+
 
 def _buckets(lo: Column, hi: Column, width: float) -> Column:
     return F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
@@ -115,3 +117,21 @@ def similar_join(left: DataFrame, right: DataFrame, a: str, b: str, most: int, l
     on = [F.col(k) == F.col(f"_r_{m}") for k, m in keys] + [F.col("_k") == F.col("_rk"), F.abs(F.length(x) - F.length(y)) <= length_slack, x != y]
     near = l.join(r, on).select(*[k for k, _ in keys], a, "_t", F.levenshtein(x, y, most).alias("distance")).where("distance >= 0").distinct()
     return near.withColumnRenamed("_t", f"{b}_similar")
+
+
+def hamming_join(left: DataFrame, right: DataFrame, a: str, b: str, most: int) -> DataFrame:
+    """All pairs of distinct texts of one length with at most ``most`` mismatches, identical ones left out.
+
+    Of ``most + 1`` pieces at the same places one is equal, so texts meet on those. Texts of
+    at most ``most`` letters always match and meet by length; an alphabet has few of them.
+    """
+    x, y = F.col(a), F.col("_t")
+
+    def pieces(c: Column) -> Column:
+        whole = F.array(F.struct(F.length(c).alias("len"), F.lit(-1).alias("i"), F.lit("").alias("piece")))
+        return F.explode(F.when(F.length(c) > most, _segments(c, most)).otherwise(whole))
+
+    l = left.select(a).where(x.isNotNull()).distinct().withColumn("_k", pieces(x))  # noqa: E741
+    r = right.select(F.col(b).alias("_t")).where(y.isNotNull()).distinct().withColumn("_rk", pieces(y))
+    near = l.join(r, (F.col("_k") == F.col("_rk")) & (x != y)).select(a, "_t", hamming(x, y).alias("mismatches"))
+    return near.where(F.col("mismatches") <= most).distinct().withColumnRenamed("_t", f"{b}_similar")

@@ -13,7 +13,7 @@ from massq.functions import exprs as X
 from massq.operators import advice
 from massq.operators import digest as D
 from massq.operators import entrapment as E
-from massq.operators.joins import similar_join
+from massq.operators.joins import hamming_join, similar_join
 from massq.plans.matching import table
 from massq.plans.proteins import _STD, _TRYPSIN, _mass, sequences
 from massq.sources import results as R
@@ -69,6 +69,14 @@ def similar_words(spark, d):
     return found.groupBy("peptide").agg(F.min(F.struct("distance", "peptide_similar")).alias("m")).select("peptide", "m.distance", F.col("m.peptide_similar").alias("best"))
 
 
+def hamming_words(spark, d):
+    """Conversation words within two mismatches of a target word of their length, the fewest and the first such word."""
+    targets = _words(spark, d, "benchmark", "item_id").select("peptide")
+    traps = _words(spark, d, "conversations", "conv_id").select("peptide")
+    found = hamming_join(traps, targets, "peptide", "peptide", 2)
+    return found.groupBy("peptide").agg(F.min(F.struct("mismatches", "peptide_similar")).alias("m")).select("peptide", "m.mismatches", F.col("m.peptide_similar").alias("best"))
+
+
 def classify_levels(spark, d):
     """The whole classification of conversation peptides against benchmark peptides."""
     index = E.target_index(sequences(spark, d, "benchmark", "item_id"), E.Config(E.Rule(regex="^t"), E.Rule(regex="^c")))
@@ -169,10 +177,10 @@ def diagnostics(spark, d):
 def modification_union(spark, d):
     """Modifications of two parts of a pair merged by their full identity."""
     p = table(spark, d, "part").select("p_partkey", F.array(F.struct(F.lit("Oxidation").alias("name"), F.lit(15.994915).alias("delta")), F.struct(F.col("p_type").alias("name"), F.col("p_size").cast("double").alias("delta"))).alias("a"), F.array(F.struct(F.lit("Oxidation").alias("name"), F.lit(15.994915).alias("delta")), F.struct(F.lit("PROMO").alias("name"), F.lit(7.0).alias("delta"))).alias("b"))
-    return p.groupBy(F.size(F.array_union("a", "b")).cast("long").alias("mods")).agg(F.count(F.lit(1)).alias("n"))
+    return p.groupBy(F.size(advice.merged(F.col("a"), F.col("b"))).cast("long").alias("mods")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (tagging, tagging_policies, tagging_sets, exact_and_folded, similar_words, classify_levels, entrapment_statistics, top_families, razor_error_rows, classified_table, accession_parts, ion_labels, modified_sequences, pfind_mods, escaping, alignment_places, isobaric_words, co_elution, diagnostics, modification_union)}
+QUERIES = {f.__name__: f for f in (tagging, tagging_policies, tagging_sets, exact_and_folded, similar_words, hamming_words, classify_levels, entrapment_statistics, top_families, razor_error_rows, classified_table, accession_parts, ion_labels, modified_sequences, pfind_mods, escaping, alignment_places, isobaric_words, co_elution, diagnostics, modification_union)}
 
 _TAG = "CASE WHEN (b LIKE '%Brand#1%' OR t = 'PROMO' OR t LIKE '%Brand#1%') AND (regexp_matches(b, '[37]$') OR regexp_matches(t, '[37]$')) THEN 'ambiguous' WHEN b LIKE '%Brand#1%' OR t = 'PROMO' OR t LIKE '%Brand#1%' THEN 'target' ELSE 'trap' END"
 _CLS = "c AS (SELECT p_name AS peptide, 'sp|P' || p_partkey || '|' || upper(split_part(p_name, ' ', 2)) || '_HUMAN;second' AS ids, upper(split_part(p_name, ' ', 2)) AS family, CASE WHEN p_brand LIKE '%Brand#1%' AND regexp_matches(p_brand, '[37]$') THEN 'ambiguous' WHEN p_brand LIKE '%Brand#1%' THEN 'target' ELSE 'trap' END AS \"group\", 'L' || (p_size % 5) AS level, CASE WHEN p_size % 3 > 0 THEN p_retailprice - 1000 END AS dm FROM part)"
@@ -188,6 +196,8 @@ UNION ALL SELECT 'prefer_trap', CASE WHEN r THEN 'trap' ELSE 'target' END, count
 SELECT cw.peptide, CASE WHEN bw.peptide IS NOT NULL THEN 'L0' WHEN f.peptide IS NOT NULL THEN 'L1' ELSE 'L4' END AS level, coalesce(bw.peptide, f.peptide) AS best_target FROM cw LEFT JOIN bw ON bw.peptide = cw.peptide LEFT JOIN f ON f.f = translate(cw.peptide, 'I', 'L')""",
     "similar_words": f"""WITH {_WORDS}, l AS (SELECT a.peptide, b.peptide AS t, levenshtein(a.peptide, b.peptide)::INT AS distance FROM cw a JOIN bw b ON abs(len(a.peptide) - len(b.peptide)) <= 2 AND a.peptide <> b.peptide)
 SELECT peptide, min(distance) AS distance, arg_min(t, struct_pack(d := distance, t := t)) AS best FROM l WHERE distance <= 2 GROUP BY 1""",
+    "hamming_words": f"""WITH {_WORDS}, l AS (SELECT a.peptide, b.peptide AS t, hamming(a.peptide, b.peptide)::INT AS mismatches FROM cw a JOIN bw b ON len(a.peptide) = len(b.peptide) AND a.peptide <> b.peptide)
+SELECT peptide, min(mismatches) AS mismatches, arg_min(t, struct_pack(d := mismatches, t := t)) AS best FROM l WHERE mismatches <= 2 GROUP BY 1""",
     "entrapment_statistics": f"WITH {_CLS} SELECT \"group\", level, count(*) AS n, count(dm) AS n_mass, round(min(dm), 6) AS mass_min, round(max(dm), 6) AS mass_max, round(avg(dm), 6) AS mass_mean FROM c GROUP BY 1, 2",
     "top_families": f"WITH {_CLS} SELECT family, count(*) AS n, min(peptide) AS example FROM c WHERE \"group\" = 'trap' AND level = 'L0' GROUP BY 1 ORDER BY n DESC, family LIMIT 10",
     "razor_error_rows": f"WITH {_CLS} SELECT 'exact target peptide assigned to a trap protein' AS reason, count(*) AS n, count(DISTINCT peptide) AS peptides FROM c WHERE \"group\" = 'trap' AND level = 'L0'",

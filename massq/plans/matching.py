@@ -134,8 +134,9 @@ def similar_names(spark, d):
 
 
 def hamming_names(spark, d):
+    """Names of one length with at most four mismatches, and what differs."""
     names = table(spark, d, "part").select(F.upper("p_name").alias("a")).distinct()
-    pairs = names.join(names.select(F.col("a").alias("b")), (F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
+    pairs = joins.hamming_join(names, names, "a", "a", 4).where("a < a_similar").withColumnRenamed("a_similar", "b").drop("mismatches")
     diffs = X.differences(F.col("a"), F.col("b"))
     rows = pairs.withColumn("x", diffs)
     return rows.select("a", "b", F.size("x").alias("mismatches"), X.difference_text(F.col("x")).alias("detail"), X.only_il(F.col("a"), F.col("b")).alias("only_il"), X.single_qk(F.col("x")).alias("single_qk"), F.round(X.substitution_mass(F.col("x")), 6).alias("delta_mass"))
@@ -262,7 +263,7 @@ def _mass_case(c: str) -> str:
     return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in RESIDUES.items()) + " ELSE 0 END"
 
 
-SQL["hamming_names"] = f"""WITH n AS (SELECT DISTINCT upper(p_name) AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON len(x.a) = len(y.a) AND x.a < y.a),
+SQL["hamming_names"] = f"""WITH n AS (SELECT DISTINCT upper(p_name) AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON len(x.a) = len(y.a) AND x.a < y.a AND hamming(x.a, y.a) <= 4),
 d AS (SELECT a, b, list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i]) AS i FROM p)
 SELECT a, b, len(i)::INT AS mismatches, '[' || array_to_string(list_transform(i, lambda k: (k - 1) || ':' || a[k] || '->' || b[k]), ',') || ']' AS detail,
 a <> b AND translate(a, 'I', 'L') = translate(b, 'I', 'L') AS only_il, len(i) = 1 AND a[i[1]] || b[i[1]] IN ('QK', 'KQ') AS single_qk,

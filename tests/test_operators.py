@@ -239,6 +239,16 @@ def test_similar_join_equals_the_full_product(spark, most):
         assert got == {(x, y, d) for x in left for y in right if x != y and abs(len(x) - len(y)) <= slack and (d := _distance(x, y)) <= most}
 
 
+@pytest.mark.parametrize("most", [0, 1, 3])
+def test_hamming_join_equals_the_full_product(spark, most):
+    rng = random.Random(most)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(0, 9) if k % 3 else rng.randint(0, 4))) for k in range(150)})
+    left, right = words[::2] + ["ab"], words[1::2] + ["ab", "ab"]
+    of = lambda name, values: spark.createDataFrame([(v,) for v in [*values, None]], f"{name} string")
+    got = sorted((r.a, r.b_similar, r.mismatches) for r in joins.hamming_join(of("a", left), of("b", right), "a", "b", most).collect())
+    assert got == sorted({(x, y, n) for x in left for y in right if x != y and len(x) == len(y) and (n := sum(p != q for p, q in zip(x, y, strict=True))) <= most})
+
+
 def test_parsimony_in_rounds_equals_one_task(spark):
     """A hot peptide that all groups hold, so all of them are one component."""
     rng = random.Random(9)
