@@ -19,31 +19,47 @@ def small_blocks():
 def test_against_plain_counts(docs, rows):
     texts = [(r[0], [*words((r[1] or "").translate(LOWER)), None]) for r in rows]
     fold = {d: remainder(d, lm.FOLDS) for d, _ in texts}
-    one, two = Counter(), Counter()
-    kept_one, kept_two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
+    kept_one, kept_two, kept_three = Counter(), Counter(), Counter()
     for d, w in texts:
-        pairs = list(zip([None, *w], w, strict=False))
+        pairs, triples = list(zip([None, *w], w, strict=False)), list(zip([None, *w], w, w[1:], strict=False))
         if fold[d] != lm.HELD:
-            one.update(w), two.update(pairs)
+            one.update(w), two.update(pairs), three.update(triples)
         if fold[d] not in (lm.HELD, lm.DELETED):
-            kept_one.update(w), kept_two.update(pairs)
+            kept_one.update(w), kept_two.update(pairs), kept_three.update(triples)
     n, v, kept = sum(one.values()), len(one), sum(kept_one.values())
     step = lambda p: min(round(-4 * math.log2(p)), lm.STEPS - 2) if p > 0 else lm.STEPS - 1
-    bucket = lambda c: min(int(math.log2(c + 1)), lm.BUCKETS - 1)
+    bucket = lambda c: min(int(2 * math.log2(c + 1)), lm.BUCKETS - 1)
+    part = lambda a, b: a / b if b else 0
+
+    def learned(cells, *low):
+        return lm.learn_weights(np.array(list(cells)), np.array(list(cells.values()), float), *low)
+
+    def lower(a, b, one, two, n):
+        x = weights[bucket(one[a])]
+        return x[0] * part(two[a, b], one[a]) + x[1] * one[b] / n + x[2] / (v + 1)
+
     cells = Counter()
     for d, w in texts:
         if fold[d] == lm.DELETED:
             for a, b in zip([None, *w], w, strict=False):
                 c = kept_one[a]
-                cells[(bucket(c) * lm.STEPS + step(kept_two[a, b] / c if c else 0)) * lm.STEPS + step(kept_one[b] / kept)] += 1
-    weights = lm.learn_weights(np.array(list(cells)), np.array(list(cells.values()), float), 1 / (v + 1))
+                cells[(bucket(c) * lm.STEPS + step(part(kept_two[a, b], c))) * lm.STEPS + step(kept_one[b] / kept)] += 1
+    weights = learned(cells, 1 / (v + 1))
+    cells = Counter()
+    for d, w in texts:
+        if fold[d] == lm.DELETED:
+            for a, b, c in zip([None, *w], w, w[1:], strict=False):
+                cells[(bucket(kept_two[a, b]) * lm.STEPS + step(part(kept_three[a, b, c], kept_two[a, b]))) * lm.STEPS + step(lower(b, c, kept_one, kept_two, kept))] += 1
+    top = learned(cells)
+    assert any(top[:, 0] > 0.05)
     want = []
     for d, w in texts:
         base = sum(math.log10((one[t] + 0.1) / (n + 0.1 * (v + 1))) for t in w)
-        score = 0.0
-        for a, b in zip([None, *w], w, strict=False):
-            x = weights[bucket(one[a])]
-            score += math.log10(x[0] * (two[a, b] / one[a] if one[a] else 0) + x[1] * one[b] / n + x[2] / (v + 1))
+        score = math.log10(lower(None, w[0], one, two, n))
+        for a, b, c in zip([None, *w], w, w[1:], strict=False):
+            x = top[bucket(two[a, b])] if two[a, b] else [0, 1]
+            score += math.log10(x[0] * part(three[a, b, c], two[a, b]) + x[1] * lower(b, c, one, two, n))
         want.append((repr(d), fold[d] == lm.HELD, len(w), sum(one[t] > 0 for t in w), n, base, score))
     got = [(repr(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in lm.score(docs).collect()]
     for a, b in zip(sorted(got), sorted(want), strict=True):
