@@ -111,18 +111,23 @@ class Block:
 
     def __init__(self, row: dict, bits: int):
         self.folds, self.sizes = np.asarray(row["folds"]), np.asarray(row["sizes"])
-        place, words = _unpack(row["tokens"], np.uint32).astype(np.int64), _unpack(row["words"], np.uint64)
+        place, words = _unpack(row["tokens"], np.uint32).astype(np.int32), _unpack(row["words"], np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        before = np.empty(len(place), np.int64)
+        before = np.empty_like(place)
         before[1:] = place[:-1]
         before[self.starts] = place[self.starts[0] + self.sizes[0] - 1]  # each document follows an end
         self.place, self.before = place, before
         later = np.ones(len(place), bool)
         later[self.starts] = False
-        self.inner = np.flatnonzero(later)  # tokens that have a pair before them
+        self.inner = np.flatnonzero(later).astype(np.int32)  # tokens that have a pair before them
         pairs = mixed(mixed(words[before] * np.uint64(0xD6E8FEB86659FD93)) + words[place])
         triples = mixed(mixed(pairs[self.inner - 1] * np.uint64(0xA0761D6478BD642F)) + words[place[self.inner]])
-        self.grams, which = np.unique(np.concatenate([pairs, triples]) >> np.uint64(64 - bits), return_inverse=True)
+        both = np.concatenate([pairs, triples])
+        del pairs, triples
+        both >>= np.uint64(64 - bits)
+        self.grams, which = np.unique(both, return_inverse=True)
+        del both
+        which = which.astype(np.int32)
         self.pair, self.triple = which[: len(place)], which[len(place) :]
         self.context = self.pair[self.inner - 1]
         keys = mixed(words)
@@ -199,7 +204,7 @@ def _ratio(a: np.ndarray, b) -> np.ndarray:
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
-    return np.minimum((2 * np.log2(context + 1)).astype(np.int64), BUCKETS - 1)
+    return np.minimum((2 * np.log2(context + 1)).astype(np.int8), BUCKETS - 1)
 
 
 def _step(p: np.ndarray) -> np.ndarray:
@@ -219,8 +224,10 @@ class Estimates:
         self.three = _ratio(grams[b.triple], self.context)
 
     def lower(self, weights: np.ndarray, uniform: float) -> np.ndarray:
-        w = weights[self.bucket]
-        return w[:, 0] * self.two + w[:, 1] * self.one + w[:, 2] * uniform
+        p = weights[:, 2][self.bucket] * uniform
+        p += weights[:, 1][self.bucket] * self.one
+        p += weights[:, 0][self.bucket] * self.two
+        return p
 
 
 def _histogram(bits: int, kept_tokens: int, weights: np.ndarray | None = None, uniform: float = 0.0):
@@ -233,7 +240,7 @@ def _histogram(bits: int, kept_tokens: int, weights: np.ndarray | None = None, u
                 bucket, high, low = e.bucket, e.two, e.one
             else:
                 bucket, high, low = _bucket(e.context), e.three, e.lower(weights, uniform)[e.block.inner]
-            cells, n = np.unique((bucket * STEPS + _step(high)) * STEPS + _step(low), return_counts=True)
+            cells, n = np.unique((bucket.astype(np.int64) * STEPS + _step(high)) * STEPS + _step(low), return_counts=True)
             yield pa.record_batch([pa.array(cells), pa.array(n)], ["cell", "n"])
 
     return histogram
@@ -260,8 +267,8 @@ def _score(bits: int, lower: np.ndarray, top: np.ndarray, tokens: int, kinds: in
         for row in _rows(batches):
             e = Estimates(row, "every", bits, tokens)
             b, p = e.block, e.lower(lower, 1 / (kinds + 1))
-            w = top[_bucket(e.context)]
-            p[b.inner] = w[:, 0] * e.three + w[:, 1] * p[b.inner]
+            bucket = _bucket(e.context)
+            p[b.inner] = top[:, 0][bucket] * e.three + top[:, 1][bucket] * p[b.inner]
             base = np.log10((e.words + 0.1) / (tokens + 0.1 * (kinds + 1)))
             total = lambda x: np.add.reduceat(x, b.starts)
             known = total((e.words > 0)[b.place].astype(np.int64))
