@@ -78,12 +78,19 @@ def sorted_peaks(mz: Column, intensity: Column) -> Column:
 
 
 def centroids(mz: Column, intensity: Column, least: float = 0.0) -> Column:
-    """Local maxima (mz of the parabola's apex, intensity); the shift is left out beyond half a step."""
-    top = F.array_max(intensity)
+    """Local maxima (mz of the parabola's apex, intensity); the shift is left out beyond half a step.
+
+    The arrays are bound to a variable first, since a lambda evaluates an expression from outside anew for each element.
+    """
+    bound = F.struct(mz.alias("mz"), intensity.alias("intensity"), (F.array_max(intensity) * least).alias("least"))
+    return F.transform(F.array(bound), lambda b: _apexes(b["mz"], b["intensity"], b["least"]))[0]
+
+
+def _apexes(mz: Column, intensity: Column, least: Column) -> Column:
     at = lambda a, i: F.get(a, i)
     n = F.size(intensity)
     inner = F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    peaks = F.filter(inner, lambda i: (at(intensity, i) > at(intensity, i - 1)) & (at(intensity, i) >= at(intensity, i + 1)) & (at(intensity, i) >= top * least))
+    peaks = F.filter(inner, lambda i: (at(intensity, i) > at(intensity, i - 1)) & (at(intensity, i) >= at(intensity, i + 1)) & (at(intensity, i) >= least))
 
     def apex(i: Column) -> Column:
         a, b, c = at(intensity, i - 1), at(intensity, i), at(intensity, i + 1)
