@@ -84,3 +84,16 @@ def test_empty_and_untrained(spark, none):
     held = next(i for i in range(1000) if remainder(i, lm.FOLDS) == lm.HELD)
     x = lm.score(spark.createDataFrame([(held, "some words")], "doc_id long, text string")).first()
     assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (3, 0, 0, True)
+
+
+def test_word_order_counts(spark):
+    """Held-out texts of the same words and nearly the same pairs: the one that training documents hold scores higher."""
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(rng.choice([f"w{i}" for i in range(12)], 40))
+    known, other = text(), text()
+    held = [i for i in range(1000) if remainder(i, lm.FOLDS) == lm.HELD][:2]
+    taught = [i for i in range(1000) if remainder(i, lm.FOLDS) != lm.HELD][:300]
+    rows = [(held[0], known), (held[1], other), *[(i, known if k % 10 == 0 else text()) for k, i in enumerate(taught)]]
+    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()}
+    assert got[held[0]].n_known == got[held[1]].n_known == 41
+    assert got[held[0]].score > got[held[1]].score + 5
