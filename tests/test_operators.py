@@ -208,6 +208,16 @@ def test_centroids_against_numpy(spark):
     assert [p.mz for p in got] == pytest.approx(want[0]) and [p.intensity for p in got] == pytest.approx(want[1])
 
 
+def test_centroids_of_little_or_nothing(spark):
+    """Null arrays, empty ones and two points have no inner maximum; of a plateau the first point counts; least is a share of the largest."""
+    rows = [(None, None), ([], []), ([1.0, 2.0], [1.0, 2.0]), ([1.0, 2.0, 3.0, 4.0], [1.0, 5.0, 5.0, 1.0]), ([1.0, 2.0, 3.0, 4.0, 5.0], [0.0, 1.0, 0.0, 9.0, 0.0])]
+    df = spark.createDataFrame(rows, "m array<double>, y array<double>").coalesce(1)
+    found = [x.p for x in df.select(S.centroids(F.col("m"), F.col("y"), 0.5).alias("p")).collect()]
+    assert [[p.intensity for p in f] for f in found] == [[], [], [], [5.0], [9.0]]
+    assert found[4][0].mz == 4.0
+
+
+
 def test_advice(spark):
     with pytest.raises(ValueError):
         advice.Params(missed=6)
