@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 
 from massq.functions import chem
 from massq.functions import exprs as X
-from massq.operators import advice, digest, entrapment, fdr, inference, joins, search, spectra
-from massq.operators.shared import shared_path
+from massq.operators import advice, digest, entrapment, fdr, inference, joins, occurrences, search, spectra
+from massq.operators.shared import materialise, shared_path
 from massq.sources import proteins as P
 from massq.sources import results as R
 from massq.sources import sinks
 from massq.sources import spectra as files
 
-ENGINES = {"simple": {"hyperscore": False}, "hyperscore": {"hyperscore": True}}
+#: Engines by name, with what each takes beside the parameters of a search. ``simple`` matches precursors, ``hyperscore`` looks fragments up in an index.
+ENGINES: dict[str, dict] = {"simple": {}, "hyperscore": {}}
 
 
 class MassqError(Exception):
@@ -112,7 +113,7 @@ class Session:
                 raise Unsupported("wide isolation windows")
             params = params or self.recommend_params(paths[0]).params
         run = uuid.uuid4().hex
-        self.runs[run] = {"status": "running", "engine": engine, "params": params, "started": time.time()}
+        self.runs[run] = {"status": "running", "engine": engine, "params": params, "fasta": fasta, "started": time.time()}
         thread = InheritableThread(target=self._search, args=(run, rows, fasta, params, engine))
         thread.start()
         if wait:
@@ -123,7 +124,7 @@ class Session:
         state, group = self.runs[run], f"massq-{run}"
         try:
             self.spark.sparkContext.setJobGroup(group, "search", interruptOnCancel=True)
-            found = search.search(rows, P.read_fasta(self.spark, fasta), params.precursor_tolerance, params.fragment_tolerance, params.fragment_unit, params.fixed, params.variable, params.max_mods, params.decoy, drop_decoys=False, precursor_unit=params.precursor_unit, enzyme=params.enzyme, missed=params.missed, shortest=params.shortest, longest=params.longest, **ENGINES[engine])
+            found = search.search(rows, P.read_fasta(self.spark, fasta), params.precursor_tolerance, params.fragment_tolerance, params.fragment_unit, params.fixed, params.variable, params.max_mods, params.decoy, drop_decoys=False, precursor_unit=params.precursor_unit, enzyme=params.enzyme, missed=params.missed, shortest=params.shortest, longest=params.longest, engine=engine, **ENGINES[engine])
             found.write.parquet(f"{self.home}/runs/{run}")
             state["status"] = "cancelled" if state["status"] == "cancelled" else "completed"
         except Exception as x:  # noqa: BLE001  the state tells what became of the run
@@ -165,17 +166,16 @@ class Session:
         return advice.diagnose(s.select("*", F.lit(tolerance).alias("tolerance_ppm"), F.lit(float(state.get("seconds", 0))).alias("matching_sec"), F.lit(float(state.get("seconds", 0))).alias("total_sec")))
 
     def export_results(self, run: str, out: str, fasta: str | None = None) -> None:
-        """Tables and JSON; descriptions and coverage of proteins from the database, if it is given."""
+        """Tables and JSON; descriptions and coverage of proteins from the database: that of the search, unless another is given."""
         rows = self.matches(run)
         named = rows.withColumns({"accessions": F.array("accession"), "modifications": F.transform("combination", lambda s: s["mod"].cast("string"))})
         sinks.write_tsv(sinks.psm_lines(named), f"{out}/psm")
         sinks.write_tsv(sinks.peptide_lines(search.peptide_rollup(rows)), f"{out}/peptide")
-        proteins = search.protein_rollup(rows).withColumns({"description": F.lit(""), "coverage": F.lit(0.0)})
-        if fasta is not None:
-            known = P.read_fasta(self.spark, fasta).select("accession", F.col("description").alias("_d"), F.col("sequence").alias("_s"))
-            own = rows.groupBy("accession").agg(F.collect_set("peptide").alias("_p"))  # a protein's own peptides
-            share = F.when(F.length("_s") > 0, X.covered(X.fold_il(F.col("_s")), F.transform("_p", X.fold_il)) / F.length("_s")).otherwise(0.0)
-            proteins = proteins.join(known, "accession", "left").join(own, "accession").withColumns({"description": F.coalesce("_d", F.lit("")), "coverage": F.coalesce(share, F.lit(0.0))})
+        known = P.read_fasta(self.spark, fasta or self._state(run)["fasta"])
+        own = rows.groupBy("accession").agg(F.collect_set("peptide").alias("peptides"))  # a protein's own peptides
+        share = occurrences.coverage(own.join(known.select("accession", "sequence"), "accession"))
+        proteins = search.protein_rollup(rows).join(known.select("accession", "description"), "accession", "left").join(share, "accession", "left")
+        proteins = proteins.withColumns({"description": F.coalesce("description", F.lit("")), "coverage": F.coalesce(F.when(F.col("length") > 0, F.col("covered") / F.col("length")), F.lit(0.0))}).drop("covered", "length")
         sinks.write_tsv(sinks.protein_lines(proteins), f"{out}/protein")
         sinks.write_json(rows, f"{out}/json")
 
@@ -192,12 +192,17 @@ class Session:
         return spectra.annotate(rows, rows.select("run", "scan", F.lit(peptide).alias("peptide")), tolerance, 2 if charge >= 3 else 1)
 
     def batch_annotate_spectra(self, path: str, annotations: str | DataFrame, tolerance: float = 20.0) -> DataFrame:
-        """Scores of a list of (scan, peptide); those without a spectrum come back with no score."""
+        """Scores of a list of (scan, peptide, charge, mods), each for itself; those without a spectrum come back with no score.
+
+        Modifications shift the ions from their place on; ions of two charges are looked for where the charge is 3 or more.
+        """
         wanted = R.read_annotations(self.spark, annotations) if isinstance(annotations, str) else annotations
+        wanted = materialise(wanted.withColumn("_a", F.monotonically_increasing_id()))
         rows = self.spectra(path).join(wanted.select("scan").distinct(), "scan", "left_semi")
-        keyed = rows.select("run", "scan").join(wanted.select("scan", "peptide"), "scan").select("run", "scan", "peptide")
-        scores = spectra.annotation_scores(spectra.annotate(rows, keyed, tolerance), rows)
-        return wanted.join(scores, "scan", "left")
+        given = [c for c in ("charge", "mods") if c in wanted.columns]
+        keyed = rows.select("run", "scan").join(wanted.select("_a", "scan", "peptide", *given), "scan")
+        scores = spectra.annotation_scores(spectra.annotate(rows, keyed, tolerance, keys=("_a",)), rows, ("_a",))
+        return wanted.join(scores.drop("scan"), "_a", "left").drop("_a")
 
     def extract_xic(self, path: str, scan: int, peptide: str, charge: int = 2, tolerance: float = 20.0, cycles: int = 5, rule: str = "max", top: int = 0, heavy: bool = False) -> DataFrame:
         """Chromatograms of a peptide's fragments in the scans of the same window round a scan, light and, if asked, heavy."""
@@ -228,9 +233,10 @@ class Session:
         return name
 
     def extract_spectrum_precursors(self, path: str, scan: int) -> DataFrame:
-        rows = self.spectra(path)
-        pair = spectra.correlate(rows).where(F.col("scan") == scan)
-        return spectra.extract_precursors(rows).where(F.col("scan") == scan).select("run", "scan", "precursors").join(pair, ["run", "scan"])
+        """Precursors that isotope patterns show for one MS2 scan, and the MS1 they come from; other MS2 scans are left out first."""
+        rows = materialise(self.spectra(path).where((F.col("ms_level") == 1) | (F.col("scan") == scan)))
+        pair = spectra.correlate(rows)
+        return spectra.extract_precursors(rows).select("run", "scan", "precursors").join(pair, ["run", "scan"])
 
     def get_dia_cache_status(self) -> list[dict]:
         return [{"id": k, "columns": v.columns} for k, v in self.extractions.items()]

@@ -89,12 +89,14 @@ def fixed_mod_mass(sequence: Column, mods: tuple[Modification, ...], protein_nte
     return total
 
 
-def prefix_masses(sequence: Column, deltas: dict[str, float] | None = None) -> Column:
-    """Masses of the prefixes of 1 to n - 1 residues, with what ``deltas`` adds to residues."""
+def prefix_masses(sequence: Column, deltas: dict[str, float] | None = None, mods: Column | None = None) -> Column:
+    """Masses of the prefixes of 1 to n - 1 residues, with what ``deltas`` adds to residues and ``mods`` (pos from 0, delta) to places."""
     masses = {k: v + (deltas or {}).get(k, 0.0) for k, v in RESIDUES.items()}
     n = F.length(sequence)
     ends = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    letters = F.transform(ends, lambda i: F.coalesce(F.try_element_at(mass_map(masses), F.substring(sequence, i, F.lit(1))), F.lit(0.0)))
+    residue = lambda i: F.coalesce(F.try_element_at(mass_map(masses), F.substring(sequence, i, F.lit(1))), F.lit(0.0))
+    added = lambda i: F.lit(0.0) if mods is None else F.aggregate(F.filter(mods, lambda m: m["pos"] == i - 1), F.lit(0.0), lambda t, m: t + m["delta"])
+    letters = F.transform(ends, lambda i: residue(i) + added(i))
     sums = F.aggregate(letters, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
     return sums
 
@@ -109,14 +111,15 @@ def y_ions(sequence: Column, deltas: dict[str, float] | None = None, max_charge:
     return F.flatten(F.transform(suffix, lambda m: F.array(*[(m + F.lit(WATER) + z * PROTON) / z for z in range(1, max_charge + 1)])))
 
 
-def theoretical_ions(sequence: Column, deltas: dict[str, float] | None = None, max_charge: int = 2, losses: bool = False) -> Column:
-    """Array of (label, type, number, charge, mz): all b, then all y by charge; labels like ``b3+1``."""
+def theoretical_ions(sequence: Column, deltas: dict[str, float] | None = None, max_charge: int = 2, losses: bool = False, mods: Column | None = None) -> Column:
+    """Array of (label, type, number, charge, mz): all b, then all y by charge; labels like ``b3+1``. ``mods``: array of (pos from 0, delta)."""
     def ion(kind: str, extra: float, loss: str, shift: float, z: int):
         return lambda m, i: F.struct(
             F.concat(F.lit(kind), (i + 1).cast("string"), F.lit(f"{loss}+{z}")).alias("label"), F.lit(kind + loss).alias("type"), (i + 1).alias("number"), F.lit(z).alias("charge"), ((m + F.lit(extra + shift + z * PROTON)) / z).alias("mz")
         )
 
-    prefixes, suffixes = prefix_masses(sequence, deltas), prefix_masses(F.reverse(sequence), deltas)
+    turned = None if mods is None else F.transform(mods, lambda m: F.struct((F.length(sequence) - 1 - m["pos"]).alias("pos"), m["delta"].alias("delta")))
+    prefixes, suffixes = prefix_masses(sequence, deltas, mods), prefix_masses(F.reverse(sequence), deltas, turned)
     shifts = [("", 0.0)] + [("-H2O", -WATER), ("-NH3", -AMMONIA)] * losses
     charges = range(1, max_charge + 1)
     series = [F.transform(masses, ion(kind, extra, loss, shift, z)) for kind, masses, extra in (("b", prefixes, 0.0), ("y", suffixes, WATER)) for loss, shift in shifts for z in charges]

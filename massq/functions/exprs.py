@@ -140,16 +140,6 @@ def alignment_positions(detail: Column) -> Column:
     return F.transform(F.regexp_extract_all(detail, F.lit(r"[A-Z](\d+)→"), 1), lambda x: x.cast("int"))
 
 
-def covered(sequence: Column, peptides: Column) -> Column:
-    """How many residues lie in any occurrence, overlapping ones too, of any of the peptides."""
-    n = F.length(sequence)
-    # Starts of all occurrences of each peptide; a position counts if a start reaches it.
-    starts = lambda p: F.filter(F.sequence(F.lit(1), F.greatest(n - F.length(p) + 1, F.lit(1))), lambda i: F.substring(sequence, i, F.length(p)) == p)
-    spans = F.array_sort(F.flatten(F.transform(peptides, lambda p: F.transform(F.when(F.length(p) > 0, starts(p)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("a"), (i + F.length(p)).alias("b"))))))
-    step = lambda t, s: F.struct((t["n"] + F.greatest(s["b"] - F.greatest(s["a"], t["end"]), F.lit(0))).alias("n"), F.greatest(t["end"], s["b"]).alias("end"))
-    return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(1).alias("end")), step, lambda t: t["n"])
-
-
 def lower_median(values: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {values})")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massq.operators.shared import materialise, running_min_up, running_sums
@@ -45,16 +45,29 @@ def peptide_q(df: DataFrame, peptide: str = "peptide", score: str = "score", dec
     return with_q(best_per(df, peptide, score, decoy), score, decoy)
 
 
+def _picked(pairs: DataFrame) -> DataFrame:
+    """(base, score, q_value) of targets that beat their decoy, ties to the target; ``pairs``: (base, t, d), best scores of either. 0 without decoy winners."""
+    lost = F.coalesce(F.col("t").isNull() | (F.col("d") > F.col("t")), F.lit(False))
+    winners = materialise(pairs.select("base", lost.alias("is_decoy"), F.when(lost, F.col("d")).otherwise(F.col("t")).alias("score")))
+    scored = winners.withColumn("q_value", F.lit(0.0)) if winners.where("is_decoy").isEmpty() else with_q(winners)
+    return scored.where("not is_decoy").select("base", "score", "q_value")
+
+
 def picked_q(groups: DataFrame, name: str = "leader", score: str = "score", prefix: str = "REV_") -> DataFrame:
     """Targets that beat their decoy (ties to the target) with q-values over all winners; 0 without decoy winners."""
     decoy = F.col(name).startswith(prefix)
     base = F.when(decoy, F.substring(F.col(name), len(prefix) + 1, 1 << 30)).otherwise(F.col(name))
-    best: dict[str, Column] = {"t": F.max(F.when(~decoy, F.col(score))), "d": F.max(F.when(decoy, F.col(score)))}
-    pairs = groups.groupBy(base.alias("base")).agg(*[c.alias(k) for k, c in best.items()])
-    lost = F.col("t").isNull() | (F.col("d") > F.col("t"))
-    winners = materialise(pairs.select("base", F.coalesce(lost, F.lit(False)).alias("is_decoy"), F.when(F.coalesce(lost, F.lit(False)), F.col("d")).otherwise(F.col("t")).alias("score")))
-    if winners.where("is_decoy").isEmpty():
-        scored = winners.withColumn("q_value", F.lit(0.0))
-    else:
-        scored = with_q(winners)
-    return scored.where("not is_decoy").select(F.col("base").alias(name), "score", "q_value")
+    pairs = groups.groupBy(base.alias("base")).agg(F.max(F.when(~decoy, F.col(score))).alias("t"), F.max(F.when(decoy, F.col(score))).alias("d"))
+    return _picked(pairs).withColumnRenamed("base", name)
+
+
+def picked_peptide_q(matches: DataFrame, peptide: str = "peptide", score: str = "score", decoy: str = "is_decoy") -> DataFrame:
+    """(peptide, score, q_value) of target peptides that beat their own reversed form, all but the last residue reversed, before the competition.
+
+    A decoy is reversed once more to find its target, so the pairing needs no table of peptides.
+    """
+    from massq.operators.digest import reverse_decoy
+
+    base = F.when(F.col(decoy), reverse_decoy(F.col(peptide))).otherwise(F.col(peptide))
+    pairs = matches.groupBy(base.alias("base")).agg(F.max(F.when(~F.col(decoy), F.col(score))).alias("t"), F.max(F.when(F.col(decoy), F.col(score))).alias("d"))
+    return _picked(pairs).withColumnRenamed("base", peptide)

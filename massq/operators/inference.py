@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from massq.functions.exprs import covered, fold_il, is_decoy, passes_q
+from massq.functions.exprs import fold_il, is_decoy, passes_q
+from massq.operators import occurrences
 from massq.operators.shared import materialise
 
 #: Pairs of group and peptide that one task may cover.
-LOCAL = 1_000_000
+LOCAL = 50_000
 
 
 def edges(psms: DataFrame, q_threshold: float | None = 0.01) -> DataFrame:
@@ -38,10 +39,12 @@ def subset_links(groups: DataFrame) -> DataFrame:
     g = groups.select("first", "size", "peptides")
     each = g.select("first", "size", F.explode("peptides").alias("peptide"))
     rare = each.groupBy("peptide").agg(F.count(F.lit(1)).alias("n"))
-    rarest = each.join(rare, "peptide").groupBy("first").agg(F.min(F.struct("n", "peptide"))["peptide"].alias("peptide"))
-    sub = g.join(rarest, "first").select(F.col("first").alias("sub"), F.col("size").alias("sub_size"), F.col("peptides").alias("sub_peptides"), "peptide")
-    sup = each.join(g.select("first", "peptides"), "first").select(F.col("first").alias("super"), F.col("size").alias("super_size"), F.col("peptides").alias("super_peptides"), "peptide")
-    pairs = sub.join(sup, "peptide").where((F.col("sub_size") < F.col("super_size")) & (F.size(F.array_except("sub_peptides", "super_peptides")) == 0))
+    rarest = each.join(rare, "peptide").groupBy("first").agg(F.min(F.struct("n", "peptide"))["peptide"].alias("peptide"), F.first("size").alias("sub_size"))
+    holders = each.select(F.col("first").alias("super"), F.col("size").alias("super_size"), "peptide")
+    # Arrays join the pairs that are left, not the groups' peptides.
+    pairs = rarest.withColumnRenamed("first", "sub").join(holders, "peptide").where("sub_size < super_size").drop("peptide", "sub_size")
+    pairs = pairs.join(g.select(F.col("first").alias("sub"), F.col("peptides").alias("small")), "sub").join(g.select(F.col("first").alias("super"), F.col("peptides").alias("large")), "super")
+    pairs = pairs.where(F.size(F.array_except("small", "large")) == 0)
     return pairs.groupBy("sub").agg(F.min(F.struct((-F.col("super_size")).alias("s"), "super"))["super"].alias("super"))
 
 
@@ -122,10 +125,9 @@ def in_order(groups: DataFrame) -> DataFrame:
 
 def coverage(groups: DataFrame, proteins: DataFrame) -> DataFrame:
     """(leader, coverage): share of the leader's residues under its peptides, I as L; null without a sequence."""
-    p = proteins.select(F.col("accession").alias("leader"), fold_il(F.col("sequence")).alias("_seq"))
-    peptides = F.array_distinct(F.concat("peptides", "razor_peptides"))
-    share = F.when(F.length("_seq") > 0, covered(F.col("_seq"), peptides) / F.length("_seq"))
-    return groups.join(p, "leader", "left").select("leader", share.alias("coverage"))
+    own = groups.select("leader", F.array_distinct(F.concat("peptides", "razor_peptides")).alias("peptides"))
+    found = occurrences.coverage(own.join(proteins.select(F.col("accession").alias("leader"), "sequence"), "leader"), "leader")
+    return groups.select("leader").join(found, "leader", "left").select("leader", F.when(F.col("length") > 0, F.col("covered") / F.col("length")).alias("coverage"))
 
 
 def infer(psms: DataFrame, proteins: DataFrame | None = None, q_threshold: float | None = 0.01) -> DataFrame:

@@ -17,6 +17,8 @@ from massq.operators.shared import materialise
 
 #: Charges tried, in this order, where a spectrum names none.
 CHARGES = (2, 3, 1, 4)
+#: Windows (Da) beyond which a precursor says little about the peptides inside.
+WIDEST = 5.0
 
 
 def candidates(proteins: DataFrame, fixed: tuple[Modification, ...] = (), variable: tuple[Modification, ...] = (), max_mods: int = 2, enzyme: str = "trypsin", missed: int = 2, decoy: str = "reverse", shortest: int = 7, longest: int = 50) -> DataFrame:
@@ -38,10 +40,18 @@ def candidates(proteins: DataFrame, fixed: tuple[Modification, ...] = (), variab
     return rows.withColumn("mass", mass + F.aggregate("combination", F.lit(0.0), lambda t, x: t + F.element_at(delta, x["mod"]))).drop("_sites", "nterm", "cterm")
 
 
-def precursors(spectra: DataFrame) -> DataFrame:
-    """One row per MS2 precursor and charge tried: (run, scan, precursor, charge, charge_ord, neutral_mass, precursor_mz)."""
-    rows = spectra.where("ms_level = 2").select("run", "scan", F.posexplode("precursors").alias("precursor", "p"))
-    tried = F.when(F.col("p.charge") > 0, F.array("p.charge")).otherwise(F.array(*map(F.lit, CHARGES)))
+def precursors(spectra: DataFrame, charges: tuple[int, ...] = CHARGES, widest: float | None = WIDEST) -> DataFrame:
+    """One row per MS2 precursor and charge tried: (run, scan, precursor, charge, charge_ord, neutral_mass, precursor_mz).
+
+    A spectrum of one precursor in a window of over ``widest`` Da has none: such precursors
+    have to be extracted first. Several precursors are extracted ones and all stay.
+    """
+    rows = spectra.where("ms_level = 2")
+    if widest is not None:
+        iso = F.try_element_at("precursors", F.lit(1))["isolation"]
+        rows = rows.where((F.size("precursors") > 1) | ~F.coalesce(iso["lower"] + iso["upper"] > widest, F.lit(False)))
+    rows = rows.select("run", "scan", F.posexplode("precursors").alias("precursor", "p"))
+    tried = F.when(F.col("p.charge") > 0, F.array("p.charge")).otherwise(F.array(*map(F.lit, charges)))
     rows = rows.select("run", "scan", "precursor", F.col("p.mz").alias("precursor_mz"), F.posexplode(tried).alias("charge_ord", "charge"))
     return rows.withColumn("neutral_mass", (F.col("precursor_mz") - PROTON) * F.col("charge"))
 
@@ -69,8 +79,18 @@ def _stacked(parts, kind=float) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([np.asarray(p, kind) for p in parts]) if len(parts) else np.empty(0, kind)), sizes
 
 
-def fragment_scores(fixed: tuple[Modification, ...], variable: tuple[Modification, ...], tolerance: float, unit: str, hyperscore: bool):
-    """A mapInPandas function over (peptide, charge, combination, mz, intensity) rows: matched, total, score.
+def longest_runs(hit: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    """Of each row the longest run of neighbours that are hit; a row's places stand together."""
+    run = np.cumsum(~hit | np.append(True, of[1:] != of[:-1])[: len(hit)])
+    longest = np.zeros(rows, np.int64)
+    if hit.any():
+        kinds, where, sizes = np.unique(run[hit], return_index=True, return_counts=True)
+        np.maximum.at(longest, of[hit][where], sizes)
+    return longest
+
+
+def fragment_scores(fixed: tuple[Modification, ...], variable: tuple[Modification, ...], tolerance: float, unit: str, hyperscore: bool, runs: bool = False):
+    """A mapInPandas function over (peptide, charge, combination, mz, intensity) rows: matched, total, score; with ``runs`` also longest_y, the longest run of matched y ions.
 
     An ion counts if any peak lies within tolerance. A batch's ions and peaks are laid end to
     end, each row's in a range of its own, so one binary search serves them all. The hyperscore
@@ -132,7 +152,12 @@ def fragment_scores(fixed: tuple[Modification, ...], variable: tuple[Modificatio
                 value = log_factorial(nb) + log_factorial(ny) + np.log(np.maximum(count(good & is_b, heard) * count(good & ~is_b, heard), 1.0))
             else:
                 value = (nb + ny) / np.maximum(1, total)
-            yield rows.drop(columns=["mz", "intensity"]).assign(matched=nb + ny, total=total, score=value)
+            out = rows.drop(columns=["mz", "intensity"]).assign(matched=nb + ny, total=total, score=value)
+            if runs:
+                hit, at_y = good[~is_b][: len(y)].copy(), of[~is_b][: len(y)]
+                hit[np.flatnonzero(twice)[good[~is_b][len(y) :]]] = True
+                out["longest_y"] = longest_runs(hit, at_y, len(rows))
+            yield out
 
     return score
 
@@ -144,8 +169,15 @@ def best_matches(scored: DataFrame, keys: tuple[str, ...] = ("run", "scan", "pre
     return best.select(*keys, *[F.col(f"m.{c}").alias(c) for c in (*order, *rest)])
 
 
-def search(spectra: DataFrame, proteins: DataFrame, tolerance: float = 10.0, fragment_tolerance: float = 20.0, unit: str = "ppm", fixed: tuple[Modification, ...] = (), variable: tuple[Modification, ...] = (), max_mods: int = 2, decoy: str = "reverse", hyperscore: bool = False, drop_decoys: bool = True, precursor_unit: str = "ppm", **digestion) -> DataFrame:
-    """Matches with q-values. Where no q-value follows (no decoys) it is null; decoys leave last."""
+def search(spectra: DataFrame, proteins: DataFrame, tolerance: float = 10.0, fragment_tolerance: float = 20.0, unit: str = "ppm", fixed: tuple[Modification, ...] = (), variable: tuple[Modification, ...] = (), max_mods: int = 2, decoy: str = "reverse", hyperscore: bool = False, drop_decoys: bool = True, precursor_unit: str = "ppm", engine: str = "simple", **digestion) -> DataFrame:
+    """Matches with q-values. Where no q-value follows (no decoys) it is null; decoys leave last.
+
+    ``engine``: simple takes candidates from the precursor band; hyperscore from a fragment index (``engine.index_search``).
+    """
+    if engine == "hyperscore":
+        from massq.operators.engine import index_search
+
+        return index_search(spectra, proteins, tolerance, fragment_tolerance, unit, fixed, variable, max_mods, decoy, drop_decoys, precursor_unit, **digestion)
     found = matches_within(spectra, materialise(candidates(proteins, fixed, variable, max_mods, decoy=decoy, **digestion)), tolerance, precursor_unit)
     peaks = spectra.select("run", "scan", "mz", "intensity")
     rows = found.join(peaks, ["run", "scan"])

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from massq.functions.chem import ISOTOPE_STEP, SILAC
 
@@ -118,38 +119,56 @@ def correlate(spectra: DataFrame) -> DataFrame:
     return out.select("run", "scan", scan.alias("ms1_scan"), method.alias("method"))
 
 
-def _patterns(mz: np.ndarray, intensity: np.ndarray, low: float, high: float, tol: float, least: int, ratio: float, rise: float) -> list[dict]:
-    """Isotope clusters inside a window, seeded from the most intense peak down; a peak serves one cluster."""
-    free = (mz >= low) & (mz <= high)
+#: Precursors of one charge that lie closer than this (Da) are one, the more intense.
+MERGE = 0.01
+
+
+def _cluster(mz: np.ndarray, intensity: np.ndarray, free: np.ndarray, seed: int, step: float, tol: float, ratio: float, rise: float) -> list[int]:
+    """The peaks of an isotope pattern round ``seed``: one step back, then step by step up. The nearest free peak counts at each step, or none.
+
+    Peaks stand by intensity, so of equally near ones the most intense is taken. A peak enters a pattern once, so steps end.
+    """
+    members = [seed]
+
+    def nearest(place: float) -> int | None:
+        gap = np.where(free, np.abs(mz - place), np.inf)
+        gap[members] = np.inf
+        k = int(gap.argmin())
+        return k if gap[k] <= tol else None
+
+    back = nearest(mz[seed] - step)
+    if back is not None and intensity[back] >= ratio * intensity[seed]:
+        members.append(back)
+    last = seed
+    while (after := nearest(mz[last] + step)) is not None and ratio * intensity[seed] <= intensity[after] <= rise * intensity[last]:
+        members.append(after)
+        last = after
+    return members
+
+
+def _patterns(mz: np.ndarray, intensity: np.ndarray, low: float, high: float, tol: float, least: int, ratio: float, rise: float, charges: tuple[int, ...] = (2, 3, 4, 5)) -> list[dict]:
+    """Isotope patterns inside a window, seeded from the most intense peak down; a peak serves one pattern.
+
+    A seed's longest pattern counts, of equal ones that of the lowest charge. It stands at its lightest peak, with the seed's intensity.
+    """
+    inside = np.flatnonzero((mz >= low) & (mz <= high))
+    order = inside[np.argsort(-intensity[inside], kind="stable")]
+    mz, intensity, free = mz[order], intensity[order], np.ones(len(order), bool)
     found: list[dict] = []
-    for seed in np.lexsort((mz, -intensity)):
+    for seed in range(len(order)):
         if not free[seed]:
             continue
-        best: tuple[int, int, list[int]] = (0, 0, [])
-        for charge in (2, 3, 4, 5):
-            step, members = ISOTOPE_STEP / charge, [int(seed)]
-            back = np.flatnonzero(free & (np.abs(mz - (mz[seed] - step)) <= tol))
-            if len(back) and intensity[back].max() >= ratio * intensity[seed]:
-                members.insert(0, int(back[intensity[back].argmax()]))
-            last, at = seed, mz[seed]
-            while True:
-                near = np.flatnonzero(free & (np.abs(mz - (at + step)) <= tol))
-                near = near[(intensity[near] >= ratio * intensity[seed]) & (intensity[near] <= rise * intensity[last])]
-                if not len(near):
-                    break
-                last = near[intensity[near].argmax()]
-                members.append(int(last))
-                at = mz[last]
-            if len(members) >= least and len(members) > best[0]:
-                best = (len(members), charge, members)
-        if best[0]:
-            free[best[2]] = False
-            found.append({"mz": float(mz[best[2][0]]), "charge": best[1], "intensity": float(intensity[best[2]].max())})
+        clusters = [(z, _cluster(mz, intensity, free, seed, ISOTOPE_STEP / z, tol, ratio, rise)) for z in charges]
+        charge, members = max(clusters, key=lambda c: len(c[1]))  # the first of equal ones
+        if len(members) >= least:
+            free[members] = False
+            found.append({"mz": float(mz[members].min()), "charge": charge, "intensity": float(intensity[seed])})
     kept: list[dict] = []
-    for x in sorted(found, key=lambda x: -x["intensity"]):
-        if not any(y["charge"] == x["charge"] and abs(y["mz"] - x["mz"]) <= tol for y in kept):
-            kept.append(x)
-    return kept
+    for x in sorted(found, key=lambda x: (x["charge"], x["mz"])):
+        rivals = [k for k in kept if k["charge"] == x["charge"] and abs(k["mz"] - x["mz"]) < MERGE]
+        if all(k["intensity"] < x["intensity"] for k in rivals):
+            kept = [k for k in kept if k not in rivals] + [x]
+    return sorted(kept, key=lambda x: -x["intensity"])
 
 
 def extract_precursors(spectra: DataFrame, tolerance: float = 0.01, least: int = 2, ratio: float = 0.1, rise: float = 1.5) -> DataFrame:
@@ -224,9 +243,10 @@ def cycles_around(scans: DataFrame, keys: tuple[str, ...], target: Column, n: in
 
 def chromatograms(scans: DataFrame, ions: DataFrame, tolerance: float = 20.0, rule: str = "max", keys: tuple[str, ...] = ("run",)) -> DataFrame:
     """Long table (keys, label, scan, rt_min, intensity, observed_mz): each ion in each scan of its run."""
-    rows = scans.select(*keys, "scan", "rt_min", F.arrays_zip("mz", "intensity").alias("_peaks")).join(ions, list(keys))
-    found = rows.withColumn("_x", pick_intensity(F.col("_peaks"), F.col("ion_mz"), tolerance, rule))
-    return found.select(*keys, "label", "scan", "rt_min", F.col("_x.intensity").alias("intensity"), F.col("_x.mz").alias("observed_mz"))
+    of_key = ions.groupBy(*keys).agg(F.collect_list(F.struct("label", F.col("ion_mz").cast("double").alias("ion_mz"))).alias("_ions"))  # each meets each scan of its key
+    rows = scans.select(*keys, "scan", "rt_min", F.arrays_zip("mz", "intensity").alias("_peaks")).join(of_key, list(keys))
+    picked = F.transform("_ions", lambda i: F.struct(i["label"].alias("label"), pick_intensity(F.col("_peaks"), i["ion_mz"], tolerance, rule).alias("x")))
+    return rows.select(*keys, "scan", "rt_min", F.explode(picked).alias("i")).select(*keys, "i.label", "scan", "rt_min", F.col("i.x.intensity").alias("intensity"), F.col("i.x.mz").alias("observed_mz"))
 
 
 def top_traces(traces: DataFrame, n: int, keys: tuple[str, ...] = ("run",), order: str = "label") -> DataFrame:
@@ -236,19 +256,56 @@ def top_traces(traces: DataFrame, n: int, keys: tuple[str, ...] = ("run",), orde
     return traces.join(totals.withColumn("_r", rank).where((F.col("_r") <= n) & (F.col("_max") > 0)).select(*keys, order), [*keys, order])
 
 
-def annotate(spectra: DataFrame, peptides: DataFrame, tolerance: float = 20.0, max_charge: int = 2, losses: bool = True, deltas: dict[str, float] | None = None) -> DataFrame:
-    """Long table (run, scan, label, type, number, charge, mz, matched, observed_mz, delta_ppm).
-
-    ``peptides``: (run, scan, peptide). An ion takes the nearest peak within tolerance, on
-    equal distance the lower one. Every step stays in the spectrum's own row.
+@F.pandas_udf(ArrayType(StructType([StructField("mz", DoubleType()), StructField("intensity", DoubleType())])))
+def _nearest_peaks(mz: pd.Series, intensity: pd.Series, targets: pd.Series, ppm: pd.Series) -> pd.Series:
+    """Of each target the nearest peak within ppm, on equal distance the lower one, else nulls: a binary search in the sorted peaks."""
+    out = []
+    for m, i, t, p in zip(mz, intensity, targets, ppm, strict=True):
+        m, i, t = np.asarray(m, float), np.asarray(i, float), np.asarray(t, float)
+        order = np.argsort(m, kind="stable")
+        m, i = m[order], i[order]
+        after = np.searchsorted(m, t)
+        best = np.clip(after - 1, 0, None)
+        if len(m):
+            right = np.minimum(after, len(m) - 1)
+            best = np.where(np.abs(m[right] - t) < np.abs(m[best] - t), right, best)
+            best = np.searchsorted(m, m[best])  # the first of equal peaks
+        out.append([{"mz": m[k], "intensity": i[k]} if len(m) and abs(m[k] - x) <= x * p * 1e-6 else {"mz": None, "intensity": None} for k, x in zip(best.tolist(), t.tolist(), strict=True)])
+    return pd.Series(out)
+
+
+def annotate(spectra: DataFrame, peptides: DataFrame, tolerance: float = 20.0, max_charge: int = 2, losses: bool = True, deltas: dict[str, float] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Long table (run, scan, keys, label, type, number, charge, mz, matched, observed_mz, observed_intensity, delta_ppm).
+
+    ``peptides``: (run, scan, peptide), ``keys`` that tell annotations of one spectrum apart, and if they are there: ``mods``, an array of
+    (pos from 0, delta), and ``charge``, the precursor's: ions of two charges are then looked for from 3 on only.
+    An ion takes the nearest peak within tolerance, on equal distance the lower one. Every step stays in the
+    spectrum's own row, and peaks are not copied to ions.
     """
     from massq.functions.chem import theoretical_ions
 
-    rows = spectra.select("run", "scan", F.arrays_zip("mz", "intensity").alias("_peaks")).join(peptides, ["run", "scan"])
-    ions = rows.select("run", "scan", "_peaks", F.explode(theoretical_ions(F.col("peptide"), deltas, max_charge, losses)).alias("ion"))
-    found = ions.withColumn("_x", pick_intensity(F.col("_peaks"), F.col("ion.mz"), tolerance, "nearest"))
+    given = [c for c in ("mods", "charge") if c in peptides.columns]
+    rows = spectra.select("run", "scan", "mz", "intensity").join(peptides.select("run", "scan", *keys, "peptide", *[F.col(c).alias(f"_{c}") for c in given]), ["run", "scan"])
+    ions = theoretical_ions(F.col("peptide"), deltas, max_charge, losses, F.col("_mods") if "mods" in given else None)
+    if "charge" in given:
+        ions = F.filter(ions, lambda x: (x["charge"] == 1) | (F.col("_charge") >= 3))
+    rows = rows.withColumn("_ions", ions)
+    rows = rows.withColumn("_x", _nearest_peaks("mz", "intensity", F.col("_ions.mz"), F.lit(float(tolerance))))
+    found = rows.select("run", "scan", *keys, F.explode(F.arrays_zip("_ions", "_x")).alias("z")).select("run", "scan", *keys, "z._ions.*", F.col("z._x").alias("_x"))
     hit = F.col("_x.mz").isNotNull()
-    return found.select("run", "scan", "ion.*", hit.alias("matched"), F.col("_x.mz").alias("observed_mz"), F.col("_x.intensity").alias("observed_intensity"), F.when(hit, (F.col("_x.mz") - F.col("ion.mz")) / F.col("ion.mz") * 1e6).alias("delta_ppm"))
+    return found.select("run", "scan", *keys, "label", "type", "number", "charge", "mz", hit.alias("matched"), F.col("_x.mz").alias("observed_mz"), F.col("_x.intensity").alias("observed_intensity"), F.when(hit, (F.col("_x.mz") - F.col("mz")) / F.col("mz") * 1e6).alias("delta_ppm"))
+
+
+def assigned_peaks(annotated: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The peak's side of an annotation: each peak that ions have taken, with the one of them nearest to it.
+
+    (run, scan, keys, observed_mz, observed_intensity, label, type, number, charge, mz, delta_ppm). Of equally near ions the earlier one: without a loss before with,
+    b before y, then by number and charge. Ions keep their own peak in ``annotated``, several of them the same one.
+    """
+    loss = F.length("type") > 1
+    order = F.struct(F.abs(F.col("observed_mz") - F.col("mz")).alias("d"), loss.alias("loss"), "type", "number", "charge", "label", "mz", "delta_ppm", "observed_intensity")
+    best = annotated.where("matched").groupBy("run", "scan", *keys, "observed_mz").agg(F.min(order).alias("m"))
+    return best.select("run", "scan", *keys, "observed_mz", *[f"m.{c}" for c in ("observed_intensity", "label", "type", "number", "charge", "mz", "delta_ppm")])
 
 
 def annotate_heavy(spectra: DataFrame, peptides: DataFrame, tolerance: float = 20.0, max_charge: int = 2, losses: bool = False, label: dict[str, float] | None = None) -> DataFrame:
@@ -256,12 +313,13 @@ def annotate_heavy(spectra: DataFrame, peptides: DataFrame, tolerance: float = 2
     return annotate(spectra, peptides, tolerance, max_charge, losses, SILAC if label is None else label)
 
 
-def annotation_scores(annotated: DataFrame, spectra: DataFrame) -> DataFrame:
-    """Per spectrum: matched and all ions, their ratio, matched and total intensity. A peak of several ions counts once."""
-    ions = annotated.groupBy("run", "scan").agg(F.count_if("matched").alias("matched"), F.count(F.lit(1)).alias("total"))
-    heard = annotated.where("matched").select("run", "scan", "observed_mz", "observed_intensity").distinct().groupBy("run", "scan").agg(F.sum("observed_intensity").alias("matched_intensity"))
+def annotation_scores(annotated: DataFrame, spectra: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per spectrum, and ``keys`` of its annotations: matched and all ions, their ratio, matched and total intensity. A peak of several ions counts once."""
+    by = ["run", "scan", *keys]
+    ions = annotated.groupBy(*by).agg(F.count_if("matched").alias("matched"), F.count(F.lit(1)).alias("total"))
+    heard = annotated.where("matched").select(*by, "observed_mz", "observed_intensity").distinct().groupBy(*by).agg(F.sum("observed_intensity").alias("matched_intensity"))
     whole = spectra.select("run", "scan", F.aggregate("intensity", F.lit(0.0), lambda a, x: a + x).alias("total_intensity"))
-    return ions.join(heard, ["run", "scan"], "left").join(whole, ["run", "scan"]).select("run", "scan", "matched", "total", (F.col("matched") / F.col("total")).alias("score"), F.coalesce("matched_intensity", F.lit(0.0)).alias("matched_intensity"), "total_intensity")
+    return ions.join(heard, by, "left").join(whole, ["run", "scan"]).select(*by, "matched", "total", (F.col("matched") / F.col("total")).alias("score"), F.coalesce("matched_intensity", F.lit(0.0)).alias("matched_intensity"), "total_intensity")
 
 
 def provenance(annotated_trap: DataFrame, annotated_target: DataFrame, spectra: DataFrame) -> DataFrame:

@@ -409,8 +409,8 @@ def extraction_statistics(spark, d):
 
 
 def group_coverage(spark, d):
-    """Coverage of each benchmark sequence as a group of its own by its tryptic peptides."""
-    s = _database(spark, d)
+    """Coverage of each document's sequence as a group of its own by its tryptic peptides."""
+    s = sequences(spark, d)
     own = D.digest(s, missed=0).groupBy(F.col("accession").alias("leader")).agg(F.collect_set(X.fold_il(F.col("peptide"))).alias("peptides"))
     return _rounded(inference.coverage(own.withColumn("razor_peptides", F.array().cast("array<string>")), s))
 

@@ -13,6 +13,7 @@ from massq.functions import chem
 from massq.functions import exprs as X
 from massq.operators import digest as D
 from massq.operators import inference as I
+from massq.operators import occurrences as O
 from massq.operators.shared import materialise
 from massq.plans.matching import table
 
@@ -175,11 +176,10 @@ def infer_proteins(spark, d):
 
 
 def sequence_coverage(spark, d):
-    """Share of each sequence under its own tryptic peptides, I as L, overlaps once."""
-    s = sequences(spark, d, "benchmark", "item_id")
-    own = D.digest(s, missed=0).groupBy("accession").agg(F.collect_set(X.fold_il(F.col("peptide"))).alias("p"))
-    rows = s.join(own, "accession").withColumn("seq", X.fold_il(F.col("sequence")))
-    return rows.select("accession", X.covered(F.col("seq"), F.col("p")).cast("long").alias("covered"), F.length("seq").cast("long").alias("len"))
+    """Letters of each document's sequence under its own tryptic peptides, I as L, overlaps once."""
+    s = sequences(spark, d)
+    own = D.digest(s, missed=0).groupBy("accession").agg(F.collect_set("peptide").alias("peptides"))
+    return O.coverage(s.join(own, "accession")).select("accession", "covered", F.col("length").alias("len"))
 
 
 def decoy_predicate(spark, d):
@@ -242,8 +242,10 @@ SELECT translate(peptide, 'I', 'L') AS folded, count(*) AS forms, min(struct_pac
     "sharing_counts": f"WITH {_KEPT} SELECT peptide, groups FROM sh",
     "razor": f"""WITH {_KEPT}, u AS (SELECT leader, count(*) FILTER (groups = 1) AS nu FROM x JOIN sh USING (peptide) GROUP BY 1)
 SELECT peptide, leader FROM (SELECT x.peptide, x.leader, row_number() OVER (PARTITION BY x.peptide ORDER BY nu DESC, score DESC, x.leader) AS r FROM x JOIN sh USING (peptide) JOIN u ON u.leader = x.leader WHERE groups > 1) WHERE r = 1""",
-    "sequence_coverage": f"""WITH {_BENCH}, q AS (SELECT accession, translate(s, 'I', 'L') AS s, list_distinct(list_transform(list_filter({_TRYPSIN}, lambda x: len(x) BETWEEN 7 AND 50 AND regexp_full_match(x, '{_STD}')), lambda x: translate(x, 'I', 'L'))) AS ps FROM seq),
-o AS (SELECT accession, s, unnest(ps) AS p FROM q), i AS (SELECT accession, p, unnest(list_filter(range(1, len(s) - len(p) + 2), lambda a: s[a:a + len(p) - 1] = p)) AS a FROM o), c AS (SELECT DISTINCT accession, unnest(range(a, a + len(p))) AS pos FROM i)
-SELECT q.accession, count(pos) AS covered, len(q.s) AS len FROM q JOIN c USING (accession) GROUP BY q.accession, q.s""",
+    "sequence_coverage": f"""WITH {_SEQ}, q AS (SELECT accession, translate(s, 'I', 'L') AS s, list_distinct(list_transform(list_filter({_TRYPSIN}, lambda x: len(x) BETWEEN 7 AND 50 AND regexp_full_match(x, '{_STD}')), lambda x: translate(x, 'I', 'L'))) AS ps FROM seq),
+o AS (SELECT accession, p, p[1:7] AS k FROM (SELECT accession, unnest(ps) AS p FROM q)), w AS (SELECT accession, a, s[a:a + 6] AS k FROM (SELECT accession, s, unnest(range(1, len(s) - 5)) AS a FROM q)),
+i AS (SELECT accession, a, a + len(p) AS b FROM w JOIN o USING (accession, k) JOIN q USING (accession) WHERE s[a:a + len(p) - 1] = p),
+g AS (SELECT accession, greatest(0, b - greatest(a, coalesce(max(b) OVER (PARTITION BY accession ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS n FROM i)
+SELECT q.accession, sum(n)::BIGINT AS covered, len(q.s) AS len FROM q JOIN g USING (accession) GROUP BY q.accession, q.s""",
     "decoy_predicate": "WITH c AS (SELECT CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'REV_' WHEN 2 THEN 'SHUF_' WHEN 3 THEN 'DECOY_' WHEN 4 THEN 'REVERSED_' WHEN 5 THEN 'rev_' ELSE 'X_REV_' END || c_name AS n, upper(c_mktsegment[1:4]) AS s FROM customer) SELECT regexp_matches(n, '^(REV_|SHUF_|DECOY_|REVERSED_)') AS is_decoy, regexp_full_match(s, '[GAVLIPFWMSTCYHDENQKR]*') AS standard, count(*) AS n FROM c GROUP BY 1, 2",
 }

@@ -190,7 +190,6 @@ def test_expressions(spark):
     assert at(chem.residue_mass(lit("B"))) is None and at(chem.residue_mass(lit("B"), rounded=True)) == 0
     assert at(chem.peptide_mass(lit("PEPTIDE"))) == pytest.approx(theory.mass("PEPTIDE")) and at(chem.peptide_mass(lit("PEPXIDE"))) is None
     assert at(X.isobaric_dipeptide(lit("ANK"), lit("AGGK"))) == "N" and at(X.isobaric_dipeptide(lit("QK"), lit("GAK"))) == "Q" and at(X.isobaric_dipeptide(lit("NK"), lit("AGK"))) is None
-    assert at(X.covered(lit("AAAA"), F.array(lit("AA")))) == 4 and at(X.covered(lit("ABC"), F.array(lit("X")))) == 0
     assert at(X.family_name(lit("sp|P1|ALBU_HUMAN"))) == "ALBU" and at(X.family_name(lit("x;y"))) == "x"
     b, y = at(chem.b_ions(lit("PEK"))), at(chem.y_ions(lit("PEK")))
     assert sorted(b + y) == pytest.approx(theory.fragments("PEK"))
