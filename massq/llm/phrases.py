@@ -45,7 +45,9 @@ HELD = 50
 #: A word that begins more windows than this has several keys.
 SPREAD = 1 << 22
 #: Tokens of a block.
-BLOCK = 1 << 20
+BLOCK = 1 << 22
+#: Rows of a batch that leaves a task.
+ROWS = 20_000
 #: Parts in which a language's candidates are ranked before they meet.
 PARTS = 64
 
@@ -59,58 +61,64 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).replace(_END, b" . ").split() + [_END]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes], int]]:
-    """(language, tokens, windows): blocks of tokens of one language, the first so many of which begin windows of this block."""
-    held: dict[str, list[bytes]] = defaultdict(list)
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes], np.ndarray, int]]:
+    """(language, vocabulary, tokens, windows): blocks of one language's tokens as places in the vocabulary (0: end of a piece); so many of the first begin windows of this block."""
+    numbers: dict[str, dict[bytes, int]] = {}
+    held: dict[str, list[np.ndarray]] = defaultdict(list)
     total = 0
+
+    def places(lang: str, words: list[bytes]) -> np.ndarray:
+        if lang not in numbers:
+            numbers[lang] = defaultdict(count().__next__)
+            numbers[lang][_END]  # noqa: B018  takes 0
+        return np.fromiter(map(numbers[lang].__getitem__, words), np.int32, len(words))
+
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             found = tokens(text.as_py())
-            own = held[lang]
-            own += found
+            while len(found) > BLOCK:
+                ids = places(lang, found[: BLOCK + most - 1])
+                yield lang, list(numbers[lang]), ids, BLOCK
+                found = found[BLOCK:]
+            held[lang].append(places(lang, found))
             total += len(found)
-            for _ in range(len(own) // BLOCK):
-                yield lang, own[: BLOCK + most - 1], BLOCK
-                del own[:BLOCK]
-                total -= BLOCK
             if total >= BLOCK:
-                for k, words in held.items():
-                    yield k, words, len(words)
+                for k, parts in held.items():
+                    ids = np.concatenate(parts)
+                    yield k, list(numbers[k]), ids, len(ids)
+                numbers.clear()
                 held.clear()
                 total = 0
-                own = held[lang]
-    for k, words in held.items():
-        yield k, words, len(words)
+    for k, parts in held.items():
+        ids = np.concatenate(parts)
+        yield k, list(numbers[k]), ids, len(ids)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, words, n in _texts(batches, 1):
-        seen = Counter(words[:n])
-        del seen[_END]
-        if seen:
-            yield pa.record_batch([pa.array([lang] * len(seen)), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
-
-
-def windows(words: list[bytes], n: int, most: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The block's vocabulary, its distinct padded windows as rows of places in it (0: padding), sorted, and their counts."""
-    number: dict[bytes, int] = defaultdict(count().__next__)
-    number[_END]  # noqa: B018  takes 0
-    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    lead = [ids]
+    for lang, names, ids, n in _blocks(batches, 1):
+        seen = np.bincount(ids[:n], minlength=len(names))
+        seen[0] = 0
+        some = np.flatnonzero(seen)
+        for at in range(0, len(some), ROWS):
+            part = some[at : at + ROWS]
+            yield pa.record_batch([pa.array([lang] * len(part)), pa.array([names[k] for k in part.tolist()], pa.binary()), pa.array(seen[part])], ["lang", "word", "n"])
+
+
+def windows(ids: np.ndarray, width: int, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct padded windows that the first ``n`` tokens begin, as rows of places under ``width`` (0: padding), sorted, and their counts."""
+    lead = [ids.astype(np.int64)]
     for _ in range(most - 1):
-        after = np.concatenate([lead[-1][1:], [0]])
-        lead.append(np.where(lead[-1] == 0, 0, after))
+        lead.append(np.where(lead[-1] == 0, 0, np.append(lead[-1][1:], 0)))
     starts = np.flatnonzero(ids[:n])
     lead = [c[starts] for c in lead]
-    key, width = lead[0], len(number)
-    room = width
+    key, room = lead[0], width
     for c in lead[1:]:
         if room > (1 << 62) // width:
             key = np.unique(key, return_inverse=True)[1]
             room = len(key)
         key, room = key * width + c, room * width
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    return list(number), np.stack([c[first] for c in lead], axis=1), counts
+    return np.stack([c[first] for c in lead], axis=1), counts
 
 
 def _count(most: int, spread, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,32 +127,38 @@ def _count(most: int, spread, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     Part 0 is a word's only one.
     """
     parts_of = spread.value
-    for lang, words, n in _texts(batches, most):
-        names, rows, counts = windows(words, n, most)
-        if not len(rows):
-            continue
-        part = np.zeros(len(rows), np.int64)
-        first = rows[:, 0]
-        for word in {int(w) for w in np.unique(first)} if parts_of else ():
+    for lang, names, ids, n in _blocks(batches, most):
+        rows, counts = windows(ids, len(names), n, most)
+        part, first = np.zeros(len(rows), np.int64), rows[:, 0]
+        for word in np.unique(first).tolist() if parts_of else ():
             if (parts := parts_of.get((lang, names[word]), 1)) > 1:
                 lo, hi = np.searchsorted(first, [word, word + 1])
                 part[lo:hi] = [1 + xxhash.xxh3_64_intdigest(names[k]) % parts for k in rows[lo:hi, 1].tolist()]
         order = np.lexsort((counts > 1, part, first))
         first, part, rows, counts = first[order], part[order], rows[order], counts[order]
-        tails = [[names[k] if k else b"" for k in c] for c in rows[:, 1:].T.tolist()]
-        lines = [b" ".join(t).rstrip() for t in zip(*tails, strict=True)]
-        ends = np.flatnonzero(np.concatenate([(first[1:] != first[:-1]) | (part[1:] != part[:-1]), [True]])) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        several = np.concatenate([[0], np.cumsum(counts > 1)])
+        ends = np.flatnonzero(np.append((first[1:] != first[:-1]) | (part[1:] != part[:-1]), len(first) > 0)) + 1
+        starts = np.append(0, ends)[:-1]
+        several = np.append(0, np.cumsum(counts > 1))
         middles = ends - (several[ends] - several[starts])
-        once, more = [], []
-        for a, b, c in zip(starts.tolist(), middles.tolist(), ends.tolist(), strict=True):
-            once.append(b"\n".join(lines[a:b]) if b > a else None)
-            more.append(b"\n".join([b"%b\t%d" % x for x in zip(lines[b:c], counts[b:c].tolist(), strict=True)]) if c > b else None)
-        yield pa.record_batch(
-            [pa.array([lang] * len(ends)), pa.array([names[k] for k in first[starts].tolist()], pa.binary()), pa.array(part[starts]), pa.array(once, pa.binary()), pa.array(more, pa.binary())],
-            ["lang", "word", "part", "once", "more"],
-        )
+        for at in range(0, len(ends), ROWS):
+            here = slice(at, at + ROWS)
+            yield _messages(lang, names, most, rows, counts, part, starts[here], middles[here], ends[here])
+
+
+def _messages(lang: str, names: list[bytes], most: int, rows: np.ndarray, counts: np.ndarray, part: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """A row for each stretch of windows, which share the first word and part; from its middle on they were seen several times."""
+    base, top = int(starts[0]), int(ends[-1])
+    if most == 3:
+        lines = [names[b] + b" " + names[c] if c else names[b] if b else b"" for b, c in rows[base:top, 1:].tolist()]
+    else:
+        lines = [b" ".join([names[k] for k in row if k]) for row in rows[base:top, 1:].tolist()]
+    counts = counts[base:top].tolist()
+    once, more = [], []
+    for a, b, c in zip((starts - base).tolist(), (middles - base).tolist(), (ends - base).tolist(), strict=True):
+        once.append(b"\n".join(lines[a:b]) if b > a else None)
+        more.append(b"\n".join([b"%b\t%d" % x for x in zip(lines[b:c], counts[b:c], strict=True)]) if c > b else None)
+    columns = [pa.array([lang] * len(ends)), pa.array([names[k] for k in rows[starts, 0].tolist()], pa.binary()), pa.array(part[starts]), pa.array(once, pa.binary()), pa.array(more, pa.binary())]
+    return pa.record_batch(columns, ["lang", "word", "part", "once", "more"])
 
 
 def folded(seen: Counter, least: int) -> Counter:
@@ -152,19 +166,20 @@ def folded(seen: Counter, least: int) -> Counter:
 
     A window is the words after the first, joined by spaces; the empty one is the first word alone.
     """
-    if sum(seen.values()) < least:
-        return Counter({b"": sum(seen.values())})
-    total: Counter = Counter()
-    for line, n in seen.items():
-        while line:
-            total[line] += n
-            line = line.rpartition(b" ")[0]
-    out: Counter = Counter()
+    total: dict[bytes, int] = defaultdict(int)
     for line, n in seen.items():
-        while line and total[line] < least:
-            line = line.rpartition(b" ")[0]
-        out[line] += n
-    return out
+        total[line.partition(b" ")[0]] += n
+    left = {head: Counter() for head, n in total.items() if n >= least and head}
+    out = Counter({b"": sum(n for head, n in total.items() if head not in left)})
+    if left:
+        for line, n in seen.items():
+            head, _, tail = line.partition(b" ")
+            if head in left:
+                left[head][tail] = n
+        for head, tails in left.items():
+            for tail, n in folded(tails, least).items():
+                out[head + b" " + tail if tail else head] = n
+    return +out
 
 
 def _fold(most: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +194,18 @@ def _fold(most: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
     columns = ["lang", "word", "part", "once", "more"]
     rows = (row for part in batches for row in zip(*(part.column(c).to_pylist() for c in columns), strict=True))
     for (lang, word, part), same in groupby(rows, itemgetter(0, 1, 2)):
+        same = list(same)
+        if part == 0 and len(same) < least:  # else it is no rare word
+            n = sum(once.count(b"\n") + 1 for *_, once, _ in same if once is not None) + sum(int(x.rpartition(b"\t")[2]) for *_, more in same if more is not None for x in more.split(b"\n"))
+            if n < least:
+                rest[lang] += n
+                continue
         seen: Counter = Counter()
         for *_, once, more in same:
             seen.update(once.split(b"\n") if once is not None else ())
-            for line in more.split(b"\n") if more is not None else ():
-                text, _, n = line.rpartition(b"\t")
-                seen[text] += int(n)
-        if part == 0 and sum(seen.values()) < least:
-            rest[lang] += sum(seen.values())
-            continue
+            for x in more.split(b"\n") if more is not None else ():
+                line, _, n = x.rpartition(b"\t")
+                seen[line] += int(n)
         for line, n in folded(seen, least).items():
             after = line.decode().split(" ") if line else []
             out.append((lang, [word.decode(), *after, *[None] * (most - 1 - len(after))], n))

@@ -50,8 +50,8 @@ def test_blocks_and_their_ends(spark, monkeypatch):
     import pyarrow as pa
 
     seen = Counter()
-    for lang, words, n in phrases._texts(iter([pa.record_batch(texts)]), 3):
-        names, found, counts = phrases.windows(words, n, 3)
+    for lang, names, ids, n in phrases._blocks(iter([pa.record_batch(texts)]), 3):
+        found, counts = phrases.windows(ids, len(names), n, 3)
         assert n <= 200
         for w, c in zip(found.tolist(), counts.tolist(), strict=True):
             seen[lang, tuple(names[k] for k in w if k)] += c
