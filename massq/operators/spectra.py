@@ -300,10 +300,10 @@ def assigned_peaks(annotated: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     """The peak's side of an annotation: each peak that ions have taken, with the one of them nearest to it.
 
     (run, scan, keys, observed_mz, observed_intensity, label, type, number, charge, mz, delta_ppm). Of equally near ions the earlier one: without a loss before with,
-    b before y, then by number and charge. Ions keep their own peak in ``annotated``, several of them the same one.
+    b before y, then by number and charge; nine digits are compared, so that the order in which masses were summed up doesn't decide. Ions keep their own peak in ``annotated``, several of them the same one.
     """
     loss = F.length("type") > 1
-    order = F.struct(F.abs(F.col("observed_mz") - F.col("mz")).alias("d"), loss.alias("loss"), "type", "number", "charge", "label", "mz", "delta_ppm", "observed_intensity")
+    order = F.struct(F.round(F.abs(F.col("observed_mz") - F.col("mz")), 9).alias("d"), loss.alias("loss"), "type", "number", "charge", "label", "mz", "delta_ppm", "observed_intensity")
     best = annotated.where("matched").groupBy("run", "scan", *keys, "observed_mz").agg(F.min(order).alias("m"))
     return best.select("run", "scan", *keys, "observed_mz", *[f"m.{c}" for c in ("observed_intensity", "label", "type", "number", "charge", "mz", "delta_ppm")])
 

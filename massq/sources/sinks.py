@@ -77,16 +77,16 @@ def run_metadata(classified: DataFrame, inputs: DataFrame, settings: dict) -> Da
     return counts.crossJoin(files).withColumn("settings", F.lit(json.dumps(settings, sort_keys=True, default=str)))  # two rows
 
 
-def chimeric(counts: DataFrame, light: str = "shared", total: str = "total", most: float = 0.30) -> DataFrame:
-    """Rows of the multi-target summary, marked where more than a share of all light and heavy peaks are shared."""
-    share = F.when(F.col(total) > 0, F.col(light) / F.col(total)).otherwise(0.0)
-    return counts.withColumn("is_chimeric", share > most)
+def chimeric(counts: DataFrame, most: float = 0.30) -> DataFrame:
+    """Rows of ``trace_multi_target``, marked where more than a share of all peaks are shared, light and heavy together."""
+    from massq.operators.multitarget import chimeric_share
+
+    return chimeric_share(counts).withColumn("is_chimeric", F.col("shared_ratio") > most)
 
 
 def multi_target_page(title: str, counts: DataFrame, most: int = 10_000) -> str:
     """The summary of multi-target provenance, most shared first."""
-    total = F.col("trap_only") + F.col("target_only") + F.col("shared") + F.col("unassigned")
-    return page(title, chimeric(counts.withColumn("total", total)).orderBy(F.desc("shared_ratio"), *[c for c in ("run", "scan") if c in counts.columns]), most)
+    return page(title, chimeric(counts).orderBy(F.desc("shared_ratio"), *[c for c in ("run", "scan") if c in counts.columns]), most)
 
 
 def save_history(entry: dict, folder: str) -> str:

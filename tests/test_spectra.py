@@ -101,7 +101,7 @@ def test_each_peak_takes_its_nearest_ion(annotated):
     hits = [r for r in table.collect() if r.matched]
     for r in got:
         mine = [h for h in hits if h.k == r.k and h.observed_mz == r.observed_mz]
-        best = min(mine, key=lambda h: (abs(h.observed_mz - h.mz), len(h.type) > 1, h.type, h.number, h.charge))
+        best = min(mine, key=lambda h: (round(abs(h.observed_mz - h.mz), 9), len(h.type) > 1, h.type, h.number, h.charge))
         assert (r.label, r.mz, r.observed_intensity) == (best.label, best.mz, best.observed_intensity)
     assert len(got) == len({(h.k, h.observed_mz) for h in hits})
 
