@@ -13,10 +13,12 @@ from massq.functions import chem
 from massq.functions import exprs as X
 from massq.operators import digest as D
 from massq.operators import spectra as S
-from massq.operators.shared import materialise
+from massq.operators.shared import materialise, shared_path
+from massq.plans.matching import SQL as _MATCHING_SQL
 from massq.plans.matching import scans, table
 from massq.plans.proteins import _PEP, _mass, sequences
 from massq.streaming import events as streams
+from massq.streaming import pairing
 
 _K = "$.k"
 
@@ -215,6 +217,24 @@ def stream_tumbling(spark, d):
     return _rounded(streams.run_available(streams.binned(_stream(spark, d), "1 hour")), 4)
 
 
+def _arriving(spark, d, cuts: int = 5):
+    """events as a stream of scans in ``cuts`` batches, and the ends of all runs after them."""
+    rows = scans(spark, d).select("run", "scan", "ms_level", "rt_min", F.col("precursors")[0]["source_scan"].alias("source"))
+    least, most = rows.agg(F.min("scan"), F.max("scan")).first()
+    folder = f"{shared_path(spark)}/arriving"
+    width = max(1, -(-(most - least + 1) // cuts)) if most is not None else 1
+    for k in range(cuts):  # a file after the other, as they would come
+        rows.where(F.floor((F.col("scan") - least) / width) == k).coalesce(1).write.mode("append").parquet(folder)
+    ends = rows.select("run").distinct().select("run", F.lit(0).alias("scan"), F.lit(0).alias("ms_level"), F.lit(0.0).alias("rt_min"), F.lit(None).cast("int").alias("source"))
+    ends.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def stream_pairing(spark, d):
+    """MS2 scans paired with the MS1 of their run as they arrive: the same as ``ms1_correlation`` over the whole table."""
+    return streams.run_available(pairing.paired(_arriving(spark, d)), mode="append")
+
+
 def stream_sliding(spark, d):
     return _rounded(streams.run_available(streams.binned(_stream(spark, d), "6 hours", "3 hours")), 4)
 
@@ -223,7 +243,7 @@ def stream_sessions(spark, d):
     return _rounded(streams.run_available(streams.sessions(_stream(spark, d), "12 hours")), 4)
 
 
-QUERIES = {f.__name__: f for f in (spectrum_summary, spectrum_charges, scan_metadata, ms_levels, acquisition_modes, dia_windows, spectrum_violations, centroids, co_sorted, trimmed_peaks, xic_max, xic_sum, xic_nearest, xic_top_traces, cycles_around, pseudo_spectra, top_unmatched, same_windows, annotation, annotation_scores, fragment_provenance, heavy_dda, heavy_dia, ms1_probe, multi_target, isotope_precursors, stream_tumbling, stream_sliding, stream_sessions)}
+QUERIES = {f.__name__: f for f in (spectrum_summary, spectrum_charges, scan_metadata, ms_levels, acquisition_modes, dia_windows, spectrum_violations, centroids, co_sorted, trimmed_peaks, xic_max, xic_sum, xic_nearest, xic_top_traces, cycles_around, pseudo_spectra, top_unmatched, same_windows, annotation, annotation_scores, fragment_provenance, heavy_dda, heavy_dia, ms1_probe, multi_target, isotope_precursors, stream_tumbling, stream_sliding, stream_sessions, stream_pairing)}
 
 _E = "e AS (SELECT user_id::VARCHAR AS run, day(ts)::INT AS scan, event_id, value AS mz, (props->>'$.k')::DOUBLE AS i FROM events)"
 _S = f"{_E}, s AS (SELECT run, scan, CASE WHEN scan % 5 = 0 THEN 1 ELSE 2 END AS ms_level, scan * 24.0::DOUBLE AS rt_min, count(*) AS n, min(mz) AS lo, max(mz) AS hi, floor(min(mz) / 50)::DOUBLE AS target, scan / 2.0::DOUBLE AS half FROM e GROUP BY 1, 2)"
@@ -232,6 +252,7 @@ h AS (SELECT sc.run, sc.scan, t, label, mz, i, event_id FROM sc CROSS JOIN ion L
 _P = "v AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, embedding FROM embeddings), w AS (SELECT vec_id, i, embedding[i]::DOUBLE AS b, embedding[i - 1]::DOUBLE AS a, embedding[i + 1]::DOUBLE AS c, len(embedding) AS n, list_max(embedding)::DOUBLE AS top FROM v)"
 _T = "t AS (SELECT user_id, event_id::INT AS scan, day(ts) * 24 + hour(ts) AS rt, value, (props->>'$.k')::DOUBLE AS k FROM events WHERE event_type <> 'view'), o AS (SELECT o_orderkey AS id, o_custkey, o_orderkey % 720 AS ort, (o_orderkey % 487 + 1)::DOUBLE AS hm FROM orders)"
 SQL = {
+    "stream_pairing": _MATCHING_SQL["ms1_correlation"],
     "heavy_dda": f"WITH {_T} SELECT id, scan FROM (SELECT id, scan, row_number() OVER (PARTITION BY id ORDER BY abs(rt - ort), scan) AS r FROM o JOIN t ON o_custkey = user_id AND abs(value - hm) / hm * 1e6 < 20000) WHERE r = 1",
     "heavy_dia": f"WITH {_T} SELECT id, scan FROM (SELECT id, scan, row_number() OVER (PARTITION BY id ORDER BY abs(rt - ort), scan) AS r FROM o JOIN t ON o_custkey = user_id AND hm BETWEEN value - k AND value + k) WHERE r = 1",
     "ms1_probe": f"""WITH {_S}, o AS (SELECT o_orderkey AS id, o_custkey::VARCHAR AS run, o_orderkey % 720 AS ort, (o_orderkey % 487 + 1)::DOUBLE AS m FROM orders),
