@@ -11,7 +11,8 @@ Vocabularies are files of ranks, read on the driver by the path that the caller
 and broadcast: their size is fixed (refused beyond ``MOST_RANKS``) and does not grow with
 the data. Edge cases: null and empty texts have no ids and decode to nothing;
 every other text decodes to its own bytes, whatever characters it holds; no special
-tokens exist. The functions are column expressions, so other columns don't matter.
+tokens exist; repeated rows are encoded each; an empty table gives an empty result. The functions are column
+expressions, so other columns don't matter; ``encoded`` replaces those named ``_ids`` and ``_decoded``.
 """
 
 from __future__ import annotations
@@ -263,8 +264,9 @@ def tokenizer(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") ->
 
 
 def encoded(docs: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_ids`` and ``_decoded``, the bytes that the ids stand for."""
-    return docs.withColumn("_both", tok.round_trip(text_of(text_col))).withColumns({"_ids": F.col("_both.ids"), "_decoded": F.col("_both.decoded")}).drop("_both")
+    """``docs`` with ``_ids`` and ``_decoded``, the bytes that the ids stand for; columns of these two names are replaced, all others stay."""
+    both = max([*docs.columns, ""], key=len) + "_both"  # longer than any name there is
+    return docs.withColumn(both, tok.round_trip(text_of(text_col))).withColumns({"_ids": F.col(both)["ids"], "_decoded": F.col(both)["decoded"]}).drop(both)
 
 
 def digests(rows: DataFrame) -> DataFrame:

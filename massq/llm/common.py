@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massq.operators.shared import materialise as cut
 from massq.operators.shared import shared_path as scratch_path
 
-__all__ = ["SPACE", "SPACE_CHARS", "WORD", "cut", "n_words_of", "remainder", "scratch_path", "small_batches", "small_row_groups", "text_of", "words_of"]
+__all__ = ["BROADCAST", "SPACE", "SPACE_CHARS", "WORD", "cut", "n_words_of", "remainder", "scratch_path", "sent", "small_batches", "small_row_groups", "text_of", "words_of"]
 
 #: White space of the query contracts: space and the controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -34,6 +34,15 @@ def small_row_groups(spark: SparkSession, size: int = 32 << 20) -> None:
         spark.conf.set("parquet.block.size", str(size))
 
 
+#: Rows of numbers or hashes that are sent to every task at most.
+BROADCAST = 1 << 21
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """``keys``, a written table of narrow rows, for a join with texts: to every task while it has BROADCAST rows or fewer, so that no text moves; else Spark chooses."""
+    return F.broadcast(keys) if keys.limit(BROADCAST + 1).count() <= BROADCAST else keys
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(col), F.lit(""))

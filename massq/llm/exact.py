@@ -7,14 +7,16 @@
    the gaps. A text that fills a third of the table costs one code a block.
 3. Owners return a bitmap a block: which fingerprints also came from another block.
    The block marks its suspects, those it holds twice itself included.
-4. Only suspects' texts are shuffled, grouped by their bytes with partial sums before
-   the shuffle, so equal fingerprints of different texts part again.
+4. Suspects' texts are shuffled, grouped by their bytes with partial sums before
+   the shuffle, so equal fingerprints of different texts part again. While there are ``BROADCAST`` suspect
+   fingerprints or fewer, tasks know them all and no other text leaves its reader. With more, every text
+   takes part in that grouping, once: to sort out the others first would shuffle them too.
 
 Edge cases: null is the empty text; all texts of white space only are equal to it. Of
 equal texts the row with most code points stays, then the smallest doc_id (null
 last), then, among rows that repeat an id, the first by block and place. An empty
-table gives an empty result. Only the id and text columns are read, whatever other
-columns there are.
+table gives an empty result. A very long text is hashed and compared whole; it is one row of its block. Only the id and
+text columns are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massq.llm.common import SPACE, cut, text_of
+from massq.llm.common import BROADCAST, SPACE, cut, sent, text_of
 
 #: Rows in a block, at most, and the bits that number them.
 BLOCK_BITS = 17
@@ -151,8 +153,10 @@ def verified(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Da
     leave two groups for it, which is an error rather than a wrong result.
     """
     wanted = cut(rows.where("suspect").select("fp").distinct())
-    suspects = docs.select(normal(text_col).alias("bytes")).withColumn("fp", F.xxhash64("bytes")).join(wanted, "fp", "left_semi")
-    texts = suspects.groupBy("bytes").agg(F.count(F.lit(1)).alias("size")).select(F.unhex(F.sha2("bytes", 256)).alias("sha"), "size")
+    texts = docs.select(normal(text_col).alias("bytes"))
+    if wanted.limit(BROADCAST + 1).count() <= BROADCAST:
+        texts = texts.withColumn("fp", F.xxhash64("bytes")).join(F.broadcast(wanted), "fp", "left_semi")
+    texts = texts.groupBy("bytes").agg(F.count(F.lit(1)).alias("size")).select(F.unhex(F.sha2("bytes", 256)).alias("sha"), "size")
     one = texts.groupBy("sha").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("group_size"))
     return one.select("sha", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts with one SHA-256")).cast("long")).otherwise(F.col("group_size")).alias("group_size"))
 
@@ -178,7 +182,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = found.groupBy("doc_id").agg(F.bool_and(~F.col("kept")).alias("every"), F.bool_or(~F.col("kept")).alias("some"))
     gone = cut(ids.where("every and doc_id is not null").select(F.col("doc_id").alias("_x_id")))
     mixed = cut(ids.where("some and (doc_id is null or not every)").select("doc_id"))
-    out = docs.withColumn("_x_id", F.col(id_col).cast("long")).join(gone, "_x_id", "left_anti")
+    out = docs.withColumn("_x_id", F.col(id_col).cast("long")).join(sent(gone), "_x_id", "left_anti")
     if not mixed.isEmpty():
         key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_x_key")
         rows = found.select(key(F.col("doc_id")), "kept", "_x_sha").join(mixed.select(key(F.col("doc_id"))), "_x_key", "left_semi")

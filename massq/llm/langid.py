@@ -12,9 +12,11 @@ texts. Byte n-grams are counted in tasks and summed in Spark; the trees, whose s
 sample bounds, come to the driver, become one hash table of code lengths and are
 broadcast. Whole texts are scored, in slices of a bounded number of bytes.
 
+Every language takes a column of the table, whatever it has seen, so many languages get a smaller sample each (``MOST_CELLS``).
+
 Edge cases: null texts and texts without a letter are ``und`` with score 0, as is
 everything when nothing could be learned; rows with a null language teach nothing; ties
-go to the first language by code point; repeated rows are scored each. Only the named
+go to the first language by code point; repeated rows are scored each; an empty table gives an empty result. Only the named
 columns are read.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massq.llm.common import remainder, small_batches, text_of
+from massq.llm.common import cut, remainder, small_batches, text_of
 
 #: Bytes of the longest context.
 ORDER = 3
@@ -35,6 +37,8 @@ ORDER = 3
 SAMPLE = 2000
 #: Languages that one model may tell apart.
 MOST_LANGS = 1000
+#: Longest contexts times languages: the table of code lengths has 8 bytes for each, on the driver and in each task.
+MOST_CELLS = 1 << 25
 #: Bytes scored at a time.
 SLICE = 1 << 20
 
@@ -164,7 +168,7 @@ class _Table:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """From rows (doc_id, text, lang), which may teach all."""
+    """From rows (doc_id, text, lang), which may teach all. Where many languages would make the table larger than MOST_CELLS, half the sample is taken, and half again."""
     known = docs.where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
     if len(sizes) > MOST_LANGS:
@@ -174,7 +178,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     place = F.crc32(F.concat(F.lit("sample "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     limits = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1 << 32, int((1 << 32) * sample / n)))])
     some = known.where(place < F.element_at(limits, F.col("lang"))).select("lang", "text")
-    counted = some.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = cut(some.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    if sample > 1 and counts.select("gram").distinct().count() * len(sizes) > MOST_CELLS:
+        return learn(docs, sample // 2)
+    counted = counts.toArrow()
     langs, lang = sorted(sizes), counted.column("lang").to_numpy()
     gram, n = counted.column("gram").to_numpy().astype(np.uint32), counted.column("n").to_numpy().astype(np.float64)
     langs = [x for x in langs if (lang == x).any()]

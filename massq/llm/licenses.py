@@ -10,8 +10,10 @@ cast it, so an equal hash alone never counts.
 
 Only built-in functions run. One pass reads the texts; votes are few and shuffle by
 row, so no key gathers more than one text's votes. Edge cases: null and empty texts
-have no words and no labels; repeated rows are scanned each for itself; templates
-under two words are refused.
+have no words and no labels; repeated rows are scanned each for itself; a very long text
+is scanned whole, pair by pair; of spans that overlap all are kept, those that begin together in the
+templates' order; an empty table gives an empty result; only the id and text columns are read; templates
+under two words are refused. Word pairs meet by 64-bit hashes, and each vote is then compared by its words.
 """
 
 from __future__ import annotations

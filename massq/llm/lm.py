@@ -20,7 +20,8 @@ The weights are learned from histograms whose size the quantisation of their axe
 Edge cases: null and empty texts are the end token alone; a word unseen in training
 costs what the uniform estimate gives; without training documents only the
 uniform estimate is left (one kind, so a probability of 1) and base_score is that of the
-formula with N = V = 0; repeated rows are counted and scored each. Other columns are not read.
+formula with N = V = 0; repeated rows are counted and scored each; a document longer than a
+block is a block of its own; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

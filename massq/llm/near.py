@@ -20,7 +20,8 @@ component meet those of the others only, never each other.
 
 Edge cases: no words or a null text: an empty set, linked with nothing. Fewer than five
 words: one shingle, the whole sequence. Rows that repeat an id and text are linked
-with each other and with what either is linked. Only the id and text are read.
+with each other and with what either is linked. Only the id and text are read. A very long text is
+one set like any other, hashed in pieces. An empty table gives an empty result.
 
 Similarity is a percentage: op5_near's classes have 85, ``drop_near_duplicates`` has 80
 unless the caller names another.
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from massq.llm.common import cut, small_batches
+from massq.llm.common import cut, sent, small_batches
 from massq.operators.graph import components
 
 SHINGLE = 5
@@ -434,7 +435,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids = each.groupBy("doc_id").agg(F.bool_or("stays").alias("some"), F.bool_and("stays").alias("every"), F.bool_or(F.col("stays") & (F.col("m") > 1)).alias("twice"))
     gone = cut(ids.where("not some and doc_id is not null").select(F.col("doc_id").alias("_n_id")))
     mixed = cut(ids.where("twice or not every and (some or doc_id is null)").select("doc_id"))
-    out = docs.withColumn("_n_id", F.col(id_col).cast("long")).join(gone, "_n_id", "left_anti")
+    out = docs.withColumn("_n_id", F.col(id_col).cast("long")).join(sent(gone), "_n_id", "left_anti")
     if not mixed.isEmpty():
         key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_n_key")
         these = cut(mixed.select(key(F.col("doc_id"))))

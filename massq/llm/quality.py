@@ -12,7 +12,7 @@ as plain arithmetic: no function of ours runs on executors.
 Edge cases: null and empty texts have statistics of 0 and a score like any other;
 rows without a label, or with a null one, teach nothing; repeated label rows count
 each; with fewer than two labelled rows of a class the score is that of the prior;
-an empty table gives an empty result. Columns starting with ``_f_`` must not be in the
+an empty table gives an empty result; a very long text is measured whole. Columns starting with ``_f_`` must not be in the
 input of ``statistics``; elsewhere names may clash with ours.
 """
 

@@ -5,7 +5,9 @@
 into a single select: no shuffle, no user function, a row out for each row in.
 
 Edge cases: a null text is an empty one, has no words and fails ``n_words``; ratios
-of nothing are 0; repeated rows are judged each for itself; other columns of the
+of nothing are 0; repeated rows are judged each for itself; a very long text is measured whole, in
+arrays of its words and windows; an empty table gives an empty result. Windows of eight words are told apart by 64-bit
+hashes: a text of n words takes two different windows for one with a chance of n**2 / 2**65. Other columns of the
 input pass through ``judge`` untouched, whose names may be any that don't start with ``_q_`` or ``_verdict``.
 """
 

@@ -68,3 +68,9 @@ def test_bad_vocabulary(tmp_path):
     path.write_bytes(base64.b64encode(b"a") + b" 0\n")
     with pytest.raises(ValueError):
         bpe.read_ranks(str(path))
+
+
+def test_other_columns_stay(spark):
+    rows = spark.createDataFrame([("a b", 1, 2, "x")], "text string, _both int, _both_both int, _ids string")
+    got = bpe.encoded(rows, bpe.tokenizer(spark)).first()
+    assert (got["_both"], got["_both_both"]) == (1, 2) and bytes(got["_decoded"]) == b"a b"

@@ -79,3 +79,11 @@ def test_blocks_are_never_longer():
     finally:
         pyspark.TaskContext.get = before
     assert sizes == [exact.BLOCK, exact.BLOCK, 350_000 - 2 * exact.BLOCK]
+
+
+def test_more_suspects_than_are_sent(docs, rows, monkeypatch):
+    """Beyond BROADCAST every text takes part in the grouping, with the same result."""
+    key = lambda df: sorted(map(repr, df.collect()))
+    want = key(exact.duplicates(docs))
+    monkeypatch.setattr(exact, "BROADCAST", 1)
+    assert key(exact.duplicates(docs)) == want

@@ -69,3 +69,11 @@ def test_languages(docs, rows, none):
 def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {x.lang_pred for x in langid.identify(docs).collect()} == {"und"}
+
+
+def test_many_languages_get_a_smaller_sample(docs, monkeypatch):
+    whole = langid.learn(docs)
+    cells = len(whole.lengths) * len(whole.langs)
+    monkeypatch.setattr(langid, "MOST_CELLS", cells // 2)
+    less = langid.learn(docs, sample=64)
+    assert less.langs and len(less.lengths) * len(less.langs) <= cells // 2
