@@ -1,8 +1,8 @@
 """Spectrum files as DataFrames of ``operators.spectra.SCHEMA``.
 
 MGF and mzML are read as text records that end where a spectrum ends, so Spark splits
-one file over tasks and no task holds a file; only PFB, whose records have no mark to
-split at, is read a file a task. Converted once to Parquet by ``ingest``, sorted by run
+one file over tasks and no task holds a file. PFB has no mark to split at but a list of
+addresses, by which ``sources.pfb`` splits it. Converted once to Parquet by ``ingest``, sorted by run
 and time, look-ups by scan or time prune row groups instead of needing an index file.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,15 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massq.operators.spectra import PRECURSOR, SCHEMA
+from massq.sources import pfb
+from massq.sources.pfb import SpectrumFormatError
 
 FORMATS = {".mgf": "mgf", ".mzml": "mzml", ".pfb": "pfb"}
 MOST_PEAKS = 500_000
 
 
-class SpectrumFormatError(ValueError):
-    """A file name or content that is no known spectrum format."""
-
-
 def detect_format(path: str) -> str:
     """By extension, in any case."""
     suffix = re.search(r"\.[^./]+$", path.rstrip("/").lower())
@@ -163,40 +160,19 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_pfb(content: bytes) -> Iterator[dict]:
-    """Records of a PFB file: a header that states where the addresses at its end begin, then properties and peaks."""
-    if len(content) < 24:
-        raise SpectrumFormatError("a PFB header has 24 bytes")
-    addresses, count = struct.unpack_from("<qi", content, 12)
-    if addresses < 0 or count < 0 or addresses + 8 * count != len(content):
-        raise SpectrumFormatError("the PFB header doesn't fit the file's size")
-    at = 24
+    """Records of a whole PFB file, of which the header states where the addresses at its end begin."""
+    _, count = pfb.header(content, len(content))
+    at = pfb.HEADER
     for _ in range(count):
-        (size,) = struct.unpack_from("<i", content, at)
-        fields = content[at + 4 : at + 4 + size].decode("utf-8", "replace").rstrip("\0").split("\t")
-        (n,) = struct.unpack_from("<i", content, at + 4 + size)
-        at += 8 + size
-        if n < 0 or at + 16 * n > len(content):
-            raise SpectrumFormatError("peaks beyond the end of the PFB file")
-        mz, intensity = np.frombuffer(content, "<f8", n, at), np.frombuffer(content, "<f8", n, at + 8 * n)
-        at += 16 * n
-
-        def number(k: int, kind=float, fields=fields):
-            try:
-                return kind(fields[k].strip())
-            except (IndexError, ValueError):
-                return None
-
-        scan, level = number(0, int), number(1, int)
-        if scan is None or level is None:
-            raise SpectrumFormatError("a PFB record without scan or level")
-        order = np.argsort(mz, kind="stable")
-        center, width, mono = number(7), number(10), number(12)
-        isolation = {"target": center, "lower": width / 2, "upper": width / 2} if center is not None and width and width > 0 else None
-        one = {"mz": mono if mono is not None else center or 0.0, "charge": number(4, int) or None, "intensity": None, "isolation": isolation, "source_scan": number(9, int)}
-        yield {"scan": scan, "ms_level": level, "rt_min": (number(2) or 0.0) / 60, "precursors": [one] if level == 2 else [], "mz": mz[order], "intensity": intensity[order], "representation": "centroid"}
+        row, at = pfb.record(content, at)
+        yield row
 
 
 def read_pfb(spark: SparkSession, path: str) -> DataFrame:
+    """Ranges of records in parallel where the address can be opened (``sources.pfb``), else a file a task."""
+    if pfb.splittable(spark, path):
+        pfb.register(spark)
+        return spark.read.format("pfb").load(path)
     return parse_pfb_table(spark.read.format("binaryFile").load(path).select(_run(F.col("path")).alias("run"), "content"))
 
 
