@@ -38,6 +38,7 @@ class Params:
 PHOSPHO = Modification("Phospho", 79.966331, "STY")
 TMT_K, TMT_N = Modification("TMT6plex", 229.162932, "K"), Modification("TMT6plex", 229.162932, "", "peptide_nterm")
 HEAVY_K, HEAVY_R = Modification("Label:13C(6)15N(2)", 8.014199, "K"), Modification("Label:13C(6)15N(4)", 10.008269, "R")
+#: What users of the usual experiments expect.
 PRESETS = {
     "standard": Params(),
     "phospho": Params(variable=(OXIDATION, PHOSPHO)),
@@ -94,6 +95,18 @@ def recommend(summary: dict, hints: dict | None = None) -> Decision:
     return Decision(params, confidence, f"preset {name} for {instrument} data", evidence, conflicts)
 
 
+def recommended(summaries: DataFrame) -> DataFrame:
+    """``recommend`` without hints for every run of a table of summaries at once: (run, instrument, wide, precursor_tolerance, fragment_tolerance, fragment_unit, confidence)."""
+    peaks, top = F.coalesce("median_peaks", F.lit(0)), F.coalesce("mz_max", F.lit(0.0))
+    instrument = F.when((peaks >= 100) | (top >= 1500), "high_resolution").when(peaks > 0, "low_resolution").otherwise("unknown")
+    low, p = F.col("instrument") == "low_resolution", PRESETS["standard"]
+    rows = summaries.select("run", instrument.alias("instrument"), (F.coalesce("median_window", F.lit(0.0)) > 5).alias("wide"))
+    return rows.withColumns({
+        "precursor_tolerance": F.when(low, 20.0).otherwise(p.precursor_tolerance), "fragment_tolerance": F.when(low, 0.1).otherwise(p.fragment_tolerance),
+        "fragment_unit": F.when(low, "Da").otherwise(p.fragment_unit), "confidence": F.when(F.col("instrument") == "unknown", 0.5).otherwise(0.7),
+    })
+
+
 #: Names, thresholds, priorities. name, condition over the summary row, priority, suggestion.
 ANOMALIES = (
     ("NoPsms", "psms = 0", 1, "check the database and the tolerances"),

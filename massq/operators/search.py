@@ -227,13 +227,13 @@ def features_to_matches(features: DataFrame, metrics: tuple[str, ...] = ()) -> D
     return rows.select(F.coalesce(F.col("spec_id").try_cast("int"), F.lit(1)).alias("scan"), "peptide", "accessions", "charge", "precursor_mz", "calculated_mz", error.alias("delta_ppm"), F.col("hyperscore").alias("score"), F.col("spectrum_q").alias("q_value"), (F.col("label") == -1).alias("is_decoy"), extra.alias("extra"))
 
 
-def import_summary(matches: DataFrame, total: int | None = None, q: float = 0.01) -> DataFrame:
-    """One row about imported matches: how many there are and have a scan, the runs, what passes the q-value, and the share of spectra identified.
+def import_summary(matches: DataFrame, total: int | None = None, q: float = 0.01, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row about imported matches, or about those of each of ``by``: how many there are and have a scan, the runs, what passes the q-value, and the share of spectra identified.
 
     Only rows with a scan count from ``matched`` on. Without a number of spectra their number stands for it.
     """
     has, good = F.col("scan").isNotNull(), F.col("scan").isNotNull() & (F.col("q_value") <= q)
-    rows = matches.agg(
+    rows = matches.groupBy(*by).agg(
         F.count(F.lit(1)).alias("imported"), F.count_if(has).alias("matched"), F.countDistinct("run").alias("runs"), F.count_if(good).alias("psms_at_q"),
         F.countDistinct(F.when(good, F.col("peptide"))).alias("peptides_at_q"), F.countDistinct(F.when(has, F.struct("run", "scan"))).alias("scans"),
     )

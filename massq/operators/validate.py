@@ -47,6 +47,18 @@ def groups(rows: DataFrame) -> DataFrame:
     return broken(rows, {"leader": _named("leader"), "members": F.size("members") > 0, "leader_in_members": F.array_contains("members", F.col("leader")), "peptides": F.size("peptides") > 0, "coverage": _unit("coverage"), "q_value": _unit("q_value")})
 
 
+def run_metadata(rows: DataFrame) -> DataFrame:
+    """(engine, engine_version, input_files, seconds, precursor_tolerance, fragment_tolerance, missed, max_mods, shortest, longest): seconds may be null, parameters keep to ``advice.Params``."""
+    positive = {c: _finite(c) & (F.col(c) > 0) for c in ("precursor_tolerance", "fragment_tolerance")}
+    rules = {"seconds": F.col("seconds").isNull() | (_finite("seconds") & (F.col("seconds") >= 0)), "input_files": F.size("input_files") > 0, "engine": _named("engine"), "engine_version": _named("engine_version")}
+    return broken(rows, {**rules, **positive, "missed": F.col("missed").between(0, 5), "max_mods": F.col("max_mods").between(0, 10), "lengths": (F.col("shortest") >= 1) & (F.col("shortest") <= F.col("longest"))})
+
+
+def decisions(rows: DataFrame) -> DataFrame:
+    """(confidence, explanation, input_summary): a confidence from 0 to 1, and words on why and from what."""
+    return broken(rows, {"confidence": F.col("confidence").isNotNull() & _unit("confidence"), "explanation": _named("explanation"), "input_summary": _named("input_summary")})
+
+
 def bare_name(name: Column) -> Column:
     """Whether a run's name is a bare file name, so that joining it to a folder can't leave the folder."""
     return F.coalesce((name != "") & ~name.isin(".", "..") & ~name.rlike(r"[/\\]"), F.lit(False))

@@ -27,6 +27,7 @@ from massq.plans.matching import _PSMS, psms, q_sql, table
 from massq.plans.proteins import _BENCH, _SEQ, _STD, _TRYPSIN, _mass, sequences
 from massq.plans.proteins import SQL as _PROTEIN_SQL
 from massq.plans.signals import _COUNTS, _REVERSED, _S, _SHARE, _T, _ion_tables, _rounded, _timed, _wanted, spectra
+from massq.sources import pfb
 from massq.sources import proteins as P
 from massq.sources import results as R
 from massq.sources import sinks
@@ -97,7 +98,9 @@ def mzml_scan(spark, d):
 
 
 def pfb_scan(spark, d):
-    """A file a run, built where its spectra are, then parsed."""
+    """A file a run, written where its spectra are, then read in ranges of records."""
+    fs, place = pfb.opened(folder := shared_path(spark))
+    fs.create_dir(place, recursive=True)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         body, at = [], []
@@ -109,11 +112,16 @@ def pfb_scan(spark, d):
             body.append(struct.pack("<i", len(text)) + text + struct.pack("<i", len(r.mz)) + np.asarray(r.mz, "<f8").tobytes() + np.asarray(r.intensity, "<f8").tobytes())
         content = b"".join(body)
         head = b"\0" * 12 + struct.pack("<qi", 24 + len(content), len(at))
-        return pd.DataFrame({"run": [rows.run.iloc[0]], "content": [head + content + b"".join(struct.pack("<q", x) for x in at)]})
-
-    tables = spectra(spark, d).select("run", "scan", "ms_level", "rt_min", "mz", "intensity").groupBy("run").applyInPandas(build, "run string, content binary")
+        name = f"{rows.run.iloc[0]}.pfb"
+        with pfb.opened(folder)[0].open_output_stream(f"{place}/{name}") as out:  # played again, a task writes the same
+            out.write(head + content + b"".join(struct.pack("<q", x) for x in at))
+        return pd.DataFrame({"name": [name]})
+
+    written = spectra(spark, d).select("run", "scan", "ms_level", "rt_min", "mz", "intensity").groupBy("run").applyInPandas(build, "name string")
+    written.write.format("noop").mode("overwrite").save()
+    pfb.register(spark)
     w = F.try_element_at("precursors", F.lit(1))["isolation"]
-    return files.parse_pfb_table(tables).select("run", "scan", "ms_level", "rt_min", w["target"].alias("target"), w["lower"].alias("lower"), F.size("mz").cast("long").alias("peaks"))
+    return spark.read.format("pfb").option("splitBytes", 1 << 16).load(folder).select("run", "scan", "ms_level", "rt_min", w["target"].alias("target"), w["lower"].alias("lower"), F.size("mz").cast("long").alias("peaks"))
 
 
 def sharded_union(spark, d):

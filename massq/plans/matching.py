@@ -174,9 +174,10 @@ def medians(spark, d):
 
 
 def import_by_run(spark, d):
-    """Totals of each run: all rows, rows with a q-value, best score, distinct peptides."""
+    """The import's summary for each run: nations are runs, and rows without a tax have no scan."""
     p = table(spark, d, "lineitem").join(table(spark, d, "nation"), F.col("l_suppkey") % 25 == F.col("n_nationkey"))
-    return p.groupBy("n_name").agg(F.count(F.lit(1)).alias("psms"), F.count_if(F.col("l_tax") > 0).alias("with_q"), F.max("l_extendedprice").alias("best_score"), F.countDistinct("l_partkey").alias("peptides"))
+    rows = p.select(F.col("n_name").alias("run"), F.when(F.col("l_tax") > 0, F.col("l_orderkey")).alias("scan"), F.col("l_partkey").alias("peptide"), F.col("l_discount").alias("q_value"))
+    return search.import_summary(rows, q=0.02, by=("run",)).drop("runs").withColumn("identification_rate", F.round("identification_rate", 9))
 
 
 def q_null_passes(spark, d):
@@ -247,7 +248,7 @@ SELECT a.p_brand, a.p_name, b.p_name AS p_name_similar, levenshtein(a.p_name, b.
     "summary_all": f"WITH {_PSMS} {_SUMMARY.format(keep='true')}",
     "charge_histogram": f"WITH {_PSMS} SELECT charge, count(*) AS n FROM p WHERE q_value IS NULL OR q_value <= 0.01 GROUP BY 1",
     "medians": f"WITH {_PSMS} SELECT charge, median(score) AS mean_of_middle, quantile_disc(score, 0.5) AS lower_middle, list_sort(list(score))[count(*) // 2 + 1] AS upper_middle FROM p GROUP BY 1",
-    "import_by_run": "SELECT n_name, count(*) AS psms, count(*) FILTER (l_tax > 0) AS with_q, max(l_extendedprice) AS best_score, count(DISTINCT l_partkey) AS peptides FROM lineitem JOIN nation ON l_suppkey % 25 = n_nationkey GROUP BY 1",
+    "import_by_run": "SELECT n_name AS run, count(*) AS imported, count(*) FILTER (l_tax > 0) AS matched, count(*) FILTER (l_tax > 0 AND l_discount <= 0.02) AS psms_at_q, count(DISTINCT CASE WHEN l_tax > 0 AND l_discount <= 0.02 THEN l_partkey END) AS peptides_at_q, count(DISTINCT CASE WHEN l_tax > 0 THEN l_orderkey END) AS scans, round(count(*) FILTER (l_tax > 0 AND l_discount <= 0.02)::DOUBLE / count(*) FILTER (l_tax > 0), 9) AS identification_rate FROM lineitem JOIN nation ON l_suppkey % 25 = n_nationkey GROUP BY 1",
     "q_null_passes": f"WITH {_PSMS} SELECT charge, count(*) AS n, count(*) FILTER (q_value IS NULL) AS without_q FROM p WHERE q_value IS NULL OR q_value <= 0.02 GROUP BY 1",
     "candidate_cap": "SELECT l_suppkey, rank::INT AS rank, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 20",
     "history": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority LIKE '1%' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20",

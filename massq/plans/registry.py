@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from massq.plans import engine, entrap, files, matching, proteins, signals
+from massq.plans import engine, entrap, files, matching, proteins, signals, tools
 
-_PARTS = (matching, proteins, signals, entrap, files, engine)
+_PARTS = (matching, proteins, signals, entrap, files, engine, tools)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}
 

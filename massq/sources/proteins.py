@@ -56,6 +56,7 @@ DATABASES = (
     ("arabidopsis_swissprot", "Arabidopsis thaliana", 3702),
     ("crap", "Contaminants", 0),
 )
+#: Names of organisms, and the place of their database above.
 ORGANISMS = {"human": 0, "homo sapiens": 0, "人": 0, "mouse": 1, "mus musculus": 1, "小鼠": 1, "coli": 2, "大肠杆菌": 2, "yeast": 3, "saccharomyces": 3, "酵母": 3, "arabidopsis": 4, "拟南芥": 4, "contaminant": 5, "crap": 5}
 
 
