@@ -53,8 +53,8 @@ POOL, TREES, DEPTH, SHALLOW = 128, 16, 16, 3
 REGION, PARTNERS = 256, 8
 #: Rows of the first round that a task holds at once. What parts at their ends is left to the second round.
 STRETCH = 1 << 15
-#: Vertices in a block of the second round.
-BLOCK = 256
+#: Vertices in a block of the second round, and rows of its comparison that are held at once.
+BLOCK, ROWS = 256, 32
 #: A vertex with more than one row in so many of all is hot; there are fewer of those than this.
 HOT = 1000
 #: Percentage of shared shingles from which documents are near duplicates: in classes, and where near duplicates are dropped.
@@ -68,7 +68,6 @@ _TIMES = _RNG.integers(0, 1 << 31, POOL, dtype=np.uint64).astype(np.uint32) * np
 _WIDTH = POOL // TREES
 #: Positions of the pool that each order looks at: its own eighth first, so no two orders share them, then others'.
 _ORDERS = np.array([[(t * _WIDTH + i) % POOL if i < _WIDTH else ((t + 5) * _WIDTH + i) % POOL for i in range(DEPTH)] for t in range(TREES)])
-_SAME = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
 
 
 def likely(percent: int) -> float:
@@ -186,9 +185,7 @@ def regions(shared: np.ndarray) -> Iterator[tuple[int, int]]:
 def proposed(sketch: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a region: each row's best partners among those that may be similar enough."""
     n = len(sketch)
-    same = np.empty((n, n), np.int32)
-    for i in range(n):
-        same[i] = _SAME[sketch ^ sketch[i]].sum(axis=1, dtype=np.int32)
+    same = np.concatenate([agreeing(sketch[lo : lo + ROWS], sketch) for lo in range(0, n, ROWS)])
     estimate = (16 * same / POOL - 1) / 15
     small, large = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
     estimate[(100 * small < percent * large) | (estimate < likely(percent))] = -1
@@ -229,19 +226,34 @@ def _propose(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.record_batch([_fixed([x for x, _ in found]), _fixed([y for _, y in found])], ["a", "b"])
 
 
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the POOL minima of each sketch of ``a`` and each of ``b`` agree in their 4 bits: a matrix."""
+    x = a.view(np.uint64)[:, None, :] ^ b.view(np.uint64)[None, :, :]
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    x &= np.uint64(0x1111111111111111)  # a bit for each group of four that differs
+    return POOL - np.bitwise_count(x).sum(axis=2, dtype=np.int32)
+
+
 def crossing(comp: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, spots: np.ndarray, spot: int, block: np.ndarray, apart: bool, percent: int) -> Iterator[tuple[int, int]]:
     """All pairs of a spot's rows that may be similar enough and lie in different components, at the first spot that both share; of two blocks, if ``apart``."""
-    least = likely(percent)
-    for i in range(len(comp) - 1):
-        js = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((block[i + 1 :] != block[i]) | (not apart)))
-        small, large = np.minimum(sizes[i], sizes[js]), np.maximum(sizes[i], sizes[js])
-        js = js[100 * small >= percent * large]
-        if len(js):
-            js = js[(16 * _SAME[sketch[js] ^ sketch[i]].sum(axis=1, dtype=np.int32) / POOL - 1) / 15 >= least]
-        if len(js):
-            js = js[spots[i, (spots[js] == spots[i]).argmax(axis=1)] == spot]
-        for j in js.tolist():
-            yield i, j
+    least, places = likely(percent), np.arange(len(comp))
+    mine = block == block.min()
+    ones, others = (places[mine], places[~mine]) if apart else (places, places)
+    for lo in range(0, len(ones), ROWS):
+        own = ones[lo : lo + ROWS, None]
+        rest = others if apart else places[lo + 1 :]
+        good = (comp[own] != comp[rest]) & (apart | (rest > own))
+        small, large = np.minimum(sizes[own], sizes[rest]), np.maximum(sizes[own], sizes[rest])
+        good &= 100 * small >= percent * large
+        if not good.any():
+            continue
+        good &= (16 * agreeing(sketch[own[:, 0]], sketch[rest]) / POOL - 1) / 15 >= least
+        i, j = np.nonzero(good)
+        i, j = own[i, 0], rest[j]
+        first = (spots[i] == spots[j]).argmax(axis=1)
+        met = spots[i, first] == spot
+        yield from zip(i[met].tolist(), j[met].tolist(), strict=True)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
