@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from massq.functions import chem
 from massq.functions import exprs as X
-from massq.operators import advice, digest, entrapment, fdr, inference, joins, occurrences, search, spectra
+from massq.operators import advice, digest, entrapment, fdr, inference, joins, multitarget, occurrences, search, spectra
 from massq.operators.shared import materialise, shared_path
 from massq.sources import proteins as P
 from massq.sources import results as R
@@ -185,11 +185,19 @@ class Session:
 
     # Annotation and chromatograms
 
-    def annotate_spectrum(self, path: str, scan: int, peptide: str, tolerance: float = 20.0, charge: int = 2) -> DataFrame:
+    def annotate_spectrum(self, path: str, scan: int, peptide: str, tolerance: float = 20.0, charge: int = 2, heavy: bool = False) -> DataFrame:
+        """The peptide's ions in a scan; with ``heavy`` also those of its labelled form in the scan that shows it, if there is one, told apart by the scan."""
         if charge < 1 or not peptide or set(peptide) - set(chem.STANDARD):
             raise MassqError("a peptide of standard residues and a positive charge are needed")
         rows = self.get_spectrum(path, scan)
-        return spectra.annotate(rows, rows.select("run", "scan", F.lit(peptide).alias("peptide")), tolerance, 2 if charge >= 3 else 1)
+        of = rows.select("run", "scan", F.lit(peptide).alias("peptide"))
+        found = spectra.annotate(rows, of, tolerance, 2 if charge >= 3 else 1)
+        if not heavy:
+            return found
+        every = self.spectra(path)
+        partner = multitarget.heavy_partners(every, of.select(F.lit(0).alias("id"), "run", "scan", "peptide", F.lit(charge).alias("charge"))).where("scan is not null")
+        other = partner.select("scan").join(of.select("run", "peptide"))  # one row each
+        return found.unionByName(spectra.annotate_heavy(every.join(other.select("run", "scan"), ["run", "scan"]), other, tolerance, 2 if charge >= 3 else 1))
 
     def batch_annotate_spectra(self, path: str, annotations: str | DataFrame, tolerance: float = 20.0) -> DataFrame:
         """Scores of a list of (scan, peptide, charge, mods), each for itself; those without a spectrum come back with no score.

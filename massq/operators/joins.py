@@ -96,7 +96,8 @@ def _remains(text: Column, most: int, longest: int) -> Column:
     masks = F.sequence(F.lit(0), F.pow(F.lit(2), F.least(n, F.lit(longest))).cast("int") - 1)
     kept = F.filter(masks, lambda m: n - F.bit_count(m) <= most)
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    left = lambda m: F.array_join(F.transform(F.filter(places, lambda k: F.get(F.split(F.reverse(F.lpad(F.bin(m), longest, "0")), ""), k) == "1"), lambda k: F.substring(text, k + 1, F.lit(1))), "")
+    stays = lambda m, k: F.call_function("shiftright", m, k).bitwiseAND(1) == 1
+    left = lambda m: F.array_join(F.transform(F.filter(places, lambda k: stays(m, k)), lambda k: F.substring(text, k + 1, F.lit(1))), "")
     found = F.array_distinct(F.transform(kept, lambda m: F.struct(F.lit(-1).alias("len"), F.lit(-1).alias("i"), left(m).alias("piece"))))
     return F.when(n <= longest, found).otherwise(F.array().cast("array<struct<len:int,i:int,piece:string>>"))
 

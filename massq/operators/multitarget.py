@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massq.functions.chem import SILAC, heavy_delta, theoretical_ions
+from massq.functions.chem import SILAC, heavy_delta, heavy_mz, mz, peptide_mass, theoretical_ions
 from massq.operators.entrapment import co_eluting
 from massq.operators.joins import band_join, ppm_join
 from massq.operators.shared import materialise
@@ -30,6 +30,21 @@ def scan_at(spectra: DataFrame, wanted: DataFrame, width: float = 1.0) -> DataFr
     return met.groupBy("id").agg(F.min(F.struct(F.abs(F.col("_rt") - F.col("at")).alias("d"), "_rt", "scan"))["scan"].alias("scan"))
 
 
+def heavy_partners(spectra: DataFrame, annotated: DataFrame, reach: float = 0.5, ppm: float = 20.0, narrow: float = 1.0, label: dict[str, float] = SILAC) -> DataFrame:
+    """(id, scan, heavy_mz): the scan that shows the heavy form of each of ``annotated`` (id, run, scan, peptide, charge), null for none.
+
+    The nearest MS2 in time within ``reach`` minutes whose window holds the heavy precursor. If the light scan's window is
+    ``narrow`` or less, the partner's own precursor has to lie under ``ppm`` from it as well.
+    """
+    first = F.try_element_at("precursors", F.lit(1))
+    ms2 = by_level(spectra, 2).select("run", "scan", "rt_min", first["mz"].alias("_mz"), F.coalesce(first["isolation"]["lower"] + first["isolation"]["upper"], F.lit(0.0)).alias("_width"))
+    light = annotated.join(ms2, ["run", "scan"]).where(heavy_delta(F.col("peptide"), label) != 0)
+    wanted = light.select("id", "run", F.col("rt_min").alias("at"), heavy_mz(mz(peptide_mass(F.col("peptide")), F.col("charge")), F.col("peptide"), F.col("charge"), label).alias("mz"), F.lit(reach).alias("reach"), "_width")
+    found = scan_at(spectra, wanted).join(wanted.select("id", "run", "mz", F.col("_width").alias("_light")), "id").join(ms2, ["run", "scan"])
+    fits = (F.col("_light") > narrow) | (F.abs(F.col("_mz") - F.col("mz")) / F.col("mz") * 1e6 < ppm)
+    return wanted.select("id", F.col("mz").alias("heavy_mz")).join(found.where(fits).select("id", "scan"), "id", "left").select("id", "scan", "heavy_mz")
+
+
 def candidates(traps: DataFrame, targets: DataFrame, windows: DataFrame, label: dict[str, float] | None = SILAC, most: int = 20) -> DataFrame:
     """(id, candidate from 1, peptide, heavy): targets that elute with each trap in its window, each light and, where it has labelled residues, heavy next to it; ``most`` forms a trap."""
     mods = [F.col("o_mods").alias("mods")] if "mods" in targets.columns else []
@@ -89,8 +104,8 @@ def trace_multi_target(
         return out.withColumns({"heavy_scan": F.lit(None).cast("int")} | {f"heavy_{c}": F.lit(None).cast("long") for c in COUNTS})
     shift = heavy_delta(F.col("peptide"), label)
     wanted = light.where(F.col("some_heavy") & (shift > 0) & (F.col("precursor_mz") > 0))
-    heavy_mz = F.col("precursor_mz") + shift / F.coalesce("charge", F.lit(2))
-    at = scan_at(spectra, wanted.select("id", "run", F.coalesce("rt_min", F.lit(0.0)).alias("at"), heavy_mz.alias("mz"), "reach"))
+    heavier = F.col("precursor_mz") + shift / F.coalesce("charge", F.lit(2))
+    at = scan_at(spectra, wanted.select("id", "run", F.coalesce("rt_min", F.lit(0.0)).alias("at"), heavier.alias("mz"), "reach"))
     partner = wanted.drop("mz").join(at.withColumnRenamed("scan", "heavy_scan"), "id").where("heavy_scan <> scan")
     partner = materialise(partner.join(peaks.withColumnRenamed("scan", "heavy_scan"), ["run", "heavy_scan"]))
     heavy = prefixed(mirror(partner.select("id", "mz"), trap_form(partner, True).unionByName(forms), tolerance, max_charge, label), "heavy")

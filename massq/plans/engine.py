@@ -117,7 +117,14 @@ def multi_target_trace(spark, d):
     return multitarget.chimeric_share(found).select("id", "scan", "candidates", *[f"light_{c}" for c in multitarget.COUNTS], "heavy_scan", *[f"heavy_{c}" for c in multitarget.COUNTS], F.round("shared_ratio", 6).alias("shared_ratio"))
 
 
-QUERIES = {f.__name__: f for f in (fragment_votes, open_search, engine_search, isotope_pairs, strongest_peaks, folded_isotopes, discriminant_scores, picked_peptides, peak_assignment, multi_target_trace)}
+def heavy_partners(spark, d):
+    """The scan that shows the heavy form of each benchmark peptide's spectrum."""
+    rows, scans, _ = _eluting(spark, d)
+    found = multitarget.heavy_partners(scans, rows.select("id", "run", F.col("id").cast("int").alias("scan"), "peptide", "charge"))
+    return found.select("id", "scan", F.round("heavy_mz", 4).alias("heavy_mz"))
+
+
+QUERIES = {f.__name__: f for f in (fragment_votes, open_search, engine_search, isotope_pairs, strongest_peaks, folded_isotopes, discriminant_scores, picked_peptides, peak_assignment, multi_target_trace, heavy_partners)}
 
 _STEP = "1.003355::DOUBLE"
 _PROTON = "1.007276::DOUBLE"
@@ -168,4 +175,8 @@ h AS (SELECT own.t, (k + 1000000)::INT AS scan FROM own JOIN r ON k = own.t WHER
 SELECT l.t AS id, l.t::INT AS scan, candidates, l.a AS light_trap_only, l.b AS light_target_only, l.c AS light_shared, l.d AS light_unassigned, h.scan AS heavy_scan, CASE WHEN h.t IS NOT NULL THEN y.a END AS heavy_trap_only, CASE WHEN h.t IS NOT NULL THEN y.b END AS heavy_target_only,
 CASE WHEN h.t IS NOT NULL THEN y.c END AS heavy_shared, CASE WHEN h.t IS NOT NULL THEN y.d END AS heavy_unassigned, round((l.c + CASE WHEN h.t IS NOT NULL THEN y.c ELSE 0 END)::DOUBLE / (l.a + l.b + l.c + l.d + CASE WHEN h.t IS NOT NULL THEN y.a + y.b + y.c + y.d ELSE 0 END), 6) AS shared_ratio
 FROM n l JOIN own ON own.t = l.t JOIN n y ON y.t = l.t AND y.side LEFT JOIN h ON h.t = l.t WHERE NOT l.side""",
+    "heavy_partners": f"""WITH {_CAND.format("false")}, r AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS k, (mass + 2 * {_PROTON}) / 2 AS mz, {_mass("p", chem.SILAC)} AS shift FROM (SELECT DISTINCT peptide AS p, mass FROM cand WHERE NOT m.d)),
+s AS (SELECT k % 3 AS run, k::INT AS scan, k / 10 AS rt, floor(mz / 100) AS w FROM r UNION ALL SELECT k % 3, (k + 1000000)::INT, k / 10 + 0.001, floor((mz + shift / 2) / 100) FROM r),
+x AS (SELECT k AS id, mz + shift / 2 AS hm, min(struct_pack(d := abs(s.rt - k / 10), rt := s.rt, scan := s.scan)).scan AS scan FROM r JOIN s ON s.run = k % 3 AND s.w = floor((mz + shift / 2) / 100) AND s.rt BETWEEN k / 10 - 0.5 AND k / 10 + 0.5 WHERE shift > 0 GROUP BY 1, 2)
+SELECT id, scan, round(hm, 4) AS heavy_mz FROM x""",
 }

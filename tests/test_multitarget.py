@@ -100,3 +100,16 @@ def test_chimeric_rule_counts_both_mirrors(spark):
     got = {r.id: (round(r.shared_ratio, 6), r.is_chimeric) for r in sinks.chimeric(rows).collect()}
     assert got == {1: (0.4, True), 2: (0.45, True), 3: (0.3, False), 4: (0.0, False)}
     assert "0.45" in sinks.multi_target_page("t", rows)
+
+
+def test_heavy_partners(spark):
+    """A wide window takes the nearest scan that holds the heavy precursor; a narrow one also looks at its precursor."""
+    from massq.operators.multitarget import heavy_partners
+
+    mz = (sum(chem.RESIDUES[c] for c in "PEPTIDEK") + chem.WATER + 2 * chem.PROTON) / 2
+    heavy = mz + chem.SILAC["K"] / 2
+    scan = lambda n, rt, p, half: ("r", n, 2, rt, [(p, 2, None, (p, half, half), None)], [], [], "centroid")
+    rows = spark.createDataFrame([scan(1, 1.0, mz, 0.5), scan(2, 1.2, heavy * (1 + 30e-6), 0.5), scan(3, 1.3, heavy, 0.5), scan(4, 5.0, mz, 0.5), scan(5, 5.1, heavy * (1 + 5e-6), 0.5), scan(6, 9.0, mz, 2.0), scan(7, 9.3, heavy + 1, 2.0), scan(8, 9.6, heavy, 2.0)], SPECTRA)
+    wanted = spark.createDataFrame([(1, "r", 1, "PEPTIDEK", 2), (4, "r", 4, "PEPTIDEK", 2), (6, "r", 6, "PEPTIDEK", 2), (9, "r", 6, "PEPTIDE", 2)], "id int, run string, scan int, peptide string, charge int")
+    got = {r.id: (r.scan, r.heavy_mz) for r in heavy_partners(rows, wanted).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: None, 4: 5, 6: 7} and got[1][1] == pytest.approx(heavy)
