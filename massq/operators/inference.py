@@ -6,7 +6,7 @@ import heapq
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massq.functions.exprs import fold_il, is_decoy, passes_q
@@ -14,7 +14,7 @@ from massq.operators import occurrences
 from massq.operators.shared import materialise
 
 #: Pairs of group and peptide that one task may cover.
-LOCAL = 50_000
+LOCAL = 200_000
 
 
 def edges(psms: DataFrame, q_threshold: float | None = 0.01) -> DataFrame:
@@ -30,19 +30,26 @@ def indistinguishable(pairs: DataFrame) -> DataFrame:
     return groups.withColumns({"first": F.element_at("members", 1), "size": F.size("peptides")})
 
 
+def _marks(peptides: str) -> Column:
+    """A set as 64 bits, one of which each member sets: a subset's bits are among its superset's."""
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(p), F.lit(64)).cast("int"))
+    return F.aggregate(peptides, F.lit(0).cast("long"), lambda t, p: t.bitwiseOR(bit(p)))
+
+
 def subset_links(groups: DataFrame) -> DataFrame:
     """(sub, super): each strict subset with the first of its supersets, the largest, then the first by name.
 
     A superset must hold the subset's rarest peptide, so groups meet on that one alone
-    and not on every peptide they share.
+    and not on every peptide they share. What meets are 64 bits of each set; arrays join
+    only those pairs whose bits allow it.
     """
     g = groups.select("first", "size", "peptides")
-    each = g.select("first", "size", F.explode("peptides").alias("peptide"))
+    each = g.select("first", "size", _marks("peptides").alias("marks"), F.explode("peptides").alias("peptide"))
     rare = each.groupBy("peptide").agg(F.count(F.lit(1)).alias("n"))
-    rarest = each.join(rare, "peptide").groupBy("first").agg(F.min(F.struct("n", "peptide"))["peptide"].alias("peptide"), F.first("size").alias("sub_size"))
-    holders = each.select(F.col("first").alias("super"), F.col("size").alias("super_size"), "peptide")
-    # Arrays join the pairs that are left, not the groups' peptides.
-    pairs = rarest.withColumnRenamed("first", "sub").join(holders, "peptide").where("sub_size < super_size").drop("peptide", "sub_size")
+    rarest = each.join(rare, "peptide").groupBy("first").agg(F.min(F.struct("n", "peptide"))["peptide"].alias("peptide"), F.first("size").alias("sub_size"), F.first("marks").alias("sub_marks"))
+    holders = each.select(F.col("first").alias("super"), F.col("size").alias("super_size"), F.col("marks").alias("super_marks"), "peptide")
+    fits = (F.col("sub_size") < F.col("super_size")) & (F.col("sub_marks").bitwiseAND(F.bitwise_not("super_marks")) == 0)
+    pairs = rarest.withColumnRenamed("first", "sub").join(holders, "peptide").where(fits).select("sub", "super", "super_size")
     pairs = pairs.join(g.select(F.col("first").alias("sub"), F.col("peptides").alias("small")), "sub").join(g.select(F.col("first").alias("super"), F.col("peptides").alias("large")), "super")
     pairs = pairs.where(F.size(F.array_except("small", "large")) == 0)
     return pairs.groupBy("sub").agg(F.min(F.struct((-F.col("super_size")).alias("s"), "super"))["super"].alias("super"))
