@@ -106,12 +106,12 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def windows(ids: np.ndarray, width: int, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct padded windows that the first ``n`` tokens begin, as rows of places under ``width`` (0: padding), sorted, and their counts."""
-    lead = [ids.astype(np.int64)]
+    lead, end = [ids], np.zeros(1, ids.dtype)
     for _ in range(most - 1):
-        lead.append(np.where(lead[-1] == 0, 0, np.append(lead[-1][1:], 0)))
+        lead.append(np.where(lead[-1] == 0, end, np.concatenate([lead[-1][1:], end])))
     starts = np.flatnonzero(ids[:n])
     lead = [c[starts] for c in lead]
-    key, room = lead[0], width
+    key, room = lead[0].astype(np.int64), width
     for c in lead[1:]:
         if room > (1 << 62) // width:
             key = np.unique(key, return_inverse=True)[1]
