@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from massq.functions.chem import ISOTOPE_STEP, PROTON, RESIDUES, WATER, Modification
 from massq.operators.fdr import FdrError, picked_peptide_q, picked_q, with_q
 from massq.operators.joins import band_join, ppm_join
-from massq.operators.search import best_matches, candidates, fragment_scores, precursors
+from massq.operators.search import best_matches, candidates, precursors, scored_pairs
 from massq.operators.shared import materialise
 
 #: Charges tried where a spectrum names none; isotope errors; masses of peptides (Da); peaks that a spectrum keeps and a match needs.
@@ -218,10 +218,9 @@ def index_search(
     rows = prepared(spectra, top, fold)
     queries = _numbered(precursors(rows, CHARGES, None).join(rows.select("run", "scan", "mz", "intensity"), ["run", "scan"]), "qid")
     votes = materialise(fragment_votes(queries, fragment_index(peptides, fixed, variable), tolerance, fragment_tolerance, unit, precursor_unit, isotopes))
-    pairs = votes.where(F.col("votes") >= least).join(queries, "qid").join(peptides, "pid")
+    pairs = votes.where(F.col("votes") >= least).join(queries.drop("mz", "intensity"), "qid").join(peptides, "pid")
     pairs = pairs.withColumn("isotope_error", isotope_error(F.col("neutral_mass"), F.col("mass"), isotopes))
-    schema = ", ".join(f"`{c}` {t}" for c, t in pairs.drop("mz", "intensity").dtypes) + ", matched int, total int, score double, longest_y int"
-    scored = pairs.mapInPandas(fragment_scores(fixed, variable, fragment_tolerance, unit, True, True), schema).where(F.col("matched") >= least)
+    scored = scored_pairs(pairs, queries, ("qid",), fixed, variable, fragment_tolerance, unit, True, True).where(F.col("matched") >= least)
     best = best_matches(scored)
     chance = votes.groupBy("qid").agg((F.sum("votes") / F.count(F.lit(1))).alias("expected"))
     k, mean = F.col("votes"), F.col("expected")

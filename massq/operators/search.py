@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +74,9 @@ def matches_within(spectra: DataFrame, peptides: DataFrame, tolerance: float, un
     return pairs.where(F.abs("delta_ppm") <= tolerance if unit == "ppm" else F.abs(F.col("precursor_mz") - F.col("calculated_mz")) <= tolerance)
 
 
-def _stacked(parts, kind=float) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a column of arrays, one after the other, and how many each row has."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    return (np.concatenate([np.asarray(p, kind) for p in parts]) if len(parts) else np.empty(0, kind)), sizes
+def _laid(lists: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of an Arrow column of lists, one after the other, and the number of the row in ``of`` that each belongs to."""
+    return np.asarray(lists.flatten().cast(pa.float64())), np.repeat(of, np.asarray(lists.value_lengths().fill_null(0)))
 
 
 def longest_runs(hit: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
@@ -90,11 +90,12 @@ def longest_runs(hit: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
 
 
 def fragment_scores(fixed: tuple[Modification, ...], variable: tuple[Modification, ...], tolerance: float, unit: str, hyperscore: bool, runs: bool = False):
-    """A mapInPandas function over (peptide, charge, combination, mz, intensity) rows: matched, total, score; with ``runs`` also longest_y, the longest run of matched y ions.
+    """A mapInArrow function over spectra (mz, intensity; ``_pair`` false), each with its candidates (peptide, charge, combination) after it.
 
+    Returns the candidates with matched, total, score; with ``runs`` also longest_y, the longest run of matched y ions.
     An ion counts if any peak lies within tolerance. A batch's ions and peaks are laid end to
-    end, each row's in a range of its own, so one binary search serves them all. The hyperscore
-    is the logarithm of the factorials of matched b and y ions and of their summed intensities.
+    end, each spectrum's in a range of its own, so one binary search serves them all. A spectrum whose candidates go on in the next
+    batch is kept till then. The hyperscore is the logarithm of the factorials of matched b and y ions and of their summed intensities.
     """
     from math import lgamma
 
@@ -107,61 +108,87 @@ def fragment_scores(fixed: tuple[Modification, ...], variable: tuple[Modificatio
             for c in m.residues or RESIDUES:
                 added[ord(c)] += m.delta
     first, last = (sum(m.delta for m in fixed if m.position == f"peptide_{side}") for side in ("nterm", "cterm"))
+    deltas = np.array([m.delta for m in variable] or [0.0])
     log_factorial = np.vectorize(lambda k: lgamma(k + 1), otypes=[float])
     apart = 1e6  # more than any m/z
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            if rows.empty:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.empty(0), np.empty(0)
+        for batch in batches:
+            is_pair = np.asarray(batch.column("_pair").cast(pa.int8())) == 1
+            heard_at, rows = batch.filter(pa.array(~is_pair)), batch.filter(pa.array(is_pair))
+            spectrum_of = np.cumsum(~is_pair)[is_pair]  # 0: the one kept
+            numbers = np.arange(1, heard_at.num_rows + 1)
+            (mz, of_mz), (intensity, _) = _laid(heard_at.column("mz"), numbers), _laid(heard_at.column("intensity"), numbers)
+            mz, intensity = np.concatenate([kept[0], mz]), np.concatenate([kept[1], intensity])
+            peak_of = np.concatenate([np.zeros(len(kept[0]), np.int64), of_mz])
+            if len(numbers):
+                kept = mz[peak_of == numbers[-1]], intensity[peak_of == numbers[-1]]
+            if not rows.num_rows:
                 continue
-            sizes = rows.peptide.str.len().to_numpy()
-            letters = np.frombuffer("".join(rows.peptide).encode("ascii"), np.uint8)
+            order = np.lexsort((mz, peak_of))
+            mz, intensity, peak_of = mz[order], intensity[order], peak_of[order]
+            n, peptides = rows.num_rows, rows.column("peptide").to_pylist()
+            sizes = np.fromiter(map(len, peptides), np.int64, n)
+            letters = np.frombuffer("".join(peptides).encode("ascii"), np.uint8)
             masses, starts = table[letters] + added[letters], np.cumsum(sizes) - sizes
             masses[starts] += first
             masses[starts + sizes - 1] += last
-            for k, sites in enumerate(rows.combination):
-                for site in sites:
-                    masses[starts[k] + min(max(site["pos"], 0), sizes[k] - 1)] += variable[site["mod"]].delta
-            of = np.repeat(np.arange(len(rows)), sizes)
+            combination = rows.column("combination")
+            site, site_of = combination.flatten(), np.repeat(np.arange(n), np.asarray(combination.value_lengths().fill_null(0)))
+            mod, pos = (np.asarray(pc.struct_field(site, c)) for c in ("mod", "pos"))
+            np.add.at(masses, starts[site_of] + np.clip(pos, 0, sizes[site_of] - 1), deltas[mod])
+            of = np.repeat(np.arange(n), sizes)
             sums = np.cumsum(masses)
             prefix = sums - (sums[starts] - masses[starts])[of]
             inner = np.ones(len(of), bool)
             inner[starts + sizes - 1] = False
             whole = prefix[starts + sizes - 1]
             b, y, of = prefix[inner], (whole[of] - prefix + WATER)[inner], of[inner]
-            twice = (rows.charge.to_numpy() >= 3)[of]
+            twice = (np.asarray(rows.column("charge")) >= 3)[of]
             ion = np.concatenate([b + PROTON, ((b + 2 * PROTON) / 2)[twice], y + PROTON, ((y + 2 * PROTON) / 2)[twice]])
             of = np.concatenate([of, of[twice]] * 2)
             is_b = np.arange(len(ion)) < len(ion) // 2
-            mz, n_peaks = _stacked(rows.mz)
-            intensity, _ = _stacked(rows.intensity)
-            peak_of = np.repeat(np.arange(len(rows)), n_peaks)
-            at = np.searchsorted(peak_of * apart + mz, of * apart + ion)
+            at = np.searchsorted(peak_of * apart + mz, spectrum_of[of] * apart + ion)
             best, heard = np.full(len(ion), np.inf), np.zeros(len(ion))
             for k in (at - 1, at):
                 ok = (k >= 0) & (k < len(mz))
                 k = np.clip(k, 0, max(0, len(mz) - 1))
                 if len(mz):
-                    gap = np.where(ok & (peak_of[k] == of), np.abs(mz[k] - ion) / (ion * 1e-6 if unit == "ppm" else 1), np.inf)
+                    gap = np.where(ok & (peak_of[k] == spectrum_of[of]), np.abs(mz[k] - ion) / (ion * 1e-6 if unit == "ppm" else 1), np.inf)
                     heard = np.where(gap < best, intensity[k], heard)
                     best = np.minimum(best, gap)
             good = best <= tolerance
-            count = lambda mask, w=None: np.bincount(of[mask], None if w is None else w[mask], len(rows))  # noqa: B023, E731
+            count = lambda mask, w=None: np.bincount(of[mask], None if w is None else w[mask], n)  # noqa: B023, E731
             nb, ny, total = count(good & is_b), count(good & ~is_b), count(np.ones(len(of), bool))
             if hyperscore:
                 value = log_factorial(nb) + log_factorial(ny) + np.log(np.maximum(count(good & is_b, heard) * count(good & ~is_b, heard), 1.0))
             else:
                 value = (nb + ny) / np.maximum(1, total)
-            out = rows.drop(columns=["mz", "intensity"]).assign(matched=nb + ny, total=total, score=value)
+            out = {c: rows.column(c) for c in rows.schema.names if c not in ("_pair", "mz", "intensity")}
+            out |= {"matched": pa.array(nb + ny, pa.int32()), "total": pa.array(total, pa.int32()), "score": pa.array(value, pa.float64())}
             if runs:
                 hit, at_y = good[~is_b][: len(y)].copy(), of[~is_b][: len(y)]
                 hit[np.flatnonzero(twice)[good[~is_b][len(y) :]]] = True
-                out["longest_y"] = longest_runs(hit, at_y, len(rows))
-            yield out
+                out["longest_y"] = pa.array(longest_runs(hit, at_y, n), pa.int32())
+            yield pa.RecordBatch.from_pydict(out)
 
     return score
 
 
+def scored_pairs(pairs: DataFrame, peaks: DataFrame, keys: tuple[str, ...], fixed: tuple[Modification, ...], variable: tuple[Modification, ...], tolerance: float, unit: str, hyperscore: bool, runs: bool = False) -> DataFrame:
+    """``pairs`` (keys, peptide, charge, combination, ...) with ``fragment_scores`` against ``peaks`` (keys, mz, intensity), a row for each key.
+
+    A spectrum isn't joined with its candidates, which would copy its peaks to each of them: it stands before
+    them in one sorted partition, which is read as a stream, so peaks are shuffled once and a spectrum of many candidates takes no memory.
+    """
+    none = F.array().cast("array<double>")
+    own = peaks.select(*keys, F.lit(False).alias("_pair"), F.coalesce("mz", none).alias("mz"), F.coalesce("intensity", none).alias("intensity"))
+    both = pairs.withColumn("_pair", F.lit(True)).unionByName(own, allowMissingColumns=True)
+    schema = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + ", matched int, total int, score double" + (", longest_y int" if runs else "")
+    return both.repartition(*keys).sortWithinPartitions(*keys, "_pair").mapInArrow(fragment_scores(fixed, variable, tolerance, unit, hyperscore, runs), schema)
+
+
 def best_matches(scored: DataFrame, keys: tuple[str, ...] = ("run", "scan", "precursor"), order: tuple[str, ...] = ("is_decoy", "accession", "ord", "combo_ord", "charge_ord")) -> DataFrame:
     """The highest score of each key, ties in candidate order: an aggregate, not a sort."""
     rest = [c for c in scored.columns if c not in keys and c not in order]
@@ -179,10 +206,7 @@ def search(spectra: DataFrame, proteins: DataFrame, tolerance: float = 10.0, fra
 
         return index_search(spectra, proteins, tolerance, fragment_tolerance, unit, fixed, variable, max_mods, decoy, drop_decoys, precursor_unit, **digestion)
     found = matches_within(spectra, materialise(candidates(proteins, fixed, variable, max_mods, decoy=decoy, **digestion)), tolerance, precursor_unit)
-    peaks = spectra.select("run", "scan", "mz", "intensity")
-    rows = found.join(peaks, ["run", "scan"])
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("mz", "intensity").dtypes) + ", matched int, total int, score double"
-    scored = rows.mapInPandas(fragment_scores(fixed, variable, fragment_tolerance, unit, hyperscore), schema).where("score > 0")
+    scored = scored_pairs(found, spectra.where("ms_level = 2"), ("run", "scan"), fixed, variable, fragment_tolerance, unit, hyperscore).where("score > 0")
     best = materialise(best_matches(scored))
     try:
         out = with_q(best)
