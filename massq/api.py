@@ -203,14 +203,21 @@ class Session:
         """Scores of a list of (scan, peptide, charge, mods), each for itself; those without a spectrum come back with no score.
 
         Modifications shift the ions from their place on; ions of two charges are looked for where the charge is 3 or more.
+        With charges there are also ``observed_mz`` and ``delta_ppm`` of the precursor, by the peak that the MS1 nearest in time shows.
         """
         wanted = R.read_annotations(self.spark, annotations) if isinstance(annotations, str) else annotations
         wanted = materialise(wanted.withColumn("_a", F.monotonically_increasing_id()))
-        rows = self.spectra(path).join(wanted.select("scan").distinct(), "scan", "left_semi")
+        every = self.spectra(path)
+        rows = every.join(wanted.select("scan").distinct(), "scan", "left_semi")
         given = [c for c in ("charge", "mods") if c in wanted.columns]
         keyed = rows.select("run", "scan").join(wanted.select("_a", "scan", "peptide", *given), "scan")
         scores = spectra.annotation_scores(spectra.annotate(rows, keyed, tolerance, keys=("_a",)), rows, ("_a",))
-        return wanted.join(scores.drop("scan"), "_a", "left").drop("_a")
+        out = wanted.join(scores.drop("scan"), "_a", "left")
+        if "charge" in given:
+            own = keyed.select(F.struct("_a", "run").alias("id"), "run", "scan", "peptide", *given)  # a scan number may occur in several runs
+            seen = spectra.observed_precursors(every, own).select(F.col("id._a").alias("_a"), F.col("id.run").alias("run"), "observed_mz", "delta_ppm")
+            out = out.join(seen, ["_a", "run"], "left")
+        return out.drop("_a")
 
     def extract_xic(self, path: str, scan: int, peptide: str, charge: int = 2, tolerance: float = 20.0, cycles: int = 5, rule: str = "max", top: int = 0, heavy: bool = False) -> DataFrame:
         """Chromatograms of a peptide's fragments in the scans of the same window round a scan, light and, if asked, heavy."""

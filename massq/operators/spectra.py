@@ -382,6 +382,40 @@ def probe_ms1(scans: DataFrame, wanted: DataFrame, ppm: float, reach: float = 1.
     return rows.select("id", "scan", pick_intensity(F.col("_peaks"), F.col("_target"), ppm, "max")["mz"].alias("mz"))
 
 
+def nearest_ms1(spectra: DataFrame) -> DataFrame:
+    """(run, scan, ms1_scan): the MS1 nearest in time to each MS2 of its run, of equally near ones the earlier; null in a run without one. Only times are sorted, not peaks."""
+    w = Window.partitionBy("run").orderBy("rt_min", "scan")
+    rows = spectra.select("run", "scan", "ms_level", "rt_min", F.when(F.col("ms_level") == 1, F.struct("rt_min", "scan")).alias("_m"))
+    rows = rows.withColumns({"_b": F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_m", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    first = F.col("_a").isNull() | (F.col("rt_min") - F.col("_b.rt_min") <= F.col("_a.rt_min") - F.col("rt_min"))
+    return rows.where("ms_level = 2").select("run", "scan", F.when(F.col("_b").isNotNull() & first, F.col("_b.scan")).otherwise(F.col("_a.scan")).alias("ms1_scan"))
+
+
+def observed_precursors(spectra: DataFrame, annotated: DataFrame, ppm: float = 20.0, label: dict[str, float] | None = SILAC) -> DataFrame:
+    """(id, theoretical_mz, observed_mz, in_ms1, delta_ppm, heavy_mz, heavy_delta_ppm) of each of ``annotated`` (id, run, scan, peptide, charge, ``mods`` if any).
+
+    The observed m/z is that of the most intense peak within ppm of the peptide's in the MS1 nearest in time, else the one that the spectrum
+    names. The heavy form has an error only where that MS1 shows it, and no m/z without labelled residues. A peptide with other letters
+    or a charge under 1 has nulls. Peaks of an MS1 aren't copied: what is looked for in it is brought to it.
+    """
+    from massq.functions.chem import PROTON, heavy_delta, peptide_mass
+
+    z, p = F.col("charge"), F.col("peptide")
+    added = F.aggregate(F.coalesce("mods", F.array()), F.lit(0.0), lambda t, m: t + m["delta"]) if "mods" in annotated.columns else F.lit(0.0)
+    light = F.when(z >= 1, (peptide_mass(p) + added + z * PROTON) / z)
+    shift = F.lit(0.0) if label is None else heavy_delta(p, label)
+    named = by_level(spectra, 2).select("run", "scan", F.try_element_at("precursors", F.lit(1))["mz"].alias("_named"))
+    rows = annotated.select("id", "run", "scan", light.alias("theoretical_mz"), F.when((shift > 0) & (z >= 1), light + shift / z).alias("heavy_mz"))
+    rows = rows.join(named, ["run", "scan"]).join(nearest_ms1(spectra), ["run", "scan"]).drop("scan")
+    wanted = rows.where("ms1_scan is not null").groupBy("run", F.col("ms1_scan").alias("scan")).agg(F.collect_list(F.struct("id", "theoretical_mz", "heavy_mz")).alias("_w"))  # those of one cycle
+    ms1 = by_level(spectra, 1).select("run", "scan", F.filter(F.arrays_zip("mz", "intensity"), lambda x: x["intensity"] > 0).alias("_peaks"))
+    shown = lambda target: F.when(target.isNotNull(), pick_intensity(F.col("_peaks"), target, ppm, "max")["mz"])
+    found = wanted.join(ms1, ["run", "scan"]).select(F.inline(F.transform("_w", lambda w: F.struct(w["id"].alias("id"), shown(w["theoretical_mz"]).alias("_light"), shown(w["heavy_mz"]).alias("_heavy")))))
+    error = lambda seen, due: (seen - due) / due * 1e6
+    out = rows.join(found, "id", "left").withColumn("observed_mz", F.coalesce("_light", "_named"))
+    return out.select("id", "theoretical_mz", "observed_mz", F.col("_light").isNotNull().alias("in_ms1"), error(F.col("observed_mz"), F.col("theoretical_mz")).alias("delta_ppm"), "heavy_mz", error(F.col("_heavy"), F.col("heavy_mz")).alias("heavy_delta_ppm"))
+
+
 def multi_provenance(annotated: DataFrame, spectra: DataFrame, trap: str = "trap") -> DataFrame:
     """Peaks of each spectrum by who explains them, with any number of candidates.
 

@@ -124,7 +124,22 @@ def heavy_partners(spark, d):
     return found.select("id", "scan", F.round("heavy_mz", 4).alias("heavy_mz"))
 
 
-QUERIES = {f.__name__: f for f in (fragment_votes, open_search, engine_search, isotope_pairs, strongest_peaks, folded_isotopes, discriminant_scores, picked_peptides, peak_assignment, multi_target_trace, heavy_partners)}
+def observed_precursors(spark, d):
+    """Precursors of the benchmark peptides as MS1 scans show them, light and heavy: every second peptide has one right after it, which shows the next peptide of its run as well in three of four cases."""
+    rows, scans, _ = _eluting(spark, d)
+    k, mz = F.col("id"), F.col("precursor_mz")
+    peak = lambda m, i: F.struct(m.alias("mz"), F.lit(i).alias("intensity"))
+    heavy = chem.heavy_mz(mz, F.col("peptide"), F.lit(2))
+    peaks = F.array(peak(mz * (1 + 3e-6), 10.0), peak(mz * (1 - 8e-6), F.when(k % 4 == 0, 20.0).otherwise(0.0)), peak(heavy * (1 + 6e-6), 5.0))
+    host = F.when(k % 2 == 0, k).otherwise(k - 3)
+    shown = rows.select("run", host.alias("host"), peaks.alias("peaks")).where((k % 2 == 0) | (F.col("host") % 8 != 2)).where("host >= 0")
+    ms1 = shown.groupBy("run", "host").agg(F.array_sort(F.flatten(F.collect_list("peaks"))).alias("p"))  # two peptides at most
+    ms1 = ms1.select("run", (F.col("host") + 2_000_000).cast("int").alias("scan"), F.lit(1).alias("ms_level"), (F.col("host") / 10 + 0.04).alias("rt_min"), F.array().cast(scans.schema["precursors"].dataType).alias("precursors"), F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"), F.lit("centroid").alias("representation"))
+    found = S.observed_precursors(scans.unionByName(ms1), rows.select("id", "run", F.col("id").cast("int").alias("scan"), "peptide", "charge"))
+    return found.select("id", "in_ms1", F.round("delta_ppm", 4).alias("delta_ppm"), F.round("heavy_mz", 4).alias("heavy_mz"), F.round("heavy_delta_ppm", 4).alias("heavy_delta_ppm"))
+
+
+QUERIES = {f.__name__: f for f in (fragment_votes, open_search, engine_search, isotope_pairs, strongest_peaks, folded_isotopes, discriminant_scores, picked_peptides, peak_assignment, multi_target_trace, heavy_partners, observed_precursors)}
 
 _STEP = "1.003355::DOUBLE"
 _PROTON = "1.007276::DOUBLE"
@@ -179,4 +194,10 @@ FROM n l JOIN own ON own.t = l.t JOIN n y ON y.t = l.t AND y.side LEFT JOIN h ON
 s AS (SELECT k % 3 AS run, k::INT AS scan, k / 10 AS rt, floor(mz / 100) AS w FROM r UNION ALL SELECT k % 3, (k + 1000000)::INT, k / 10 + 0.001, floor((mz + shift / 2) / 100) FROM r),
 x AS (SELECT k AS id, mz + shift / 2 AS hm, min(struct_pack(d := abs(s.rt - k / 10), rt := s.rt, scan := s.scan)).scan AS scan FROM r JOIN s ON s.run = k % 3 AND s.w = floor((mz + shift / 2) / 100) AND s.rt BETWEEN k / 10 - 0.5 AND k / 10 + 0.5 WHERE shift > 0 GROUP BY 1, 2)
 SELECT id, scan, round(hm, 4) AS heavy_mz FROM x""",
+    "observed_precursors": f"""WITH {_CAND.format("false")}, r AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS k, (mass + 2 * {_PROTON}) / 2 AS mz, {_mass("p", chem.SILAC)} AS shift FROM (SELECT DISTINCT peptide AS p, mass FROM cand WHERE NOT m.d)),
+h AS (SELECT CASE WHEN k % 2 = 0 THEN k ELSE k - 3 END AS host, k, mz, mz + shift / 2 AS hm FROM r WHERE k % 2 = 0 OR (k >= 3 AND (k - 3) % 8 <> 2)),
+pk AS (SELECT host, mz * (1 + 3e-6::DOUBLE) AS m, 10 AS i FROM h UNION ALL SELECT host, mz * (1 - 8e-6::DOUBLE), 20 FROM h WHERE k % 4 = 0 UNION ALL SELECT host, hm * (1 + 6e-6::DOUBLE), 5 FROM h),
+n AS (SELECT k, arg_min(host, struct_pack(d := round(abs(k / 10 - host / 10 - 0.04), 6), host := host)) AS host FROM r JOIN (SELECT DISTINCT host FROM h) x ON host % 3 = k % 3 GROUP BY 1),
+f AS (SELECT k, mz, CASE WHEN shift > 0 THEN mz + shift / 2 END AS hm, (SELECT arg_max(m, struct_pack(i := i, m := -m)) FROM pk WHERE pk.host = n.host AND abs(m - mz) <= mz * 20e-6) AS a, (SELECT arg_max(m, struct_pack(i := i, m := -m)) FROM pk WHERE pk.host = n.host AND shift > 0 AND abs(m - mz - shift / 2) <= (mz + shift / 2) * 20e-6) AS b FROM r LEFT JOIN n USING (k))
+SELECT k AS id, a IS NOT NULL AS in_ms1, round((coalesce(a, mz) - mz) / mz * 1e6, 4) AS delta_ppm, round(hm, 4) AS heavy_mz, round((b - hm) / hm * 1e6, 4) AS heavy_delta_ppm FROM f""",
 }
