@@ -231,3 +231,6 @@ WHEN len(lo) = len(sh) + 1 AND len(list_filter(range(1, len(sh) + 1), lambda i:
 bt AS (SELECT p, min(struct_pack(e := e, a := abs(dm), cr := cr, t := t, dm := dm, kind := kind)) AS b FROM kd GROUP BY 1),
 lv AS (SELECT pp.p, CASE WHEN pp.p IN (SELECT t FROM tg) THEN 'L0' WHEN fold IN (SELECT fold FROM tg) THEN 'L1' WHEN b.a < 1 THEN 'L2' WHEN b IS NOT NULL THEN 'L3' ELSE 'L4' END AS level, b FROM pp LEFT JOIN bt ON bt.p = pp.p)"""
 SQL["classify_levels"] = f"""WITH {_CLASSES} SELECT 'trap' AS "group", level, CASE WHEN level IN ('L2', 'L3') THEN b.kind END AS substitution, count(*) AS n, count(DISTINCT ps.p) AS peptides, round(avg(CASE WHEN level IN ('L2', 'L3') THEN b.dm WHEN level IN ('L0', 'L1') THEN 0 END), 4) AS mean_delta FROM ps JOIN lv ON lv.p = ps.p GROUP BY 1, 2, 3"""
+#: The tool's query (``files.tool_similar``) asks for one peptide of benchmark with another first letter.
+_ONE = _CLASSES.replace("ps AS (SELECT p FROM (SELECT unnest(f) AS p FROM f WHERE src = 'c') WHERE", "ps AS (SELECT 'W' || min(p)[2:] AS p FROM (SELECT unnest(f) AS p FROM f WHERE src = 'b') WHERE len(p) >= 7 AND")
+SQL["tool_similar"] = f"""WITH {_ONE} SELECT p AS peptide, level, CASE level WHEN 'L0' THEN p WHEN 'L1' THEN (SELECT min(t) FROM tg WHERE tg.fold = translate(lv.p, 'I', 'L')) ELSE b.t END AS best_target FROM lv"""

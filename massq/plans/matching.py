@@ -51,7 +51,8 @@ def peptide_q_value(spark, d):
 
 
 def picked_protein_q(spark, d):
-    e = table(spark, d, "events").where("event_type in ('click', 'error')")
+    """Users as proteins: errors are their decoys' scores, all other events their own."""
+    e = table(spark, d, "events")
     name = F.concat(F.when(F.col("event_type") == "error", "REV_").otherwise(""), F.lit("u"), F.col("user_id").cast("string"))
     return fdr.picked_q(e.groupBy(name.alias("leader")).agg(F.max("value").alias("score"))).select("leader", "score", F.round("q_value", 9).alias("q_value"))
 
@@ -222,7 +223,7 @@ SQL = {
     "q_value": f"WITH r AS (SELECT l_extendedprice AS score, l_returnflag = 'R' AS is_decoy FROM lineitem), {q_sql('r')} SELECT l_orderkey, l_linenumber, round(q_value, 9) AS q_value FROM lineitem JOIN q ON l_extendedprice = score",
     "peptide_q_value": f"""WITH b AS (SELECT l_partkey, l_extendedprice AS score, l_returnflag = 'R' AS is_decoy, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber, l_returnflag = 'R') AS r FROM lineitem),
 r AS (SELECT * FROM b WHERE r = 1), {q_sql("r")} SELECT l_partkey, r.score, is_decoy, round(q_value, 9) AS q_value FROM r JOIN q ON r.score = q.score""",
-    "picked_protein_q": f"""WITH g AS (SELECT user_id, max(CASE WHEN event_type = 'click' THEN value END) AS t, max(CASE WHEN event_type = 'error' THEN value END) AS d FROM events WHERE event_type IN ('click', 'error') GROUP BY 1),
+    "picked_protein_q": f"""WITH g AS (SELECT user_id, max(CASE WHEN event_type = 'error' THEN NULL ELSE value END) AS t, max(CASE WHEN event_type = 'error' THEN value END) AS d FROM events GROUP BY 1),
 r AS (SELECT 'u' || user_id AS leader, coalesce(t IS NULL OR d > t, false) AS is_decoy, CASE WHEN coalesce(t IS NULL OR d > t, false) THEN d ELSE t END AS score FROM g), {q_sql("r")}
 SELECT leader, r.score, round(q_value, 9) AS q_value FROM r JOIN q ON r.score = q.score WHERE NOT is_decoy""",
     "band_join_ppm": f"WITH {_UNIT} SELECT l_orderkey, l_linenumber, p_partkey, round((unit - p_retailprice) / p_retailprice * 1e6, 6) AS delta_ppm FROM u JOIN part ON p_retailprice BETWEEN unit * 0.9999 AND unit * 1.0001 AND abs(unit - p_retailprice) / p_retailprice * 1e6 <= 20",

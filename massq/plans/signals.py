@@ -171,11 +171,11 @@ def fragment_provenance(spark, d):
 
 
 def _timed(spark, d) -> DataFrame:
-    """events as single scans: hours of the month are minutes, a window of k around the value."""
-    e = table(spark, d, "events").where("event_type <> 'view'")
+    """events as single scans, views as MS1: hours of the month are minutes, a window of k around the value."""
+    e = table(spark, d, "events")
     k = F.get_json_object("props", _K).cast("double")
     one = F.struct(F.col("value").alias("mz"), F.lit(2).alias("charge"), F.lit(None).cast("double").alias("intensity"), F.struct(F.col("value").alias("target"), k.alias("lower"), k.alias("upper")).alias("isolation"), F.lit(None).cast("int").alias("source_scan"))
-    return e.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").cast("int").alias("scan"), F.lit(2).alias("ms_level"), (F.dayofmonth("ts") * 24 + F.hour("ts")).cast("double").alias("rt_min"), F.array(one).alias("precursors"))
+    return e.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").cast("int").alias("scan"), F.when(F.col("event_type") == "view", 1).otherwise(2).alias("ms_level"), (F.dayofmonth("ts") * 24 + F.hour("ts")).cast("double").alias("rt_min"), F.array(one).alias("precursors"))
 
 
 def _wanted(spark, d) -> DataFrame:
