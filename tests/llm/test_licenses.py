@@ -29,3 +29,50 @@ def test_passages_with_gaps(spark):
 def test_native(docs, none):
     assert "Python" not in licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert licenses.scan(none).count() == 0
+
+
+def plain_spans(text, slack=3):
+    """All spans by the method's definition: votes of a text's pairs by diagonal, neighbouring diagonals merged, then the share of pairs that voted."""
+    from conftest_llm import LOWER
+
+    w, out = WORD.findall((text or "").translate(LOWER)), []
+    for k, t in enumerate(licenses.BASE + licenses.OWN):
+        votes = {}
+        for p in range(len(w) - 1):
+            for at, a, b in t.pairs:
+                if (w[p], w[p + 1]) == (a, b):
+                    votes.setdefault(p - at, []).append((p, at))
+        bands, last = [], None
+        for d in sorted(votes):
+            if last is None or t.exact or d - last > slack:
+                bands.append((d, []))
+            bands[-1][1].extend(votes[d])
+            last = d
+        for d, found in bands:
+            share = len({at for _, at in found}) / len(t.pairs)
+            if share == 1 if t.exact else share >= t.share:
+                out.append((d if t.exact else min(p for p, _ in found), k, max(p for p, _ in found) + 1, round(share, 9)))
+    return sorted(out)
+
+
+def test_spans_against_the_definition(spark):
+    import random
+
+    rng = random.Random(3)
+    passages = [t.text for t in licenses.BASE + licenses.OWN]
+    texts = [None, "", "!!!", "license", "MIT LICENSE mit license mit", "apache license version 2 0 apache license", "gnu general public license version 3 gnu general public license version 2"]
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choice(passages).split()
+            for x in own:  # words are lost, changed and added
+                words += rng.choice([[x]] * 16 + [[], ["changed"], [x, "added"], [x.upper()]])
+            words += rng.choices(["the", "of", "license", "software", "filler"], k=rng.randint(0, 12))
+        texts.append(rng.choice([" ", ", ", "\n"]).join(words))
+    texts += [texts[-1]] * 2 + [" ".join(passages * 40)]  # repeated rows, and a very long text in which every passage repeats
+    rows = [(k, t, "x", 1, 2) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, template string, n int, p int")).collect()}
+    assert len(got) == len(rows)
+    for k, t, *_ in rows:
+        assert [(s.start, s.template, s.end, round(s.share, 9)) for s in got[k].spans] == plain_spans(t)
+    assert sum(len(r.spans) for r in got.values()) > 300
