@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +36,13 @@ def unimod_table(spark, d):
     head = F.concat(F.lit('<mod record_id="'), F.col("p_partkey").cast("string"), F.lit('" title="'), F.col("p_name"), F.lit('">'))
     body = F.concat(site(F.upper(F.substring("p_name", 1, 1))), site(F.lit("N-term")), site(F.upper(F.substring("p_name", 3, 1))), F.lit('<delta mono_mass="'), F.col("p_retailprice").cast("string"), F.lit('"/></mod>'))
     rows, path = table(spark, d, "part").select(F.concat(head, body).alias("value")), f"{shared_path(spark)}.xml"
-    whole = rows.agg(F.concat(F.lit("<unimod>"), F.array_join(F.collect_list("value"), ""), F.lit("</unimod>")).alias("value"))  # a dictionary is one file
-    whole.coalesce(1).write.text(path)
+
+    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # each part is a dictionary of its own
+        yield pd.DataFrame({"value": ["<unimod>"]})
+        yield from batches
+        yield pd.DataFrame({"value": ["</unimod>"]})
+
+    rows.mapInPandas(framed, "value string").write.text(path)
     return R.unimod(spark, path).select("id", "title", F.round("mass", 6).alias("mass"), "residues")
 
 

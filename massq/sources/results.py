@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,18 +33,38 @@ class ResultImportError(ValueError):
     """A result file that can't be read as asked."""
 
 
+_MOD, _MOD_END, _PREFIX = re.compile(r"<(?:[\w.-]+:)?mod[\s/>]"), re.compile(r"</(?:[\w.-]+:)?$"), re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+
+
+def _entries(piece: str) -> list[tuple]:
+    """Entries of a piece of a dictionary that ended with ``mod>``: from its first opening tag on it is XML but for the names of its prefixes."""
+    begin = _MOD.search(piece)
+    if not begin or not _MOD_END.search(piece):
+        return []
+    names = " ".join(f'xmlns:{x}="{x}"' for x in sorted(set(_PREFIX.findall(piece)) - {"xml", "xmlns"}))
+    found = []
+    for m in (e for e in ET.fromstring(f"<part {names}>{piece[begin.start() :]}mod></part>").iter() if e.tag.split("}")[-1] == "mod"):
+        delta = next((e for e in m if e.tag.split("}")[-1] == "delta"), None)
+        letters = "".join(sorted({e.get("site", "") for e in m if e.tag.split("}")[-1] == "specificity" and len(e.get("site", "")) == 1}))
+        if delta is not None:
+            found.append((int(m.get("record_id")), m.get("title"), float(delta.get("mono_mass")), letters))
+    return found
+
+
 def unimod(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(id, title, mass, residues): the built-in ones, or those of a Unimod XML file."""
-    rows = list(UNIMOD)
-    if path:
-        text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())  # a dictionary of about a thousand entries
-        rows = []
-        for m in (e for e in ET.fromstring(text).iter() if e.tag.endswith("}mod") or e.tag == "mod"):
-            delta = next((e for e in m if e.tag.split("}")[-1] == "delta"), None)
-            letters = "".join(sorted({e.get("site", "") for e in m if e.tag.split("}")[-1] == "specificity" and len(e.get("site", "")) == 1}))
-            if delta is not None:
-                rows.append((int(m.get("record_id")), m.get("title"), float(delta.get("mono_mass")), letters))
-    return spark.createDataFrame(rows, "id int, title string, mass double, residues string")
+    """(id, title, mass, residues): the built-in ones, or those of Unimod XML, a file or a folder of them.
+
+    A file is read as records that end where an entry ends, so tasks share it and the driver sees none.
+    """
+    schema = "id int, title string, mass double, residues string"
+    if not path:
+        return spark.createDataFrame(list(UNIMOD), schema)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([x for piece in batch["value"] for x in _entries(piece)], columns=["id", "title", "mass", "residues"])
+
+    return spark.read.option("lineSep", "mod>").text(path).select("value").mapInPandas(parse, schema)
 
 
 def detect_format(path: str, header: str | None = None) -> str:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from massq.plans import matching
+from massq.sources import results
 
 
 @pytest.fixture
@@ -28,3 +29,13 @@ def test_parts_of_one_price_meet_a_line_once(spark, tables):
     priced(spark, tables, 40)
     assert matching.scored_candidates(spark, "", 200).count() == few
     assert sorted(map(tuple, matching.best_match(spark, "").collect())) == best and len(best) == 20
+
+
+def test_a_dictionary_is_read_in_tasks(spark, tmp_path, monkeypatch):
+    one = lambda k: f'<umod:mod record_id="{k}" title="t {k} a:b"><umod:specificity site="N-term"/><umod:specificity site="S"/><umod:delta mono_mass="{k}.5"/></umod:mod>'
+    (tmp_path / "u.xml").write_text('<?xml version="1.0" encoding="UTF-8"?>\n<umod:unimod xmlns:umod="u"><umod:mod record_id="0" title="bare"/>' + "\n".join(map(one, range(1, 300))) + '<umod:mod record_id="0" title="bare"/></umod:unimod>\n')
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.collect", None)  # nothing meets in the driver
+    rows = results.unimod(spark, f"file://{tmp_path}/u.xml")
+    monkeypatch.undo()
+    found = rows.toPandas().sort_values("id")
+    assert found.id.tolist() == list(range(1, 300)) and found.title[4] == "t 5 a:b" and found.mass[4] == 5.5 and set(found.residues) == {"S"}
