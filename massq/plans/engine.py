@@ -44,9 +44,13 @@ def engine_search(spark, d):
 
 def isotope_pairs(spark, d):
     """Unit prices that are up to three isotope steps off against prices of parts: how many pairs at each error."""
-    rows = unit_prices(spark, d).select("l_orderkey", "l_linenumber", (F.col("unit") + (F.col("l_linenumber") % 5 - 1) * chem.ISOTOPE_STEP).alias("neutral_mass"))
-    pairs = engine.isotope_join(rows, table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("mass")), 20.0)
-    return pairs.groupBy("isotope_error").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_partkey").alias("parts"), F.sum("l_orderkey").alias("orders"))
+    mass = F.col("unit") + (F.col("l_linenumber") % 5 - 1) * chem.ISOTOPE_STEP
+    rows = unit_prices(spark, d).groupBy(mass.alias("neutral_mass")).agg(F.count(F.lit(1)).alias("lines"), F.sum("l_orderkey").alias("orders"))
+    part = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("mass"))
+    pairs = engine.isotope_join(rows, part.groupBy("mass").agg(F.count(F.lit(1)).alias("parts")), 20.0)  # equal masses meet once
+    met = materialise(pairs.groupBy("isotope_error", "mass").agg(F.sum(F.col("lines") * F.col("parts")).alias("n"), F.sum(F.col("orders") * F.col("parts")).alias("orders")))
+    found = met.join(part, "mass").groupBy("isotope_error").agg(F.countDistinct("p_partkey").alias("parts"))
+    return met.groupBy("isotope_error").agg(F.sum("n").alias("n"), F.sum("orders").alias("orders")).join(found, "isotope_error").select("isotope_error", "n", "parts", "orders")
 
 
 def strongest_peaks(spark, d):

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from massq.functions import chem
+from massq.operators import engine, joins
+from massq.plans import engine as plans
 from massq.plans import matching
 from massq.sources import results
 
@@ -12,7 +14,7 @@ from massq.sources import results
 def tables(spark, monkeypatch):
     """Tables by name in place of files."""
     found = {}
-    for module in (matching,):
+    for module in (matching, plans):
         monkeypatch.setattr(module, "table", lambda spark, d, name: found[name])
     return found
 
@@ -51,3 +53,18 @@ def test_equal_compositions_have_equal_masses(spark):
     for residue, mass in chem.RESIDUES.items():
         total += letters.count(residue) * mass
     assert one[len(letters) - 1] == total + chem.PROTON
+
+
+def test_equal_masses_are_paired_once(spark, tables, monkeypatch):
+    rows, plain = [], joins.ppm_join
+
+    def counted(*args, **more):
+        rows.append((out := plain(*args, **more)).count())
+        return out
+
+    monkeypatch.setattr(engine, "ppm_join", counted)
+    priced(spark, tables, 1)
+    once = {r.isotope_error: r for r in plans.isotope_pairs(spark, "").collect()}
+    priced(spark, tables, 7)
+    found = {r.isotope_error: r for r in plans.isotope_pairs(spark, "").collect()}
+    assert rows[0] == rows[1] and once and {k: (r.n, r.parts, r.orders) for k, r in found.items()} == {k: (7 * r.n, 7 * r.parts, 7 * r.orders) for k, r in once.items()}
