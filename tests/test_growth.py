@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from massq.functions import chem
-from massq.operators import engine, joins
+from massq.operators import engine, joins, shared
 from massq.plans import engine as plans
 from massq.plans import matching
 from massq.sources import results
@@ -68,3 +68,10 @@ def test_equal_masses_are_paired_once(spark, tables, monkeypatch):
     priced(spark, tables, 7)
     found = {r.isotope_error: r for r in plans.isotope_pairs(spark, "").collect()}
     assert rows[0] == rows[1] and once and {k: (r.n, r.parts, r.orders) for k, r in found.items()} == {k: (7 * r.n, 7 * r.parts, 7 * r.orders) for k, r in once.items()}
+
+
+def test_a_median_meets_in_no_single_task(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(k % 7) if k % 5 else None, k) for k in range(101)], "v double, k long")
+    monkeypatch.setattr(shared, "BUCKET_ROWS", 2)
+    for some in (rows, rows.where("k < 50"), rows.where("v is null"), rows.where("k < 2")):
+        assert shared.median(some, "v", "m").first().m == some.agg(F.median("v")).first()[0]
