@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from massq.functions import chem
 from massq.operators import engine, joins, shared
 from massq.plans import engine as plans
-from massq.plans import matching
+from massq.plans import matching, proteins
 from massq.sources import results
 
 
@@ -75,3 +75,12 @@ def test_a_median_meets_in_no_single_task(spark, monkeypatch):
     monkeypatch.setattr(shared, "BUCKET_ROWS", 2)
     for some in (rows, rows.where("k < 50"), rows.where("v is null"), rows.where("k < 2")):
         assert shared.median(some, "v", "m").first().m == some.agg(F.median("v")).first()[0]
+
+
+def test_enzymes_share_one_pass_over_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(proteins, "table", lambda spark, d, name: spark.createDataFrame([(1, "MKPR TEXDK"), (1, "AAK"), (2, None), (3, "XX")], "doc_id long, text string"))
+    found = proteins.digest_enzymes(spark, "")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    one = {r.enzyme: (r.n, r.longest) for r in found.where("accession = '1'").collect()}
+    assert one["trypsin"] == (2, 4) and one["custom"] == (1, 3) and found.where("accession <> '1'").count() == 0
