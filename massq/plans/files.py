@@ -117,7 +117,9 @@ def pfb_scan(spark, d):
             out.write(head + content + b"".join(struct.pack("<q", x) for x in at))
         return pd.DataFrame({"name": [name]})
 
-    written = spectra(spark, d).select("run", "scan", "ms_level", "rt_min", "mz", "intensity").groupBy("run").applyInPandas(build, "name string")
+    rows = spectra(spark, d).select("run", "scan", "ms_level", "rt_min", "mz", "intensity")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a file costs time and few bytes, by which Spark would leave them to few tasks
+    written = rows.repartition(tasks, "run").groupBy("run").applyInPandas(build, "name string")
     written.write.format("noop").mode("overwrite").save()
     pfb.register(spark)
     w = F.try_element_at("precursors", F.lit(1))["isolation"]

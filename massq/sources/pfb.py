@@ -1,7 +1,8 @@
 """PFB files as a data source of several partitions: ``spark.read.format("pfb").load(path)``.
 
 The addresses of all records stand at a file's end. The driver reads them, eight bytes a spectrum, and
-cuts a file at record borders into ranges of about ``splitBytes``; a task reads its own range.
+cuts a file at record borders into ranges of about ``splitBytes``; a task reads its own range. Files that are
+no larger aren't opened by the driver, and a task reads several of them.
 A condition ``scan = k`` or ``scan IN (...)`` is pushed down: the first scan number of each range is looked up,
 and ranges that can't hold a wanted scan are left out. Where the numbers of a file's ranges don't rise, none
 is. Spark applies the condition to the rows again.
@@ -27,6 +28,8 @@ from massq.operators.spectra import SCHEMA
 
 HEADER = 24
 SPLIT_BYTES = 32 << 20
+#: What opening a file counts as, in bytes, where files share a partition; about how many partitions small files make, until each has ``SPLIT_BYTES``.
+OPEN_BYTES, SHARED = 64 << 10, 64
 #: Address schemes that pyarrow opens, by its own names for them.
 SCHEMES = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
 
@@ -104,6 +107,16 @@ class Range(InputPartition):
         super().__init__((self.path, self.start, self.end))
 
 
+@dataclass
+class Files(InputPartition):
+    """Whole small files."""
+
+    paths: tuple[str, ...]
+
+    def __post_init__(self):
+        super().__init__(self.paths)
+
+
 class PfbReader(DataSourceReader):
     def __init__(self, path: str, split: int):
         self.path, self.split, self.scans = path, split, None
@@ -121,8 +134,10 @@ class PfbReader(DataSourceReader):
         if info.type == pa.fs.FileType.NotFound:
             raise SpectrumFormatError(f"no file {self.path}")
         files = [info] if info.is_file else [x for x in fs.get_file_info(pa.fs.FileSelector(place, recursive=True)) if x.is_file and x.path.lower().endswith(".pfb")]
-        found: list[Range] = []
-        for file in sorted(files, key=lambda x: x.path):
+        files.sort(key=lambda x: x.path)
+        small = [x for x in files if x.size <= self.split]
+        found: list[InputPartition] = self._together(small)
+        for file in (x for x in files if x.size > self.split):
             with fs.open_input_file(file.path) as f:
                 end, count = header(f.read_at(HEADER, 0), file.size)
                 at = np.frombuffer(f.read_at(8 * count, end), "<i8") if count else np.empty(0, np.int64)
@@ -133,6 +148,18 @@ class PfbReader(DataSourceReader):
                 found += ranges if self.scans is None else self._holding(f, ranges)
         return found or [Range("", 0, 0)]
 
+    def _together(self, files: list) -> list[InputPartition]:
+        """Small files by path, as many in a partition as its bytes allow."""
+        most = min(SPLIT_BYTES, max(self.split, sum(x.size + OPEN_BYTES for x in files) // SHARED))
+        found, paths, held = [], [], 0
+        for x in files:
+            if paths and held + x.size + OPEN_BYTES > most:
+                found.append(Files(tuple(paths)))
+                paths, held = [], 0
+            paths.append(x.path)
+            held += x.size + OPEN_BYTES
+        return found + ([Files(tuple(paths))] if paths else [])
+
     def _holding(self, f, ranges: list[Range]) -> list[Range]:
         """Those ranges that may hold a wanted scan."""
         firsts = []
@@ -147,21 +174,35 @@ class PfbReader(DataSourceReader):
         ends = [*firsts[1:], float("inf")]
         return [r for r, a, b in zip(ranges, firsts, ends, strict=True) if any(a <= s < b for s in self.scans)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def _contents(self, partition: Range | Files) -> Iterator[tuple[str, bytes]]:
+        """(path, records) of a range or of each whole file."""
         fs, _ = opened(self.path)
-        with fs.open_input_file(partition.path) as f:
-            content = f.read_at(partition.end - partition.start, partition.start)
-        run = partition.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        at, rows = 0, []
-        while at < len(content):
-            row, at = record(content, at)
-            if self.scans is None or row["scan"] in self.scans:
-                rows.append({"run": run, **row})
-            if len(rows) == 1000:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                rows = []
+        if isinstance(partition, Range):
+            with fs.open_input_file(partition.path) as f:
+                yield partition.path, f.read_at(partition.end - partition.start, partition.start)
+            return
+        for path in partition.paths:
+            with fs.open_input_file(path) as f:
+                content = f.read()
+            end, count = header(content[:HEADER], len(content))
+            at = np.frombuffer(content, "<i8", count, end)
+            if count and ((np.diff(at) <= 0).any() or at[0] < HEADER or at[-1] >= end):
+                raise SpectrumFormatError("PFB addresses that don't rise")
+            yield path, content[at[0] : end] if count else b""
+
+    def read(self, partition: Range | Files) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Range) and not partition.path:
+            return
+        rows = []
+        for path, content in self._contents(partition):
+            run, at = path.rsplit("/", 1)[-1].rsplit(".", 1)[0], 0
+            while at < len(content):
+                row, at = record(content, at)
+                if self.scans is None or row["scan"] in self.scans:
+                    rows.append({"run": run, **row})
+                if len(rows) == 1000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 

@@ -66,3 +66,12 @@ def test_what_is_no_pfb(spark, made, tmp_path):
         load(spark, tmp_path / "bad.pfb", 10).count()
     with pytest.raises(pfb.SpectrumFormatError):
         pfb.opened("ftp://x/a.pfb")
+
+
+def test_small_files_share_partitions(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"r{k}.pfb").write_bytes(theory.pfb([theory.spectrum("a", j + 1, "SAMPLEAGK") for j in range(k % 3)]))
+    df = load(spark, tmp_path, 1 << 16)
+    assert df.rdd.getNumPartitions() <= 200 < 300
+    assert {(r.run, r.scan) for r in df.select("run", "scan").collect()} == {(f"r{k}", j + 1) for k in range(300) for j in range(k % 3)}
+    assert df.where("scan = 2").count() == 100
