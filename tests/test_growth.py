@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from massq.functions import chem
-from massq.operators import engine, joins, shared
+from massq.operators import engine, inference, joins, shared
 from massq.operators import spectra as S
 from massq.plans import engine as plans
 from massq.plans import matching, proteins
@@ -92,3 +92,20 @@ def test_peaks_of_one_mass_are_one(spark):
     claims = spark.createDataFrame([("r", 1, 100.0, True, c) for c in ("trap", "a")], "run string, scan int, observed_mz double, matched boolean, candidate string")
     found = S.multi_provenance(claims, spectra).first()
     assert (found.shared, found.unassigned, found.most_candidates) == (1, 1, 2)
+
+
+def test_a_chain_of_groups_needs_no_round_each(spark, monkeypatch):
+    rows, plain = [], inference.materialise
+    monkeypatch.setattr(inference, "materialise", lambda df: rows.append(out := plain(df)) or out)
+    # Each shares a peptide with the next, all share one, and each comes before the next.
+    sets = [[f"{k}_{i}" for i in range(60 - 2 * k)] + [f"link{k}", f"link{k + 1}", "all"] for k in range(25)] + [["link3", "all"], ["link9"]]
+    groups = spark.createDataFrame([(p, 1.0, f"g{k:02d}") for k, p in enumerate(sets)], "peptides array<string>, score double, first string")
+    assert {r["first"] for r in inference.parsimonious(groups, local=0).collect()} == {f"g{k:02d}" for k in range(25)}
+    assert len(rows) < 10
+
+
+def test_equal_gains_go_by_score_then_name(spark):
+    sets = [("b", 2.0, "xy"), ("a", 1.0, "xyz"), ("c", 2.0, "zx"), ("d", 2.0, "yz"), ("e", None, "uv"), ("f", 9.0, "uv")]
+    groups = spark.createDataFrame([(list(p), s, f) for f, s, p in sets], "peptides array<string>, score double, first string")
+    for local in (0, 100):
+        assert {r["first"] for r in inference.parsimonious(groups, local=local).collect()} == {"a", "e"}  # a null score comes first
