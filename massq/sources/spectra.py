@@ -148,9 +148,13 @@ def parse_mzml_spectrum(xml: str) -> dict | None:
     }
 
 
-def read_mzml(spark: SparkSession, path: str) -> DataFrame:
+def read_mzml(spark: SparkSession, path: str, scan: int | None = None) -> DataFrame:
+    """All spectra; with ``scan``, those that name another one in their id are left out before they are parsed."""
     text = spark.read.option("lineSep", "</spectrum>").text(path)
     chunks = text.where(F.col("value").contains("<spectrum ")).select(_run(F.col("_metadata.file_path")).alias("run"), "value")
+    if scan is not None:
+        head = F.regexp_extract("value", "<spectrum [^>]*", 0)
+        chunks = chunks.where(~head.rlike(r'\bid="[^"]*scan=\d') | head.rlike(rf"scan=0*{int(scan)}(?!\d)"))
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
@@ -203,6 +207,11 @@ def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def read_scan(spark: SparkSession, path: str, scan: int) -> DataFrame:
+    """At least the spectra of one scan number; mzML parses hardly any others."""
+    return read_mzml(spark, path, scan) if detect_format(path) == "mzml" else read(spark, path)
+
+
 def ingest(spectra: DataFrame, path: str) -> DataFrame:
     """Parquet by ranges of run and time, sorted within files: the form in which look-ups prune. A long run spreads over files."""
     spectra.repartitionByRange("run", "rt_min", "scan").sortWithinPartitions("run", "rt_min", "scan").write.mode("errorifexists").parquet(path)

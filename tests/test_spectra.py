@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from massq.functions import chem
 from massq.operators import spectra as S
+from massq.sources import spectra as files
 
 STEP = chem.ISOTOPE_STEP
 
@@ -110,3 +111,11 @@ def test_no_peaks(spark):
     rows = spark.createDataFrame([("r", 1, [], [])], "run string, scan int, mz array<double>, intensity array<double>")
     table = S.annotate(rows, spark.createDataFrame([("r", 1, "PEK")], "run string, scan int, peptide string"))
     assert table.count() == 24 and table.where("matched").count() == 0 and S.assigned_peaks(table).count() == 0
+
+
+def test_a_look_up_parses_its_own_scan(spark, tmp_path):
+    one = lambda index, name: f'<spectrum index="{index}" id="{name}"><cvParam accession="MS:1000511" value="2"/></spectrum>'
+    (tmp_path / "a.mzML").write_text("<mzML>" + "".join(one(k, f"controller=1 scan={n}") for k, n in enumerate(("1", "2", "12", "21", "02"))) + one(1, "x") + one(6, "y"))
+    path = f"file://{tmp_path}/a.mzML"
+    assert sorted(r.scan for r in files.read_scan(spark, path, 2).collect()) == [2, 2, 2, 7]  # spectra without a number of their own are parsed too
+    assert S.spectrum(files.read_scan(spark, path, 2), 2).count() == S.spectrum(files.read(spark, path), 2).count() == 3
