@@ -109,3 +109,13 @@ def test_equal_gains_go_by_score_then_name(spark):
     groups = spark.createDataFrame([(list(p), s, f) for f, s, p in sets], "peptides array<string>, score double, first string")
     for local in (0, 100):
         assert {r["first"] for r in inference.parsimonious(groups, local=local).collect()} == {"a", "e"}  # a null score comes first
+
+
+def test_groups_with_a_peptide_of_their_own_meet_no_superset(spark, monkeypatch):
+    """Only shared peptides are written for groups to meet on; hits that come twice change nothing."""
+    rows, plain = [], inference.materialise
+    monkeypatch.setattr(inference, "materialise", lambda df: rows.append(out := plain(df)) or out)
+    sets = {"a": "xyzu", "b": "xyw", "c": "xy", "d": "y", "e": "vq", "f": "xyz"}
+    hits = spark.createDataFrame([(p, 1.0, name) for name, ps in sets.items() for p in ps * 2], "peptide string, score double, protein string")
+    found = {r["sub"]: r["super"] for r in inference.subset_links(inference.indistinguishable(hits)).collect()}
+    assert found == {"c": "a", "d": "a", "f": "a"} and rows[0].count() == 11
