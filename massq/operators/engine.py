@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massq.functions.chem import ISOTOPE_STEP, PROTON, RESIDUES, WATER, Modification
+from massq.functions.chem import ISOTOPE_STEP, PROTON, RESIDUES, WATER, Modification, residue_prefixes
 from massq.operators.fdr import FdrError, picked_peptide_q, picked_q, with_q
 from massq.operators.joins import band_join, ppm_join
 from massq.operators.search import best_matches, candidates, precursors, scored_pairs
@@ -109,18 +109,8 @@ def fragment_index(peptides: DataFrame, fixed: tuple[Modification, ...] = (), va
     """
     residues = {k: v + sum(m.delta for m in fixed if m.position == "anywhere" and (not m.residues or k in m.residues)) for k, v in RESIDUES.items()}
     ends = {side: sum(m.delta for m in fixed if m.position == f"peptide_{side}") for side in ("nterm", "cterm")}
-    table = F.create_map(*[F.lit(x) for pair in residues.items() for x in pair])
     n = F.length("peptide")
-    delta = F.create_map(*[x for k, m in enumerate(variable) for x in (F.lit(k), F.lit(m.delta))]) if variable else None
-
-    def at(i: Column) -> Column:
-        mass = F.element_at(table, F.substring("peptide", i, F.lit(1))) + F.when(i == 1, ends["nterm"]).otherwise(0.0) + F.when(i == n, ends["cterm"]).otherwise(0.0)
-        if delta is None:
-            return mass
-        here = lambda s: F.least(F.greatest(s["pos"], F.lit(0)), n - 1) == i - 1
-        return mass + F.aggregate(F.filter("combination", here), F.lit(0.0), lambda t, s: t + F.element_at(delta, s["mod"]))
-
-    sums = F.aggregate(F.transform(F.sequence(F.lit(1), n), at), F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
+    sums = residue_prefixes(F.col("peptide"), F.col("combination"), residues, ends["nterm"], ends["cterm"], tuple(m.delta for m in variable))
     rows = peptides.where(n > 0).select("pid", "mass", "peptide", sums.alias("sums"))
     rows = rows.select("pid", "mass", F.element_at("sums", -1).alias("whole"), F.posexplode("sums").alias("k", "prefix"), n.alias("n"))
     ions = F.array(F.struct(F.lit("b").alias("kind"), (F.col("k") + 1).alias("number"), F.col("prefix").alias("fragment")), F.struct(F.lit("y").alias("kind"), (n_left := F.col("n") - F.col("k") - 1).alias("number"), (F.col("whole") - F.col("prefix") + WATER).alias("fragment")))
@@ -214,7 +204,7 @@ def index_search(
     A Da tolerance is one of mass. Rows as ``search`` returns them, and votes, isotope_error, longest_y, longest_y_share, poisson, discriminant,
     peptide_q and protein_q; q-values are null where none follows (no decoys).
     """
-    peptides = _numbered(candidates(proteins, fixed, variable, max_mods, decoy=decoy, **digestion).where(F.col("mass").between(*MASSES)), "pid")
+    peptides = _numbered(candidates(proteins, fixed, variable, max_mods, decoy=decoy, **digestion), "pid").where(F.col("mass").between(*MASSES))  # a mass is computed once, of distinct peptides
     rows = prepared(spectra, top, fold)
     queries = _numbered(precursors(rows, CHARGES, None).join(rows.select("run", "scan", "mz", "intensity"), ["run", "scan"]), "qid")
     votes = materialise(fragment_votes(queries, fragment_index(peptides, fixed, variable), tolerance, fragment_tolerance, unit, precursor_unit, isotopes))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from massq.functions import chem
-from massq.operators import engine, inference, joins, shared
+from massq.operators import digest, engine, inference, joins, search, shared
 from massq.operators import spectra as S
 from massq.plans import engine as plans
 from massq.plans import matching, proteins
@@ -119,3 +119,37 @@ def test_groups_with_a_peptide_of_their_own_meet_no_superset(spark, monkeypatch)
     hits = spark.createDataFrame([(p, 1.0, name) for name, ps in sets.items() for p in ps * 2], "peptide string, score double, protein string")
     found = {r["sub"]: r["super"] for r in inference.subset_links(inference.indistinguishable(hits)).collect()}
     assert found == {"c": "a", "d": "a", "f": "a"} and rows[0].count() == 11
+
+
+def test_a_peptide_is_joined_and_weighed_once(spark):
+    """Whatever is asked of a peptide, its pieces are joined in one place of the plan, and its mass isn't taken of every occurrence."""
+    texts = spark.createDataFrame([("a", "AAGKCCDRPEEKFFK"), ("b", None), ("c", ""), ("d", "AAGKXXK")], "accession string, sequence string")
+    rows = digest.digest(texts, missed=2, shortest=3).where(F.length("peptide") % 2 == 1)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("array_join") == 1
+    found = {(r.ord.missed, r.ord.place, r.peptide, r.is_protein_nterm, r.is_protein_cterm) for r in rows.where("accession = 'a'").collect()}
+    assert found == {(0, 3, "FFK", False, True), (1, 2, "CCDRPEEKFFK", False, True), (2, 1, "AAGKCCDRPEEKFFK", True, True)}
+    assert rows.where("accession <> 'a'").count() == 0
+    plan = search.candidates(texts, missed=0, shortest=3).where("mass > 300")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("> 300") < plan.index("Aggregate") and "translate" not in plan and plan.count("EvalPython") == 1
+
+
+def test_masses_in_batches_equal_those_by_row(spark):
+    texts = ["GAVLIPFWMSTCYHDENQKR" * 2, "KKKRGGAVLLMMC", "", None, "PEPTXDE", "pep", "é", "R"]
+    row = spark.createDataFrame([(t,) for t in texts], "p string").select(chem.peptide_masses(F.col("p")).alias("a"), chem.peptide_mass(F.col("p")).alias("b")).collect()
+    assert [r.a for r in row] == [r.b for r in row] and row[2].a == chem.WATER and row[3].a is None and row[4].a is None
+
+
+def test_running_sums_are_those_of_adding_residues(spark):
+    rows = [("MKWVTFISLLR", [(0, -1), (1, 3), (0, 11)]), ("PEPTIDEKPEPTIDER", []), ("A", [(1, 0)]), ("", []), ("GGGGGGGGGGGGGGGGGGGGGK", [(1, 20), (1, 20)])]
+    frame = spark.createDataFrame(rows, "p string, c array<struct<mod:int,pos:int>>")
+    masses, deltas = {k: v + (57.021464 if k == "C" else 0.0) for k, v in chem.RESIDUES.items()}, (42.010565, 15.994915)
+    got = [r.s for r in frame.select(chem.residue_prefixes(F.col("p"), F.col("c"), masses, 229.1, 0.5, deltas).alias("s")).collect()]
+    for (p, c), sums in zip(rows, got, strict=True):
+        want, total = [], 0.0
+        for i, x in enumerate(p):
+            more = 0.0
+            for mod, pos in c:
+                more += deltas[mod] if min(max(pos, 0), len(p) - 1) == i else 0.0
+            total += masses[x] + (229.1 if i == 0 else 0.0) + (0.5 if i == len(p) - 1 else 0.0) + more
+            want.append(total)
+        assert sums == want
