@@ -153,3 +153,11 @@ def test_running_sums_are_those_of_adding_residues(spark):
             total += masses[x] + (229.1 if i == 0 else 0.0) + (0.5 if i == len(p) - 1 else 0.0) + more
             want.append(total)
         assert sums == want
+
+
+def test_a_large_gain_among_many_groups_stays_a_number(spark):
+    """Gains times groups pass 32 bits: one group holds a peptide of each of the first 45,000, the others have their own."""
+    large = spark.range(45_000).agg(F.collect_list(F.concat(F.lit("p"), "id")).alias("peptides"), F.lit(9.0).alias("score"), F.lit("large").alias("first"))
+    small = spark.range(50_000).select(F.array(F.concat(F.lit("p"), "id")).alias("peptides"), F.lit(1.0).alias("score"), F.format_string("g%05d", "id").alias("first"))
+    found = inference.parsimonious(large.union(small), local=0)
+    assert found.agg(F.count(F.lit(1)), F.min("first"), F.max("first")).first() == (5001, "g45000", "large")
