@@ -161,3 +161,30 @@ def test_a_large_gain_among_many_groups_stays_a_number(spark):
     small = spark.range(50_000).select(F.array(F.concat(F.lit("p"), "id")).alias("peptides"), F.lit(1.0).alias("score"), F.format_string("g%05d", "id").alias("first"))
     found = inference.parsimonious(large.union(small), local=0)
     assert found.agg(F.count(F.lit(1)), F.min("first"), F.max("first")).first() == (5001, "g45000", "large")
+
+
+def test_a_peptide_alone_meets_no_holders(spark, monkeypatch):
+    """Its largest holder is found where holders are counted; ties go by name, and sets of two still meet."""
+    rows, plain = [], inference.materialise
+    monkeypatch.setattr(inference, "materialise", lambda df: rows.append(out := plain(df)) or out)
+    sets = {"a": "x", "b": "xyz", "c": "xyw", "d": "xy", "e": "q", "f": "v", "g": "vu"}
+    groups = inference.indistinguishable(spark.createDataFrame([(p, 1.0, name) for name, ps in sets.items() for p in ps], "peptide string, score double, protein string"))
+    found = {r["sub"]: r["super"] for r in inference.subset_links(groups).collect()}
+    assert found == {"a": "b", "d": "b", "f": "g"}
+    assert {(r["first"], r["super"]) for r in rows[0].where("super is not null").collect()} == {("a", "b"), ("f", "g")}
+    kept = {r["first"]: r.members for r in inference.without_subsets(groups).collect()}
+    assert kept == {"b": ["a", "b", "d"], "c": ["c"], "e": ["e"], "g": ["f", "g"]}
+
+
+def test_razor_peptides_meet_again_only_where_a_group_has_its_own(spark, monkeypatch):
+    rows, plain = [], inference.materialise
+    monkeypatch.setattr(inference, "materialise", lambda df: rows.append(out := plain(df)) or out)
+    sets = [("a", 1.0, "xyz"), ("b", 2.0, "xyw"), ("c", 2.0, "zwx"), ("d", None, "zy")]
+    groups = lambda sets: spark.createDataFrame([(list(p), s, n) for n, s, p in sets], "peptides array<string>, score double, leader string")
+    assert {r.peptide: r.leader for r in inference.razor(groups(sets)).collect()} == {"x": "b", "y": "d", "z": "d", "w": "b"}  # a null score comes first
+    assert [r.count() for r in rows] == [4, 0]  # a row a peptide, and no group to look at again
+    sets += [("e", 0.5, "xuv"), ("f", 0.1, "yt"), ("g", 9.0, "ys")]
+    assert {r.peptide: r.leader for r in inference.razor(groups(sets)).collect()} == {"x": "e", "y": "g", "z": "d", "w": "b"}
+    named = groups(sets).withColumn("members", F.array("leader")).withColumn("first", F.col("leader"))
+    built = {r.leader: (r.unique_peptides, r.razor_peptides) for r in inference.build_groups(named).collect()}
+    assert built == {"a": ([], []), "b": ([], ["w"]), "c": ([], []), "d": ([], ["z"]), "e": (["u", "v"], ["x"]), "f": (["t"], []), "g": (["s"], ["y"])}
