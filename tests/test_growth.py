@@ -1,5 +1,7 @@
 """Work that grows with the input and not with its square: copies of a table's rows meet once."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,21 @@ def test_razor_peptides_meet_again_only_where_a_group_has_its_own(spark, monkeyp
     named = groups(sets).withColumn("members", F.array("leader")).withColumn("first", F.col("leader"))
     built = {r.leader: (r.unique_peptides, r.razor_peptides) for r in inference.build_groups(named).collect()}
     assert built == {"a": ([], []), "b": ([], ["w"]), "c": ([], []), "d": ([], ["z"]), "e": (["u", "v"], ["x"]), "f": (["t"], []), "g": (["s"], ["y"])}
+
+
+def test_groups_of_low_gain_wait_until_high_gains_are_covered(spark, monkeypatch):
+    """Rounds write the groups that may come next, not all: 600 groups, few of them large."""
+    rows, plain = [], inference.materialise
+    monkeypatch.setattr(inference, "materialise", lambda df: rows.append(out := plain(df)) or out)
+    rng = random.Random(7)
+    sets = {f"g{k:03d}": rng.sample(range(150), rng.choice([2, 2, 2, 2, 2, 3, 6])) for k in range(600)}
+    groups = spark.createDataFrame([([str(p) for p in ps], 1.0, name) for name, ps in sets.items()], "peptides array<string>, score double, first string")
+    want, left = set(), set(range(150))
+    while left:
+        best = min(sets, key=lambda name: (-len(left & set(sets[name])), name))
+        want.add(best)
+        left -= set(sets[best])
+    for local in (100, 0):
+        rows.clear()
+        assert {r["first"] for r in inference.parsimonious(groups, local=local).collect()} == want
+        assert sum(r.count() for r in rows) < 5000
